@@ -1,2 +1,256 @@
-def classes(d): raise NotImplementedError
-def scan(d): raise NotImplementedError
+"""Near-duplicate classes by BagMinHash signatures, bands and exact verification.
+
+A text is the multiset of its five-word shingles (words are runs of letters, digits and non-ASCII characters, A-Z lowered;
+a shorter text is one shingle). Two texts are linked if the weighted Jaccard similarity of their multisets, the sum of
+minima over the sum of maxima, is at least SIMILARITY; classes are the connected components of the links.
+
+BagMinHash: the weights are discretised into levels, and the levels of a shingle are grouped into spans (0,1], (1,2],
+(2,4], (4,8] ... Each span has a Poisson process whose rate is its number of levels; in a span that the weight only
+partly fills, each point falls to one level by a further hash, and counts if the weight reaches it. A point goes to one of
+M components, and a component keeps its first time. Two components agree with a probability equal to the weighted Jaccard
+similarity. A shingle stops drawing as soon as its time is above the text's latest component, so work follows M log M.
+
+Candidates share one of BANDS bands of ROWS components: at similarity 0.8 a pair is missed with probability 1e-5.
+Identical word sequences are one class from the start. In a bucket everybody is compared with the bucket's first member,
+not with all others; members that remain in different classes go into the next round with twice as many leaders, until no
+bucket holds two classes that were not compared. So large groups of copies cost as many comparisons as they have members,
+and nothing is capped.
+
+Edge cases: texts without words, and rows without doc_id, are in no class but their own (the latter's class is null). Rows
+repeated under one doc_id are one document. Ties: the class id is the lowest doc_id. Empty tables give empty results.
+"""
+
+from __future__ import annotations
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import cut, map_pieces, texts
+
+SIMILARITY, SHINGLE = 0.8, 5
+BANDS, ROWS = 48, 7
+M = BANDS * ROWS
+#: Ids whose texts are compared go to all tasks up to this number (8 bytes each); beyond it Spark shuffles.
+BROADCAST_IDS = 2_000_000
+
+U = np.uint64
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
+IS_WORD = np.zeros(256, bool)
+IS_WORD[48:58] = IS_WORD[97:123] = IS_WORD[128:] = True
+BASE = 0x9E3779B97F4A7C15
+INVERSE = pow(BASE, -1, 1 << 64)
+_powers: list[np.ndarray] = [np.ones(1, U), np.ones(1, U)]
+
+
+def mix(x: np.ndarray) -> np.ndarray:
+    """The finaliser of splitmix64."""
+    x = (x ^ (x >> U(30))) * U(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> U(27))) * U(0x94D049BB133111EB)
+    return x ^ (x >> U(31))
+
+
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    if len(_powers[0]) < n:
+        for i, b in enumerate((BASE, INVERSE)):
+            p = np.full(n, U(b))
+            p[0] = 1
+            _powers[i] = np.multiply.accumulate(p)
+    return _powers[0][:n], _powers[1][:n]
+
+
+def shingles(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(text number, shingle hash, multiplicity) of every distinct shingle, by text and hash; and words by text. All vectorised."""
+    column = pc.cast(column, pa.large_string()).combine_chunks() if isinstance(column, pa.ChunkedArray) else pc.cast(column, pa.large_string())
+    n = len(column)
+    offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + n + 1]
+    data = column.buffers()[2]
+    raw = np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]] if data is not None and offsets[-1] > offsets[0] else np.zeros(0, np.uint8)
+    raw = LOWER[raw]
+    offsets = offsets - offsets[0]
+    word = IS_WORD[raw]
+    first = np.zeros(len(raw) + 1, bool)
+    first[offsets] = True
+    begins = np.flatnonzero(word & (first[:-1] | ~np.concatenate([[False], word[:-1]])))
+    ends = np.flatnonzero(word & (first[1:] | ~np.concatenate([word[1:], [False]]))) + 1
+    up, down = powers(len(raw) + 1)
+    total = np.concatenate([[U(0)], np.add.accumulate((raw.astype(U) + U(1)) * up[:-1])])
+    w = mix((total[ends] - total[begins]) * down[begins])
+    doc = np.searchsorted(offsets, begins, "right") - 1
+    count = np.bincount(doc, minlength=n)[:n]
+    at = np.concatenate([[0], np.cumsum(count)])
+    place = np.arange(len(w)) - at[doc]
+    keep = (place <= count[doc] - SHINGLE) | (place == 0)
+    idx = np.flatnonzero(keep)
+    s = np.zeros(len(idx), U)
+    for k in range(SHINGLE):
+        inside = place[idx] + k < count[doc[idx]]
+        s = mix(s * U(BASE) + np.where(inside, w[np.minimum(idx + k, max(0, len(w) - 1))], U(0))) if len(w) else s
+    d = doc[idx]
+    order = np.lexsort((s, d))
+    d, s = d[order], s[order]
+    new = np.flatnonzero(np.concatenate([[True], (d[1:] != d[:-1]) | (s[1:] != s[:-1])])) if len(d) else np.zeros(0, int)
+    return d[new], s[new], np.diff(np.concatenate([new, [len(d)]])).astype(np.int64), count
+
+
+def signatures(doc: np.ndarray, shingle: np.ndarray, weight: np.ndarray, n: int, m: int = M) -> np.ndarray:
+    """n rows of m first times; infinite for texts without shingles."""
+    sig = np.full((n, m), np.inf)
+    spans = [(doc, shingle, np.ones(len(doc)), np.ones(len(doc)))]
+    low = 1
+    while len(i := np.flatnonzero(weight > low)):
+        spans.append((doc[i], mix(shingle[i] + U(low)), np.full(len(i), float(low)), np.minimum(weight[i] - low, low).astype(float)))
+        low *= 2
+    d, seed, rate, limit = (np.concatenate(x) for x in zip(*spans, strict=True))
+    t = np.zeros(len(d))
+    flat, step = sig.reshape(-1), 0
+    while len(d):
+        step += 1
+        x = mix(seed + U(step * BASE % (1 << 64)))
+        t = t - np.log(((x >> U(11)).astype(float) + 0.5) * 2.0**-53) / rate
+        y = mix(x + U(0x632BE59BD9B4E019))
+        part = ((y >> U(32)) * U(m)) >> U(32)
+        level = (y & U(0xFFFFFFFF)).astype(float) * 2.0**-32 * rate
+        ok = level < limit
+        np.minimum.at(flat, d[ok] * m + part[ok].astype(np.int64), t[ok])
+        alive = t < sig.max(1)[d]
+        d, seed, rate, limit, t = d[alive], seed[alive], rate[alive], limit[alive], t[alive]
+    return sig
+
+
+def band_keys(sig: np.ndarray) -> np.ndarray:
+    """One 64-bit key a band, the band's number mixed in."""
+    v = sig.view(U).reshape(len(sig), BANDS, ROWS)
+    key = np.broadcast_to(mix(np.arange(1, BANDS + 1, dtype=U)), (len(sig), BANDS)).copy()
+    for k in range(ROWS):
+        key = mix(key * U(BASE) + v[:, :, k])
+    return key.view(np.int64)
+
+
+def sketched(docs: DataFrame) -> DataFrame:
+    """doc_id, whole (a 128-bit hash of the word sequence, null without words), keys (band keys)."""
+
+    def make():
+        def one(batch: pa.RecordBatch) -> pa.RecordBatch:
+            col = batch.column("text")
+            d, s, w, count = shingles(col)
+            n = len(col)
+            keys = band_keys(signatures(d, s, w, n))
+            # two sums over the ordered multiset and the word count tell texts apart as well as a hash of the shingles does
+            both = [np.zeros(n, U), np.zeros(n, U)]
+            for k in range(2):
+                np.add.at(both[k], d, mix(s + U(k + 1)) * w.astype(U))
+            whole = [f"{a:016x}{b:016x}{c:x}" if c else None for a, b, c in zip(both[0].tolist(), both[1].tolist(), count.tolist(), strict=True)]
+            flat = pa.array(keys.reshape(-1))
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * BANDS), flat)
+            return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(whole, pa.string()), lists], ["doc_id", "whole", "keys"])
+
+        return one
+
+    return map_pieces(docs, make, f"doc_id {dict(docs.dtypes)['doc_id']}, whole string, keys array<bigint>")
+
+
+def verified(pairs: DataFrame, docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """The pairs (a, b) whose exact weighted Jaccard similarity is high enough."""
+    ids = cut(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct())
+    few = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+    t = cut(docs.join(few, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+    left = t.select(F.col("doc_id").alias("a"), "text")
+    right = t.select(F.col("doc_id").alias("b"), F.col("text").alias("text2"))
+    both = pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "text", "text2")
+
+    def make():
+        def one(batch: pa.RecordBatch) -> pa.RecordBatch:
+            n = batch.num_rows
+            d1, s1, w1, _ = shingles(batch.column("text"))
+            d2, s2, w2, _ = shingles(batch.column("text2"))
+            d, s, w = np.concatenate([d1, d2]), np.concatenate([s1, s2]), np.concatenate([w1, w2])
+            order = np.lexsort((s, d))
+            d, s, w = d[order], s[order], w[order]
+            same = np.flatnonzero((d[1:] == d[:-1]) & (s[1:] == s[:-1])) if len(d) else np.zeros(0, int)
+            least = np.bincount(d[same], np.minimum(w[same], w[same + 1]), n)
+            total = np.bincount(d, w, n)
+            ok = (total > 0) & (least >= similarity * (total - least) - 1e-9)
+            return batch.select(["a", "b"]).filter(pa.array(ok))
+
+        return one
+
+    kind = dict(pairs.dtypes)["a"]
+    return map_pieces(both, make, f"a {kind}, b {kind}")
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """node, label (the lowest node) of the graph's nodes: neighbours' minima and pointer jumping, until nothing changes."""
+    both = cut(edges.select("a", "b").union(edges.select("b", "a")).distinct())
+    labels = cut(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label")))
+    while True:
+        told = both.join(labels.withColumnRenamed("node", "a"), "a").select(F.col("b").alias("node"), "label")
+        jumped = labels.select("node", F.col("label").alias("up")).join(labels.select(F.col("node").alias("up"), F.col("label").alias("top")), "up").select("node", F.col("top").alias("label"))
+        new = cut(labels.select("node", "label").union(told).union(jumped).groupBy("node").agg(F.min("label").alias("label")))
+        if not new.join(labels.withColumnRenamed("label", "old"), "node").where("label <> old").limit(1).count():
+            return new
+        labels = new
+
+
+def links(reps: DataFrame, docs: DataFrame) -> DataFrame | None:
+    """node, label of the representatives (doc_id, keys) that are linked to others; None if there are no candidates."""
+    rows = reps.select("doc_id", F.explode("keys").alias("key"))
+    shared = cut(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key"))
+    multi = cut(rows.join(shared, "key"))
+    edges = labels = None
+    leaders, left = 1, multi
+    while True:
+        # the lowest `leaders` members of each bucket lead; each is compared with all later members of other classes
+        if leaders == 1:
+            led = left.groupBy("key").agg(F.min("doc_id").alias("lead"))
+        else:
+            led = left.groupBy("key").agg(F.slice(F.sort_array(F.collect_set("doc_id")), 1, leaders).alias("l")).select("key", F.explode("l").alias("lead"))
+        led = cut(led)
+        pairs = left.join(led, "key").where("lead < doc_id")
+        if labels is not None:
+            own = labels.select(F.col("node").alias("doc_id"), F.col("label").alias("c1"))
+            other = labels.select(F.col("node").alias("lead"), F.col("label").alias("c2"))
+            pairs = pairs.join(own, "doc_id", "left").join(other, "lead", "left").where(F.coalesce("c1", "doc_id") != F.coalesce("c2", "lead"))
+        pairs = cut(pairs.select(F.col("doc_id").alias("a"), F.col("lead").alias("b")).distinct())
+        if pairs.limit(1).count():
+            good = verified(pairs, docs)
+            edges = cut(good if edges is None else edges.union(good))
+            labels = components(edges)
+        # a leader has met everybody in its bucket; what is left matters where it holds two classes
+        rest = left.join(led.withColumnRenamed("lead", "doc_id"), ["key", "doc_id"], "left_anti")
+        if labels is not None:
+            rest = rest.join(labels.select(F.col("node").alias("doc_id"), "label"), "doc_id", "left").select("key", "doc_id", F.coalesce("label", "doc_id").alias("c"))
+        else:
+            rest = rest.select("key", "doc_id", F.col("doc_id").alias("c"))
+        rest = cut(rest)
+        open_keys = cut(rest.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("key"))
+        if not open_keys.limit(1).count():
+            return labels
+        left, leaders = cut(rest.join(open_keys, "key").select("key", "doc_id")), leaders * 2
+
+
+def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id and class_id, one row for each input row."""
+    docs = texts(docs, id_col=id_col, text_col=text_col)
+    sketches = cut(sketched(docs))
+    known = sketches.where(F.col("doc_id").isNotNull() & F.col("whole").isNotNull())
+    groups = cut(known.groupBy("whole").agg(F.min("doc_id").alias("rep")))
+    members = cut(sketches.select("doc_id", "whole").join(groups, "whole", "left").select("doc_id", F.when(F.col("doc_id").isNull(), F.lit(None)).otherwise(F.coalesce("rep", "doc_id")).alias("rep")))
+    reps = known.join(groups.select(F.col("rep").alias("doc_id"), F.col("whole").alias("w")), "doc_id").where("whole = w").select("doc_id", "keys").dropDuplicates(["doc_id"])
+    labels = links(reps, docs)
+    if labels is None:
+        return members.select("doc_id", F.col("rep").alias("class_id"))
+    out = members.join(labels.withColumnRenamed("node", "rep"), "rep", "left")
+    return out.select("doc_id", F.coalesce("label", "rep").alias("class_id"))
+
+
+def keep_one(docs: DataFrame) -> DataFrame:
+    """The documents, all their columns, without those whose class has a lower doc_id; of rows repeated under one id one stays."""
+    found = cut(classes(docs))
+    losers = found.where("class_id <> doc_id").select(F.col("doc_id").alias("lost")).distinct()
+    out = docs.join(losers, docs["doc_id"] == F.col("lost"), "left_anti")
+    again = found.where(F.col("doc_id").isNotNull()).groupBy("doc_id").count().where("count > 1").limit(1).count()
+    return out.where(F.col("doc_id").isNotNull()).dropDuplicates(["doc_id"]).unionByName(out.where(F.col("doc_id").isNull())) if again else out
