@@ -58,3 +58,15 @@ def cut(df: DataFrame) -> DataFrame:
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="feedloom-checkpoint-"))
     return df.checkpoint()
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """As cut(), but written as a Parquet table in the shared checkpoint folder, which is smaller for wide results."""
+    import uuid
+
+    spark = df.sparkSession
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="feedloom-checkpoint-"))
+    path = f"{spark.sparkContext.getCheckpointDir()}/feedloom-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

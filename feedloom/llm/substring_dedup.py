@@ -1,2 +1,335 @@
-def classes(d): raise NotImplementedError
-def scan(d): raise NotImplementedError
+"""Removal of repeated byte strings, by sorted suffixes at sampled anchors; the sort is deep-shallow.
+
+Each window of LENGTH bytes has an anchor, the least hash among its GRAM-byte strings (the leftmost of equals). Equal
+windows have their anchors at the same offset, so the offset and the anchor's content part all windows. Windows in a row
+with one anchor form a bundle: a string and the anchor's place in it. Bundles that occur twice are repeated as a whole.
+Bundles that share only the anchor are compared in their group: the suffixes that begin at the anchor, and the reversed
+strings before it, are sorted deep-shallow: multikey quicksort by eight-byte characters down to SHALLOW bytes, then a blind
+trie orders each remaining group of long common prefix. The common prefixes of neighbours give, for every offset at once,
+which windows are equal on both sides: two windows with the anchor at offset l are equal if they share l bytes before it
+and LENGTH - l from it on. So work follows the number of windows, not of pairs.
+
+Groups of over HOT different bundles (a passage that stands in very many texts) fill no task: their windows are hashed and
+counted with map-side aggregation instead. Identical texts share their key (a hash and the length), so they are one group.
+
+Edge cases: null or empty text keeps nothing and removes nothing; texts shorter than LENGTH keep everything; strings that
+repeat inside one text count, overlapping or not; UTF-8 bytes decide, not characters. Repeated rows are copies of each other.
+"""
+
+from __future__ import annotations
+
+import hashlib
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import map_pieces, stored, texts
+from .near_dedup import U, mix, powers
+
+LENGTH, GRAM, SHALLOW, HOT = 400, 32, 64, 4096
+WIDTH = LENGTH - GRAM + 1
+#: Bytes of bundles that a task sorts at once; an anchor's group is never cut.
+TOGETHER = 12 << 20
+PLACE = 28  # bits of a place in a slice of texts
+
+
+def sums(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    up, down = powers(len(raw) + 1)
+    return np.concatenate([[U(0)], np.add.accumulate((raw.astype(U) + U(1)) * up[:-1])]), down
+
+
+def bundles(raw: np.ndarray, offsets: np.ndarray):
+    """text number, first window, windows, anchor's offset, hash of the anchor, hash of the bundle; of texts laid end to end."""
+    n = len(raw)
+    none = np.zeros(0, np.int64)
+    if n < LENGTH:
+        return none, none, none, none, none, none
+    total, down = sums(raw)
+    h = mix((total[GRAM:] - total[:-GRAM]) * down[: n - GRAM + 1])
+    key = (h >> U(PLACE) << U(PLACE)) | np.arange(len(h), dtype=U)
+    m = len(key)
+    blocks = np.concatenate([key, np.full(-m % WIDTH, U((1 << 64) - 1))]).reshape(-1, WIDTH)
+    ahead = np.minimum.accumulate(blocks, 1).ravel()
+    behind = np.minimum.accumulate(blocks[:, ::-1], 1)[:, ::-1].ravel()
+    least = np.minimum(behind[: m - WIDTH + 1], ahead[WIDTH - 1 : m])
+    anchor = (least & U((1 << PLACE) - 1)).astype(np.int64)
+    p = np.arange(len(anchor))
+    doc = np.searchsorted(offsets, p, "right") - 1
+    ok = p + LENGTH <= offsets[doc + 1]
+    change = (anchor[1:] != anchor[:-1]) | (doc[1:] != doc[:-1])
+    first = np.flatnonzero(ok & np.concatenate([[True], change | ~ok[:-1]]))
+    last = np.flatnonzero(ok & np.concatenate([change | ~ok[1:], [True]]))
+    part = lambda a, b: mix((total[b] - total[a]) * down[a])
+    at = anchor[first]
+    a = part(at, at + GRAM)
+    s = mix(part(first, last + LENGTH) + (at - first).astype(U) + ((last - first).astype(U) << U(20)))
+    return doc[first], first - offsets[doc[first]], last - first + 1, at - first, a.view(np.int64), s.view(np.int64)
+
+
+# ---- deep-shallow sort -------------------------------------------------------------------------------------------
+
+
+def common(a: bytes, b: bytes, low: int) -> int:
+    """Length of the longest common prefix, known to be at least low."""
+    high = min(len(a), len(b))
+    if a[low:high] == b[low:high]:
+        return high
+    while low < high:
+        mid = (low + high + 1) // 2
+        low, high = (mid, high) if a[low:mid] == b[low:mid] else (low, mid - 1)
+    return low
+
+
+def blind_trie(strings: list[bytes], depth: int) -> tuple[list[int], list[int]]:
+    """Sorted order of strings that share `depth` bytes, and each one's common prefix with the one before it.
+
+    A node is [length of its prefix, children by next byte (-1: the string ends)], a leaf a list of equal strings' numbers.
+    The search down the trie looks at branching bytes only; one comparison with the leaf found corrects it.
+    """
+    root: list = [depth, {}]
+    for i, s in enumerate(strings):
+        path, node = [], root
+        while node[0] >= 0:  # leaves have -1 in front
+            path.append(node)
+            kids = node[1]
+            c = s[node[0]] if node[0] < len(s) else -1
+            if (nxt := kids.get(c)) is None:
+                nxt = next(iter(kids.values()), None)
+                if nxt is None:
+                    break
+            node = nxt
+        if node[0] >= 0:
+            node[1][s[node[0]] if node[0] < len(s) else -1] = [-1, [i]]
+            continue
+        other = strings[node[1][0]]
+        n = common(s, other, depth)
+        if n == len(s) == len(other):
+            node[1].append(i)
+            continue
+        k = next((j for j, x in enumerate(path) if x[0] > n), len(path))
+        above = path[k - 1]
+        mine = s[n] if n < len(s) else -1
+        if above[0] == n:
+            above[1][mine] = [-1, [i]]
+        else:
+            c = other[above[0]]
+            above[1][c] = [n, {(other[n] if n < len(other) else -1): above[1][c], mine: [-1, [i]]}]
+    order: list[int] = []
+    lcp: list[int] = []
+    stack: list = [(root, depth)]
+    while stack:
+        node, shared = stack.pop()
+        if node[0] < 0:
+            for j, i in enumerate(node[1]):
+                order.append(i)
+                lcp.append(shared if not j else len(strings[i]))
+            continue
+        kids = sorted(node[1])
+        stack += [(node[1][c], shared if c == kids[0] else node[0]) for c in reversed(kids)]
+    return order, lcp
+
+
+def sort_suffixes(strings: list[bytes], group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Order by (group, string), and common prefixes with the one before (-1 at a group's start)."""
+    n = len(strings)
+    lengths = np.fromiter(map(len, strings), np.int64, n)
+    head = np.frombuffer(b"".join(s[:SHALLOW].ljust(SHALLOW, b"\0") for s in strings), np.uint8).reshape(n, SHALLOW)
+    words = head.view(">u8").astype(U)
+    order = np.lexsort((np.minimum(lengths, SHALLOW), *(words[:, k] for k in range(SHALLOW // 8 - 1, -1, -1)), group))
+    g, hw, ln = group[order], head[order], np.minimum(lengths[order], SHALLOW)
+    lcp = np.full(n, -1, np.int64)
+    if n > 1:
+        differ = hw[1:] != hw[:-1]
+        short = np.where(differ.any(1), differ.argmax(1), SHALLOW)
+        lcp[1:] = np.where(g[1:] == g[:-1], np.minimum(short, np.minimum(ln[1:], ln[:-1])), -1)
+    # groups that agree down to the shallow depth go to blind tries
+    begin = np.flatnonzero(np.concatenate([[True], lcp[1:] < SHALLOW])) if n else np.zeros(0, int)
+    stop = np.append(begin[1:], n)
+    for a, b in zip(begin[stop - begin > 1], stop[stop - begin > 1], strict=True):
+        rows = order[a:b]
+        inner, shared = blind_trie([strings[i] for i in rows], SHALLOW)
+        order[a:b] = rows[inner]
+        lcp[a + 1 : b] = shared[1:]
+    return order, lcp
+
+
+def repeated(strings: list[bytes], at: np.ndarray, n: np.ndarray, group: np.ndarray) -> np.ndarray:
+    """Boolean rows by bundle, columns by the anchor's offset: the windows that equal one of another bundle of their group."""
+    N = len(strings)
+    right, r_lcp = sort_suffixes([s[a:] for s, a in zip(strings, at, strict=True)], group)
+    left, l_lcp = sort_suffixes([s[:a][::-1] for s, a in zip(strings, at, strict=True)], group)
+    cover = np.zeros((N, WIDTH), bool)
+    rc, lc = np.empty(N, np.int64), np.empty(N, np.int64)
+    low = at - n + 1
+    for off in range(WIDTH):
+        i = np.flatnonzero((low <= off) & (off <= at))
+        if len(i) < 2:
+            continue
+        rc[right] = np.cumsum(r_lcp < LENGTH - off)
+        lc[left] = np.cumsum(l_lcp < off)
+        key = rc[i] * (N + 1) + lc[i]
+        o = np.argsort(key, kind="stable")
+        same = np.flatnonzero(key[o][1:] == key[o][:-1])
+        cover[i[o[same]], off] = True
+        cover[i[o[same + 1]], off] = True
+    return cover
+
+
+# ---- the distributed plan ----------------------------------------------------------------------------------------
+
+ROW = "th long, nb int, p int, n int, at int"
+
+
+def _texts_of(batch: pa.RecordBatch) -> list[bytes]:
+    return [t.encode("utf-8") for t in batch.column("text").to_pylist()]
+
+
+def bundle_rows(docs: DataFrame) -> DataFrame:
+    def make():
+        def one(batch: pa.RecordBatch) -> pa.RecordBatch:
+            raw = _texts_of(batch)
+            offsets = np.concatenate([[0], np.cumsum([len(x) for x in raw])]).astype(np.int64)
+            if offsets[-1] >= 1 << PLACE:
+                raise ValueError(f"a text of {offsets[-1]} bytes: places have {PLACE} bits")
+            d, p, n, at, a, s = bundles(np.frombuffer(b"".join(raw), np.uint8), offsets)
+            th, nb = batch.column("th").to_numpy(zero_copy_only=False)[d], np.diff(offsets)[d]
+            i32 = pa.int32()
+            return pa.RecordBatch.from_arrays([pa.array(th, pa.int64()), pa.array(nb, i32), pa.array(p, i32), pa.array(n, i32), pa.array(at, i32), pa.array(a, pa.int64()), pa.array(s, pa.int64())], ["th", "nb", "p", "n", "at", "ak", "sk"])
+
+        return one
+
+    return map_pieces(docs.select("text", "th"), make, ROW + ", ak long, sk long")
+
+
+def bundle_strings(docs: DataFrame, need: DataFrame) -> DataFrame:
+    """The strings of the bundles in need, cut from their texts."""
+    lists = need.groupBy("th", "nb").agg(F.collect_list(F.struct("p", "n", "at", "ak", "sk", "c", "m")).alias("of"))
+    joined = docs.join(lists, ["th", "nb"]).select("text", "th", "nb", "of")
+
+    def make():
+        def one(batch: pa.RecordBatch) -> pa.RecordBatch:
+            rows = []
+            for t, th, nb, of in zip(_texts_of(batch), batch.column("th").to_pylist(), batch.column("nb").to_pylist(), batch.column("of").to_pylist(), strict=True):
+                rows += [(th, nb, x["p"], x["n"], x["at"], x["ak"], x["sk"], x["c"], x["m"], t[x["p"] : x["p"] + x["n"] - 1 + LENGTH]) for x in of]
+            kinds = [pa.int64(), *[pa.int32()] * 4, *[pa.int64()] * 4, pa.binary()]
+            cols = list(zip(*rows, strict=True)) or [[]] * len(kinds)
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["th", "nb", "p", "n", "at", "ak", "sk", "c", "m", "s"])
+
+        return one
+
+    return map_pieces(joined, make, ROW + ", ak long, sk long, c long, m long, s binary")
+
+
+SPAN = "th long, nb int, start int, end int"
+
+
+def spans_of_groups(strings: DataFrame) -> DataFrame:
+    """Covered runs of the bundles that occur once. Rows come sorted by anchor; whole groups are sorted in bounded bites."""
+
+    def solve(t: pa.Table) -> pa.RecordBatch:
+        t = t.combine_chunks()
+        col = {c: t.column(c).to_numpy() for c in ("th", "nb", "p", "n", "at", "ak", "c")}
+        _, group = np.unique(col["ak"], return_inverse=True)
+        at = col["at"].astype(np.int64)
+        cover = repeated(t.column("s").to_pylist(), at, col["n"].astype(np.int64), group)
+        cover[col["c"] > 1] = False  # these are repeated as a whole anyway
+        edge = np.diff(np.pad(cover, ((0, 0), (1, 1))).astype(np.int8), axis=1)
+        r, lo = np.nonzero(edge == 1)
+        _, hi = np.nonzero(edge == -1)  # offsets lo .. hi - 1
+        anchor = col["p"][r] + at[r]
+        arrays = [pa.array(col["th"][r], pa.int64()), pa.array(col["nb"][r], pa.int32()), pa.array(anchor - hi + 1, pa.int32()), pa.array(anchor - lo + LENGTH, pa.int32())]
+        return pa.RecordBatch.from_arrays(arrays, ["th", "nb", "start", "end"])
+
+    def run(batches):
+        held, size = [], 0
+        for b in batches:
+            held.append(b)
+            size += b.nbytes
+            if size > TOGETHER:
+                t = pa.Table.from_batches(held)
+                ak = t.column("ak").to_numpy()
+                k = int(np.searchsorted(ak, ak[-1], "left"))  # the last group may go on
+                if k:
+                    yield solve(t.slice(0, k))
+                    held = t.slice(k).to_batches()
+                    size = sum(x.nbytes for x in held)
+        if held:
+            yield solve(pa.Table.from_batches(held))
+
+    return strings.repartition("ak").sortWithinPartitions("ak").mapInArrow(run, SPAN)
+
+
+def spans_of_hot(strings: DataFrame) -> DataFrame:
+    """The same for very large groups: windows are hashed; a hash that two bundles hold is a repeated window."""
+
+    def make():
+        def one(batch: pa.RecordBatch) -> pa.RecordBatch:
+            keys, rows, places = [], [], []
+            for i, s in enumerate(batch.column("s").to_pylist()):
+                total, down = sums(np.frombuffer(s, np.uint8))
+                k = len(s) - LENGTH + 1
+                keys.append(mix((total[LENGTH:] - total[:-LENGTH]) * down[:k]).view(np.int64))
+                rows.append(np.full(k, i))
+                places.append(np.arange(k))
+            r, j = np.concatenate(rows), np.concatenate(places)
+            take = lambda c: batch.column(c).to_numpy(zero_copy_only=False)[r]
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(take("th")), pa.array(take("nb"), pa.int32()), pa.array(take("p") + j, pa.int32()), pa.array(take("c"))], ["w", "th", "nb", "start", "c"])
+
+        return one
+
+    def cut_up(batches):
+        fn = make()
+        for b in batches:
+            for k in range(0, b.num_rows, 500):
+                yield fn(b.slice(k, 500))
+
+    w = strings.mapInArrow(cut_up, "w long, th long, nb int, start int, c long")
+    twice = stored(w.groupBy("w").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("w"))
+    return w.where("c = 1").join(twice, "w").select("th", "nb", "start", (F.col("start") + LENGTH).alias("end"))
+
+
+def removed(docs: DataFrame) -> DataFrame:
+    """th, nb and the list of covered byte runs (start, end) of every text with any. docs: text, th, nb."""
+    rows = stored(bundle_rows(docs))
+    per_s = stored(rows.groupBy("ak", "sk").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("th", "nb", "p", "n", "at")).alias("r")))
+    per_a = stored(per_s.groupBy("ak").agg(F.count(F.lit(1)).alias("m")).where("m > 1"))
+    need = stored(per_s.join(per_a, "ak").select("r.*", "ak", "sk", "c", "m"))
+    strings = stored(bundle_strings(docs, need).dropDuplicates(["sk"]))
+    whole = rows.join(stored(per_s.where("c > 1").select("ak", "sk")), ["ak", "sk"]).select("th", "nb", F.col("p").alias("start"), (F.col("p") + F.col("n") - 1 + LENGTH).alias("end"))
+    spans = whole.union(spans_of_groups(strings.where(F.col("m") <= HOT)))
+    hot = strings.where(F.col("m") > HOT)
+    if hot.limit(1).count():
+        spans = spans.union(spans_of_hot(hot))
+    return stored(spans.distinct().groupBy("th", "nb").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("spans")))
+
+
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of every text."""
+    t = texts(docs, id_col=id_col, text_col=text_col).withColumns({"th": F.xxhash64("text"), "nb": F.octet_length("text")})
+    joined = t.join(removed(t), ["th", "nb"], "left").select("doc_id", "text", "spans")
+
+    def make():
+        def one(batch: pa.RecordBatch) -> pa.RecordBatch:
+            out = []
+            for raw, spans in zip(_texts_of(batch), batch.column("spans").to_pylist(), strict=True):
+                kept, at, gone, runs, end = [], 0, 0, 0, -1
+                for x in spans or ():
+                    a, b = x["start"], x["end"]
+                    if a > end:
+                        kept.append(raw[at:a])
+                        runs += 1
+                        gone += b - a
+                        at = end = b
+                    elif b > end:
+                        gone += b - end
+                        at = end = b
+                kept.append(raw[at:])
+                out.append((len(raw), gone, runs, hashlib.sha256(b"".join(kept)).hexdigest()))
+            cols = list(zip(*out, strict=True))
+            return pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, pa.int64()) for c in cols[:3]), pa.array(cols[3], pa.string())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+
+        return one
+
+    return map_pieces(joined, make, f"doc_id {dict(docs.dtypes)[id_col]}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
