@@ -12,7 +12,7 @@ similarity. A shingle stops drawing as soon as its time is above the text's late
 
 Candidates share one of BANDS bands of ROWS components: at similarity 0.8 a pair is missed with probability 1e-5.
 Identical word sequences are one class from the start. In a bucket everybody is compared with the bucket's first member,
-not with all others; members that remain in different classes go into the next round with twice as many leaders, until no
+not with all others; members that remain in different classes go into the next round with GROWTH times as many leaders, until no
 bucket holds two classes that were not compared. So large groups of copies cost as many comparisons as they have members,
 and nothing is capped.
 
@@ -25,7 +25,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut, map_pieces, texts
@@ -33,6 +33,7 @@ from .common import cut, map_pieces, texts
 SIMILARITY, SHINGLE = 0.8, 5
 BANDS, ROWS = 48, 7
 M = BANDS * ROWS
+GROWTH = 8
 #: Ids whose texts are compared go to all tasks up to this number (8 bytes each); beyond it Spark shuffles.
 BROADCAST_IDS = 2_000_000
 
@@ -186,13 +187,30 @@ def components(edges: DataFrame) -> DataFrame:
     """node, label (the lowest node) of the graph's nodes: neighbours' minima and pointer jumping, until nothing changes."""
     both = cut(edges.select("a", "b").union(edges.select("b", "a")).distinct())
     labels = cut(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label")))
+    total = None
     while True:
         told = both.join(labels.withColumnRenamed("node", "a"), "a").select(F.col("b").alias("node"), "label")
         jumped = labels.select("node", F.col("label").alias("up")).join(labels.select(F.col("node").alias("up"), F.col("label").alias("top")), "up").select("node", F.col("top").alias("label"))
-        new = cut(labels.select("node", "label").union(told).union(jumped).groupBy("node").agg(F.min("label").alias("label")))
-        if not new.join(labels.withColumnRenamed("label", "old"), "node").where("label <> old").limit(1).count():
-            return new
-        labels = new
+        labels = cut(labels.select("node", "label").union(told).union(jumped).groupBy("node").agg(F.min("label").alias("label")))
+        # labels only ever fall, so nothing has changed if their sum has not
+        new = labels.agg(F.sum(F.col("label").cast("decimal(38,0)"))).first()[0]
+        if new == total:
+            return labels
+        total = new
+
+
+def joined(labels: DataFrame | None, good: DataFrame) -> DataFrame:
+    """Labels after further links: only the classes that these touch are looked at again."""
+    if labels is None:
+        return components(good)
+    if good.isEmpty():
+        return labels
+    one, two = labels.withColumnRenamed("label", "la"), labels.withColumnRenamed("label", "lb")
+    ends = good.join(one.withColumnRenamed("node", "a"), "a", "left").join(two.withColumnRenamed("node", "b"), "b", "left")
+    ends = cut(ends.select("a", "b", F.coalesce("la", "a").alias("la"), F.coalesce("lb", "b").alias("lb")))
+    new = components(ends.select(F.col("la").alias("a"), F.col("lb").alias("b")))
+    every = labels.union(ends.select("a", "la")).union(ends.select("b", "lb")).distinct()
+    return cut(every.join(new.select(F.col("node").alias("label"), F.col("label").alias("n")), "label", "left").select("node", F.coalesce("n", "label").alias("label")))
 
 
 def links(reps: DataFrame, docs: DataFrame) -> DataFrame | None:
@@ -200,14 +218,12 @@ def links(reps: DataFrame, docs: DataFrame) -> DataFrame | None:
     rows = reps.select("doc_id", F.explode("keys").alias("key"))
     shared = cut(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key"))
     multi = cut(rows.join(shared, "key"))
-    edges = labels = None
+    labels = None
     leaders, left = 1, multi
     while True:
         # the lowest `leaders` members of each bucket lead; each is compared with all later members of other classes
-        if leaders == 1:
-            led = left.groupBy("key").agg(F.min("doc_id").alias("lead"))
-        else:
-            led = left.groupBy("key").agg(F.slice(F.sort_array(F.collect_set("doc_id")), 1, leaders).alias("l")).select("key", F.explode("l").alias("lead"))
+        rank = F.row_number().over(Window.partitionBy("key").orderBy("doc_id"))
+        led = left.withColumn("rank", rank).where(F.col("rank") <= leaders).select("key", F.col("doc_id").alias("lead"))
         led = cut(led)
         pairs = left.join(led, "key").where("lead < doc_id")
         if labels is not None:
@@ -215,10 +231,8 @@ def links(reps: DataFrame, docs: DataFrame) -> DataFrame | None:
             other = labels.select(F.col("node").alias("lead"), F.col("label").alias("c2"))
             pairs = pairs.join(own, "doc_id", "left").join(other, "lead", "left").where(F.coalesce("c1", "doc_id") != F.coalesce("c2", "lead"))
         pairs = cut(pairs.select(F.col("doc_id").alias("a"), F.col("lead").alias("b")).distinct())
-        if pairs.limit(1).count():
-            good = verified(pairs, docs)
-            edges = cut(good if edges is None else edges.union(good))
-            labels = components(edges)
+        if not pairs.isEmpty():
+            labels = joined(labels, cut(verified(pairs, docs)))
         # a leader has met everybody in its bucket; what is left matters where it holds two classes
         rest = left.join(led.withColumnRenamed("lead", "doc_id"), ["key", "doc_id"], "left_anti")
         if labels is not None:
@@ -227,9 +241,9 @@ def links(reps: DataFrame, docs: DataFrame) -> DataFrame | None:
             rest = rest.select("key", "doc_id", F.col("doc_id").alias("c"))
         rest = cut(rest)
         open_keys = cut(rest.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("key"))
-        if not open_keys.limit(1).count():
+        if open_keys.isEmpty():
             return labels
-        left, leaders = cut(rest.join(open_keys, "key").select("key", "doc_id")), leaders * 2
+        left, leaders = cut(rest.join(open_keys, "key").select("key", "doc_id")), leaders * GROWTH
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
