@@ -1,0 +1 @@
+"""A feed analytics engine on Spark."""
