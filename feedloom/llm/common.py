@@ -24,28 +24,28 @@ def texts(docs: DataFrame, *more: str, id_col: str = "doc_id", text_col: str = "
     return docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *more)
 
 
-def pieces(batch: pa.RecordBatch, column: str = "text") -> Iterator[pa.RecordBatch]:
-    """Slices of a batch of at most PIECE_BYTES of text each (or of one row)."""
+def pieces(batch: pa.RecordBatch, column: str = "text", most: int = PIECE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch of at most `most` bytes of text each (or of one row)."""
     if not batch.num_rows:
         return
     sizes = pc.binary_length(batch.column(column)).to_numpy(zero_copy_only=False)
     begin = total = 0
     for i, n in enumerate(sizes):
         n = 0 if n != n else int(n)
-        if i > begin and total + n > PIECE_BYTES:
+        if i > begin and total + n > most:
             yield batch.slice(begin, i - begin)
             begin, total = i, 0
         total += n
     yield batch.slice(begin)
 
 
-def map_pieces(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch | None]], schema: str) -> DataFrame:
+def map_pieces(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch | None]], schema: str, most: int = PIECE_BYTES) -> DataFrame:
     """mapInArrow over bounded slices. make() runs once a task and returns the function for a slice."""
 
     def run(batches):
         fn = make()
         for b in batches:
-            for p in pieces(b):
+            for p in pieces(b, most=most):
                 if (out := fn(p)) is not None:
                     yield out
 

@@ -11,9 +11,10 @@ M components, and a component keeps its first time. Two components agree with a
 similarity. A shingle stops drawing as soon as its time is above the text's latest component, so work follows M log M.
 
 Candidates share one of BANDS bands of ROWS components: at similarity 0.8 a pair is missed with probability 1e-5.
-Identical word sequences are one class from the start. In a bucket everybody is compared with the bucket's first member,
+Identical word sequences are one class from the start. In a bucket everybody is compared with the bucket's first member (who shares most buckets),
 not with all others; members that remain in different classes go into the next round with GROWTH times as many leaders, until no
-bucket holds two classes that were not compared. So large groups of copies cost as many comparisons as they have members,
+bucket holds two classes that were not compared. Pairs whose sizes or signature bits exclude the similarity are dropped in
+the join's condition. So large groups of copies cost as many comparisons as they have members,
 and nothing is capped.
 
 Edge cases: texts without words, and rows without doc_id, are in no class but their own (the latter's class is null). Rows
@@ -34,6 +35,9 @@ SIMILARITY, SHINGLE = 0.8, 5
 BANDS, ROWS = 48, 7
 M = BANDS * ROWS
 GROWTH = 8
+#: One bit of each component, in 64-bit words. At similarity 0.8 a tenth of the bits differ; DIFFER is five standard
+#: deviations above (3e-7 of such pairs are missed), and excludes most pairs below 0.6 before anything is shipped.
+LONGS, DIFFER = (M + 63) // 64, 61
 #: Ids whose texts are compared go to all tasks up to this number (8 bytes each); beyond it Spark shuffles.
 BROADCAST_IDS = 2_000_000
 
@@ -139,19 +143,24 @@ def sketched(docs: DataFrame) -> DataFrame:
             col = batch.column("text")
             d, s, w, count = shingles(col)
             n = len(col)
-            keys = band_keys(signatures(d, s, w, n))
+            sig = signatures(d, s, w, n)
+            keys = band_keys(sig)
             # two sums over the ordered multiset and the word count tell texts apart as well as a hash of the shingles does
             both = [np.zeros(n, U), np.zeros(n, U)]
             for k in range(2):
                 np.add.at(both[k], d, mix(s + U(k + 1)) * w.astype(U))
             whole = [f"{a:016x}{b:016x}{c:x}" if c else None for a, b, c in zip(both[0].tolist(), both[1].tolist(), count.tolist(), strict=True)]
+            bits = np.zeros((n, LONGS * 8), np.uint8)
+            bits[:, : M // 8] = np.packbits((mix(sig.view(U)) & U(1)).astype(bool), axis=1)
+            low = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * LONGS), pa.array(bits.view(np.int64).reshape(-1)))
+            size = pa.array(np.bincount(d, w, n).astype(np.int64))
             flat = pa.array(keys.reshape(-1))
             lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * BANDS), flat)
-            return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(whole, pa.string()), lists], ["doc_id", "whole", "keys"])
+            return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(whole, pa.string()), lists, low, size], ["doc_id", "whole", "keys", "bits", "size"])
 
         return one
 
-    return map_pieces(docs, make, f"doc_id {dict(docs.dtypes)['doc_id']}, whole string, keys array<bigint>")
+    return map_pieces(docs, make, f"doc_id {dict(docs.dtypes)['doc_id']}, whole string, keys array<bigint>, bits array<bigint>, size long", 1 << 20)
 
 
 def verified(pairs: DataFrame, docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -180,7 +189,7 @@ def verified(pairs: DataFrame, docs: DataFrame, similarity: float = SIMILARITY)
         return one
 
     kind = dict(pairs.dtypes)["a"]
-    return map_pieces(both, make, f"a {kind}, b {kind}")
+    return map_pieces(both, make, f"a {kind}, b {kind}", 1 << 20)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -213,37 +222,45 @@ def joined(labels: DataFrame | None, good: DataFrame) -> DataFrame:
     return cut(every.join(new.select(F.col("node").alias("label"), F.col("label").alias("n")), "label", "left").select("node", F.coalesce("n", "label").alias("label")))
 
 
+ROW = ("doc_id", "order", "bits", "size")
+
+
 def links(reps: DataFrame, docs: DataFrame) -> DataFrame | None:
     """node, label of the representatives (doc_id, keys) that are linked to others; None if there are no candidates."""
-    rows = reps.select("doc_id", F.explode("keys").alias("key"))
-    shared = cut(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key"))
+    rows = reps.select("doc_id", "bits", "size", F.explode("keys").alias("key"))
+    shared = cut(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
     multi = cut(rows.join(shared, "key"))
+    # who shares most buckets leads: the text that others were copied from, if it is there, is near to all of them
+    degree = cut(multi.groupBy("doc_id").agg((-F.sum("n")).alias("order")))
+    multi = cut(multi.drop("n").join(degree, "doc_id").select("key", *ROW))
     labels = None
     leaders, left = 1, multi
     while True:
-        # the lowest `leaders` members of each bucket lead; each is compared with all later members of other classes
-        rank = F.row_number().over(Window.partitionBy("key").orderBy("doc_id"))
-        led = left.withColumn("rank", rank).where(F.col("rank") <= leaders).select("key", F.col("doc_id").alias("lead"))
+        # the first `leaders` members of each bucket lead; each is compared with all members of other classes
+        rank = F.row_number().over(Window.partitionBy("key").orderBy("order", "doc_id"))
+        led = left.withColumn("rank", rank).where(F.col("rank") <= leaders).select(F.col("key").alias("lead_key"), F.col("doc_id").alias("lead"), F.col("bits").alias("lead_bits"), F.col("size").alias("lead_size"))
         led = cut(led)
-        pairs = left.join(led, "key").where("lead < doc_id")
+        differ = sum((F.bit_count(F.col("bits")[i].bitwiseXOR(F.col("lead_bits")[i])) for i in range(LONGS)), F.lit(0))
+        sizes = (F.col("size") >= SIMILARITY * F.col("lead_size")) & (F.col("lead_size") >= SIMILARITY * F.col("size"))
+        pairs = left.join(led, (F.col("key") == F.col("lead_key")) & (F.col("lead") != F.col("doc_id")) & sizes & (differ <= DIFFER)).select("doc_id", "lead")
         if labels is not None:
             own = labels.select(F.col("node").alias("doc_id"), F.col("label").alias("c1"))
             other = labels.select(F.col("node").alias("lead"), F.col("label").alias("c2"))
             pairs = pairs.join(own, "doc_id", "left").join(other, "lead", "left").where(F.coalesce("c1", "doc_id") != F.coalesce("c2", "lead"))
-        pairs = cut(pairs.select(F.col("doc_id").alias("a"), F.col("lead").alias("b")).distinct())
+        pairs = cut(pairs.select(F.greatest("doc_id", "lead").alias("a"), F.least("doc_id", "lead").alias("b")).distinct())
         if not pairs.isEmpty():
             labels = joined(labels, cut(verified(pairs, docs)))
         # a leader has met everybody in its bucket; what is left matters where it holds two classes
-        rest = left.join(led.withColumnRenamed("lead", "doc_id"), ["key", "doc_id"], "left_anti")
+        rest = left.join(led.select(F.col("lead_key").alias("key"), F.col("lead").alias("doc_id")), ["key", "doc_id"], "left_anti")
         if labels is not None:
-            rest = rest.join(labels.select(F.col("node").alias("doc_id"), "label"), "doc_id", "left").select("key", "doc_id", F.coalesce("label", "doc_id").alias("c"))
+            rest = rest.join(labels.select(F.col("node").alias("doc_id"), "label"), "doc_id", "left").select("key", *ROW, F.coalesce("label", "doc_id").alias("c"))
         else:
-            rest = rest.select("key", "doc_id", F.col("doc_id").alias("c"))
+            rest = rest.select("key", *ROW, F.col("doc_id").alias("c"))
         rest = cut(rest)
         open_keys = cut(rest.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("key"))
         if open_keys.isEmpty():
             return labels
-        left, leaders = cut(rest.join(open_keys, "key").select("key", "doc_id")), leaders * GROWTH
+        left, leaders = cut(rest.join(open_keys, "key").select("key", *ROW)), leaders * GROWTH
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -253,7 +270,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     known = sketches.where(F.col("doc_id").isNotNull() & F.col("whole").isNotNull())
     groups = cut(known.groupBy("whole").agg(F.min("doc_id").alias("rep")))
     members = cut(sketches.select("doc_id", "whole").join(groups, "whole", "left").select("doc_id", F.when(F.col("doc_id").isNull(), F.lit(None)).otherwise(F.coalesce("rep", "doc_id")).alias("rep")))
-    reps = known.join(groups.select(F.col("rep").alias("doc_id"), F.col("whole").alias("w")), "doc_id").where("whole = w").select("doc_id", "keys").dropDuplicates(["doc_id"])
+    reps = known.join(groups.select(F.col("rep").alias("doc_id"), F.col("whole").alias("w")), "doc_id").where("whole = w").select("doc_id", "keys", "bits", "size").dropDuplicates(["doc_id"])
     labels = links(reps, docs)
     if labels is None:
         return members.select("doc_id", F.col("rep").alias("class_id"))
