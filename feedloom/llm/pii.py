@@ -18,8 +18,10 @@ import re
 from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .common import map_pieces, texts
 
@@ -308,9 +310,11 @@ def redact_text(text: str, model) -> str:
 
 def redact(docs: DataFrame) -> DataFrame:
     """The documents with personal data replaced and n_chars made anew. Columns and nulls stay."""
-    from pyspark.sql import functions as F
-
     model = weights()
-    clean = F.pandas_udf(lambda s: s.map(lambda t: t if t is None or not SIGNAL.search(t) else redact_text(t, model)), "string")
+
+    def clean_all(s: pd.Series) -> pd.Series:
+        return s.map(lambda t: t if t is None or not SIGNAL.search(t) else redact_text(t, model))
+
+    clean = F.pandas_udf(clean_all, "string")
     out = docs.withColumn("text", clean("text"))
     return out.withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"])) if "n_chars" in docs.columns else out

@@ -25,6 +25,7 @@ from collections import Counter
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -284,8 +285,6 @@ def scan(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
 def keep_clean(docs: DataFrame, model: Model) -> DataFrame:
     """The documents, all their columns, whose score is below one half."""
-    import pandas as pd
-
     def make_flag():
         taggers: list = []
 
