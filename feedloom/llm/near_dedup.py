@@ -15,7 +15,10 @@ Identical word sequences are one class from the start. In a bucket everybody is
 not with all others; members that remain in different classes go into the next round with GROWTH times as many leaders, until no
 bucket holds two classes that were not compared. Pairs whose sizes or signature bits exclude the similarity are dropped in
 the join's condition. So large groups of copies cost as many comparisons as they have members,
-and nothing is capped.
+and nothing is capped. After the first round the texts that are left are bounded exactly: of a text's weight only what lies on
+shingles of other such texts can overlap with any of them, and of two texts no more than the sum over GROUPS groups of shingles of
+the smaller weight. Pairs whose bounds exclude the similarity are not made, and as at least one of a pair has STRONG of its weight on
+such shingles, only such texts lead.
 
 Edge cases: texts without words, and rows without doc_id, are in no class but their own (the latter's class is null). Rows
 repeated under one doc_id are one document. Ties: the class id is the lowest doc_id. Empty tables give empty results.
@@ -35,6 +38,10 @@ SIMILARITY, SHINGLE = 0.8, 5
 BANDS, ROWS = 48, 7
 M = BANDS * ROWS
 GROWTH = 8
+#: Of two texts at SIMILARITY, at least one has this share of its weight on shingles of the other.
+STRONG = 2 * SIMILARITY / (1 + SIMILARITY)
+#: Shingles fall into so many groups by their hash; the sum of the groups' smaller weights bounds the overlap of two texts.
+GROUPS = 64
 #: One bit of each component, in 64-bit words. At similarity 0.8 a tenth of the bits differ; DIFFER is five standard
 #: deviations above (3e-7 of such pairs are missed), and excludes most pairs below 0.6 before anything is shipped.
 LONGS, DIFFER = (M + 63) // 64, 61
@@ -222,45 +229,97 @@ def joined(labels: DataFrame | None, good: DataFrame) -> DataFrame:
     return cut(every.join(new.select(F.col("node").alias("label"), F.col("label").alias("n")), "label", "left").select("node", F.coalesce("n", "label").alias("label")))
 
 
-ROW = ("doc_id", "order", "bits", "size")
+def weights_alone(ids: DataFrame, docs: DataFrame) -> DataFrame:
+    """doc_id, alone: by group of shingles, the weight of those that no other of these texts has (only texts that have such)."""
+    few = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+    kind = dict(docs.dtypes)["doc_id"]
+
+    def make():
+        def one(batch: pa.RecordBatch) -> pa.RecordBatch:
+            d, s, w, _ = shingles(batch.column("text"))
+            return pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(d)), pa.array(s.view(np.int64)), pa.array(w)], ["doc_id", "s", "w"])
+
+        return one
+
+    rows = map_pieces(docs.join(few, "doc_id", "left_semi"), make, f"doc_id {kind}, s long, w long", 1 << 20)
+    once = rows.groupBy("s").agg(F.min("doc_id").alias("doc_id"), F.max("doc_id").alias("last"), F.max("w").alias("w")).where("doc_id = last")
+    by_group = once.groupBy("doc_id", F.pmod("s", F.lit(GROUPS)).cast("int").alias("g")).agg(F.sum("w").alias("w"))
+    return cut(by_group.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("g", "w"))).alias("alone")))
+
+
+def weights(ids: DataFrame, docs: DataFrame) -> DataFrame:
+    """doc_id, all: the weight of each text's shingles by group."""
+    few = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+    kind = dict(docs.dtypes)["doc_id"]
+
+    def make():
+        def one(batch: pa.RecordBatch) -> pa.RecordBatch:
+            d, s, w, _ = shingles(batch.column("text"))
+            n = batch.num_rows
+            g = (s.view(np.int64) % GROUPS).astype(np.int64)
+            flat = np.bincount(d * GROUPS + g, w, n * GROUPS).astype(np.int64)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * GROUPS), pa.array(flat))
+            return pa.RecordBatch.from_arrays([batch.column("doc_id"), lists], ["doc_id", "all"])
+
+        return one
+
+    return map_pieces(docs.join(few, "doc_id", "left_semi"), make, f"doc_id {kind}, all array<bigint>", 1 << 20).dropDuplicates(["doc_id"])
+
+
+def bounded(left: DataFrame, docs: DataFrame) -> DataFrame:
+    """The rows of texts that can be linked to another of these, with the weight they can share in `shared`, by group in `groups`."""
+    ids = cut(left.select("doc_id").distinct())
+    alone = weights_alone(ids, docs)
+    sums = alone.select("doc_id", F.aggregate(F.map_values("alone"), F.lit(0).cast("long"), lambda x, y: x + y).alias("sum"))
+    left = left.drop("shared", "groups").join(sums, "doc_id", "left").withColumn("shared", F.col("size") - F.coalesce("sum", F.lit(0)))
+    left = cut(left.where(F.col("shared") >= SIMILARITY * F.col("size") - 1e-6))
+    every = weights(cut(left.select("doc_id").distinct()), docs).join(alone, "doc_id", "left")
+    groups = F.transform("all", lambda x, i: x - F.coalesce(F.col("alone")[i], F.lit(0)))
+    return cut(left.join(every.select("doc_id", groups.alias("groups")), "doc_id").select("key", *ROW))
+
+
+ROW = ("doc_id", "order", "bits", "size", "shared", "groups", "c")
 
 
 def links(reps: DataFrame, docs: DataFrame) -> DataFrame | None:
     """node, label of the representatives (doc_id, keys) that are linked to others; None if there are no candidates."""
-    rows = reps.select("doc_id", "bits", "size", F.explode("keys").alias("key"))
+    rows = reps.select("doc_id", "bits", "size", F.col("size").alias("shared"), F.explode("keys").alias("key"))
     shared = cut(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
     multi = cut(rows.join(shared, "key"))
     # who shares most buckets leads: the text that others were copied from, if it is there, is near to all of them
     degree = cut(multi.groupBy("doc_id").agg((-F.sum("n")).alias("order")))
-    multi = cut(multi.drop("n").join(degree, "doc_id").select("key", *ROW))
+    multi = multi.drop("n").join(degree, "doc_id").withColumn("groups", F.lit(None).cast("array<bigint>")).withColumn("c", F.col("doc_id"))
+    multi = cut(multi.select("key", *ROW))
     labels = None
-    leaders, left = 1, multi
+    leaders, left, strong = 1, multi, F.col("shared") >= STRONG * F.col("size") - 1e-6
     while True:
-        # the first `leaders` members of each bucket lead; each is compared with all members of other classes
+        # the first `leaders` strong members of each bucket lead; each is compared with all members of other classes
         rank = F.row_number().over(Window.partitionBy("key").orderBy("order", "doc_id"))
-        led = left.withColumn("rank", rank).where(F.col("rank") <= leaders).select(F.col("key").alias("lead_key"), F.col("doc_id").alias("lead"), F.col("bits").alias("lead_bits"), F.col("size").alias("lead_size"))
+        led = left.where(strong).withColumn("rank", rank).where(F.col("rank") <= leaders).select(F.col("key").alias("lead_key"), F.col("doc_id").alias("lead"), F.col("bits").alias("lead_bits"), F.col("size").alias("lead_size"), F.col("shared").alias("lead_shared"), F.col("groups").alias("lead_groups"), F.col("c").alias("lead_c"))
         led = cut(led)
         differ = sum((F.bit_count(F.col("bits")[i].bitwiseXOR(F.col("lead_bits")[i])) for i in range(LONGS)), F.lit(0))
         sizes = (F.col("size") >= SIMILARITY * F.col("lead_size")) & (F.col("lead_size") >= SIMILARITY * F.col("size"))
-        pairs = left.join(led, (F.col("key") == F.col("lead_key")) & (F.col("lead") != F.col("doc_id")) & sizes & (differ <= DIFFER)).select("doc_id", "lead")
-        if labels is not None:
-            own = labels.select(F.col("node").alias("doc_id"), F.col("label").alias("c1"))
-            other = labels.select(F.col("node").alias("lead"), F.col("label").alias("c2"))
-            pairs = pairs.join(own, "doc_id", "left").join(other, "lead", "left").where(F.coalesce("c1", "doc_id") != F.coalesce("c2", "lead"))
+        bound = (1 + SIMILARITY) * F.least("shared", "lead_shared") >= SIMILARITY * (F.col("size") + F.col("lead_size")) - 1e-6
+        if leaders > 1:
+            both = sum((F.least(F.col("groups")[i], F.col("lead_groups")[i]) for i in range(GROUPS)), F.lit(0))
+            bound = bound & ((1 + SIMILARITY) * both >= SIMILARITY * (F.col("size") + F.col("lead_size")) - 1e-6)
+        # members of one class need no comparison
+        pairs = left.join(led, (F.col("key") == F.col("lead_key")) & (F.col("c") != F.col("lead_c")) & sizes & bound & (differ <= DIFFER)).select("doc_id", "lead")
         pairs = cut(pairs.select(F.greatest("doc_id", "lead").alias("a"), F.least("doc_id", "lead").alias("b")).distinct())
         if not pairs.isEmpty():
             labels = joined(labels, cut(verified(pairs, docs)))
         # a leader has met everybody in its bucket; what is left matters where it holds two classes
         rest = left.join(led.select(F.col("lead_key").alias("key"), F.col("lead").alias("doc_id")), ["key", "doc_id"], "left_anti")
         if labels is not None:
-            rest = rest.join(labels.select(F.col("node").alias("doc_id"), "label"), "doc_id", "left").select("key", *ROW, F.coalesce("label", "doc_id").alias("c"))
-        else:
-            rest = rest.select("key", *ROW, F.col("doc_id").alias("c"))
+            rest = rest.join(labels.select(F.col("node").alias("doc_id"), "label"), "doc_id", "left").withColumn("c", F.coalesce("label", "doc_id")).select("key", *ROW)
         rest = cut(rest)
-        open_keys = cut(rest.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("key"))
+        open_keys = cut(rest.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.max(strong).alias("strong")).where("lo <> hi AND strong").select("key"))
         if open_keys.isEmpty():
             return labels
-        left, leaders = cut(rest.join(open_keys, "key").select("key", *ROW)), leaders * GROWTH
+        left = cut(rest.join(open_keys, "key").select("key", *ROW))
+        if leaders == 1:
+            left = bounded(left, docs)
+        leaders *= GROWTH
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
