@@ -6,6 +6,7 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .plans import jobs
 from .plans.dialect import Duck, Spark
 from .plans.views import PLANS
 
@@ -25,5 +26,5 @@ def query(plan):
     return lambda spark, sf_dir: over_tables(spark, sf_dir, text)
 
 
-QUERIES = {p.__name__: query(p) for p in PLANS}
-ORACLES = {p.__name__: p(Duck()) for p in PLANS}
+QUERIES = {p.__name__: query(p) for p in PLANS} | {j.__name__: j for j in jobs.JOBS}
+ORACLES = {p.__name__: p(Duck()) for p in PLANS} | jobs.oracles(Duck())

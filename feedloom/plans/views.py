@@ -284,4 +284,21 @@ def sitemap_rows(d):
     return f"WITH {rich(d)}, w AS (SELECT concat('/work/', lower(w), '/') AS loc, max(pub) AS lastmod FROM rich {d.each('works', 'w')} GROUP BY lower(w) HAVING count(DISTINCT ord) >= 2) SELECT loc, lastmod FROM w UNION ALL SELECT '/', (SELECT max(pub) FROM items)"
 
 
-PLANS = [score_threshold_topk, keyword_flags, hard_exclude, off_topic_filter, multilabel_tags_exploded, tag_exclusion_terms, decision_list_flag, discount_max, compare_norm, publisher_split, truncated_brackets, summary_clean_truncate, html_to_text, first_image_link, link_key, url_host, slugify, run_stats_left, per_feed_limit, known_entity_semijoin, read_antijoin, archive_upsert, fresh_rows, display_name_vote, exact_title_groups, prefix_link_first, interval_similarity_pairs, facet_counts, text_query, disposition_counts, new_since_visit, hot_order_topk, trending_sum, trending_count, count_with_zero_dims, entity_pages_min2, entity_top3_tags, day_runs, page_whole_day, suggest_rank, interval_overlap_range, visit_days_level, bookmark_unread, read_set_latest, daily_tumbling, session_visits, wire_projection, rss_rows, sitemap_rows]
+def calendar_groups(d):
+    """Entries of one key, date and verb as one: sources summed; the entry shown is the last that has more sources than all before it together."""
+    return f"""WITH x AS (SELECT o_custkey % 97 AS k, substr(CAST(o_orderdate AS VARCHAR(30)), 1, 7) AS month, o_orderstatus AS verb, o_orderkey AS ord, (o_orderkey * 7) % 5 + 1 AS sources FROM orders),
+y AS (SELECT *, sum(sources) OVER (PARTITION BY k, month, verb ORDER BY ord ROWS UNBOUNDED PRECEDING) - sources AS before FROM x)
+SELECT k, month, verb, CAST(sum(sources) AS BIGINT) AS sources, max(CASE WHEN sources > before THEN ord END) AS shown FROM y GROUP BY k, month, verb"""
+
+
+def calendar_months(d):
+    """A month's entries that name the month alone, and its days with their number of entries."""
+    return "WITH x AS (SELECT substr(CAST(o_orderdate AS VARCHAR(30)), 1, 7) AS month, CASE WHEN o_orderkey % 4 = 0 THEN '' ELSE substr(CAST(o_orderdate AS VARCHAR(30)), 1, 10) END AS day, o_orderkey FROM orders) SELECT month, day, count(*) AS n, min(o_orderkey) AS first_ord FROM x WHERE month >= (SELECT max(month) FROM x) OR day >= '1996-01-01' GROUP BY month, day"
+
+
+def feed_probe(d):
+    """Liveness of each source: its number of items and the title of the latest."""
+    return f"WITH {items(d)}, x AS (SELECT source, title, row_number() OVER (PARTITION BY source ORDER BY pub DESC, ord) AS k, count(*) OVER (PARTITION BY source) AS n FROM items) SELECT source, n, title AS latest FROM x WHERE k = 1"
+
+
+PLANS = [calendar_groups, calendar_months, feed_probe, score_threshold_topk, keyword_flags, hard_exclude, off_topic_filter, multilabel_tags_exploded, tag_exclusion_terms, decision_list_flag, discount_max, compare_norm, publisher_split, truncated_brackets, summary_clean_truncate, html_to_text, first_image_link, link_key, url_host, slugify, run_stats_left, per_feed_limit, known_entity_semijoin, read_antijoin, archive_upsert, fresh_rows, display_name_vote, exact_title_groups, prefix_link_first, interval_similarity_pairs, facet_counts, text_query, disposition_counts, new_since_visit, hot_order_topk, trending_sum, trending_count, count_with_zero_dims, entity_pages_min2, entity_top3_tags, day_runs, page_whole_day, suggest_rank, interval_overlap_range, visit_days_level, bookmark_unread, read_set_latest, daily_tumbling, session_visits, wire_projection, rss_rows, sitemap_rows]
