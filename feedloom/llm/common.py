@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 from collections.abc import Callable, Iterator
 
@@ -60,8 +61,8 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """As cut(), but written as a Parquet table in the shared checkpoint folder, which is smaller for wide results."""
+def stored(df: DataFrame, made: list[str] | None = None) -> DataFrame:
+    """As cut(), but written as a Parquet table in the shared checkpoint folder, which is smaller for wide results. Its path is added to `made`."""
     import uuid
 
     spark = df.sparkSession
@@ -69,4 +70,16 @@ def stored(df: DataFrame) -> DataFrame:
         spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="feedloom-checkpoint-"))
     path = f"{spark.sparkContext.getCheckpointDir()}/feedloom-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if made is not None:
+        made.append(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def discard(spark: SparkSession, made: list[str]) -> None:
+    """Deletes tables of stored() that no later step reads, and lets Spark drop the shuffles of plans that are gone."""
+    for path in made:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    made.clear()
+    gc.collect()
+    spark._jvm.System.gc()

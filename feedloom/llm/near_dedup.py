@@ -32,7 +32,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, map_pieces, texts
+from .common import cut, discard, map_pieces, stored, texts
 
 SIMILARITY, SHINGLE = 0.8, 5
 BANDS, ROWS = 48, 7
@@ -170,11 +170,11 @@ def sketched(docs: DataFrame) -> DataFrame:
     return map_pieces(docs, make, f"doc_id {dict(docs.dtypes)['doc_id']}, whole string, keys array<bigint>, bits array<bigint>, size long", 1 << 20)
 
 
-def verified(pairs: DataFrame, docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """The pairs (a, b) whose exact weighted Jaccard similarity is high enough."""
+def verified(pairs: DataFrame, docs: DataFrame, similarity: float = SIMILARITY, made: list[str] | None = None) -> DataFrame:
+    """The pairs (a, b) whose exact weighted Jaccard similarity is high enough. It reads a table of their texts, whose path is added to `made`."""
     ids = cut(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct())
     few = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    t = cut(docs.join(few, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+    t = stored(docs.join(few, "doc_id", "left_semi").dropDuplicates(["doc_id"]), made)
     left = t.select(F.col("doc_id").alias("a"), "text")
     right = t.select(F.col("doc_id").alias("b"), F.col("text").alias("text2"))
     both = pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "text", "text2")
@@ -266,16 +266,18 @@ def weights(ids: DataFrame, docs: DataFrame) -> DataFrame:
     return map_pieces(docs.join(few, "doc_id", "left_semi"), make, f"doc_id {kind}, all array<bigint>", 1 << 20).dropDuplicates(["doc_id"])
 
 
-def bounded(left: DataFrame, docs: DataFrame) -> DataFrame:
+def bounded(left: DataFrame, docs: DataFrame, made: list[str]) -> DataFrame:
     """The rows of texts that can be linked to another of these, with the weight they can share in `shared`, by group in `groups`."""
     ids = cut(left.select("doc_id").distinct())
     alone = weights_alone(ids, docs)
     sums = alone.select("doc_id", F.aggregate(F.map_values("alone"), F.lit(0).cast("long"), lambda x, y: x + y).alias("sum"))
     left = left.drop("shared", "groups").join(sums, "doc_id", "left").withColumn("shared", F.col("size") - F.coalesce("sum", F.lit(0)))
-    left = cut(left.where(F.col("shared") >= SIMILARITY * F.col("size") - 1e-6))
+    left = stored(left.where(F.col("shared") >= SIMILARITY * F.col("size") - 1e-6), old := [])
     every = weights(cut(left.select("doc_id").distinct()), docs).join(alone, "doc_id", "left")
     groups = F.transform("all", lambda x, i: x - F.coalesce(F.col("alone")[i], F.lit(0)))
-    return cut(left.join(every.select("doc_id", groups.alias("groups")), "doc_id").select("key", *ROW))
+    out = stored(left.join(every.select("doc_id", groups.alias("groups")), "doc_id").select("key", *ROW), made)
+    discard(docs.sparkSession, old)
+    return out
 
 
 ROW = ("doc_id", "order", "bits", "size", "shared", "groups", "c")
@@ -285,18 +287,20 @@ def links(reps: DataFrame, docs: DataFrame) -> DataFrame | None:
     """node, label of the representatives (doc_id, keys) that are linked to others; None if there are no candidates."""
     rows = reps.select("doc_id", "bits", "size", F.col("size").alias("shared"), F.explode("keys").alias("key"))
     shared = cut(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
-    multi = cut(rows.join(shared, "key"))
+    spark, first, old = docs.sparkSession, [], []
+    multi = stored(rows.join(shared, "key"), first)
     # who shares most buckets leads: the text that others were copied from, if it is there, is near to all of them
     degree = cut(multi.groupBy("doc_id").agg((-F.sum("n")).alias("order")))
     multi = multi.drop("n").join(degree, "doc_id").withColumn("groups", F.lit(None).cast("array<bigint>")).withColumn("c", F.col("doc_id"))
-    multi = cut(multi.select("key", *ROW))
+    multi = stored(multi.select("key", *ROW), old)
+    discard(spark, first)
     labels = None
     leaders, left, strong = 1, multi, F.col("shared") >= STRONG * F.col("size") - 1e-6
     while True:
         # the first `leaders` strong members of each bucket lead; each is compared with all members of other classes
         rank = F.row_number().over(Window.partitionBy("key").orderBy("order", "doc_id"))
         led = left.where(strong).withColumn("rank", rank).where(F.col("rank") <= leaders).select(F.col("key").alias("lead_key"), F.col("doc_id").alias("lead"), F.col("bits").alias("lead_bits"), F.col("size").alias("lead_size"), F.col("shared").alias("lead_shared"), F.col("groups").alias("lead_groups"), F.col("c").alias("lead_c"))
-        led = cut(led)
+        led = stored(led, old)
         differ = sum((F.bit_count(F.col("bits")[i].bitwiseXOR(F.col("lead_bits")[i])) for i in range(LONGS)), F.lit(0))
         sizes = (F.col("size") >= SIMILARITY * F.col("lead_size")) & (F.col("lead_size") >= SIMILARITY * F.col("size"))
         bound = (1 + SIMILARITY) * F.least("shared", "lead_shared") >= SIMILARITY * (F.col("size") + F.col("lead_size")) - 1e-6
@@ -307,18 +311,22 @@ def links(reps: DataFrame, docs: DataFrame) -> DataFrame | None:
         pairs = left.join(led, (F.col("key") == F.col("lead_key")) & (F.col("c") != F.col("lead_c")) & sizes & bound & (differ <= DIFFER)).select("doc_id", "lead")
         pairs = cut(pairs.select(F.greatest("doc_id", "lead").alias("a"), F.least("doc_id", "lead").alias("b")).distinct())
         if not pairs.isEmpty():
-            labels = joined(labels, cut(verified(pairs, docs)))
+            labels = joined(labels, cut(verified(pairs, docs, made=old)))
         # a leader has met everybody in its bucket; what is left matters where it holds two classes
         rest = left.join(led.select(F.col("lead_key").alias("key"), F.col("lead").alias("doc_id")), ["key", "doc_id"], "left_anti")
         if labels is not None:
             rest = rest.join(labels.select(F.col("node").alias("doc_id"), "label"), "doc_id", "left").withColumn("c", F.coalesce("label", "doc_id")).select("key", *ROW)
-        rest = cut(rest)
+        rest = stored(rest, old)
         open_keys = cut(rest.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.max(strong).alias("strong")).where("lo <> hi AND strong").select("key"))
         if open_keys.isEmpty():
+            discard(spark, old)
             return labels
-        left = cut(rest.join(open_keys, "key").select("key", *ROW))
+        left = stored(rest.join(open_keys, "key").select("key", *ROW), new := [])
         if leaders == 1:
-            left = bounded(left, docs)
+            old += new
+            left = bounded(left, docs, new := [])
+        discard(spark, old)
+        old = new
         leaders *= GROWTH
 
 
