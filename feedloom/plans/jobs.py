@@ -87,7 +87,7 @@ def feed_documents_reread(spark: SparkSession, sf_dir: str) -> DataFrame:
     return x.select(F.regexp_extract("feed", "feed=([^/]+)", 1).alias("source"), F.col("place").cast("long").alias("place"), F.regexp_extract("link", "([0-9]+)$", 1).cast("long").alias("ord"), "pub")
 
 
-REREAD_SQL = "WITH x AS (SELECT source, doc_id AS ord, doc_id * 420 AS pub, row_number() OVER (PARTITION BY source ORDER BY doc_id DESC) - 1 AS place FROM documents WHERE source IS NOT NULL AND trim(replace(substr(text, 1, 80), chr(10), ' ')) <> '') SELECT source, place, ord, pub FROM x WHERE place < 50"
+REREAD_SQL = "WITH x AS (SELECT source, doc_id AS ord, doc_id * 420 AS pub, row_number() OVER (PARTITION BY source ORDER BY doc_id DESC) - 1 AS place FROM documents WHERE source IS NOT NULL AND trim(split_part(text, chr(10), 1)) <> '') SELECT source, place, ord, pub FROM x WHERE place < 50"
 
 
 def feed_query_page(spark: SparkSession, sf_dir: str) -> DataFrame:

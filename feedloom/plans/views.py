@@ -12,7 +12,8 @@ KIND = "CASE feed_no % 4 WHEN 0 THEN 'specialist' WHEN 1 THEN 'general' WHEN 2 T
 
 
 def items(d) -> str:
-    return f"""base AS (SELECT doc_id AS ord, replace(substr(text, 1, 80), chr(10), ' ') AS title, replace(substr(text, 81, 140), chr(10), ' ') AS summary,
+    """The title is the whole first line, the summary all that follows; only summary_clean_truncate, which is for display, cuts."""
+    return f"""base AS (SELECT doc_id AS ord, split_part(text, chr(10), 1) AS title, replace(substr(text, length(split_part(text, chr(10), 1)) + 2), chr(10), ' ') AS summary,
   lang, source, CAST(substr(source, 4) AS INT) AS feed_no, doc_id * 7 AS pub FROM documents),
 items AS (SELECT *, concat(title, ' ', summary) AS whole, {KIND} AS kind FROM base)"""
 
@@ -71,7 +72,7 @@ def compare_norm(d):
 
 
 def publisher_split(d):
-    full = "concat(substr(title, 1, 30), ' (', lang, ') - Daily ', source)"
+    full = "concat(title, ' (', lang, ') - Daily ', source)"
     return f"WITH {items(d)}, x AS (SELECT ord, {full} AS t FROM items), y AS (SELECT ord, {d.get('t', r'^(.*) - ([^-]{1,40})$', 1)} AS head, {d.get('t', r'^(.*) - ([^-]{1,40})$', 2)} AS publisher FROM x) SELECT ord, publisher, {d.sub('head', r' ?\([^()]{1,30}\)$', '')} AS title, {d.get('head', r'\(([^()]{1,30})\)$', 1)} AS original FROM y"
 
 
