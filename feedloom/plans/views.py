@@ -228,8 +228,8 @@ def entity_top3_tags(d):
 
 
 def day_runs(d):
-    """Days newest first, rising inside a day; a header where the day changes."""
-    return f"WITH x AS (SELECT event_id, CAST(floor({d.secs('ts')} / 86400) AS BIGINT) AS day, {d.secs('ts')} AS t FROM events), y AS (SELECT *, row_number() OVER (ORDER BY day DESC, t, event_id) AS place, lag(day) OVER (ORDER BY day DESC, t, event_id) AS before FROM x WHERE day >= (SELECT max(day) FROM x) - 1) SELECT event_id, day, CAST(place AS BIGINT) AS place, before IS NULL OR before <> day AS header FROM y"
+    """Days newest first, rising inside a day; a header where the day changes. Days are counted first, so no sort spans all rows."""
+    return f"WITH x AS (SELECT event_id, CAST(floor({d.secs('ts')} / 86400) AS BIGINT) AS day, {d.secs('ts')} AS t FROM events), n AS (SELECT day, count(*) AS n FROM x GROUP BY day), c AS (SELECT day, sum(n) OVER (ORDER BY day DESC) - n AS before FROM n), y AS (SELECT event_id, day, row_number() OVER (PARTITION BY day ORDER BY t, event_id) AS k FROM x) SELECT y.event_id, y.day, CAST(c.before + y.k AS BIGINT) AS place, y.k = 1 AS header FROM y JOIN c ON y.day = c.day"
 
 
 def page_whole_day(d):

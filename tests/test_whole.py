@@ -5,6 +5,8 @@ import pytest
 
 from feedloom import catalogue as C
 
+SF = "/root/testdata/sf0.001"
+
 
 @pytest.fixture(scope="session")
 def late(tmp_path_factory):
@@ -28,3 +30,15 @@ def test_items_read_whole_texts(spark, late):
     assert pages == {"Zzz": 2, "Latecomer": 2}
     titles = ask(spark, late, "wire_projection").set_index("i")["t"]
     assert titles[1] == "Zzz " * 60 + "Latecomer" and titles[2] == "short"
+
+
+def test_day_runs_holds_every_day(spark):
+    events = pd.read_parquet(f"{SF}/events.parquet")
+    events["t"] = events["ts"].astype("datetime64[s]").astype("int64")
+    events["day"] = events["t"] // 86400
+    want = events.assign(newest=-events["day"]).sort_values(["newest", "t", "event_id"])
+    header = want["day"].ne(want["day"].shift())
+    got = ask(spark, SF, "day_runs").sort_values("place")
+    assert got["place"].tolist() == list(range(1, len(events) + 1))
+    assert got["event_id"].tolist() == want["event_id"].tolist() and got["day"].tolist() == want["day"].tolist()
+    assert got["header"].tolist() == header.tolist() and got["header"].sum() == events["day"].nunique() > 2
