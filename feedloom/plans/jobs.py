@@ -24,7 +24,7 @@ def _items(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = _sql(spark, sf_dir, f"WITH {views.rich(d)} SELECT *, {views.norm(d, 'title')} AS norm, {views.R.verdict(d, views.RULES, 'whole')} AS spoiler FROM rich")
     return x.select(
         "ord", "lang", "kind", "title", "summary", "source", "cats", "plats", "score", "norm", "spoiler", (F.col("pub") * 60).alias("pub"), (F.col("pub") * 60 + 600).alias("first_seen"),
-        F.transform("works", F.lower).alias("works"), (F.col("feed_no") % 5 == 0).alias("syndicated"), (F.col("ord") % 5 == 0).alias("truncated"),
+        F.transform("works", F.lower).alias("works"), (F.col("feed_no") % 5 == 0).alias("syndicated"), F.expr(views.unbalanced(d, "title")).alias("truncated"),
         F.concat(F.lit("https://example.org/"), F.col("ord").cast("string")).alias("link"), F.lit(None).cast("string").alias("image"),
     )
 
@@ -108,7 +108,7 @@ SELECT disposition, lang, count(*) AS n FROM y GROUP BY disposition, lang"""
 
 def merge_exact_sql(d) -> str:
     return f"""WITH {views.rich(d)}, x AS (SELECT *, {views.norm(d, 'title')} AS norm, {views.R.verdict(d, views.RULES, 'whole')} AS spoiler, feed_no % 5 = 0 AS synd FROM rich),
-y AS (SELECT *, CASE kind WHEN 'specialist' THEN 0 WHEN 'general' THEN 1 WHEN 'press' THEN 2 ELSE 3 END + CASE WHEN synd THEN 100 ELSE 0 END + CASE WHEN ord % 5 = 0 THEN 1000 ELSE 0 END AS rnk, min(ord) OVER (PARTITION BY lang, norm) AS cid FROM x),
+y AS (SELECT *, CASE kind WHEN 'specialist' THEN 0 WHEN 'general' THEN 1 WHEN 'press' THEN 2 ELSE 3 END + CASE WHEN synd THEN 100 ELSE 0 END + CASE WHEN {views.unbalanced(d, 'title')} THEN 1000 ELSE 0 END AS rnk, min(ord) OVER (PARTITION BY lang, norm) AS cid FROM x),
 z AS (SELECT *, row_number() OVER (PARTITION BY cid ORDER BY rnk, length(summary) DESC, ord) AS k FROM y),
 c AS (SELECT cid, string_agg(tag, ',' ORDER BY tag) AS cats FROM (SELECT DISTINCT cid, tag FROM z, unnest(cats) AS t(tag)) u GROUP BY cid)
 SELECT z.cid, max(CASE WHEN k = 1 THEN ord END) AS ord, min(pub) * 60 AS pub, min(pub) * 60 + 600 AS first_seen, CAST(max(score) AS BIGINT) AS score, bool_or(spoiler) AS spoiler, bool_and(synd) AS syndicated, count(*) AS n, coalesce(max(c.cats), '') AS cats

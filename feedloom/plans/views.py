@@ -76,9 +76,14 @@ def publisher_split(d):
     return f"WITH {items(d)}, x AS (SELECT ord, {full} AS t FROM items), y AS (SELECT ord, {d.get('t', r'^(.*) - ([^-]{1,40})$', 1)} AS head, {d.get('t', r'^(.*) - ([^-]{1,40})$', 2)} AS publisher FROM x) SELECT ord, publisher, {d.sub('head', r' ?\([^()]{1,30}\)$', '')} AS title, {d.get('head', r'\(([^()]{1,30})\)$', 1)} AS original FROM y"
 
 
+def unbalanced(d, e: str) -> str:
+    """The test for a title that was cut off: more brackets opened than closed."""
+    return " OR ".join(f"{d.count(e, a)} > {d.count(e, b)}" for a, b in ("()", "[]", "{}"))
+
+
 def truncated_brackets(d):
     t = "concat(title, CASE WHEN ord % 3 = 0 THEN ' (' WHEN ord % 3 = 1 THEN ' [x]' ELSE '' END)"
-    bad = " OR ".join(f"{d.count('t', a)} > {d.count('t', b)}" for a, b in ("()", "[]", "{}"))
+    bad = unbalanced(d, "t")
     return f"WITH {items(d)}, x AS (SELECT ord, {t} AS t FROM items) SELECT ord, ({bad}) AS truncated, CASE WHEN {bad} THEN concat(t, '...') ELSE t END AS shown FROM x"
 
 
@@ -153,7 +158,13 @@ def exact_title_groups(d):
 
 
 def prefix_link_first(d):
-    return f"WITH {items(d)}, x AS (SELECT ord, lang, pub, {norm(d, 'title')} AS norm FROM items), cut AS (SELECT ord, lang, pub, substr(norm, 1, 20) AS part FROM x WHERE ord % 5 = 0 AND length(norm) > 20), y AS (SELECT cut.ord, min(x.ord) AS full_ord FROM cut JOIN x ON cut.lang = x.lang AND substr(x.norm, 1, 12) = substr(cut.part, 1, 12) WHERE length(x.norm) > length(cut.part) AND substr(x.norm, 1, length(cut.part)) = cut.part AND abs(cut.pub - x.pub) <= 72 * 60 GROUP BY cut.ord) SELECT ord, full_ord FROM y"
+    """A cut-off title with the first longer one that it begins. The tables hold few that are cut off, so every other one is tried as a copy that breaks off at brackets. An equi join on language, first letters and time slot, the cut side in its slot and both beside it."""
+    hours = 72 * 60
+    copies = f"SELECT ord, lang, pub, concat(substr(title, 1, least(40, length(title) - 1)), ' ([{{') AS title FROM items WHERE length(title) > 1 AND NOT ({unbalanced(d, 'title')})"
+    return f"""WITH {items(d)}, x AS (SELECT ord, lang, pub, {norm(d, 'title')} AS norm, CAST(floor(pub / {hours}) AS BIGINT) AS slot FROM items), tried AS (SELECT ord, lang, pub, title FROM items UNION ALL {copies}),
+cut AS (SELECT ord, lang, pub, {norm(d, 'title')} AS part, CAST(floor(pub / {hours}) AS BIGINT) AS b FROM tried WHERE {unbalanced(d, 'title')}),
+near AS (SELECT ord, lang, pub, part, slot FROM cut {d.each(d.arr('b - 1', 'b', 'b + 1'), 'slot')} WHERE length(part) >= 12),
+y AS (SELECT near.ord, min(x.ord) AS full_ord FROM near JOIN x ON near.lang = x.lang AND near.slot = x.slot AND substr(x.norm, 1, 12) = substr(near.part, 1, 12) WHERE length(x.norm) > length(near.part) AND substr(x.norm, 1, length(near.part)) = near.part AND abs(near.pub - x.pub) <= {hours} GROUP BY near.ord) SELECT ord, full_ord FROM y"""
 
 
 def interval_similarity_pairs(d, window: int = 500, num: int = 7):

@@ -4,6 +4,7 @@ import pandas as pd
 import pytest
 
 from feedloom import catalogue as C
+from feedloom.plans import jobs
 
 SF = "/root/testdata/sf0.001"
 
@@ -42,3 +43,15 @@ def test_day_runs_holds_every_day(spark):
     assert got["place"].tolist() == list(range(1, len(events) + 1))
     assert got["event_id"].tolist() == want["event_id"].tolist() and got["day"].tolist() == want["day"].tolist()
     assert got["header"].tolist() == header.tolist() and got["header"].sum() == events["day"].nunique() > 2
+
+
+def test_cut_off_titles_are_found_by_their_brackets(spark, tmp_path):
+    whole = "Alpha beta gamma delta epsilon zeta eta theta (iota kappa lambda) and much more of it"
+    texts = [whole, whole[:60], "Completely other words that nothing else here begins with at all", "Some words) of a headline, closed without being opened, go on here"]
+    pd.DataFrame({"doc_id": [5, 6, 10, 11], "text": texts, "lang": "en", "source": "src1", "n_chars": [len(t) for t in texts]}).to_parquet(tmp_path / "documents.parquet")
+    # 6 is cut off inside its bracket and linked uncut; the others link by their copies, to themselves if to no earlier title
+    assert {(r.ord, r.full_ord) for r in ask(spark, str(tmp_path), "prefix_link_first").itertuples()} == {(5, 5), (6, 5), (10, 10), (11, 11)}
+    flagged = jobs._items(spark, str(tmp_path)).toPandas().set_index("ord")["truncated"].to_dict()
+    assert flagged == {5: False, 6: True, 10: False, 11: False}
+    cid = ask(spark, str(tmp_path), "cluster_replay").set_index("ord")["cid"].to_dict()
+    assert cid == {5: 5, 6: 5, 10: 10, 11: 11}
