@@ -3,6 +3,8 @@
 A byte-pair vocabulary covers language and ordinary identifiers with few tokens and random strings with many. A string
 whose characters per token fall below a cutoff counts as a secret, unless it is a known digest (a hexadecimal string of
 a digest's length behind a word that names a digest or a commit), a UUID, or part of a path, an address or an e-mail.
+A string with slashes or behind a full stop is part of a path or address only by a scheme before it, a usual root, or if each of
+its parts is short or reads as words: keys hold slashes too, and the parts of a signed token follow full stops.
 
 Edge cases: null or empty text has no spans. Offsets are code points, the end is exclusive. Repeated rows are each
 answered. Patterns are linear in the text.
@@ -12,6 +14,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_right
 from functools import lru_cache
 
 import pyarrow as pa
@@ -38,6 +41,11 @@ CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{%d,}" % LEAST)
 UUID = re.compile(r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}")
 DIGEST = re.compile(r"(md5|sha-?\d+|sha|blake\w*|crc\d*|digest|checksum|hash|fingerprint|etag|commit|revision|integrity)\W{0,4}\Z", re.IGNORECASE)
 DIGEST_LENGTHS = {32, 40, 48, 56, 64, 96, 128}
+#: An address behind its scheme, up to the query.
+ADDRESS = re.compile(r"""://[^\s"'<>?#]+""")
+ROOT = re.compile(r"/(bin|boot|dev|etc|home|lib|lib64|media|mnt|opt|proc|root|run|sbin|srv|sys|tmp|usr|var|Users|Library|Applications)/")
+#: Parts of a path of up to so many characters say nothing.
+SHORT_PART = 3
 
 
 @lru_cache(maxsize=4)
@@ -71,7 +79,16 @@ def known(text: str, a: int, b: int) -> bool:
     s = text[a:b]
     if re.fullmatch(r"[0-9a-fA-F]+", s) and len(s) in DIGEST_LENGTHS and DIGEST.search(text[max(0, a - 24) : a]):
         return True
-    return bool(UUID.fullmatch(s)) or text[b : b + 1] == "@" or text[a - 1 : a] in "@." and a > 0 or s.count("/") >= 3 or text[max(0, a - 3) : a] == "://"
+    return bool(UUID.fullmatch(s)) or text[b : b + 1] == "@" or text[a - 1 : a] == "@" and a > 0 or text[max(0, a - 3) : a] == "://"
+
+
+def placed(text: str, a: int, b: int, addresses: list[tuple[int, int]], enc, cutoff: float) -> bool:
+    """Part of a path or an address."""
+    s = text[a:b]
+    if s.count("/") < 3 and not (a > 0 and text[a - 1] == "."):
+        return False
+    i = bisect_right(addresses, (a, b)) - 1
+    return i >= 0 and a < addresses[i][1] or bool(ROOT.match(s)) or all(len(p) <= SHORT_PART or efficiency(p, enc) >= cutoff for p in s.split("/"))
 
 
 def efficiency(s: str, enc) -> float:
@@ -81,9 +98,10 @@ def efficiency(s: str, enc) -> float:
 def all_spans(text: str, enc, cutoff: float = CUTOFF) -> tuple[list, list]:
     base = base_spans(text)
     add = []
+    addresses = [m.span() for m in ADDRESS.finditer(text)] if "://" in text else []
     for m in CANDIDATE.finditer(text):
         a, b = m.span()
-        if mixed(m[0]) and not any(a < y and x < b for x, _, y in base) and not known(text, a, b) and efficiency(m[0], enc) < cutoff:
+        if mixed(m[0]) and not any(a < y and x < b for x, _, y in base) and not known(text, a, b) and efficiency(m[0], enc) < cutoff and not placed(text, a, b, addresses, enc, cutoff):
             add.append((a, 3, b))
     return base, sorted(base + add)
 
