@@ -26,7 +26,7 @@ def rich(d) -> str:
 
 def score_threshold_topk(d):
     t = " ".join(f"WHEN '{k}' THEN {v}" for k, v in RULES.thresholds.items())
-    return f"WITH {rich(d)} SELECT ord, kind, CAST(score AS BIGINT) AS score FROM rich WHERE kind = 'specialist' OR score >= CASE kind {t} END ORDER BY pub DESC NULLS LAST, ord LIMIT 600"
+    return f"WITH {rich(d)} SELECT ord, kind, CAST(score AS BIGINT) AS score FROM rich WHERE kind = 'specialist' OR score >= CASE kind {t} END ORDER BY pub DESC NULLS LAST, ord LIMIT 6000"
 
 
 def keyword_flags(d):
@@ -124,7 +124,7 @@ def run_stats_left(d):
 
 
 def per_feed_limit(d):
-    return f"WITH {items(d)}, x AS (SELECT ord, source, row_number() OVER (PARTITION BY source ORDER BY ord) AS k FROM items) SELECT ord, source, CAST(k AS BIGINT) AS k FROM x WHERE k <= 20"
+    return f"WITH {items(d)}, x AS (SELECT ord, source, row_number() OVER (PARTITION BY source ORDER BY ord) AS k FROM items) SELECT ord, source, CAST(k AS BIGINT) AS k FROM x WHERE k <= 100"
 
 
 def known_entity_semijoin(d):
@@ -267,7 +267,7 @@ def bookmark_unread(d):
 
 
 def read_set_latest(d):
-    return f"WITH x AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY {d.secs('ts')} DESC, event_id DESC) AS k FROM events WHERE event_type = 'click') SELECT user_id, event_id FROM x WHERE k <= 40"
+    return f"WITH x AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY {d.secs('ts')} DESC, event_id DESC) AS k FROM events WHERE event_type = 'click') SELECT user_id, event_id FROM x WHERE k <= 4000"
 
 
 def daily_tumbling(d):

@@ -55,3 +55,12 @@ def test_cut_off_titles_are_found_by_their_brackets(spark, tmp_path):
     assert flagged == {5: False, 6: True, 10: False, 11: False}
     cid = ask(spark, str(tmp_path), "cluster_replay").set_index("ord")["cid"].to_dict()
     assert cid == {5: 5, 6: 5, 10: 10, 11: 11}
+
+
+def test_limits_are_those_of_the_reference(spark, tmp_path):
+    n = 6_050
+    pd.DataFrame({"doc_id": range(n), "text": "with licenses", "lang": "en", "source": ["src4" if i < 101 else f"src{4 * (i % 500 + 2)}" for i in range(n)], "n_chars": 13}).to_parquet(tmp_path / "documents.parquet")
+    pd.DataFrame({"event_id": range(4_001), "user_id": 7, "event_type": "click", "ts": pd.date_range("2024-01-01", periods=4_001, freq="s").astype("datetime64[us]"), "value": 0.0}).to_parquet(tmp_path / "events.parquet")
+    assert len(ask(spark, str(tmp_path), "score_threshold_topk")) == 6_000
+    assert (ask(spark, str(tmp_path), "per_feed_limit").groupby("source")["k"].max()["src4"]) == 100
+    assert sorted(ask(spark, str(tmp_path), "read_set_latest")["event_id"]) == list(range(1, 4_001))
