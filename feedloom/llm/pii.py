@@ -208,7 +208,11 @@ def weights() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def marginals(unary: np.ndarray, chain: np.ndarray, skip: np.ndarray, model, rounds: int = 30) -> np.ndarray:
-    """Loopy sum-product in the log domain over all edges at once, damped; exact on trees after enough rounds."""
+    """Loopy sum-product in the log domain over all edges at once, damped, until messages settle; exact on trees. The bound on rounds grows with the longest chain of repetitions."""
+    far: dict[int, int] = {}
+    for i, j in skip.tolist():
+        far[j] = far.get(i, 0) + 1
+    rounds += 4 * max(far.values(), default=0)
     E = np.concatenate([chain, skip]).astype(int).reshape(-1, 2)
     _, T, K = model
     if not len(E):
