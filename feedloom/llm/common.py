@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,6 +27,40 @@ def texts(docs: DataFrame, *more: str, id_col: str = "doc_id", text_col: str = "
     return docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *more)
 
 
+#: Rows of one file that numbered() can tell apart, as a power of two.
+FILE_ROWS = 40
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that df does not have."""
+    while name.lower() in (c.lower() for c in df.columns):
+        name += "_"
+    return name
+
+
+def numbered(df: DataFrame, name: str, made: list[str], columns: list[str] | None = None) -> DataFrame:
+    """df (or some columns of it) with a column `name` (long) that tells its rows apart and is the same whenever df is read again, also after an executor is lost.
+
+    Rows of a plain Parquet table are named by file and place in it; the list of files, which the driver plans with anyway, is
+    joined to give them numbers. Whatever else df is, it is written once, with numbers, to a table whose path is added to `made`.
+    """
+    columns = columns or df.columns
+    if "Relation" in df._jdf.queryExecution().analyzed().getClass().getSimpleName():
+        try:
+            path, place = F.col("_metadata.file_path"), F.col("_metadata.row_index")
+            files = sorted(r[0] for r in df.select(path.alias("p")).distinct().collect())
+            at = df.select(*columns, path.alias(p := fresh(df, "path")), place.alias(i := fresh(df, "place")))
+        except AnalysisException:
+            pass  # not Parquet: no such columns
+        else:
+            if len(files) == 1:
+                return at.withColumnRenamed(i, name).drop(p)
+            n = fresh(at, "file")
+            few = df.sparkSession.createDataFrame([(f, k) for k, f in enumerate(files)] or [("", 0)], f"{p} string, {n} long")
+            return at.join(F.broadcast(few), p).withColumn(name, F.shiftleft(n, FILE_ROWS) + F.col(i)).select(*columns, name)
+    return stored(df.select(*columns, F.monotonically_increasing_id().alias(name)), made)
+
+
 def pieces(batch: pa.RecordBatch, column: str = "text", most: int = PIECE_BYTES) -> Iterator[pa.RecordBatch]:
     """Slices of a batch of at most `most` bytes of text each (or of one row)."""
     if not batch.num_rows:
@@ -53,31 +89,48 @@ def map_pieces(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.R
     return df.mapInArrow(run, schema)
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder that the cluster names. Only a session on one machine may go without: it gets a folder of its own."""
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not sc.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="feedloom-checkpoint-"))
+    return sc.getCheckpointDir()
+
+
 def cut(df: DataFrame) -> DataFrame:
     """The rows of df, written to the cluster's shared checkpoint folder, so that a lost executor costs no recomputation."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="feedloom-checkpoint-"))
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
 def stored(df: DataFrame, made: list[str] | None = None) -> DataFrame:
     """As cut(), but written as a Parquet table in the shared checkpoint folder, which is smaller for wide results. Its path is added to `made`."""
-    import uuid
-
     spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="feedloom-checkpoint-"))
-    path = f"{spark.sparkContext.getCheckpointDir()}/feedloom-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/feedloom-{uuid.uuid4().hex}"
     df.write.parquet(path)
     if made is not None:
         made.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, keys: list[str], made: list[str]) -> DataFrame:
+    """As stored(), in as many buckets by `keys` as a shuffle has partitions, so that joins on them move only the other side."""
+    spark = df.sparkSession
+    name = f"feedloom_{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/{name}"
+    df.write.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), *keys).option("path", path).format("parquet").saveAsTable(name)
+    made.append(path)
+    return spark.table(name)
+
+
 def discard(spark: SparkSession, made: list[str]) -> None:
-    """Deletes tables of stored() that no later step reads, and lets Spark drop the shuffles of plans that are gone."""
+    """Deletes tables of stored() and bucketed() that no later step reads, and lets Spark drop the shuffles of plans that are gone."""
     for path in made:
+        if (name := path.rsplit("/", 1)[-1]).startswith("feedloom_"):
+            spark.sql(f"DROP TABLE IF EXISTS {name}")
         folder = spark._jvm.org.apache.hadoop.fs.Path(path)
         folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
     made.clear()
