@@ -27,6 +27,8 @@ def texts(docs: DataFrame, *more: str, id_col: str = "doc_id", text_col: str = "
     return docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *more)
 
 
+#: Numbers of rows go to all tasks up to this many; beyond it Spark shuffles.
+BROADCAST_ROWS = 2_000_000
 #: Rows of one file that numbered() can tell apart, as a power of two.
 FILE_ROWS = 40
 
@@ -61,6 +63,12 @@ def numbered(df: DataFrame, name: str, made: list[str], columns: list[str] | Non
     return stored(df.select(*columns, F.monotonically_increasing_id().alias(name)), made)
 
 
+def few_rows(rows: DataFrame, name: str) -> DataFrame:
+    """The numbers of rows in a column, as `row`; broadcast if they are few enough for their size (8 bytes each) to be bounded."""
+    rows = rows.select(F.col(name).alias("row"))
+    return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
+
+
 def pieces(batch: pa.RecordBatch, column: str = "text", most: int = PIECE_BYTES) -> Iterator[pa.RecordBatch]:
     """Slices of a batch of at most `most` bytes of text each (or of one row)."""
     if not batch.num_rows:

@@ -13,15 +13,18 @@ similarity. A shingle stops drawing as soon as its time is above the text's late
 Candidates share one of BANDS bands of ROWS components: at similarity 0.8 a pair is missed with probability 1e-5.
 Identical word sequences are one class from the start. In a bucket everybody is compared with the bucket's first member (who shares most buckets),
 not with all others; members that remain in different classes go into the next round with GROWTH times as many leaders, until no
-bucket holds two classes that were not compared. Pairs whose sizes or signature bits exclude the similarity are dropped in
-the join's condition. So large groups of copies cost as many comparisons as they have members,
-and nothing is capped. After the first round the texts that are left are bounded exactly: of a text's weight only what lies on
+bucket holds two classes that were not compared. Pairs whose sizes or signature bits exclude the similarity are dropped before
+texts are read. So large groups of copies cost as many comparisons as they have members,
+and nothing is capped. Buckets hold numbers of rows only in the first round, which is the large one. After it the texts that are left are bounded exactly: of a text's weight only what lies on
 shingles of other such texts can overlap with any of them, and of two texts no more than the sum over GROUPS groups of shingles of
 the smaller weight. Pairs whose bounds exclude the similarity are not made, and as at least one of a pair has STRONG of its weight on
 such shingles, only such texts lead.
 
-Edge cases: texts without words, and rows without doc_id, are in no class but their own (the latter's class is null). Rows
-repeated under one doc_id are one document. Ties: the class id is the lowest doc_id. Empty tables give empty results.
+Rows are told apart by their place in the table, not by doc_id, so ids may be of any type, null, or repeated with other texts.
+
+Edge cases: texts without words are in no class but their own. The class id is the lowest doc_id of the class, null if none of
+its rows has one. keep_one keeps of each class the row with the lowest doc_id (null last), of these the first in the table.
+Empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -32,7 +35,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, discard, map_pieces, stored, texts
+from .common import discard, few_rows, fresh, map_pieces, numbered, stored
 
 SIMILARITY, SHINGLE = 0.8, 5
 BANDS, ROWS = 48, 7
@@ -45,8 +48,8 @@ GROUPS = 64
 #: One bit of each component, in 64-bit words. At similarity 0.8 a tenth of the bits differ; DIFFER is five standard
 #: deviations above (3e-7 of such pairs are missed), and excludes most pairs below 0.6 before anything is shipped.
 LONGS, DIFFER = (M + 63) // 64, 61
-#: Ids whose texts are compared go to all tasks up to this number (8 bytes each); beyond it Spark shuffles.
-BROADCAST_IDS = 2_000_000
+#: Bytes whose words are hashed together; words may go on in the next piece.
+CHUNK = 1 << 20
 
 U = np.uint64
 LOWER = np.arange(256, dtype=np.uint8)
@@ -74,6 +77,36 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0][:n], _powers[1][:n]
 
 
+def words_of(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each word begins, and its hash, of UTF-8 texts laid end to end. Memory follows the words, and CHUNK."""
+    all_begins, all_hashes, goes_on, length = [np.zeros(0, np.int64)], [np.zeros(0, U)], False, 0
+    for at in range(0, len(raw), CHUNK):
+        part = LOWER[raw[at : at + CHUNK]]
+        n = len(part)
+        word = IS_WORD[part]
+        edge = np.zeros(n + 1, bool)
+        inside = offsets[np.searchsorted(offsets, at) : np.searchsorted(offsets, at + n, "right")]
+        edge[inside - at] = True
+        begins = np.flatnonzero(word & (edge[:-1] | ~np.concatenate([[False], word[:-1]])))
+        ends = np.flatnonzero(word & (edge[1:] | ~np.concatenate([word[1:], [False]]))) + 1
+        up, down = powers(CHUNK + 1)
+        total = np.zeros(n + 1, U)
+        np.add.accumulate((part.astype(U) + U(1)) * up[:n], out=total[1:])
+        h = (total[ends] - total[begins]) * down[begins]
+        if goes_on and len(begins) and begins[0] == 0 and not edge[0]:  # the last word of the piece before goes on
+            all_hashes[-1][-1:] += h[:1] * U(pow(BASE, length, 1 << 64))
+            length += int(ends[0])
+            begins, h = begins[1:], h[1:]
+            goes_on = length if ends[0] == n else 0
+        else:
+            goes_on = 0
+        if len(begins):
+            all_begins.append(begins + at)
+            all_hashes.append(h)
+            length = goes_on = int(n - begins[-1]) if ends[-1] == n else 0
+    return np.concatenate(all_begins), mix(np.concatenate(all_hashes))
+
+
 def shingles(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(text number, shingle hash, multiplicity) of every distinct shingle, by text and hash; and words by text. All vectorised."""
     column = pc.cast(column, pa.large_string()).combine_chunks() if isinstance(column, pa.ChunkedArray) else pc.cast(column, pa.large_string())
@@ -81,16 +114,8 @@ def shingles(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
     offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + n + 1]
     data = column.buffers()[2]
     raw = np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]] if data is not None and offsets[-1] > offsets[0] else np.zeros(0, np.uint8)
-    raw = LOWER[raw]
     offsets = offsets - offsets[0]
-    word = IS_WORD[raw]
-    first = np.zeros(len(raw) + 1, bool)
-    first[offsets] = True
-    begins = np.flatnonzero(word & (first[:-1] | ~np.concatenate([[False], word[:-1]])))
-    ends = np.flatnonzero(word & (first[1:] | ~np.concatenate([word[1:], [False]]))) + 1
-    up, down = powers(len(raw) + 1)
-    total = np.concatenate([[U(0)], np.add.accumulate((raw.astype(U) + U(1)) * up[:-1])])
-    w = mix((total[ends] - total[begins]) * down[begins])
+    begins, w = words_of(raw, offsets)
     doc = np.searchsorted(offsets, begins, "right") - 1
     count = np.bincount(doc, minlength=n)[:n]
     at = np.concatenate([[0], np.cumsum(count)])
@@ -143,7 +168,8 @@ def band_keys(sig: np.ndarray) -> np.ndarray:
 
 
 def sketched(docs: DataFrame) -> DataFrame:
-    """doc_id, whole (a 128-bit hash of the word sequence, null without words), keys (band keys)."""
+    """row, doc_id, w1 and w2 (a 128-bit hash of the multiset of shingles, null without words), keys (band keys), bits, size."""
+    kind = dict(docs.dtypes)["doc_id"]
 
     def make():
         def one(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -152,31 +178,29 @@ def sketched(docs: DataFrame) -> DataFrame:
             n = len(col)
             sig = signatures(d, s, w, n)
             keys = band_keys(sig)
-            # two sums over the ordered multiset and the word count tell texts apart as well as a hash of the shingles does
-            both = [np.zeros(n, U), np.zeros(n, U)]
+            # two sums over the multiset, with the word count, tell texts apart as well as a hash of the shingles does
+            both = [count.astype(U), count.astype(U)]
             for k in range(2):
                 np.add.at(both[k], d, mix(s + U(k + 1)) * w.astype(U))
-            whole = [f"{a:016x}{b:016x}{c:x}" if c else None for a, b, c in zip(both[0].tolist(), both[1].tolist(), count.tolist(), strict=True)]
+            whole = [pa.array(mix(x).view(np.int64), mask=count == 0) for x in both]
             bits = np.zeros((n, LONGS * 8), np.uint8)
             bits[:, : M // 8] = np.packbits((mix(sig.view(U)) & U(1)).astype(bool), axis=1)
             low = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * LONGS), pa.array(bits.view(np.int64).reshape(-1)))
             size = pa.array(np.bincount(d, w, n).astype(np.int64))
-            flat = pa.array(keys.reshape(-1))
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * BANDS), flat)
-            return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(whole, pa.string()), lists, low, size], ["doc_id", "whole", "keys", "bits", "size"])
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * BANDS), pa.array(keys.reshape(-1)))
+            return pa.RecordBatch.from_arrays([batch.column("row"), batch.column("doc_id"), *whole, lists, low, size], ["row", "doc_id", "w1", "w2", "keys", "bits", "size"])
 
         return one
 
-    return map_pieces(docs, make, f"doc_id {dict(docs.dtypes)['doc_id']}, whole string, keys array<bigint>, bits array<bigint>, size long", 1 << 20)
+    return map_pieces(docs, make, f"row long, doc_id {kind}, w1 long, w2 long, keys array<bigint>, bits array<bigint>, size long", 1 << 20)
 
 
-def verified(pairs: DataFrame, docs: DataFrame, similarity: float = SIMILARITY, made: list[str] | None = None) -> DataFrame:
-    """The pairs (a, b) whose exact weighted Jaccard similarity is high enough. It reads a table of their texts, whose path is added to `made`."""
-    ids = cut(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct())
-    few = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    t = stored(docs.join(few, "doc_id", "left_semi").dropDuplicates(["doc_id"]), made)
-    left = t.select(F.col("doc_id").alias("a"), "text")
-    right = t.select(F.col("doc_id").alias("b"), F.col("text").alias("text2"))
+def verified(pairs: DataFrame, docs: DataFrame, made: list[str], similarity: float = SIMILARITY) -> DataFrame:
+    """The pairs (a, b) of rows whose exact weighted Jaccard similarity is high enough. It reads a table of their texts, whose path is added to `made`."""
+    ids = stored(pairs.select(F.col("a").alias("row")).union(pairs.select("b")).distinct(), made)
+    t = stored(docs.join(few_rows(ids, "row"), "row", "left_semi").select("row", "text"), made)
+    left = t.select(F.col("row").alias("a"), "text")
+    right = t.select(F.col("row").alias("b"), F.col("text").alias("text2"))
     both = pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "text", "text2")
 
     def make():
@@ -195,22 +219,25 @@ def verified(pairs: DataFrame, docs: DataFrame, similarity: float = SIMILARITY,
 
         return one
 
-    kind = dict(pairs.dtypes)["a"]
-    return map_pieces(both, make, f"a {kind}, b {kind}", 1 << 20)
+    return map_pieces(both, make, "a long, b long", 1 << 20)
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """node, label (the lowest node) of the graph's nodes: neighbours' minima and pointer jumping, until nothing changes."""
-    both = cut(edges.select("a", "b").union(edges.select("b", "a")).distinct())
-    labels = cut(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label")))
+    """node, label (the lowest node) of the graph's nodes: neighbours' minima and pointer jumping, until nothing changes. Nodes are longs."""
+    spark = edges.sparkSession
+    both = stored(edges.select("a", "b").union(edges.select("b", "a")).distinct(), graph := [])
+    labels = stored(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label")), old := [])
     total = None
     while True:
         told = both.join(labels.withColumnRenamed("node", "a"), "a").select(F.col("b").alias("node"), "label")
         jumped = labels.select("node", F.col("label").alias("up")).join(labels.select(F.col("node").alias("up"), F.col("label").alias("top")), "up").select("node", F.col("top").alias("label"))
-        labels = cut(labels.select("node", "label").union(told).union(jumped).groupBy("node").agg(F.min("label").alias("label")))
+        labels = stored(labels.select("node", "label").union(told).union(jumped).groupBy("node").agg(F.min("label").alias("label")), now := [])
+        discard(spark, old)
+        old = now
         # labels only ever fall, so nothing has changed if their sum has not
         new = labels.agg(F.sum(F.col("label").cast("decimal(38,0)"))).first()[0]
         if new == total:
+            discard(spark, graph)
             return labels
         total = new
 
@@ -223,34 +250,32 @@ def joined(labels: DataFrame | None, good: DataFrame) -> DataFrame:
         return labels
     one, two = labels.withColumnRenamed("label", "la"), labels.withColumnRenamed("label", "lb")
     ends = good.join(one.withColumnRenamed("node", "a"), "a", "left").join(two.withColumnRenamed("node", "b"), "b", "left")
-    ends = cut(ends.select("a", "b", F.coalesce("la", "a").alias("la"), F.coalesce("lb", "b").alias("lb")))
+    ends = stored(ends.select("a", "b", F.coalesce("la", "a").alias("la"), F.coalesce("lb", "b").alias("lb")), old := [])
     new = components(ends.select(F.col("la").alias("a"), F.col("lb").alias("b")))
     every = labels.union(ends.select("a", "la")).union(ends.select("b", "lb")).distinct()
-    return cut(every.join(new.select(F.col("node").alias("label"), F.col("label").alias("n")), "label", "left").select("node", F.coalesce("n", "label").alias("label")))
+    out = stored(every.join(new.select(F.col("node").alias("label"), F.col("label").alias("n")), "label", "left").select("node", F.coalesce("n", "label").alias("label")))
+    discard(good.sparkSession, old)
+    return out
 
 
 def weights_alone(ids: DataFrame, docs: DataFrame) -> DataFrame:
-    """doc_id, alone: by group of shingles, the weight of those that no other of these texts has (only texts that have such)."""
-    few = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    kind = dict(docs.dtypes)["doc_id"]
+    """row, alone: by group of shingles, the weight of those that no other of these texts has (only texts that have such)."""
 
     def make():
         def one(batch: pa.RecordBatch) -> pa.RecordBatch:
             d, s, w, _ = shingles(batch.column("text"))
-            return pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(d)), pa.array(s.view(np.int64)), pa.array(w)], ["doc_id", "s", "w"])
+            return pa.RecordBatch.from_arrays([batch.column("row").take(pa.array(d)), pa.array(s.view(np.int64)), pa.array(w)], ["row", "s", "w"])
 
         return one
 
-    rows = map_pieces(docs.join(few, "doc_id", "left_semi"), make, f"doc_id {kind}, s long, w long", 1 << 20)
-    once = rows.groupBy("s").agg(F.min("doc_id").alias("doc_id"), F.max("doc_id").alias("last"), F.max("w").alias("w")).where("doc_id = last")
-    by_group = once.groupBy("doc_id", F.pmod("s", F.lit(GROUPS)).cast("int").alias("g")).agg(F.sum("w").alias("w"))
-    return cut(by_group.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("g", "w"))).alias("alone")))
+    rows = map_pieces(docs.join(few_rows(ids, "row"), "row", "left_semi").select("row", "text"), make, "row long, s long, w long", 1 << 20)
+    once = rows.groupBy("s").agg(F.min("row").alias("row"), F.max("row").alias("last"), F.max("w").alias("w")).where("row = last")
+    by_group = once.groupBy("row", F.pmod("s", F.lit(GROUPS)).cast("int").alias("g")).agg(F.sum("w").alias("w"))
+    return by_group.groupBy("row").agg(F.map_from_entries(F.collect_list(F.struct("g", "w"))).alias("alone"))
 
 
 def weights(ids: DataFrame, docs: DataFrame) -> DataFrame:
-    """doc_id, all: the weight of each text's shingles by group."""
-    few = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    kind = dict(docs.dtypes)["doc_id"]
+    """row, all: the weight of each text's shingles by group."""
 
     def make():
         def one(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -259,96 +284,148 @@ def weights(ids: DataFrame, docs: DataFrame) -> DataFrame:
             g = (s.view(np.int64) % GROUPS).astype(np.int64)
             flat = np.bincount(d * GROUPS + g, w, n * GROUPS).astype(np.int64)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * GROUPS), pa.array(flat))
-            return pa.RecordBatch.from_arrays([batch.column("doc_id"), lists], ["doc_id", "all"])
+            return pa.RecordBatch.from_arrays([batch.column("row"), lists], ["row", "all"])
 
         return one
 
-    return map_pieces(docs.join(few, "doc_id", "left_semi"), make, f"doc_id {kind}, all array<bigint>", 1 << 20).dropDuplicates(["doc_id"])
+    return map_pieces(docs.join(few_rows(ids, "row"), "row", "left_semi").select("row", "text"), make, "row long, all array<bigint>", 1 << 20)
 
 
 def bounded(left: DataFrame, docs: DataFrame, made: list[str]) -> DataFrame:
     """The rows of texts that can be linked to another of these, with the weight they can share in `shared`, by group in `groups`."""
-    ids = cut(left.select("doc_id").distinct())
-    alone = weights_alone(ids, docs)
-    sums = alone.select("doc_id", F.aggregate(F.map_values("alone"), F.lit(0).cast("long"), lambda x, y: x + y).alias("sum"))
-    left = left.drop("shared", "groups").join(sums, "doc_id", "left").withColumn("shared", F.col("size") - F.coalesce("sum", F.lit(0)))
-    left = stored(left.where(F.col("shared") >= SIMILARITY * F.col("size") - 1e-6), old := [])
-    every = weights(cut(left.select("doc_id").distinct()), docs).join(alone, "doc_id", "left")
+    ids = stored(left.select("row").distinct(), old := [])
+    alone = stored(weights_alone(ids, docs), old)
+    sums = alone.select("row", F.aggregate(F.map_values("alone"), F.lit(0).cast("long"), lambda x, y: x + y).alias("sum"))
+    left = left.join(sums, "row", "left").withColumn("shared", F.col("size") - F.coalesce("sum", F.lit(0))).drop("sum")
+    left = stored(left.where(F.col("shared") >= SIMILARITY * F.col("size") - 1e-6), old)
+    ids = stored(left.select("row").distinct(), old)
+    every = weights(ids, docs).join(alone, "row", "left")
     groups = F.transform("all", lambda x, i: x - F.coalesce(F.col("alone")[i], F.lit(0)))
-    out = stored(left.join(every.select("doc_id", groups.alias("groups")), "doc_id").select("key", *ROW), made)
+    out = stored(left.join(every.select("row", groups.alias("groups")), "row").select("key", *MEMBER), made)
     discard(docs.sparkSession, old)
     return out
 
 
-ROW = ("doc_id", "order", "bits", "size", "shared", "groups", "c")
+MEMBER = ("row", "order", "bits", "size", "shared", "groups", "c")
 
 
-def links(reps: DataFrame, docs: DataFrame) -> DataFrame | None:
-    """node, label of the representatives (doc_id, keys) that are linked to others; None if there are no candidates."""
-    rows = reps.select("doc_id", "bits", "size", F.col("size").alias("shared"), F.explode("keys").alias("key"))
-    shared = cut(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
-    spark, first, old = docs.sparkSession, [], []
+def alike(one, two) -> F.Column:
+    """Sizes and signature bits do not exclude the similarity. one and two name columns of the two sides."""
+    differ = sum((F.bit_count(one("bits")[i].bitwiseXOR(two("bits")[i])) for i in range(LONGS)), F.lit(0))
+    return (one("size") >= SIMILARITY * two("size")) & (two("size") >= SIMILARITY * one("size")) & (differ <= DIFFER)
+
+
+def still_open(rest: DataFrame, made: list[str]) -> DataFrame:
+    """Buckets that hold two classes, and a text that may lead."""
+    return stored(rest.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.max("strong").alias("strong")).where("lo <> hi AND strong").select("key"), made)
+
+
+def compare(pairs: DataFrame, docs: DataFrame, labels: DataFrame | None) -> DataFrame | None:
+    """Labels with the links among new pairs (a, b)."""
+    if pairs.isEmpty():
+        return labels
+    good = stored(verified(pairs, docs, old := []), old)
+    out = joined(labels, good) if labels is not None or not good.isEmpty() else None
+    discard(docs.sparkSession, old)
+    return out
+
+
+def first_round(reps: DataFrame, docs: DataFrame, old: list[str]) -> tuple[DataFrame, DataFrame | None]:
+    """(members of shared buckets but their leaders: key, row, order; labels). One leader a bucket; rows carry numbers only."""
+    spark = docs.sparkSession
+    rows = reps.select("row", F.explode("keys").alias("key"))
+    shared = stored(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), first := [])
     multi = stored(rows.join(shared, "key"), first)
     # who shares most buckets leads: the text that others were copied from, if it is there, is near to all of them
-    degree = cut(multi.groupBy("doc_id").agg((-F.sum("n")).alias("order")))
-    multi = multi.drop("n").join(degree, "doc_id").withColumn("groups", F.lit(None).cast("array<bigint>")).withColumn("c", F.col("doc_id"))
-    multi = stored(multi.select("key", *ROW), old)
+    degree = stored(multi.groupBy("row").agg((-F.sum("n")).alias("order")), first)
+    multi = stored(multi.drop("n").join(degree, "row"), old)
+    discard(spark, first)
+    lead = stored(multi.groupBy("key").agg(F.min(F.struct("order", "row")).alias("l")).select("key", F.col("l.row").alias("lead")), first)
+    rest = stored(multi.join(lead, "key").where("row <> lead"), old)
+    info = reps.select("row", "bits", "size")
+    one, two = info.select(F.col("row").alias("a"), "bits", "size"), info.select(F.col("row").alias("b"), F.col("bits").alias("bits2"), F.col("size").alias("size2"))
+    pairs = rest.select(F.greatest("row", "lead").alias("a"), F.least("row", "lead").alias("b")).distinct().join(one, "a").join(two, "b")
+    pairs = stored(pairs.where(alike(F.col, lambda c: F.col(c + "2"))).select("a", "b"), first)
+    labels = compare(pairs, docs, None)
     discard(spark, first)
-    labels = None
-    leaders, left, strong = 1, multi, F.col("shared") >= STRONG * F.col("size") - 1e-6
+    return rest.select("key", "row", "order"), labels
+
+
+def links(reps: DataFrame, docs: DataFrame) -> DataFrame | None:
+    """node, label of the representatives (row, keys, bits, size) that are linked to others; None if there are none."""
+    spark, old = docs.sparkSession, []
+    rest, labels = first_round(reps, docs, old)
+    strong = F.col("shared") >= STRONG * F.col("size") - 1e-6
+
+    def classed(rows: DataFrame) -> DataFrame:
+        if labels is None:
+            return rows.withColumn("c", F.col("row"))
+        return rows.drop("c").join(labels.select(F.col("node").alias("row"), "label"), "row", "left").withColumn("c", F.coalesce("label", "row")).drop("label")
+
+    rest = stored(classed(rest), old)
+    open_keys = still_open(rest.withColumn("strong", F.lit(True)), old)
+    if open_keys.isEmpty():
+        discard(spark, old)
+        return labels
+    left = rest.join(open_keys, "key").join(reps.select("row", "bits", "size"), "row")
+    left = bounded(left, docs, new := [])
+    discard(spark, old)
+    old, leaders = new, GROWTH
     while True:
         # the first `leaders` strong members of each bucket lead; each is compared with all members of other classes
-        rank = F.row_number().over(Window.partitionBy("key").orderBy("order", "doc_id"))
-        led = left.where(strong).withColumn("rank", rank).where(F.col("rank") <= leaders).select(F.col("key").alias("lead_key"), F.col("doc_id").alias("lead"), F.col("bits").alias("lead_bits"), F.col("size").alias("lead_size"), F.col("shared").alias("lead_shared"), F.col("groups").alias("lead_groups"), F.col("c").alias("lead_c"))
+        rank = F.row_number().over(Window.partitionBy("key").orderBy("order", "row"))
+        led = left.where(strong).withColumn("rank", rank).where(F.col("rank") <= leaders).select(F.col("key").alias("lead_key"), *(F.col(c).alias(f"lead_{c}") for c in ("row", "bits", "size", "shared", "groups", "c")))
         led = stored(led, old)
-        differ = sum((F.bit_count(F.col("bits")[i].bitwiseXOR(F.col("lead_bits")[i])) for i in range(LONGS)), F.lit(0))
-        sizes = (F.col("size") >= SIMILARITY * F.col("lead_size")) & (F.col("lead_size") >= SIMILARITY * F.col("size"))
-        bound = (1 + SIMILARITY) * F.least("shared", "lead_shared") >= SIMILARITY * (F.col("size") + F.col("lead_size")) - 1e-6
-        if leaders > 1:
-            both = sum((F.least(F.col("groups")[i], F.col("lead_groups")[i]) for i in range(GROUPS)), F.lit(0))
-            bound = bound & ((1 + SIMILARITY) * both >= SIMILARITY * (F.col("size") + F.col("lead_size")) - 1e-6)
+        least = SIMILARITY * (F.col("size") + F.col("lead_size")) - 1e-6
+        both = sum((F.least(F.col("groups")[i], F.col("lead_groups")[i]) for i in range(GROUPS)), F.lit(0))
+        bound = ((1 + SIMILARITY) * F.least("shared", "lead_shared") >= least) & ((1 + SIMILARITY) * both >= least)
         # members of one class need no comparison
-        pairs = left.join(led, (F.col("key") == F.col("lead_key")) & (F.col("c") != F.col("lead_c")) & sizes & bound & (differ <= DIFFER)).select("doc_id", "lead")
-        pairs = cut(pairs.select(F.greatest("doc_id", "lead").alias("a"), F.least("doc_id", "lead").alias("b")).distinct())
-        if not pairs.isEmpty():
-            labels = joined(labels, cut(verified(pairs, docs, made=old)))
+        pairs = left.join(led, (F.col("key") == F.col("lead_key")) & (F.col("c") != F.col("lead_c")) & bound & alike(F.col, lambda c: F.col("lead_" + c)))
+        pairs = stored(pairs.select(F.greatest("row", "lead_row").alias("a"), F.least("row", "lead_row").alias("b")).distinct(), old)
+        labels = compare(pairs, docs, labels)
         # a leader has met everybody in its bucket; what is left matters where it holds two classes
-        rest = left.join(led.select(F.col("lead_key").alias("key"), F.col("lead").alias("doc_id")), ["key", "doc_id"], "left_anti")
-        if labels is not None:
-            rest = rest.join(labels.select(F.col("node").alias("doc_id"), "label"), "doc_id", "left").withColumn("c", F.coalesce("label", "doc_id")).select("key", *ROW)
-        rest = stored(rest, old)
-        open_keys = cut(rest.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.max(strong).alias("strong")).where("lo <> hi AND strong").select("key"))
+        rest = left.join(led.select(F.col("lead_key").alias("key"), F.col("lead_row").alias("row")), ["key", "row"], "left_anti")
+        rest = stored(classed(rest).select("key", *MEMBER), old)
+        open_keys = still_open(rest.withColumn("strong", strong), old)
         if open_keys.isEmpty():
             discard(spark, old)
             return labels
-        left = stored(rest.join(open_keys, "key").select("key", *ROW), new := [])
-        if leaders == 1:
-            old += new
-            left = bounded(left, docs, new := [])
+        left = stored(rest.join(open_keys, "key").select("key", *MEMBER), new := [])
         discard(spark, old)
         old = new
         leaders *= GROWTH
 
 
+def found(docs: DataFrame, made: list[str]) -> DataFrame:
+    """row, doc_id, node: the class of every row, named by the row that stands for it. docs: row, doc_id, text. A table, whose path is added to `made`."""
+    sketches = stored(sketched(docs), old := [])
+    known = sketches.where(F.col("w1").isNotNull())
+    reps = stored(known.groupBy("w1", "w2").agg(F.min("row").alias("row"), *(F.first(c).alias(c) for c in ("keys", "bits", "size"))), old)
+    labels = links(reps.drop("w1", "w2"), docs.select("row", "text"))
+    ends = reps.select("w1", "w2", F.col("row").alias("rep"))
+    ends = ends.withColumn("label", F.col("rep")) if labels is None else ends.join(labels.withColumnRenamed("node", "rep"), "rep", "left")
+    ends = ends.select("w1", "w2", F.coalesce("label", "rep").alias("node"))
+    out = stored(sketches.select("row", "doc_id", "w1", "w2").join(ends, ["w1", "w2"], "left").select("row", "doc_id", F.coalesce("node", "row").alias("node")), made)
+    discard(docs.sparkSession, old)
+    return out
+
+
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and class_id, one row for each input row."""
-    docs = texts(docs, id_col=id_col, text_col=text_col)
-    sketches = cut(sketched(docs))
-    known = sketches.where(F.col("doc_id").isNotNull() & F.col("whole").isNotNull())
-    groups = cut(known.groupBy("whole").agg(F.min("doc_id").alias("rep")))
-    members = cut(sketches.select("doc_id", "whole").join(groups, "whole", "left").select("doc_id", F.when(F.col("doc_id").isNull(), F.lit(None)).otherwise(F.coalesce("rep", "doc_id")).alias("rep")))
-    reps = known.join(groups.select(F.col("rep").alias("doc_id"), F.col("whole").alias("w")), "doc_id").where("whole = w").select("doc_id", "keys", "bits", "size").dropDuplicates(["doc_id"])
-    labels = links(reps, docs)
-    if labels is None:
-        return members.select("doc_id", F.col("rep").alias("class_id"))
-    out = members.join(labels.withColumnRenamed("node", "rep"), "rep", "left")
-    return out.select("doc_id", F.coalesce("label", "rep").alias("class_id"))
+    row = fresh(docs, "row")
+    every = numbered(docs, row, made := [], [id_col, text_col])
+    f = found(every.select(F.col(row).alias("row"), F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")), [])
+    discard(docs.sparkSession, made)
+    lowest = f.groupBy("node").agg(F.min("doc_id").alias("class_id"))
+    return f.join(lowest, "node").select("doc_id", "class_id")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The documents, all their columns, without those whose class has a lower doc_id; of rows repeated under one id one stays."""
-    found = cut(classes(docs))
-    losers = found.where("class_id <> doc_id").select(F.col("doc_id").alias("lost")).distinct()
-    out = docs.join(losers, docs["doc_id"] == F.col("lost"), "left_anti")
-    again = found.where(F.col("doc_id").isNotNull()).groupBy("doc_id").count().where("count > 1").limit(1).count()
-    return out.where(F.col("doc_id").isNotNull()).dropDuplicates(["doc_id"]).unionByName(out.where(F.col("doc_id").isNull())) if again else out
+    """The documents, all their columns: of each class the row with the lowest doc_id (null last), of these the first."""
+    row = fresh(docs, "row")
+    every = numbered(docs, row, [])
+    f = found(every.select(F.col(row).alias("row"), "doc_id", F.coalesce("text", F.lit("")).alias("text")), made := [])
+    best = f.groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("best"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    lost = stored(f.join(best.select("node", F.col("best.row").alias("stays")), "node").where("row <> stays").select("row"))
+    discard(docs.sparkSession, made)
+    return every.join(few_rows(lost, "row").withColumnRenamed("row", row), row, "left_anti").select(*docs.columns)
