@@ -29,6 +29,8 @@ def texts(docs: DataFrame, *more: str, id_col: str = "doc_id", text_col: str = "
 
 #: Numbers of rows go to all tasks up to this many; beyond it Spark shuffles.
 BROADCAST_ROWS = 2_000_000
+#: Vocabulary files go to all tasks up to this size.
+SHIPPED_BYTES = 64 << 20
 #: Rows of one file that numbered() can tell apart, as a power of two.
 FILE_ROWS = 40
 
@@ -40,6 +42,15 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+def shipped(spark: SparkSession, path: str):
+    """The bytes of a vocabulary file that the driver can read, broadcast to all tasks; a file of over SHIPPED_BYTES is refused."""
+    with open(path, "rb") as f:
+        data = f.read(SHIPPED_BYTES + 1)
+    if len(data) > SHIPPED_BYTES:
+        raise ValueError(f"{path} has more than {SHIPPED_BYTES} bytes")
+    return spark.sparkContext.broadcast(data)
+
+
 def numbered(df: DataFrame, name: str, made: list[str], columns: list[str] | None = None) -> DataFrame:
     """df (or some columns of it) with a column `name` (long) that tells its rows apart and is the same whenever df is read again, also after an executor is lost.
 
