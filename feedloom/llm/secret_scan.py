@@ -1,33 +1,37 @@
 """Secrets: fixed patterns, completed by a token-efficiency test.
 
-A byte-pair vocabulary covers language and ordinary identifiers with few tokens and random strings with many. A string
-whose characters per token fall below a cutoff counts as a secret, unless it is a known digest (a hexadecimal string of
-a digest's length behind a word that names a digest or a commit), a UUID, or part of a path, an address or an e-mail.
+A byte-pair vocabulary covers language and ordinary identifiers with few tokens and random strings with many. Every string of
+LEAST or more characters whose characters per token fall below a cutoff counts as a secret, unless it is a known digest (a
+hexadecimal string of a digest's length behind a word that names a digest or a commit), a UUID, or part of a path, an address or
+an e-mail. Strings in capitals are judged in lower case, as vocabularies hold few words in capitals.
 A string with slashes or behind a full stop is part of a path or address only by a scheme before it, a usual root, or if each of
 its parts is short or reads as words: keys hold slashes too, and the parts of a signed token follow full stops.
 
 Edge cases: null or empty text has no spans. Offsets are code points, the end is exclusive. Repeated rows are each
-answered. Patterns are linear in the text.
+answered. Patterns are linear in the text, and long strings are encoded in parts of PART characters.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import map_pieces, texts
+from .common import map_pieces, shipped, texts
 
 KINDS = ("assign", "access", "hex", "random")
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+#: Fixed value: the pattern by which texts are split before the merges of that vocabulary.
+PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Characters per token. English words take over 4, base-62 noise takes 1.2 to 1.7.
 CUTOFF = 2.0
 #: Shorter strings say too little.
 LEAST = 20
+PART = 256
 
 
 def _any_case(word: str) -> str:
@@ -49,15 +53,14 @@ SHORT_PART = 3
 
 
 @lru_cache(maxsize=4)
-def encoding(path: str):
+def encoding(file: bytes, pattern: str = PATTERN):
+    """The encoder of a rank file's bytes."""
     import base64
 
-    import public_tokenizers
     import tiktoken
 
-    with open(path, "rb") as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, file.splitlines())}
+    return tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -69,12 +72,6 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(found + [(m.start(), 2, m.end()) for m in HEX.finditer(text)])
 
 
-def mixed(s: str) -> bool:
-    """Digits among letters, or capitals inside: plain words and rules of dashes are no candidates."""
-    digits = sum(c.isdigit() for c in s)
-    return 2 <= digits < len(s) or sum(a.islower() and b.isupper() for a, b in zip(s, s[1:], strict=False)) >= 4
-
-
 def known(text: str, a: int, b: int) -> bool:
     s = text[a:b]
     if re.fullmatch(r"[0-9a-fA-F]+", s) and len(s) in DIGEST_LENGTHS and DIGEST.search(text[max(0, a - 24) : a]):
@@ -92,16 +89,34 @@ def placed(text: str, a: int, b: int, addresses: list[tuple[int, int]], enc, cut
 
 
 def efficiency(s: str, enc) -> float:
-    return len(s) / max(1, len(enc.encode_ordinary(s)))
+    """Characters per token."""
+    if s.isupper():
+        s = s.lower()
+    return len(s) / max(1, sum(len(enc.encode_ordinary(s[i : i + PART])) for i in range(0, len(s), PART)))
+
+
+def united(spans) -> tuple[list[int], list[int]]:
+    """Begins and ends of spans, those that overlap put together; spans come by start."""
+    begins: list[int] = []
+    ends: list[int] = []
+    for a, _, b in spans:
+        if ends and a < ends[-1]:
+            ends[-1] = max(ends[-1], b)
+        else:
+            begins.append(a)
+            ends.append(b)
+    return begins, ends
 
 
 def all_spans(text: str, enc, cutoff: float = CUTOFF) -> tuple[list, list]:
     base = base_spans(text)
     add = []
     addresses = [m.span() for m in ADDRESS.finditer(text)] if "://" in text else []
+    begins, ends = united(base)
     for m in CANDIDATE.finditer(text):
         a, b = m.span()
-        if mixed(m[0]) and not any(a < y and x < b for x, _, y in base) and not known(text, a, b) and efficiency(m[0], enc) < cutoff and not placed(text, a, b, addresses, enc, cutoff):
+        i = bisect_left(begins, b) - 1  # the last base span that begins before the end
+        if (i < 0 or ends[i] <= a) and not known(text, a, b) and efficiency(m[0], enc) < cutoff and not placed(text, a, b, addresses, enc, cutoff):
             add.append((a, 3, b))
     return base, sorted(base + add)
 
@@ -110,11 +125,12 @@ def written(spans) -> str:
     return ",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in spans)
 
 
-def scan(docs: DataFrame, vocabulary: str = VOCABULARY, cutoff: float = CUTOFF, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def scan(docs: DataFrame, vocabulary: str = VOCABULARY, cutoff: float = CUTOFF, id_col: str = "doc_id", text_col: str = "text", pattern: str = PATTERN) -> DataFrame:
     """doc_id, counts of base spans by kind, base_sha256, all spans, n_added (those of the token-efficiency test)."""
+    file = shipped(docs.sparkSession, vocabulary)
 
     def make():
-        enc = encoding(vocabulary)
+        enc = encoding(file.value, pattern)
 
         def one(batch: pa.RecordBatch) -> pa.RecordBatch:
             cols: list[list] = [[] for _ in range(6)]
