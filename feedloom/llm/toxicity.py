@@ -9,12 +9,14 @@ or more are the offending offsets.
 Tokens without any learnt form all have the same potential, so a run of g of them is one 2 x 2 matrix to the power g:
 the chain is exact, and only tokens with a learnt form cost arithmetic.
 
-The fit takes at most SAMPLE labelled documents of each class (by the hash of doc_id), whole texts. Labels, language,
-source and doc_id are never inputs of a score.
+The fit takes at most SAMPLE labelled documents of each class, by the hash of doc_id and up to SAMPLE_BYTES of text, whole
+texts; nothing else is bounded: all forms that pass the test are learnt, from all their sequences. Labels, language, source and
+doc_id are never inputs of a score.
 
 Edge cases: null or empty text is scored as a text without any learnt form. Rows labelled both ways count as toxic; null
-labels and labels of unknown rows count nowhere. Without labelled rows of both classes every score is the toxic share.
-Repeated rows are each answered.
+labels and labels of unknown rows count nowhere. Of texts repeated under one labelled doc_id the first in byte order is learnt
+from. Without labelled rows of both classes every score is the toxic share. Repeated rows are each answered. Other columns,
+whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -27,15 +29,17 @@ from dataclasses import dataclass, field
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import map_pieces, texts
+from .common import discard, map_pieces, stored, texts
 
-#: Labelled documents that the fit reads at most, clean and toxic.
-SAMPLE = (2400, 1200)
-#: Learnt forms at most, and the least number of toxic documents that hold one.
-FORMS, SUPPORT = 3000, 4
+#: Labelled documents that the fit reads at most, clean and toxic; and bytes of their texts, each (of one text a 32nd of it).
+SAMPLE, SAMPLE_BYTES = (2400, 1200), 32 << 20
+#: The least number of toxic documents that hold a learnt form.
+SUPPORT = 4
+#: Tokens of a training sequence.
+SEQUENCE = 40
 WORD = re.compile(r"[^\W\d_]+")
 KEPT = 1_000_000
 
@@ -167,7 +171,7 @@ def fit(toxic: list[str], clean: list[str]) -> Model:
         if c >= SUPPORT and c > share * n:
             x = c / n
             evidence[f] = n * (x * np.log(x / share) + (0 if x == 1 else (1 - x) * np.log((1 - x) / (1 - share))))
-    learnt = sorted((f for f, v in evidence.items() if v > need), key=lambda f: (-evidence[f], f))[:FORMS]
+    learnt = sorted((f for f, v in evidence.items() if v > need), key=lambda f: (-evidence[f], f))
     strong = {f for f in learnt if held[0][f] <= 0.1 * held[1][f]}
     number = {f: i for i, f in enumerate(learnt)}
     strong &= set(learnt)
@@ -179,16 +183,20 @@ def fit(toxic: list[str], clean: list[str]) -> Model:
             cache[w] = tuple(number[f] for f in fs if f in number), bool(fs & strong)
         return cache[w]
 
-    # sequences of at most 40 tokens; those without any learnt form stand for all others and are thinned by a fixed step
-    seqs, plain = [], 0
+    # sequences without any learnt form differ by their length alone: one stands for all of a length, with their number
+    seqs, plain = [], Counter()
     for y, many in ((1, toxic), (0, clean)):
         for t in many:
             words = WORD.findall(t)
-            for i in range(0, len(words), 40):
-                part = [look(w) for w in words[i : i + 40]]
-                if any(f for f, _ in part) or (plain := plain + 1) % 20 == 0:
+            for i in range(0, len(words), SEQUENCE):
+                part = [look(w) for w in words[i : i + SEQUENCE]]
+                if any(f for f, _ in part):
                     seqs.append(([f for f, _ in part], [int(s and y) for _, s in part]))
-    B, L = len(seqs), 40
+                else:
+                    plain[len(part)] += 1
+    times = np.array([1.0] * len(seqs) + [float(n) for _, n in sorted(plain.items())])
+    seqs += [([()] * k, [0] * k) for k, _ in sorted(plain.items())]
+    B, L = len(seqs), SEQUENCE
     rows, cols, which = [], [], []
     size = np.array([len(f) for f, _ in seqs])
     Y = np.zeros((B, L), int)
@@ -203,7 +211,7 @@ def fit(toxic: list[str], clean: list[str]) -> Model:
     w, bias, trans = np.zeros(len(learnt)), -4.0, np.zeros((2, 2))
     g_w, g_b, g_t = np.full(len(learnt), 1e-6), 1e-6, np.full((2, 2), 1e-6)
     pair_true = np.zeros((2, 2))
-    np.add.at(pair_true, (Y[:, :-1][mask[:, 1:]], Y[:, 1:][mask[:, 1:]]), 1)
+    np.add.at(pair_true, (Y[:, :-1][mask[:, 1:]], Y[:, 1:][mask[:, 1:]]), np.broadcast_to(times[:, None], (B, L - 1))[mask[:, 1:]])
     for _ in range(60):
         e = np.zeros((B, L))
         np.add.at(e, (rows, cols), w[which])
@@ -225,9 +233,9 @@ def fit(toxic: list[str], clean: list[str]) -> Model:
         p = p[:, :, 1] / p.sum(2)
         pair = fore[:, :-1, :, None] * A * (local * back)[:, 1:, None, :]
         pair /= pair.sum((2, 3), keepdims=True)
-        diff = np.where(mask, Y - p, 0.0)
+        diff = np.where(mask, Y - p, 0.0) * times[:, None]
         dw = np.bincount(which, diff[rows, cols], len(learnt)) - 0.02 * w
-        db, dt = diff.sum(), pair_true - (pair * mask[:, 1:, None, None]).sum((0, 1)) - 0.02 * trans
+        db, dt = diff.sum(), pair_true - (pair * (mask[:, 1:] * times[:, None])[:, :, None, None]).sum((0, 1)) - 0.02 * trans
         g_w, g_b, g_t = g_w + dw * dw, g_b + db * db, g_t + dt * dt
         w, bias, trans = w + 0.8 * dw / np.sqrt(g_w), bias + 0.8 * db / np.sqrt(g_b), trans + 0.3 * dt / np.sqrt(g_t)
     model.weight = {f: float(w[i]) for f, i in number.items() if abs(w[i]) > 1e-3}
@@ -259,10 +267,13 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     known = known.where(~held_out(F.col("doc_id")))
     first = lambda y: known.where(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE[y])
     few = first(1).unionByName(first(0))
-    if not docs.columns:
-        return fit([], [])
+    made: list[str] = []
     rows = docs.select("doc_id", "text").join(F.broadcast(few), "doc_id").where(F.col("text").isNotNull())  # the sample has a fixed bound
-    rows = sorted(rows.dropDuplicates(["doc_id"]).collect(), key=lambda r: r["doc_id"])
+    rows = stored(rows.groupBy("doc_id", "toxic").agg(F.min("text").alias("text")), made)
+    so_far = Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    chosen = rows.select("doc_id", "toxic", F.octet_length("text").alias("n")).where(F.col("n") <= SAMPLE_BYTES // 32).withColumn("all", F.sum("n").over(so_far)).where(F.col("all") <= SAMPLE_BYTES)
+    rows = sorted(rows.join(F.broadcast(chosen.select("doc_id")), "doc_id").collect(), key=lambda r: r["doc_id"])
+    discard(docs.sparkSession, made)
     return fit([r["text"] for r in rows if r["toxic"] == 1], [r["text"] for r in rows if r["toxic"] == 0])
 
 
