@@ -9,6 +9,9 @@ from urllib.parse import parse_qs, urlencode
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.facets import facet_counts
+from .search import normal, searchable
+
 PERIODS = {"all": None, "24h": 24 * 3600, "3d": 72 * 3600, "7d": 168 * 3600}
 #: Parameters of a query string: sets as comma-separated lists, enumerations with their values (the default first), switches.
 SETS, ENUMS, SWITCHES = ("cat", "plat", "store"), {"period": tuple(PERIODS), "sort": ("new", "hot"), "lang": ("ja", "all", "en")}, ("deal", "new")
@@ -91,7 +94,7 @@ class FeedQuery:
             t["read"] = ~F.col("is_read")
         if self.new:
             t["new"] = (F.col("seen") > visit) & F.lit(visit > 0)
-        for i, w in enumerate(self.q.lower().split()):
+        for i, w in enumerate(normal(self.q).split()):
             t[f"text{i}"] = ~F.contains("hay", F.lit(w[1:])) if w.startswith("-") and len(w) > 1 else F.contains("hay", F.lit(w))
         return t
 
@@ -99,12 +102,34 @@ class FeedQuery:
         """rejected, hidden, muted or shown; a row both hidden and muted counts as hidden."""
         ok = F.coalesce(reduce(Column.__and__, self.terms(now, visit).values(), F.lit(True)), F.lit(False))
         hidden = F.coalesce(F.arrays_overlap("cats", F.array(*map(F.lit, sorted(self.hidden_topics)))), F.lit(False)) if self.hidden_topics else F.lit(False)
-        muted = F.coalesce(reduce(Column.__or__, [F.contains("hay", F.lit(m.lower())) for m in self.mute], F.lit(False)), F.lit(False))
+        muted = F.coalesce(reduce(Column.__or__, [F.contains("hay", F.lit(normal(m))) for m in self.mute], F.lit(False)), F.lit(False))
         return F.when(~ok, "rejected").when(hidden, "hidden").when(muted, "muted").otherwise("shown")
 
+    def counted(self, items: DataFrame, now: int, visit: int = 0) -> DataFrame:
+        """facet, value, n over items that are neither hidden nor muted: each facet leaves out its own term, deals their stores too."""
+        terms = self.terms(now, visit)
+        text = [k for k in terms if k.startswith("text")]
+        conditions = {k: v for k, v in terms.items() if k not in text} | {"text": reduce(Column.__and__, (terms[k] for k in text), F.lit(True))}
+        shown = ~F.coalesce(F.arrays_overlap("cats", F.array(*map(F.lit, sorted(self.hidden_topics)))), F.lit(False)) if self.hidden_topics else F.lit(True)
+        muted = F.coalesce(reduce(Column.__or__, [F.contains("hay", F.lit(normal(m))) for m in self.mute], F.lit(False)), F.lit(False))
+        deals = F.when(F.col("deal"), F.array(F.lit("deal"))).otherwise(F.array().cast("array<string>"))
+        stores = F.when(F.col("deal"), F.col("stores")).otherwise(F.array().cast("array<string>"))
+        facets = {"cat": (F.col("cats"), ("cat",)), "plat": (F.col("plats"), ("plat",)), "lang": (F.array("lang"), ("lang",)), "deal": (deals, ("deal", "store")), "store": (stores, ("store",))}
+        return facet_counts(items.where(shown & ~muted), conditions, facets)
+
     def apply(self, items: DataFrame, now: int, visit: int = 0) -> DataFrame:
         order = [F.desc_nulls_last("pub"), F.col("ord")]
         return items.where(self.disposition(now, visit) == "shown").orderBy(*([F.desc("originals")] if self.sort == "hot" else []), *order)
 
 
+def interactive(items: DataFrame) -> DataFrame:
+    """Judged items with what terms() reads: hay, deal as a flag, stores, originals (other sources that are no reposts), seen, is_read."""
+    stores = F.coalesce("deal.stores", F.array().cast("array<string>"))
+    x = items.withColumn("stores", stores).withColumn("deal", F.col("deal").isNotNull())
+    x = x.withColumn("hay", searchable(F.concat_ws(" ", "title", "summary", F.array_join("works", " "), "source")))
+    others = F.size(F.filter(F.slice("sources", 2, F.greatest(F.size("sources"), F.lit(1))), lambda s: ~F.coalesce(s["syndicated"], F.lit(False)))) if "sources" in items.columns else F.lit(0)
+    x = x.withColumn("originals", others)
+    return x if "seen" in items.columns else x.withColumn("seen", F.col("pub"))
+
+
 DEFAULTS = {f.name: f.default for f in fields(FeedQuery)}

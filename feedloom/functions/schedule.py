@@ -1,10 +1,11 @@
 """Dated announcements in short texts: (date, verb) pairs, with the year inferred from the time of publication.
 
-A date is year-month-day, month-day, a month alone, or a word for today. The verb is looked for in the characters after it, and
-the nearest counts (ties: order of the rules). No announcement: "until" after the date, a past, cancelled or postponed verb, an
-excluded word or a sentence's end in between. A date without a year is in the year of publication, local time, or the next if it
-would lie more than 150 days back. Days up to 31 pass for every month, so dates stay strings. Null or empty texts give none;
-without a time of publication, dates without a year give none.
+A date is "[2030年]12月10日", a month alone, "12/10", or a word for today. The verb is looked for in the characters behind it, and
+the nearest counts (ties: order of the rules). No announcement: "until" behind the date, with or without a short bracket between; a
+verb that goes on in the past, cancelled or put off; an excluded word or a sentence's end in between; a text that a skip pattern
+matches. A date without a year is in the year of publication, local time, or in the next if it would lie more than 150 days back. Days
+up to 31 pass for every month, so dates stay strings. Texts are folded first. Null or empty texts give none, nor do texts without
+a time of publication.
 """
 
 from __future__ import annotations
@@ -14,17 +15,20 @@ import re
 from dataclasses import dataclass, field
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ruleset import folded
+
 
 @dataclass(frozen=True)
 class ScheduleRules:
-    verbs: dict = field(default_factory=lambda: {"release": ("発売", "released", "launch", "out now"), "start": ("開始", "配信", "begins", "starts"), "event": ("開催", "is held"), "end": ("終了", "ends")})
-    until: tuple = ("まで", " at the latest")
-    not_again: tuple = ("した", "済", "中止", "延期", "ed earlier", " cancelled", " postponed")
-    between: tuple = ("抽選", "予約", "lottery", "preorder")
+    verbs: dict = field(default_factory=lambda: {"release": ("発売", "リリース", "released", "launch", "out now"), "start": ("開始", "配信", "begins", "starts"), "event": ("開催", "is held"), "end": ("終了", "ends")})
+    until: tuple = ("まで", "〆", "at the latest")
+    not_again: tuple = ("され", "された", "した", "していた", "済", "中止", "延期", "見送", "ed earlier", " cancelled", " postponed")
+    between: tuple = ("抽選", "予約", "PV", "lottery", "preorder")
     today: tuple = ("本日", "today")
+    skip: tuple = ()
     window: int = 16
     today_window: int = 6
     back_days: int = 150
@@ -32,51 +36,51 @@ class ScheduleRules:
 
 
 RULES = ScheduleRules()
-FULL = re.compile(r"(?<![0-9])(?:(?P<y>[12][0-9]{3})[年/.-])?(?P<m>[0-9]{1,2})[月/](?P<d>[0-9]{1,2})(?![0-9])日?")
-MONTH = re.compile(r"(?<![0-9])(?:(?P<y>[12][0-9]{3})年)?(?P<m>[0-9]{1,2})月(?![0-9])(?:中旬|上旬|下旬|期)?")
+DATES = r"(?:(?P<y>\d{4})年\s*)?(?P<m>\d{1,2})月(?:\s*(?P<d>\d{1,2})日)?(?P<term>期)?|(?<![\d/])(?P<m2>\d{1,2})/(?P<d2>\d{1,2})(?![\d/])|(?P<now>%s)"
+
+
+def dates(text: str, pub: int, rules: ScheduleRules):
+    """(end, reach, year, month, day) of the dates in a folded text; a day of None is a month alone."""
+    seen = (datetime.datetime(1970, 1, 1) + datetime.timedelta(seconds=pub, hours=rules.offset_hours)).date()
+    for m in re.finditer(DATES % "|".join(rf"(?<![A-Za-z0-9]){re.escape(w)}" for w in rules.today), text, re.IGNORECASE | re.ASCII):
+        if m["now"]:
+            yield m.end(), rules.today_window, seen.year, seen.month, seen.day
+            continue
+        month = int(m["m"] or m["m2"])
+        day = m["d2"] or (None if m["term"] else m["d"])
+        if not 1 <= month <= 12 or day is not None and not 1 <= int(day) <= 31:
+            continue
+        day = None if day is None else int(day)
+        # a day that the month lacks is as far from its first as the number says
+        then = datetime.date(seen.year, month, 1) + datetime.timedelta(days=(day or 1) - 1)
+        year = int(m["y"]) if m["y"] else seen.year + (then < seen - datetime.timedelta(days=rules.back_days))
+        yield m.end(), rules.window, year, month, day
 
 
-def with_year(year: str | None, month: int, day: int, seen: datetime.date | None, back_days: int) -> int | None:
-    if year:
-        return int(year)
-    if seen is None:
+def announced(behind: str, rules: ScheduleRules) -> str | None:
+    """The verb that the characters behind a date announce."""
+    if re.match(r"\s*(?:[（(][^）)]{1,3}[）)]\s*)?(?:%s)" % "|".join(map(re.escape, rules.until)), behind):
+        return None
+    low = behind.lower()
+    hits = [(at, k, verb, w) for k, (verb, words) in enumerate(rules.verbs.items()) for w in words if (at := low.find(folded(w).lower())) >= 0]
+    if not hits:
         return None
-    then = datetime.date(seen.year, month, 1) + datetime.timedelta(days=day - 1)
-    return seen.year + (then < seen - datetime.timedelta(days=back_days))
+    at, _, verb, word = min(hits, key=lambda h: h[:2])
+    before, rest = behind[:at], low[at + len(folded(word)) :]
+    if rest.startswith(rules.not_again) or any(folded(w) in before for w in rules.between) or re.search("[。!?]", before):
+        return None
+    return verb
 
 
 def announcements(text: str | None, pub: int | None, rules: ScheduleRules = RULES) -> list[tuple[str, str]]:
-    if not text:
+    if not text or pub is None:
         return []
-    seen = None
-    if pub is not None:
-        seen = (datetime.datetime(1970, 1, 1) + datetime.timedelta(seconds=int(pub), hours=rules.offset_hours)).date()
-    found = [(m.start(), m.end(), m["y"], int(m["m"]), int(m["d"])) for m in FULL.finditer(text)]
-    taken = [(a, b) for a, b, *_ in found]
-    found += [(m.start(), m.end(), m["y"], int(m["m"]), 0) for m in MONTH.finditer(text) if not any(a < m.end() and m.start() < b for a, b in taken)]
-    found += [(m.start(), m.end(), None, -1, -1) for w in rules.today for m in re.finditer(rf"(?<![A-Za-z0-9]){re.escape(w)}", text, re.I)]
-    out = {}
-    for _, end, year, month, day in sorted(found, key=lambda f: f[:2]):
-        if month == -1:
-            if seen is None:
-                continue
-            date, reach = seen.isoformat(), rules.today_window
-        elif not 1 <= month <= 12 or day > 31 or (day < 1 and day != 0):
-            continue
-        elif (y := with_year(year, month, max(day, 1), seen, rules.back_days)) is None:
-            continue
-        else:
-            date, reach = f"{y:04d}-{month:02d}" + (f"-{day:02d}" if day else ""), rules.window
-        tail = text[end:].lower()
-        if tail.startswith(rules.until):
-            continue
-        hits = [(at, i, v, w) for i, (v, ws) in enumerate(rules.verbs.items()) for w in ws if 0 <= (at := tail.find(w)) <= reach - len(w)]
-        if not hits:
-            continue
-        at, _, verb, word = min(hits, key=lambda h: h[:2])
-        if tail[at + len(word) :].startswith(rules.not_again) or any(w in tail[:at] for w in rules.between) or re.search("[。.!?！？\n]", tail[:at]):
-            continue
-        out.setdefault((date, verb))
+    text, out = folded(text), {}
+    if any(re.search(p, text, re.IGNORECASE) for p in rules.skip):
+        return []
+    for end, reach, year, month, day in dates(text, int(pub), rules):
+        if verb := announced(text[end : end + reach], rules):
+            out.setdefault((f"{year:04d}-{month:02d}" + ("" if day is None else f"-{day:02d}"), verb))
     return list(out)
 
 
@@ -88,3 +92,40 @@ def schedules(text: str, pub: str, rules: ScheduleRules = RULES) -> Column:
         return pd.Series([[{"date": d, "verb": v} for d, v in announcements(x, None if pd.isna(y) else int(y), rules)] for x, y in zip(t, p)])
 
     return run(text, pub)
+
+
+def calendar(items: DataFrame, now: int, rules: ScheduleRules = RULES, lang: str = "ja", back: int = 14, ahead: int = 400) -> DataFrame:
+    """subject, date, verb, ord (the item shown) and sources of every announcement near `now` (seconds), by date, then most sources.
+
+    items: ord, title, summary, pub, lang, work (its first name or null), subject (what makes announcements one: the name's key, else the
+    title), sources (a number). The title counts; the summary only if the title announces nothing and there is a name. Of one subject,
+    date and verb the sources are added up, and that item is shown which has more of its own than all before it have together.
+    """
+    x = items.where(F.col("lang") == lang).withColumn("found", schedules("title", "pub", rules))
+    wanted = (F.size("found") == 0) & F.col("work").isNotNull() & (F.coalesce("summary", F.lit("")) != "")
+    x = x.withColumn("found", F.when(wanted, schedules(F.when(wanted, F.col("summary")), "pub", rules)).otherwise(F.col("found")))
+    x = x.select("ord", "subject", "sources", F.explode("found").alias("e")).select("ord", "subject", "sources", "e.date", "e.verb")
+    first = F.make_date(F.substring("date", 1, 4).cast("int"), F.substring("date", 6, 2).cast("int"), F.lit(1))
+    day = F.length("date") > 7
+    start = F.when(day, F.date_add(first, F.substring("date", 9, 2).cast("int") - 1)).otherwise(first)
+    end = F.when(day, F.date_add(start, 1)).otherwise(F.add_months(first, 1))
+    seconds = lambda d: F.unix_date(d).cast("long") * 86400
+    x = x.where((seconds(end) >= now - back * 86400) & (seconds(start) <= now + ahead * 86400))
+    key = ["subject", "date", "verb"]
+    before = F.sum("sources").over(Window.partitionBy(*key).orderBy("ord").rowsBetween(Window.unboundedPreceding, -1))
+    x = x.withColumn("leads", F.when(before.isNull() | (F.col("sources") > before), F.col("ord")))
+    return x.groupBy(*key).agg(F.max("leads").alias("ord"), F.sum("sources").alias("sources")).orderBy("date", F.desc("sources"), "subject", "verb")
+
+
+def upcoming(entries: DataFrame, today: str, verbs=()) -> DataFrame:
+    """Entries of this month on that name the month alone, and of today on that name the day; of some verbs, if any are given."""
+    keep = F.when(F.length("date") > 7, F.col("date") >= today).otherwise(F.col("date") >= today[:7])
+    return entries.where(keep & (F.col("verb").isin(list(verbs)) if verbs else F.lit(True)))
+
+
+def by_month(entries: DataFrame) -> DataFrame:
+    """month, loose (entries that name the month alone) and days (struct day, entries), each in order; months without entries are not there."""
+    e = entries.groupBy(F.substring("date", 1, 7).alias("month"), "date").agg(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("sources")).alias("s"), "subject", "verb", "ord"))), lambda x: x["ord"]).alias("entries"))
+    loose = F.flatten(F.collect_list(F.when(F.length("date") == 7, F.col("entries"))))
+    days = F.array_sort(F.collect_list(F.when(F.length("date") > 7, F.struct(F.col("date").alias("day"), "entries"))))
+    return e.groupBy("month").agg(loose.alias("loose"), days.alias("days")).orderBy("month")

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from ..functions.cutting import cut
 
+# Time limits, similarities and least lengths.
 HOUR = 3600
 FAR, NEAR = 72 * HOUR, 12 * HOUR
 ALIKE_FAR, ALIKE, ALIKE_SHARED, ALIKE_LEADER = 0.7, 0.55, 0.4, 0.45
@@ -35,8 +36,8 @@ def jaccard(a: set, b: set) -> float:
 
 
 def pair_rule(norm_a: str, works_a, norm_b: str, works_b) -> bool:
-    """Items on a common entity are compared without its name, at a lower threshold."""
-    common = sorted(set(works_a) & set(works_b), key=lambda w: (-len(w), w))
+    """Items on a common entity are compared without its name, at a lower threshold. Names go in the order in which the first item has them."""
+    common = [w for w in works_a if w in set(works_b)]
     for w in common:
         norm_a, norm_b = norm_a.replace(w, ""), norm_b.replace(w, "")
     return jaccard(grams(norm_a), grams(norm_b)) >= (ALIKE_SHARED if common else ALIKE)
@@ -54,7 +55,7 @@ def column_jaccard(a: str, b: str) -> Column:
 def _nodes(items: DataFrame) -> DataFrame:
     x = items.select(
         "ord", F.coalesce("lang", F.lit("\0")).alias("lang"), F.col("pub").cast("long").alias("pub"), F.coalesce("norm", F.lit("")).alias("norm"),
-        F.array_sort(F.array_distinct(F.coalesce("works", F.array().cast("array<string>")))).alias("works"),
+        F.array_distinct(F.coalesce("works", F.array().cast("array<string>"))).alias("works"),
         F.coalesce("syndicated", F.lit(False)).alias("syndicated"), F.coalesce("truncated", F.lit(False)).alias("truncated"),
     )
     alone = F.when(F.length("norm") < MIN_EXACT, F.col("ord"))
@@ -96,6 +97,16 @@ def _similar(x: DataFrame, width: int, least: float, more: Column) -> DataFrame:
     return pairs.where(more & fits).where(column_jaccard("g_a", "g_b") >= least)
 
 
+def similar_pairs(x: DataFrame, width: int, least: float) -> DataFrame:
+    """node_a, node_b, inter, uni: pairs at most `width` apart whose bigrams are as alike as `least`, the earlier first. x: node, lang, pub, norm."""
+    x = x.withColumns({"g": gram_column("norm"), "works": F.array().cast("array<string>"), "syndicated": F.lit(False)})
+    each = x.select("node", F.explode("g").alias("t"))
+    rare = each.join(each.groupBy("t").count(), "t").groupBy("node").agg(F.transform(F.array_sort(F.collect_list(F.struct("count", "t"))), lambda s: s["t"]).alias("rare"))
+    hits = _similar(cut(x.join(rare, "node")), width, least, F.lit(True)).dropDuplicates(["node_a", "node_b"])
+    inter = F.size(F.array_intersect("g_a", "g_b")).cast("long")
+    return hits.select("node_a", "node_b", inter.alias("inter"), (F.size("g_a") + F.size("g_b") - inter).cast("long").alias("uni"))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, part): the lowest node of each connected part. Lowest neighbours with pointer jumping; rounds grow with the logarithm of a chain."""
     both = cut(edges.select("a", "b").union(edges.select("b", "a")).distinct())
@@ -153,9 +164,8 @@ def cluster(items: DataFrame) -> DataFrame:
 
     shape = ["node_a", "node_b", "pub_a", "pub_b", "norm_a", "norm_b", "works_a", "works_b"]
     unlike = _similar(dated, NEAR, ALIKE, ~F.arrays_overlap("works_a", "works_b")).select(shape)
-    strip = "aggregate(array_sort(array_intersect(works_a, works_b), (x, y) -> CASE WHEN length(x) <> length(y) THEN sign(length(y) - length(x)) WHEN x < y THEN -1 WHEN x > y THEN 1 ELSE 0 END), norm_%s, (s, w) -> replace(s, w, ''))"
-    shared = _close(dated, F.col("works"), NEAR).withColumn("s_a", F.expr((strip % "a").replace("sign(length(y) - length(x))", "CAST(sign(length(y) - length(x)) AS INT)")))
-    shared = shared.withColumn("s_b", F.expr((strip % "b").replace("sign(length(y) - length(x))", "CAST(sign(length(y) - length(x)) AS INT)"))).withColumn("sg_a", gram_column("s_a")).withColumn("sg_b", gram_column("s_b"))
+    strip = "aggregate(array_intersect(works_a, works_b), norm_%s, (s, w) -> replace(s, w, ''))"
+    shared = _close(dated, F.col("works"), NEAR).withColumn("s_a", F.expr(strip % "a")).withColumn("s_b", F.expr(strip % "b")).withColumn("sg_a", gram_column("s_a")).withColumn("sg_b", gram_column("s_b"))
     shared = shared.where(column_jaccard("sg_a", "sg_b") >= ALIKE_SHARED).select(shape)
     lead = c.groupBy("c").agg(F.min_by(F.struct("pub", "node", "norm", "works"), F.struct(F.coalesce("pub", F.lit(2**62)), "node")).alias("l"))
     group = c.select("node", "c").join(lead, "c")
@@ -183,18 +193,19 @@ def merge(items: DataFrame, clusters: DataFrame) -> DataFrame:
     """One survivor a cluster.
 
     Columns of items: ord, kind, title, summary, link, source, image, pub, first_seen, cats, works, spoiler, score, syndicated,
-    truncated. The survivor has the lowest rank, then the longest summary, then comes first. Times are the earliest, the image is
+    truncated; and, if there are any, plats, deal, and sources (its own list of name, link). The survivor has the lowest rank, then the longest summary, then comes first. Times are the earliest, the image and the deal are
     the survivor's or the first there is, tags are united in order of their first item, works with the survivor's first, flags
     are or (spoiler) and and (syndicated), the score is the highest. sources lists the survivor's, then by rank, one a name and
     one a link (without its query). Of one name only as many links are gathered as the cluster has names: no more can be blocked.
     """
     rank = F.coalesce(*[F.when(F.col("kind") == k, v) for k, v in KIND_RANK.items()], F.lit(9)) + F.when(F.col("syndicated"), 100).otherwise(0) + F.when(F.col("truncated"), 1000).otherwise(0)
-    x = items.join(clusters, "ord").withColumn("rank", rank).withColumn("link_key", F.regexp_replace(F.coalesce("link", F.lit("")), r"\?.*\z", ""))
+    x = items.join(clusters, "ord").withColumn("rank", rank)
     best = F.struct("rank", -F.length(F.coalesce("summary", F.lit(""))), "ord")
+    more = [c for c in ("deal",) if c in items.columns]
     heads = x.groupBy("cid").agg(
-        F.min_by(F.struct("ord", "title", "summary", "link", "source", "image", "works"), best).alias("s"), F.min("pub").alias("pub"), F.min("first_seen").alias("first_seen"),
+        F.min_by(F.struct("ord", "title", "summary", "link", "source", "image", "works", *more), best).alias("s"), F.min("pub").alias("pub"), F.min("first_seen").alias("first_seen"),
         F.min_by("image", F.when(F.col("image").isNotNull(), F.col("ord"))).alias("any_image"), F.bool_or(F.coalesce("spoiler", F.lit(False))).alias("spoiler"), F.max("score").alias("score"),
-        F.every(F.coalesce("syndicated", F.lit(False))).alias("syndicated"), F.count("*").alias("n"), F.countDistinct("source").alias("n_names"),
+        F.every(F.coalesce("syndicated", F.lit(False))).alias("syndicated"), F.count("*").alias("n"), *(F.min_by(c, F.when(F.col(c).isNotNull(), F.col("ord"))).alias(f"any_{c}") for c in more),
     )
 
     def united(name: str, tags: DataFrame) -> DataFrame:
@@ -205,11 +216,16 @@ def merge(items: DataFrame, clusters: DataFrame) -> DataFrame:
         return x.select("cid", "ord", F.posexplode(name).alias("pos", "tag")).select("cid", "tag", F.struct("ord", "pos").alias("at"))
 
     own = heads.select("cid", F.posexplode("s.works").alias("pos", "tag")).select("cid", "tag", F.struct(F.lit(-1).cast("long").alias("ord"), "pos").alias("at"))
-    first = F.struct(F.when(F.col("ord") == F.col("s.ord"), 0).otherwise(1), "rank", "ord")
-    src = x.join(heads.select("cid", "s", "n_names"), "cid").groupBy("cid", "n_names", F.coalesce(x["source"], F.lit("")).alias("name"), "link_key").agg(F.min(first).alias("at"))
+    one = F.array(F.struct(F.coalesce("source", F.lit("")).alias("name"), F.coalesce("link", F.lit("")).alias("link")))
+    listed = F.transform("sources", lambda e: F.struct(F.coalesce(e["name"], F.lit("")).alias("name"), F.coalesce(e["link"], F.lit("")).alias("link"))) if "sources" in items.columns else one
+    told = x.join(heads.select("cid", F.col("s.ord").alias("survivor")), "cid").select("cid", F.when(F.col("ord") == F.col("survivor"), 0).otherwise(1).alias("other"), "rank", "ord", F.posexplode(listed).alias("pos", "e"))
+    src = told.groupBy("cid", "e.name", F.regexp_replace("e.link", r"\?.*\z", "").alias("link_key")).agg(F.min(F.struct("other", "rank", "ord", "pos")).alias("at"))
+    src = src.join(src.groupBy("cid").agg(F.countDistinct("name").alias("n_names")), "cid")
     src = src.withColumn("k", F.row_number().over(Window.partitionBy("cid", "name").orderBy("at"))).where("k <= n_names + 1")
     src = src.groupBy("cid").agg(F.array_sort(F.collect_list(F.struct("at", "name", "link_key"))).alias("all"))
     src = src.select("cid", F.expr("aggregate(all, cast(array() AS array<struct<name: string, link: string>>), (kept, e) -> CASE WHEN exists(kept, k -> k.name = e.name OR k.link = e.link_key) THEN kept ELSE concat(kept, array(named_struct('name', e.name, 'link', e.link_key))) END)").alias("sources"))
-    out = heads.join(united("cats", spread("cats")), "cid", "left").join(united("works", spread("works").union(own)), "cid", "left").join(src, "cid")
+    tags = [c for c in ("cats", "plats") if c in items.columns]
+    out = reduce(lambda df, c: df.join(united(c, spread(c)), "cid", "left"), tags, heads)
+    out = out.join(united("works", spread("works").union(own)), "cid", "left").join(src, "cid")
     none = F.array().cast("array<string>")
-    return out.select("cid", F.col("s.ord").alias("ord"), "s.title", "s.summary", "s.link", "s.source", F.coalesce("s.image", "any_image").alias("image"), "pub", "first_seen", F.coalesce("cats", none).alias("cats"), F.coalesce("works", none).alias("works"), "spoiler", "score", "syndicated", "n", "sources")
+    return out.select("cid", F.col("s.ord").alias("ord"), "s.title", "s.summary", "s.link", "s.source", F.coalesce("s.image", "any_image").alias("image"), "pub", "first_seen", *(F.coalesce(c, none).alias(c) for c in tags), *(F.coalesce(f"s.{c}", f"any_{c}").alias(c) for c in more), F.coalesce("works", none).alias("works"), "spoiler", "score", "syndicated", "n", "sources")

@@ -50,6 +50,15 @@ class Spark:
         return f"(length({e}) - length(replace({e}, '{needle}', '')))"
 
 
+    def quote(self) -> str:
+        return "chr(39)"
+
+    def references(self, e: str) -> str:
+        """Decimal character references as their characters."""
+        codes = f"array_distinct(regexp_extract_all({e}, r'&#([0-9]{{1,6}});', 1))"
+        return f"aggregate({codes}, {e}, (s, n) -> replace(s, concat('&#', n, ';'), decode(unhex(lpad(hex(CAST(n AS BIGINT)), 8, '0')), 'UTF-32')))"
+
+
 class Duck(Spark):
     name = "duckdb"
 
@@ -85,3 +94,7 @@ class Duck(Spark):
 
     def maxint(self, a: str) -> str:
         return f"list_max(list_filter(list_transform({a}, lambda x: CAST(x AS BIGINT)), lambda x: x > 0 AND x <= 100))"
+
+    def references(self, e: str) -> str:
+        codes = f"list_distinct(regexp_extract_all({e}, '&#([0-9]{{1,6}});', 1))"
+        return f"list_reduce(list_concat([{e}], {codes}), lambda s, n: replace(s, concat('&#', n, ';'), chr(CAST(n AS INTEGER))))"

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions.cutting import fresh_path
 from ..functions.feed_query import FeedQuery
-from ..functions.schedule import schedules
 from ..operators import clusters
+from ..operators.facets import facet_counts as facets_of
 from ..sources import feeds, sinks
 from ..streaming import archive
 from . import views
@@ -48,25 +48,6 @@ def cluster_merge_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("cid", "ord", "pub", "first_seen", F.col("score").cast("long").alias("score"), "spoiler", "syndicated", "n", F.array_join(F.array_sort("cats"), ",").alias("cats"))
 
 
-def schedule_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Announcements written from the orders: dates with and without a year, months, until forms and words for today."""
-    o = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", F.expr("timestampdiff(SECOND, timestamp_ntz'1970-01-01 00:00:00', o_orderdate)").alias("pub"))
-    m, d, k = "cast(o_orderkey % 13 + 1 AS string)", "cast(o_orderkey % 33 AS string)", "o_orderkey % 6"
-    text = F.expr(f"CASE {k} WHEN 0 THEN concat('Out {m} ', 'nothing') WHEN 1 THEN concat('x ', {m}, '/', {d}, ' launch') WHEN 2 THEN concat('2030-', {m}, '/', {d}, ' starts') WHEN 3 THEN concat({m}, '月', {d}, '日まで開催') WHEN 4 THEN concat({m}, '月発売') ELSE 'today ends' END")
-    x = o.select("o_orderkey", F.explode(schedules(text, "pub")).alias("s"))
-    return x.select("o_orderkey", "s.date", "s.verb")
-
-
-SCHEDULE_SQL = """
-WITH x AS (SELECT o_orderkey, o_orderkey % 13 + 1 AS m, o_orderkey % 33 AS d, o_orderkey % 6 AS k, CAST(o_orderdate + INTERVAL 9 HOUR AS DATE) AS seen FROM orders),
-ok AS (SELECT *, CASE WHEN m <= 12 THEN make_date(CAST(year(seen) AS BIGINT), m, CAST(1 AS BIGINT)) + CAST(CASE WHEN k = 4 THEN 0 ELSE d - 1 END AS INT) END AS thn FROM x WHERE k = 5 OR (m <= 12 AND (k = 4 OR d BETWEEN 1 AND 31) AND k IN (1, 2, 4))),
-y AS (SELECT *, year(seen) + CASE WHEN thn < seen - 150 THEN 1 ELSE 0 END AS yr FROM ok)
-SELECT o_orderkey, CASE k WHEN 5 THEN strftime(seen, '%Y-%m-%d') WHEN 2 THEN NULL WHEN 4 THEN printf('%04d-%02d', yr, m) ELSE printf('%04d-%02d-%02d', yr, m, d) END AS date,
-  CASE k WHEN 1 THEN 'release' WHEN 4 THEN 'release' ELSE 'end' END AS verb FROM y WHERE k <> 2
-UNION ALL SELECT o_orderkey, printf('2030-%02d-%02d', m, d), 'start' FROM y WHERE k = 2
-"""
-
-
 def stream_archive_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = archive.events(spark, sf_dir).select(F.col("user_id").alias("k"), F.col("event_id").alias("ord"), F.col("event_type").alias("title"), F.when(F.col("event_id") % 7 != 0, F.col("secs")).alias("pub"), (F.col("event_id") % 3).alias("batch"))
     return archive.run_upsert(s, fresh_path(spark, "archive")).select("k", "ord", "title", "pub", "first_batch")
@@ -76,6 +57,68 @@ def stream_daily_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive.run_daily_counts(archive.events(spark, sf_dir), fresh_path(spark, "daily"))
 
 
+def archive_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The upsert over a whole table: combined by key before the one shuffle, then cut at the age limit."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").withColumn("secs", F.expr("timestampdiff(SECOND, timestamp_ntz'1970-01-01 00:00:00', ts)"))
+    rows = e.select(F.col("user_id").alias("k"), F.col("event_id").alias("ord"), F.col("event_type").alias("title"), F.when(F.col("event_id") % 7 != 0, F.col("secs")).alias("pub"), (F.col("event_id") % 3).alias("first_batch"), (F.col("event_id") % 3).alias("batch"))
+    return archive.retained(archive.merged(rows)).select("k", "ord", "title", "pub", "first_batch")
+
+
+def archive_first_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first event of each hour's users as the archive, two thirds with a time of its own; all others as a new batch."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").withColumn("secs", F.expr("timestampdiff(SECOND, timestamp_ntz'1970-01-01 00:00:00', ts)"))
+    k = (F.col("user_id") * 1000 + F.floor(F.col("secs") / 86400) % 1000).alias("k")
+    old = F.col("event_id") % 4 == 0
+    rows = e.select(k, F.when(old, -1).otherwise(1).alias("batch"), F.col("event_id").alias("ord"), F.when(F.col("event_id") % 5 != 0, F.col("secs")).alias("pub"), F.when(old & (F.col("event_id") % 3 != 0), F.col("secs") + 60).alias("first_seen"))
+    return archive.first_seen(rows, 2_000_000_000)
+
+
+FIRST_SEEN_SQL = """WITH r AS (SELECT user_id * 1000 + CAST(floor(epoch(ts) / 86400) AS BIGINT) % 1000 AS k, event_id % 4 = 0 AS old, event_id AS ord, CASE WHEN event_id % 5 <> 0 THEN CAST(floor(epoch(ts)) AS BIGINT) END AS pub, CASE WHEN event_id % 4 = 0 AND event_id % 3 <> 0 THEN CAST(floor(epoch(ts)) AS BIGINT) + 60 END AS seen FROM events),
+o AS (SELECT DISTINCT ON (k) k, pub, seen FROM r WHERE old ORDER BY k, ord), n AS (SELECT k, count(*) AS n FROM r GROUP BY k)
+SELECT n.k, CASE WHEN o.k IS NULL THEN 2000000000 WHEN n.n = 1 THEN o.seen ELSE coalesce(o.seen, o.pub, 2000000000) END AS first_seen FROM n LEFT JOIN o ON n.k = o.k"""
+
+
+def stream_sliding_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archive.run_sliding_counts(archive.events(spark, sf_dir), fresh_path(spark, "sliding"))
+
+
+SLIDING_SQL = """WITH e AS (SELECT epoch(ts) AS t, event_type FROM events), w AS (SELECT CAST((floor(t / 86400) - back) * 86400 AS BIGINT) AS begin, event_type FROM e, (SELECT unnest([0, 1, 2]) AS back) b)
+SELECT begin, event_type, count(*) AS n FROM w WHERE begin + 259200 <= (SELECT max(t) FROM e) - 86400 GROUP BY begin, event_type"""
+
+
+def stream_interval_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A view and a click by one user within the hour that follows."""
+    views, clicks = (archive.events(spark, sf_dir).where(F.col("event_type") == k) for k in ("view", "click"))
+    return archive.run_interval_pairs(views, clicks, fresh_path(spark, "pairs"))
+
+
+PAIRS_SQL = "SELECT v.user_id, v.event_id AS a, c.event_id AS b FROM events v JOIN events c ON v.user_id = c.user_id AND c.event_type = 'click' AND floor(epoch(c.ts)) BETWEEN floor(epoch(v.ts)) AND floor(epoch(v.ts)) + 3600 WHERE v.event_type = 'view'"
+
+
+def exact_title_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items whose compared title was met before, with the first of them: lowest numbers are combined before the shuffle."""
+    x = _items(spark, sf_dir).where(F.length("norm") >= clusters.MIN_EXACT).select("ord", "lang", "norm")
+    first = x.groupBy("lang", "norm").agg(F.min("ord").alias("first_ord"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    return x.join(first, ["lang", "norm"]).where("ord > first_ord").select("ord", "first_ord")
+
+
+def interval_similarity_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Titles of one language at most 500 apart with bigram similarity 0.7 or more: an equi join on language, slot and the rarest bigrams."""
+    d = Spark()
+    x = _sql(spark, sf_dir, f"WITH {views.items(d)} SELECT ord AS node, lang, pub, {views.norm(d, 'title')} AS norm FROM items")
+    return clusters.similar_pairs(x, 500, 0.7).select(F.col("node_a").alias("a"), F.col("node_b").alias("b"), "inter", "uni")
+
+
+def facet_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Facets over documents: each counts rows that pass all conditions but its own, in one pass."""
+    x = _items(spark, sf_dir).withColumn("feed_no", F.regexp_extract("source", "([0-9]+)$", 1).try_cast("int"))
+    newest = x.agg(F.max("pub").alias("newest"))
+    has = lambda c, v: F.coalesce(F.array_contains(c, v), F.lit(False))
+    conditions = {"lang": F.col("lang").isin("en", "fr"), "period": F.col("pub") >= F.col("newest") - 3000 * 60, "cat": has("cats", "law"), "plat": has("plats", "alpha"), "multi": F.col("feed_no") % 3 != 1}
+    facets = {"lang": (F.array("lang"), ("lang",)), "cat": (F.col("cats"), ("cat",)), "plat": (F.col("plats"), ("plat",)), "multi": (F.array((F.col("feed_no") % 3).cast("string")), ("multi",))}
+    return facets_of(x.join(F.broadcast(newest)), conditions, facets)
+
+
 DAILY_SQL = "WITH x AS (SELECT CAST(floor(epoch(ts) / 86400) AS BIGINT) AS day, event_type, epoch(ts) AS t FROM events) SELECT day, event_type, count(*) AS n FROM x WHERE (day + 1) * 86400 <= (SELECT max(t) FROM x) - 86400 GROUP BY day, event_type"
 
 
@@ -115,9 +158,9 @@ SELECT z.cid, max(CASE WHEN k = 1 THEN ord END) AS ord, min(pub) * 60 AS pub, mi
 FROM z LEFT JOIN c ON z.cid = c.cid GROUP BY z.cid"""
 
 
-JOBS = [cluster_replay, cluster_merge, cluster_merge_exact, schedule_extract, stream_archive_upsert, stream_daily_counts, feed_documents_reread, feed_query_page]
+JOBS = [cluster_replay, cluster_merge, cluster_merge_exact, archive_upsert, archive_first_seen, exact_title_groups, interval_similarity_pairs, facet_counts, stream_sliding_counts, stream_interval_pairs, stream_archive_upsert, stream_daily_counts, feed_documents_reread, feed_query_page]
 
 
 def oracles(d) -> dict[str, str]:
     """DuckDB SQL of those that SQL can express; the ordered replay and what is merged after it have none."""
-    return {"cluster_merge_exact": merge_exact_sql(d), "schedule_extract": SCHEDULE_SQL, "stream_archive_upsert": views.archive_upsert(d), "stream_daily_counts": DAILY_SQL, "feed_documents_reread": REREAD_SQL, "feed_query_page": feed_query_sql(d)}
+    return {"archive_upsert": views.archive_upsert(d), "archive_first_seen": FIRST_SEEN_SQL, "exact_title_groups": views.exact_title_groups(d), "interval_similarity_pairs": views.interval_similarity_pairs(d), "facet_counts": views.facet_counts(d), "stream_sliding_counts": SLIDING_SQL, "stream_interval_pairs": PAIRS_SQL, "cluster_merge_exact": merge_exact_sql(d), "stream_archive_upsert": views.archive_upsert(d), "stream_daily_counts": DAILY_SQL, "feed_documents_reread": REREAD_SQL, "feed_query_page": feed_query_sql(d)}

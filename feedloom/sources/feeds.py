@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import datetime
 import email.utils
+import http.client
 import json
 import re
 import time
@@ -18,13 +19,18 @@ import xml.etree.ElementTree as ET
 from collections.abc import Iterator
 
 import pandas as pd
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 ENTRY = "title string, link string, pub long, summary string, image string"
 SCHEMA = f"feed string, via string, place int, {ENTRY}, error string"
+# Time limits, retries and pauses in seconds.
 SOFT_SECONDS, HARD_SECONDS, RETRIES, PAUSE, PAUSE_BUSY, GAP = 30, 45, 1, 2, 30, 1.5
 BUSY = (429, 503)
+#: What a bad address, a broken transfer or an unreadable document can raise; anything else is an error of this program.
+FAILURES = (OSError, http.client.HTTPException, ET.ParseError, ValueError, LookupError)
 
 
 def local(tag: str) -> str:
@@ -91,7 +97,7 @@ def fetch_again(url: str, get=fetch, wait=time.sleep) -> bytes:
     for left in range(RETRIES, -1, -1):
         try:
             return get(url)
-        except OSError as e:
+        except (OSError, http.client.HTTPException) as e:
             if not left:
                 raise
             wait(PAUSE_BUSY if isinstance(e, urllib.error.HTTPError) and e.code in BUSY else PAUSE)
@@ -104,7 +110,7 @@ def read_feed(feed: dict, get=fetch, wait=time.sleep) -> Iterator[tuple]:
     for via, url in [(None, feed["url"]), *((f["via"], f["url"]) for f in feed.get("fallbacks", ()))]:
         try:
             rows = list(entries(fetch_again(url, get, wait)))
-        except (OSError, ET.ParseError) as e:
+        except FAILURES as e:
             error = f"{type(e).__name__}: {e}"
             continue
         yield from ((feed["id"], via, i, *row, None) for i, row in enumerate(rows))
@@ -157,16 +163,38 @@ def stored_feeds(spark: SparkSession, path: str, glob: str = "*.xml") -> DataFra
             for name, data in zip(b["path"], b["content"]):
                 try:
                     rows = [(name, None, i, *row, None) for i, row in enumerate(entries(data))]
-                except ET.ParseError as e:
-                    rows = [(name, None, None, None, None, None, None, None, f"ParseError: {e}")]
+                except FAILURES as e:
+                    rows = [(name, None, None, None, None, None, None, None, f"{type(e).__name__}: {e}")]
                 yield pd.DataFrame(rows, columns=["feed", "via", "place", "title", "link", "pub", "summary", "image", "error"]).astype({"pub": "Int64", "place": "Int32"})
 
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(path)
     return files.select("path", "content").mapInPandas(run, SCHEMA)
 
 
+def versions(spark: SparkSession, path: str) -> list[str]:
+    """Complete versions of an archive, newest first."""
+    top = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = top.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = [s.getPath() for s in fs.listStatus(top)] if fs.exists(top) else []
+    whole = [p.toString() for p in found if p.getName().startswith("version=") and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
+    return sorted(whole, key=lambda p: int(p.rsplit("=", 1)[-1]), reverse=True)
+
+
 def stored_or_empty(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """A Parquet archive, or no rows if there is none yet."""
-    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    there = jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jvm_path)
-    return spark.read.schema(schema).parquet(path) if there else spark.createDataFrame([], schema)
+    """The newest version of an archive that can be read; no rows if there is none yet."""
+    for p in versions(spark, path):
+        try:
+            spark.read.parquet(p).limit(1).collect()
+        except (PySparkException, Py4JJavaError):
+            continue
+        return spark.read.schema(schema).parquet(p)
+    return spark.createDataFrame([], schema)
+
+
+def projection_or(spark: SparkSession, path: str, schema: str, stands_in: DataFrame) -> DataFrame:
+    """The published projection (JSON lines) as it is now; what was there before, if that can't be read or holds nothing that fits."""
+    try:
+        now = spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path)
+        return stands_in if now.isEmpty() else now
+    except (PySparkException, Py4JJavaError):
+        return stands_in

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.cutting import fresh_path
+from .feeds import versions
 
 FEED_LIMIT = 50
 
@@ -19,11 +21,18 @@ def escaped(c: Column) -> Column:
 
 
 def rss_documents(items: DataFrame, feed: str, limit: int = FEED_LIMIT) -> DataFrame:
-    """(feed, xml): the newest items (title, link, pub, summary, ord) of each feed; undated last, ties by ord. A feed gathers `limit` rows at most."""
-    x = items.withColumn("feed", F.col(feed)).where("feed IS NOT NULL").select("feed", "title", "link", "pub", "summary", "ord")
+    """(feed, xml): the newest items (title, link, pub, summary, ord) of each feed; undated last, ties by ord. A feed gathers `limit` rows at most.
+
+    If items have them, works and cats become categories, and the names of other sources that are no reposts follow the summary.
+    """
+    none = F.array().cast("array<string>")
+    tags = F.concat(*(F.coalesce(F.col(c), none) if c in items.columns else none for c in ("works", "cats")))
+    also = F.transform(F.filter(F.slice("sources", 2, F.greatest(F.size("sources"), F.lit(1))), lambda s: ~F.coalesce(s["syndicated"], F.lit(False))), lambda s: s["name"]) if "sources" in items.columns else none
+    told = F.concat_ws(" ", "summary", F.when(F.size(also) > 0, F.concat(F.lit("("), F.array_join(also, ", "), F.lit(")"))))
+    x = items.withColumn("feed", F.col(feed)).where("feed IS NOT NULL").select("feed", "title", "link", "pub", told.alias("summary"), tags.alias("tags"), "ord")
     x = x.withColumn("k", F.row_number().over(Window.partitionBy("feed").orderBy(F.desc_nulls_last("pub"), "ord"))).where(F.col("k") <= limit)
     date = F.coalesce(F.concat(F.lit("<pubDate>"), F.date_format(F.timestamp_seconds("pub"), "EEE, dd MMM yyyy HH:mm:ss Z"), F.lit("</pubDate>")), F.lit(""))
-    item = F.concat(F.lit("<item><title>"), escaped(F.col("title")), F.lit("</title><link>"), escaped(F.col("link")), F.lit("</link>"), date, F.lit("<description>"), escaped(F.col("summary")), F.lit("</description></item>"))
+    item = F.concat(F.lit("<item><title>"), escaped(F.col("title")), F.lit("</title><link>"), escaped(F.col("link")), F.lit("</link>"), date, F.array_join(F.transform("tags", lambda t: F.concat(F.lit("<category>"), escaped(t), F.lit("</category>"))), ""), F.lit("<description>"), escaped(F.col("summary")), F.lit("</description></item>"))
     body = F.concat_ws("\n", F.transform(F.array_sort(F.collect_list(F.struct("k", item.alias("x")))), lambda s: s["x"]))
     return x.groupBy("feed").agg(body.alias("body")).select("feed", F.concat(F.lit('<?xml version="1.0" encoding="UTF-8"?>\n<rss version="2.0"><channel><title>'), escaped(F.col("feed")), F.lit("</title>\n"), "body", F.lit("\n</channel></rss>")).alias("xml"))
 
@@ -39,17 +48,22 @@ def write_documents(docs: DataFrame, path: str) -> None:
 
 
 def replace_archive(df: DataFrame, path: str) -> None:
-    """Replaces the table at `path`, which df may read from: written beside it first, then renamed."""
+    """A new version of the archive at `path`, which df may read from. It counts once it is whole; only then older ones go, so a crash at any point leaves a table to read."""
     spark = df.sparkSession
-    side = f"{path.rstrip('/')}.{fresh_path(spark, 'next').rsplit('/', 1)[-1]}"
-    df.write.parquet(side)
+    old = versions(spark, path)
+    n = 1 + (int(old[0].rsplit("=", 1)[-1]) if old else 0)
+    df.write.mode("overwrite").parquet(f"{path.rstrip('/')}/version={n:09d}")
     P = spark._jvm.org.apache.hadoop.fs.Path
-    fs = P(path).getFileSystem(spark._jsc.hadoopConfiguration())
-    old = P(f"{side}.old")
-    had = fs.exists(P(path))
-    if had and not fs.rename(P(path), old):
-        raise OSError(f"{path} can't be moved")
-    if not fs.rename(P(side), P(path)):
-        raise OSError(f"{side} can't be moved to {path}")
-    if had:
-        fs.delete(old, True)
+    for p in old:
+        P(p).getFileSystem(spark._jsc.hadoopConfiguration()).delete(P(p), True)
+
+
+def envelope(items: DataFrame, generated: str, **parts: DataFrame) -> DataFrame:
+    """One JSON document a run (column `value`), a row for each line: a head with the number of items and the small parts, then the items one by one, so that no task holds them all."""
+    n = items.count()
+    head = {"generatedAt": generated, "count": n} | {k: [r.asDict(True) for r in v.collect()] for k, v in parts.items()}
+    first = json.dumps(head, ensure_ascii=False, default=str)[:-1] + ', "items": ['
+    lines = items.select(F.to_json(F.struct(*items.columns), {"ignoreNullFields": "false"}).alias("value"), F.row_number().over(Window.orderBy(F.desc_nulls_last("pub"), "ord")).alias("k"))  # bounded by the run's limit of items
+    body = lines.select("k", F.concat("value", F.when(F.col("k") < n, ",").otherwise("")).alias("value"))
+    ends = items.sparkSession.createDataFrame([(0, first), (n + 1, "]}")], "k int, value string")
+    return body.unionByName(ends).orderBy("k").select("value")

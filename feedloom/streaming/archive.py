@@ -17,6 +17,18 @@ def merged(rows: DataFrame) -> DataFrame:
     ).select("k", "n.ord", "n.title", "pub", "first_batch", "n.batch")
 
 
+def first_seen(rows: DataFrame, now: int) -> DataFrame:
+    """k, first_seen: when a key was first met. rows: k, batch, ord, pub, first_seen (null in a new row, and in old rows that never had one).
+
+    A row of the archive keeps its own; if it has none, its time of publication stands in once the key is met again, else now; a new key
+    is first seen now.
+    """
+    order = F.struct("batch", "ord")
+    x = rows.groupBy("k").agg(F.min_by(F.struct("batch", "pub", "first_seen"), order).alias("old"), F.count(F.lit(1)).alias("n"))
+    old = F.col("old.batch") < 0
+    return x.select("k", F.when(old & (F.col("n") > 1), F.coalesce("old.first_seen", "old.pub", F.lit(now))).when(old, F.col("old.first_seen")).otherwise(F.lit(now)).cast("long").alias("first_seen"))
+
+
 def retained(rows: DataFrame, keep: int = KEEP_SECONDS) -> DataFrame:
     """Rows at most `keep` seconds older than the newest; undated rows stay."""
     newest = rows.agg(F.max("pub").alias("newest"))
@@ -54,9 +66,7 @@ def run_upsert(stream: DataFrame, path: str) -> DataFrame:
 def run_daily_counts(stream: DataFrame, path: str, late: str = "1 day") -> DataFrame:
     """(day, event_type, n) of days that the watermark has passed; stream has ts and event_type. Later rows of such days are dropped."""
     days = stream.withWatermark("ts", late).groupBy(F.window("ts", "1 day").alias("w"), "event_type").agg(F.count("*").alias("n"))
-    out = days.select(F.floor(F.unix_seconds("w.start") / 86400).alias("day"), "event_type", "n")
-    out.writeStream.outputMode("append").format("parquet").option("path", f"{path}/rows").option("checkpointLocation", f"{path}/log").trigger(availableNow=True).start().awaitTermination()
-    return stream.sparkSession.read.schema("day long, event_type string, n long").parquet(f"{path}/rows")
+    return run_append(days.select(F.floor(F.unix_seconds("w.start") / 86400).alias("day"), "event_type", "n"), path, "day long, event_type string, n long")
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,3 +74,23 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
     raw = spark.readStream.schema(schema).parquet(f"{sf_dir}/event[s].parquet")  # a pattern may name a file, a plain path may not
     return raw.withColumn("secs", F.expr("timestampdiff(SECOND, timestamp_ntz'1970-01-01 00:00:00', ts)")).withColumn("ts", F.timestamp_seconds("secs"))
+
+
+def run_append(stream: DataFrame, path: str, schema: str) -> DataFrame:
+    """Runs all that the stream has into a table of appended rows at `path` and returns it."""
+    stream.writeStream.outputMode("append").format("parquet").option("path", f"{path}/rows").option("checkpointLocation", f"{path}/log").trigger(availableNow=True).start().awaitTermination()
+    return stream.sparkSession.read.schema(schema).parquet(f"{path}/rows")
+
+
+def run_sliding_counts(stream: DataFrame, path: str, span: str = "3 days", step: str = "1 day", late: str = "1 day") -> DataFrame:
+    """(begin, event_type, n) of overlapping windows that the watermark has passed; begin in seconds."""
+    w = stream.withWatermark("ts", late).groupBy(F.window("ts", span, step).alias("w"), "event_type").agg(F.count("*").alias("n"))
+    return run_append(w.select(F.unix_seconds("w.start").alias("begin"), "event_type", "n"), path, "begin long, event_type string, n long")
+
+
+def run_interval_pairs(left: DataFrame, right: DataFrame, path: str, seconds: int = 3600, late: str = "1 day") -> DataFrame:
+    """(user_id, a, b): events of two streams by one user, b from a on and at most `seconds` later. Both sides' state is bounded by the watermarks and the interval."""
+    a = left.select("user_id", F.col("event_id").alias("a"), F.col("ts").alias("ts_a")).withWatermark("ts_a", late)
+    b = right.select(F.col("user_id").alias("user_b"), F.col("event_id").alias("b"), F.col("ts").alias("ts_b")).withWatermark("ts_b", late)
+    near = F.expr(f"user_id = user_b AND ts_b >= ts_a AND ts_b <= ts_a + interval {seconds} seconds")
+    return run_append(a.join(b, near).select("user_id", "a", "b"), path, "user_id long, a long, b long")

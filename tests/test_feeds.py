@@ -56,8 +56,16 @@ def test_rss_and_replace(spark, tmp_path):
     assert r["feed"] == "f<" and [e[:3] for e in feeds.entries(r["xml"].encode())] == [("a&b", "https://e.org/1", 0), ("c", "https://e.org/2", None)]
     path = f"{tmp_path}/t"
     sinks.replace_archive(x, path)
-    sinks.replace_archive(spark.read.parquet(path).where("ord < 3"), path)
-    assert spark.read.parquet(path).count() == 2 and len(list(tmp_path.iterdir())) == 1
+    sinks.replace_archive(feeds.stored_or_empty(spark, path, "ord long, title string").where("ord < 3"), path)
+    schema = "ord long, title string"
+    assert feeds.stored_or_empty(spark, path, schema).count() == 2 and len(feeds.versions(spark, path)) == 1
+    # a version that was not finished counts as little as one that can't be read
+    (tmp_path / "t" / "version=000000007").mkdir()
+    assert feeds.stored_or_empty(spark, path, schema).count() == 2
+    (tmp_path / "t" / "version=000000008").mkdir()
+    (tmp_path / "t" / "version=000000008" / "_SUCCESS").touch()
+    (tmp_path / "t" / "version=000000008" / "part-0.parquet").write_bytes(b"PAR1 no")
+    assert feeds.stored_or_empty(spark, path, schema).count() == 2 and feeds.stored_or_empty(spark, f"{tmp_path}/none", schema).count() == 0
     assert sinks.site_map(spark.createDataFrame([("/a?b&c", 0)], "loc string, lastmod long")).first()[0] == "<url><loc>/a?b&amp;c</loc><lastmod>1970-01-01T00:00:00Z</lastmod></url>"
 
 
@@ -85,7 +93,59 @@ def test_announcements(text, want):
 
 
 def test_announcements_without_time():
-    assert announcements("7/14 launch, 2024/7/14 launch, today ends", None) == [("2024-07-14", "release")]
+    assert announcements("7/14 launch, 2024年7月14日 launch, today ends", None) == []
+
+
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [
+        ("『夜の駅』で12月10日配信", [("2024-12-10", "start")]), ("『駅』2027年2月19日発売決定", [("2027-02-19", "release")]), ("『駅』Disc版が本日発売", [("2024-07-01", "release")]), ("体験版を10月1日より配信", [("2024-10-01", "start")]),
+        ("9月30日まで50%オフ開催", []), ("9月30日（水）まで開催", []), ("9月30日 〆 開催", []), ("10月1日にPV公開・配信", []), ("5月1日に発売された新作が累計100万本", []), ("5日目（7月21日）の開催中止", []),
+        ("12月10日発売見送り", []), ("12月 10日発売", [("2024-12-10", "release")]), ("１２月１０日発売", [("2024-12-10", "release")]), ("1月期配信開始", [("2025-01", "start")]), ("12/25/3 launch", []), ("本日限定の品を発売", []), ("12月10日開催、発売", [("2024-12-10", "event")]),
+    ],
+)
+def test_announcements_that_count_and_do_not(text, want):
+    assert announcements(text, 1719800000) == want
+
+
+def test_long_texts_of_dates_are_linear():
+    import time
+
+    took = []
+    for n in (2000, 16000):
+        begin = time.process_time()
+        announcements("12/10 launch " * n, 1719800000)
+        took.append(time.process_time() - begin)
+    assert took[1] < 20 * max(took[0], 0.02)
+
+
+@pytest.mark.parametrize("url", ["nonsense", "http://[bad", "ftp2://x/y", "http://127.0.0.1:1/x", "file:///none"])
+def test_a_bad_address_is_one_row(url):
+    (row,) = feeds.read_feed({"id": "f", "url": url}, wait=lambda s: None)
+    assert row[0] == "f" and row[-1]
+
+
+def test_broken_transfers_are_tried_again():
+    import http.client
+
+    calls = []
+
+    def get(url):
+        calls.append(url)
+        raise http.client.IncompleteRead(b"")
+
+    (row,) = feeds.read_feed({"id": "f", "url": "http://x"}, get=get, wait=lambda s: None)
+    assert len(calls) == 2 and "IncompleteRead" in row[-1]
+
+
+def test_envelope(spark):
+    import json
+
+    items = spark.createDataFrame([(1, 5, "a"), (2, None, 'b"'), (3, 9, None)], "ord long, pub long, title string")
+    got = sinks.envelope(items, "2024-07-01", feeds=spark.createDataFrame([("f", 2)], "id string, n int"))
+    doc = json.loads("".join(r["value"] for r in got.collect()))
+    assert doc["count"] == 3 and [i["ord"] for i in doc["items"]] == [3, 1, 2] and doc["items"][0]["title"] is None and doc["feeds"] == [{"id": "f", "n": 2}]
+    assert json.loads("".join(r["value"] for r in sinks.envelope(items.limit(0), "x").collect())) == {"generatedAt": "x", "count": 0, "items": []}
 
 
 def test_feed_query(spark):
@@ -116,3 +176,12 @@ def test_streaming_upsert_over_batches(spark, tmp_path):
         spark.createDataFrame(rows, "k long, ord long, title string, pub long, batch int").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
         out = archive.run_upsert(spark.readStream.schema("k long, ord long, title string, pub long, batch int").parquet(f"{tmp_path}/in"), f"{tmp_path}/out")
         assert {r["k"]: (r["ord"], r["title"], r["pub"], r["first_batch"]) for r in out.collect()} == state
+
+
+def test_projection_or_what_was_there(spark, tmp_path):
+    before = spark.createDataFrame([(0, "old")], "i long, t string")
+    (tmp_path / "new.json").write_text('{"i": 1, "t": "new"}\n{"i": 2')
+    got = lambda name: [tuple(r) for r in feeds.projection_or(spark, str(tmp_path / name), "i long, t string", before).collect()]
+    assert got("new.json") == [(1, "new")] and got("none.json") == [(0, "old")]
+    (tmp_path / "bad.json").write_text("<html>")
+    assert got("bad.json") == [(0, "old")]
