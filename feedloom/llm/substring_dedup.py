@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from .common import bucketed, discard, map_pieces, stored, texts
 from .near_dedup import U, mix, powers
 
-LENGTH, GRAM, SHALLOW, HOT = 400, 32, 64, 4096
+LENGTH, GRAM, SHALLOW, HOT = 400, 32, 64, 512
 WIDTH = LENGTH - GRAM + 1
 #: Windows of a text that are looked at together; about 120 bytes of memory each.
 SEGMENT = 1 << 18
