@@ -232,23 +232,69 @@ def test_strange_rows_and_empty_tables(spark, odd, nothing):
         assert run(nothing).count() == 0
 
 
-def test_pipeline(spark):
-    """Against plain versions of its stages: near copies, leaks, and what is redacted."""
+def plain_score(model, text):
+    """The chain token by token, nothing left out."""
+    words = toxicity.WORD.findall(text or "")
+    p = np.zeros(0)
+    if words:
+        local = [np.exp([0.0, min(50.0, model.bias + model.emission(w))]) for w in words]
+        A = np.exp(model.trans)
+        fore, back = [local[0] / local[0].sum()], [np.ones(2)]
+        for x in local[1:]:
+            v = (fore[-1] @ A) * x
+            fore.append(v / v.sum())
+        for x in local[:0:-1]:
+            v = A @ (x * back[-1])
+            back.append(v / v.sum())
+        q = np.array(fore) * np.array(back[::-1])
+        p = (q[:, 1] / q.sum(1))[[bool(model.emission(w)) for w in words]]
+    z = float(model.score @ [1.0, np.log1p(p.sum()), p.max(initial=0.0)])
+    return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+
+
+def test_pipeline(spark, tmp_path):
+    """Against plain versions of its stages, each made here: the chain token by token, all pairs, all windows, the plain patterns, water filling."""
     import corpus_pipeline as P
 
-    labels, docs = spark.read.parquet(f"{SF}/labels.parquet"), spark.read.parquet(f"{SF}/documents.parquet")
-    tagger = toxicity.Tagger(toxicity.train(docs, labels))
-    kept = [r for r in docs.collect() if tagger.read(r["text"])[0] < 0.5]
-    classes = {r["doc_id"]: r["class_id"] for r in near_dedup.classes(spark.createDataFrame(kept, docs.schema)).collect()}
-    kept = [r for r in kept if classes[r["doc_id"]] == r["doc_id"]]
+    from test_mixed import filled
+    from test_near_rows import plain as near
+
+    # the smallest tables, with some toxic texts more, as these hold too few to learn from
+    rng, sf = np.random.default_rng(12), str(tmp_path)
+    some = lambda bad: " ".join("".join(rng.choice(list("abcdefgh"), 5)) for _ in range(60)) + (" zorgish zorgand you" if bad else "")
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    extra = [(50_000 + i, some(i % 2 == 0), "en", f"s{i % 3}", 1) for i in range(240)]
+    docs.unionByName(spark.createDataFrame(extra, docs.schema)).repartition(3).write.parquet(f"{sf}/documents.parquet")
+    spark.read.parquet(f"{SF}/labels.parquet").select("doc_id", "toxic").union(spark.createDataFrame([(r[0], 1 - r[0] % 2) for r in extra], "doc_id long, toxic int")).write.parquet(f"{sf}/labels.parquet")
+    spark.read.parquet(f"{SF}/benchmark.parquet").write.parquet(f"{sf}/benchmark.parquet")
+    labels, docs = spark.read.parquet(f"{sf}/labels.parquet"), spark.read.parquet(f"{sf}/documents.parquet")
+    model = toxicity.train(docs, labels)
+    kept = [r for r in docs.collect() if plain_score(model, r["text"]) < 0.5]
+    assert sum(r["doc_id"] >= 50_000 for r in kept) == 120
+    kept = [r for r, (_, c) in zip(kept, near([(r["doc_id"], r["text"]) for r in kept])[1], strict=True) if c == r["doc_id"]]
     words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t))
     wins = set()
     for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect():
         w = words(r["text"])
         wins |= {tuple(w[i : i + 10]) for i in range(max(1, len(w) - 9))}
     kept = [r for r in kept if not any(tuple(w[i : i + 10]) in wins for w in [words(r["text"])] for i in range(len(w)))]
-    got = P.run(spark, SF).toPandas()
+    redacted = {r["doc_id"]: r for r in pii.redact(spark.createDataFrame(kept, docs.schema)).collect()}
+    for r in kept:  # nothing that the plain patterns find is left, and nothing else than spans is touched
+        t = redacted[r["doc_id"]]["text"]
+        assert not pii.base_spans(t) and redacted[r["doc_id"]]["n_chars"] == len(t)
+        at = 0
+        for part in re.split(r"\[(?:EMAIL|IP|CARD|PHONE)\]", t):
+            at = r["text"].index(part, at) + len(part)
+    got = P.run(spark, sf).toPandas()
+    assert got.columns.tolist() == ["doc_id", "size", "source_size", "target", "taken"]
     assert sorted(got.doc_id) == sorted(r["doc_id"] for r in kept)
-    m = pii.weights()
-    size = {r["doc_id"]: len(re.findall(r"[^\x20\x09-\x0D]+", pii.redact_text(r["text"], m))) for r in kept}
+    size = {i: len(re.findall(r"[^\x20\x09-\x0D]+", r["text"])) for i, r in redacted.items()}
     assert dict(zip(got.doc_id, got["size"], strict=True)) == size
+    source, total, took = {r["doc_id"]: r["source"] for r in kept}, collections.Counter(), collections.Counter()
+    for i, n in size.items():
+        total[source[i]] += n
+    want = filled(dict(total))
+    for r in got.itertuples():
+        assert r.source_size == total[source[r.doc_id]] and abs(r.target - want[source[r.doc_id]]) < 1e-6 and r.taken <= 2 * r.size
+        took[source[r.doc_id]] += r.taken
+    assert all(abs(took[s] - want[s]) <= 0.5 + 1e-6 for s in want)
