@@ -6,7 +6,7 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import calendars, jobs, reader, segments, verdict_sql, verdicts
+from .plans import calendars, jobs, reader, segments, verdict_sql, verdicts, view_sql
 from .plans.dialect import Duck, Spark
 from .plans.views import PLANS
 
@@ -28,4 +28,4 @@ def query(plan):
 
 MORE = (verdicts.JOBS, calendars.JOBS, reader.JOBS, segments.JOBS)
 QUERIES = {p.__name__: query(p) for p in PLANS} | {j.__name__: j for j in (*jobs.JOBS, *(j for m in MORE for j in m))}
-ORACLES = {p.__name__: p(Duck()) for p in PLANS} | jobs.oracles(Duck()) | verdict_sql.ORACLES | calendars.ORACLES | reader.ORACLES | segments.ORACLES
+ORACLES = {p.__name__: p(Duck()) for p in PLANS} | jobs.oracles(Duck()) | verdict_sql.ORACLES | calendars.ORACLES | reader.ORACLES | segments.ORACLES | view_sql.ORACLES

@@ -44,7 +44,9 @@ def pair_rule(norm_a: str, works_a, norm_b: str, works_b) -> bool:
 
 
 def gram_column(norm: str) -> Column:
-    return F.expr(f"CASE WHEN length({norm}) = 0 THEN cast(array() AS array<string>) WHEN length({norm}) = 1 THEN array({norm}) ELSE array_distinct(transform(sequence(1, length({norm}) - 1), i -> substring({norm}, i, 2))) END")
+    """Distinct bigrams of a text, by its characters one by one: taking them by place would walk a long text again for each."""
+    chars = f"split({norm}, '')"
+    return F.expr(f"CASE WHEN length({norm}) = 0 THEN cast(array() AS array<string>) WHEN length({norm}) = 1 THEN array({norm}) ELSE array_distinct(zip_with(slice({chars}, 1, length({norm}) - 1), slice({chars}, 2, length({norm}) - 1), (x, y) -> concat(x, y))) END")
 
 
 def column_jaccard(a: str, b: str) -> Column:
@@ -98,13 +100,20 @@ def _similar(x: DataFrame, width: int, least: float, more: Column) -> DataFrame:
 
 
 def similar_pairs(x: DataFrame, width: int, least: float) -> DataFrame:
-    """node_a, node_b, inter, uni: pairs at most `width` apart whose bigrams are as alike as `least`, the earlier first. x: node, lang, pub, norm."""
-    x = x.withColumns({"g": gram_column("norm"), "works": F.array().cast("array<string>"), "syndicated": F.lit(False)})
-    each = x.select("node", F.explode("g").alias("t"))
-    rare = each.join(each.groupBy("t").count(), "t").groupBy("node").agg(F.transform(F.array_sort(F.collect_list(F.struct("count", "t"))), lambda s: s["t"]).alias("rare"))
-    hits = _similar(cut(x.join(rare, "node")), width, least, F.lit(True)).dropDuplicates(["node_a", "node_b"])
-    inter = F.size(F.array_intersect("g_a", "g_b")).cast("long")
-    return hits.select("node_a", "node_b", inter.alias("inter"), (F.size("g_a") + F.size("g_b") - inter).cast("long").alias("uni"))
+    """node_a, node_b, inter, uni: pairs at most `width` apart whose bigrams are as alike as `least`, the earlier first. x: node, lang, pub, norm.
+
+    An equi join on language and time slot over numbers alone, in which sizes exclude most pairs; bigrams are fetched for what is left. A prefix
+    filter on the rarest bigrams does worse: few different bigrams are in use, so that titles share many of them.
+    """
+    x = cut(cut(x).withColumn("g", gram_column("norm")).select("node", "lang", "pub", "g", F.size("g").alias("n"), F.floor(F.col("pub") / width).alias("slot")))
+    left, right = (x.select("lang", "slot", *(F.col(c).alias(f"{c}_{k}") for c in ("node", "pub", "n"))) for k in ("a", "b"))
+    left = left.withColumn("slot", F.explode(F.array(F.col("slot"), F.col("slot") + 1)))
+    near = F.expr(f"pub_b - pub_a BETWEEN 0 AND {width} AND (pub_a < pub_b OR node_a < node_b) AND least(n_a, n_b) >= {least} * greatest(n_a, n_b) - 1e-9 AND n_a > 0")
+    pairs = cut(left.join(right, ["lang", "slot"]).where(near).select("node_a", "node_b"))
+    grams = (x.select(F.col("node").alias(f"node_{k}"), F.col("g").alias(f"g_{k}")) for k in ("a", "b"))
+    both = pairs.join(next(grams), "node_a").join(next(grams), "node_b").select("node_a", "node_b", F.size("g_a").alias("n_a"), F.size("g_b").alias("n_b"), F.size(F.array_intersect("g_a", "g_b")).cast("long").alias("inter"))
+    uni = (F.col("n_a") + F.col("n_b") - F.col("inter")).cast("long")
+    return cut(both).where((F.col("inter") > 0) & (F.col("inter") >= least * uni - 1e-9)).select("node_a", "node_b", "inter", uni.alias("uni"))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -148,20 +157,30 @@ def _replay(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"c": list(parent), "cid": [root(c) for c in parent]}, dtype="int64")
 
 
-def cluster(items: DataFrame) -> DataFrame:
-    """(ord, cid): every item with its cluster, named by the lowest ord in it."""
+def _first_passes(items: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(ord and node of every item; the nodes; the dated ones with their grams; the nodes with c, their component after the first three passes)."""
     x = _nodes(items)
-    same = x.groupBy("key").agg(F.min("ord").alias("node"), *[F.first(c).alias(c) for c in ("lang", "pub", "norm", "works", "syndicated", "truncated")]).drop("key")
-    n = cut(same)
-    dated = n.where(F.col("pub").isNotNull()).withColumn("g", gram_column("norm"))
+    n = cut(x.groupBy("key").agg(F.min("ord").alias("node"), *[F.first(c).alias(c) for c in ("lang", "pub", "norm", "works", "syndicated", "truncated")]))
+    ids = x.select("ord", "key").join(n.select("key", "node"), "key").select("ord", "node")
+    n = n.drop("key")
+    dated = cut(n.where(F.col("pub").isNotNull()).withColumn("g", gram_column("norm")))
     each = dated.select("node", F.explode("g").alias("t"))
     rare = each.join(each.groupBy("t").count(), "t").groupBy("node").agg(F.transform(F.array_sort(F.collect_list(F.struct("count", "t"))), lambda s: s["t"]).alias("rare"))
     dated = cut(dated.join(rare, "node", "left").withColumn("rare", F.coalesce("rare", F.array().cast("array<string>"))))
-
     far = _similar(dated, FAR, ALIKE_FAR, F.col("syndicated_a") | F.col("syndicated_b")).select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
     taken = components(reduce(DataFrame.union, (_exact(n), _prefix(n), far)))
-    c = cut(n.join(taken, "node", "left").withColumn("c", F.coalesce("part", "node")).drop("part"))
+    return ids, n, dated, cut(n.join(taken, "node", "left").withColumn("c", F.coalesce("part", "node")).drop("part"))
 
+
+def linked(items: DataFrame) -> DataFrame:
+    """(ord, cid): clusters after the first three passes, which do not depend on order; named by the lowest ord."""
+    ids, _, _, c = _first_passes(items)
+    return ids.join(c.select("node", F.col("c").alias("cid")), "node").select("ord", "cid")
+
+
+def cluster(items: DataFrame) -> DataFrame:
+    """(ord, cid): every item with its cluster, named by the lowest ord in it."""
+    ids, n, dated, c = _first_passes(items)
     shape = ["node_a", "node_b", "pub_a", "pub_b", "norm_a", "norm_b", "works_a", "works_b"]
     unlike = _similar(dated, NEAR, ALIKE, ~F.arrays_overlap("works_a", "works_b")).select(shape)
     strip = "aggregate(array_intersect(works_a, works_b), norm_%s, (s, w) -> replace(s, w, ''))"
@@ -180,9 +199,7 @@ def cluster(items: DataFrame) -> DataFrame:
     merged = links.join(parts.withColumnRenamed("node", "c_a"), "c_a").groupBy("part").applyInPandas(_replay, "c long, cid long")
     final = c.join(merged, "c", "left").select("node", F.coalesce("cid", "c").alias("g"))
     low = final.groupBy("g").agg(F.min("node").alias("cid"))
-    ids = same.select("node").join(final, "node").join(low, "g").select("node", "cid")
-    keyed = x.select("ord", "key").join(x.groupBy("key").agg(F.min("ord").alias("node")), "key")
-    return keyed.join(ids, "node").select("ord", "cid")
+    return ids.join(final, "node").join(low, "g").select("ord", "cid")
 
 
 #: Lower is better: kinds of sources by rank, then reposts, then truncated titles.

@@ -6,6 +6,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.cutting import cut
 from ..functions.ruleset import RuleSet
 from ..functions.search import compatible
 
@@ -28,6 +29,14 @@ def run_totals(accepted: DataFrame) -> DataFrame:
     return groups.agg(nil(F.sum("n")).alias("accepted"), F.count(F.lit(1)).alias("shown"), nil(F.sum(F.col("n") - 1)).alias("merged"), nil(F.sum("s")).alias("reposts"), F.count_if(F.col("n") == F.col("s")).alias("reposts_left"))
 
 
+def in_feeds(items: DataFrame) -> DataFrame:
+    """items once for each feed that has them, named in `feed`: all, one a category, one a platform, deals, one a store (but for those that the rules call other)."""
+    none = F.array().cast("array<string>")
+    below = lambda head, c: F.transform(F.coalesce(c, none), lambda v: F.concat(F.lit(head), v))
+    stores = F.when(F.col("deal").isNotNull(), F.concat(F.array(F.lit("all")), F.filter("deal.stores", lambda v: v != "other")))
+    return items.withColumn("feed", F.explode(F.concat(F.array(F.lit("all")), below("category/", F.col("cats")), below("platform/", F.col("plats")), below("deal/", stores))))
+
+
 def display_names(items: DataFrame, rules: RuleSet) -> DataFrame:
     """work, shown: of all spellings with one key the most frequent; ties: the shorter, then the one met first."""
     each = items.select("ord", F.posexplode("works").alias("pos", "work")).groupBy("work").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("ord", "pos")).alias("at"))
@@ -37,7 +46,8 @@ def display_names(items: DataFrame, rules: RuleSet) -> DataFrame:
 
 
 def with_display_names(items: DataFrame, rules: RuleSet) -> DataFrame:
-    """items (ord unique) with every name of `works` replaced by the one shown for it; order stays, no name twice."""
+    """items (ord unique) with every name of `works` replaced by the one shown for it; order stays, no name twice. Items are read three times, so their lineage is cut."""
+    items = cut(items)
     each = items.select("ord", F.posexplode("works").alias("pos", "work")).join(display_names(items, rules), "work")
     shown = each.groupBy("ord").agg(F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct("pos", "shown"))), lambda x: x["shown"])).alias("named"))
     return items.join(shown, "ord", "left").withColumn("works", F.coalesce("named", F.array().cast("array<string>"))).drop("named")

@@ -33,6 +33,24 @@ def cluster_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clusters.cluster(_items(spark, sf_dir))
 
 
+def cluster_linked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clusters by links that do not depend on order: equal titles, cut-off ones (some are cut here, as the tables hold few), and reposts."""
+    x = _items(spark, sf_dir)
+    cut_off = (F.col("ord") % 6 == 0) & (F.length("norm") > 20)
+    return clusters.linked(x.withColumn("truncated", cut_off).withColumn("norm", F.when(cut_off, F.substring("norm", 1, 16)).otherwise(F.col("norm"))))
+
+
+LINKED_SQL = """WITH RECURSIVE i AS (SELECT doc_id AS ord, split_part(text, chr(10), 1) AS title, lang, doc_id * 420 AS pub, CAST(replace(source, 'src', '') AS INT) % 5 = 0 AS synd FROM documents),
+m AS (SELECT *, regexp_replace(lower(regexp_replace(title, '^[\\[(][^\\])]{0,40}[\\])]', '')), '[ \t\n!-/:-@\\[-`{-~]+', '', 'g') AS whole FROM i),
+n AS (SELECT *, ord % 6 = 0 AND length(whole) > 20 AS cut, CASE WHEN ord % 6 = 0 AND length(whole) > 20 THEN whole[1:16] ELSE whole END AS norm FROM m),
+g AS (SELECT *, CASE WHEN length(norm) < 2 THEN list_filter([norm], lambda x: x <> '') ELSE list_distinct(list_transform(range(1, length(norm)), lambda k: norm[k:k + 1])) END AS grams FROM n),
+p AS (SELECT a.ord AS a, min(b.ord) AS b FROM n a JOIN n b ON a.cut AND length(a.norm) >= 12 AND a.lang = b.lang AND length(b.norm) > length(a.norm) AND starts_with(b.norm, a.norm) AND abs(a.pub - b.pub) <= 259200 GROUP BY a.ord),
+s AS (SELECT a.ord AS a, b.ord AS b, len(list_intersect(a.grams, b.grams)) AS shared, len(a.grams) + len(b.grams) AS total FROM g a JOIN g b ON a.synd AND a.ord <> b.ord AND a.lang = b.lang AND abs(a.pub - b.pub) <= 259200),
+e AS (SELECT a, b FROM p UNION SELECT a, b FROM s WHERE shared > 0 AND shared >= 0.7 * (total - shared) UNION SELECT ord, min(ord) OVER (PARTITION BY lang, norm) FROM n WHERE length(norm) >= 10),
+l AS (SELECT a, b FROM e UNION SELECT b, a FROM e UNION SELECT ord, ord FROM n), r(a, b) AS (SELECT a, b FROM l UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a)
+SELECT a AS ord, min(b) AS cid FROM r GROUP BY a"""
+
+
 def cluster_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Survivors of the clusters of equal titles and kinds of links; arrays as JSON."""
     items = _items(spark, sf_dir)
@@ -103,7 +121,7 @@ def exact_title_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def interval_similarity_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Titles of one language at most 500 apart with bigram similarity 0.7 or more: an equi join on language, slot and the rarest bigrams."""
+    """Titles of one language at most 500 apart with bigram similarity 0.7 or more."""
     d = Spark()
     x = _sql(spark, sf_dir, f"WITH {views.items(d)} SELECT ord AS node, lang, pub, {views.norm(d, 'title')} AS norm FROM items")
     return clusters.similar_pairs(x, 500, 0.7).select(F.col("node_a").alias("a"), F.col("node_b").alias("b"), "inter", "uni")
@@ -158,9 +176,9 @@ SELECT z.cid, max(CASE WHEN k = 1 THEN ord END) AS ord, min(pub) * 60 AS pub, mi
 FROM z LEFT JOIN c ON z.cid = c.cid GROUP BY z.cid"""
 
 
-JOBS = [cluster_replay, cluster_merge, cluster_merge_exact, archive_upsert, archive_first_seen, exact_title_groups, interval_similarity_pairs, facet_counts, stream_sliding_counts, stream_interval_pairs, stream_archive_upsert, stream_daily_counts, feed_documents_reread, feed_query_page]
+JOBS = [cluster_linked, cluster_replay, cluster_merge, cluster_merge_exact, archive_upsert, archive_first_seen, exact_title_groups, interval_similarity_pairs, facet_counts, stream_sliding_counts, stream_interval_pairs, stream_archive_upsert, stream_daily_counts, feed_documents_reread, feed_query_page]
 
 
 def oracles(d) -> dict[str, str]:
     """DuckDB SQL of those that SQL can express; the ordered replay and what is merged after it have none."""
-    return {"archive_upsert": views.archive_upsert(d), "archive_first_seen": FIRST_SEEN_SQL, "exact_title_groups": views.exact_title_groups(d), "interval_similarity_pairs": views.interval_similarity_pairs(d), "facet_counts": views.facet_counts(d), "stream_sliding_counts": SLIDING_SQL, "stream_interval_pairs": PAIRS_SQL, "cluster_merge_exact": merge_exact_sql(d), "stream_archive_upsert": views.archive_upsert(d), "stream_daily_counts": DAILY_SQL, "feed_documents_reread": REREAD_SQL, "feed_query_page": feed_query_sql(d)}
+    return {"cluster_linked": LINKED_SQL, "archive_upsert": views.archive_upsert(d), "archive_first_seen": FIRST_SEEN_SQL, "exact_title_groups": views.exact_title_groups(d), "interval_similarity_pairs": views.interval_similarity_pairs(d), "facet_counts": views.facet_counts(d), "stream_sliding_counts": SLIDING_SQL, "stream_interval_pairs": PAIRS_SQL, "cluster_merge_exact": merge_exact_sql(d), "stream_archive_upsert": views.archive_upsert(d), "stream_daily_counts": DAILY_SQL, "feed_documents_reread": REREAD_SQL, "feed_query_page": feed_query_sql(d)}

@@ -92,6 +92,8 @@ ORACLES = {
     "run_totals": f"{BASE}, g AS (SELECT lang, lower(t) AS k, count(*) AS n, sum(CASE WHEN synd THEN 1 ELSE 0 END) AS s FROM full_ok GROUP BY lang, lower(t)) SELECT CAST(sum(n) AS BIGINT) AS accepted, count(*) AS shown, CAST(sum(n) - count(*) AS BIGINT) AS merged, CAST(sum(s) AS BIGINT) AS reposts, CAST(sum(CASE WHEN n = s THEN 1 ELSE 0 END) AS BIGINT) AS reposts_left FROM g",
     "display_names": f"{BASE}, {VOTED} SELECT full_ok.ord, coalesce(string_agg(shown, '|' ORDER BY pos), '') AS works FROM full_ok LEFT JOIN named ON full_ok.ord = named.ord GROUP BY full_ok.ord",
     "work_pages": f"{BASE}, {PAGES} SELECT name, n, place, slug FROM paged",
+    "published_feeds": f"""{BASE}, p AS (SELECT *, string_split({PLATS}, '|') AS ps, coalesce(ids, []) AS tags FROM full_ok), f AS (SELECT 'all' AS feed, ord, pub, works, tags FROM p UNION ALL SELECT concat('category/', unnest(tags)), ord, pub, works, tags FROM p UNION ALL SELECT concat('platform/', x), ord, pub, works, tags FROM (SELECT *, unnest(ps) AS x FROM p) u WHERE x <> ''
+  UNION ALL SELECT concat('deal/', unnest(list_concat(['all'], stores))), ord, pub, works, tags FROM p WHERE is_deal), k AS (SELECT *, row_number() OVER (PARTITION BY feed ORDER BY pub DESC NULLS LAST, ord) AS r FROM f) SELECT feed, count(*) AS entries, CAST(sum(len(works) + len(tags)) AS BIGINT) AS categories FROM k WHERE r <= 50 GROUP BY feed""",
     "rules_changed": f"{BASE}, c2 AS (SELECT ord, coalesce(kind = 'specialist' OR score >= coalesce(min_score, CASE kind WHEN 'aggregator' THEN 4 WHEN 'press' THEN 6 ELSE 3 END), FALSE) AS was, coalesce(kind = 'specialist' OR score >= coalesce(min_score, CASE kind WHEN 'aggregator' THEN 2 WHEN 'press' THEN 6 ELSE 8 END), FALSE) AS now FROM judged) SELECT ord, was, now FROM c2 WHERE was <> now",
     "work_list": f"{BASE}, {PAGES} SELECT name, n, n / (SELECT greatest(1, max(n)) FROM paged) AS bar FROM paged WHERE contains(lower(name), 'red')",
     "calendar_of_pages": f"{BASE}, {PAGES}, firsts AS (SELECT ord, arg_min(shown, pos) AS first FROM named GROUP BY ord) SELECT first AS subject, '1970-12-10' AS date, 'open' AS verb, count(*) AS sources, slug FROM full_ok JOIN firsts ON full_ok.ord = firsts.ord JOIN paged ON firsts.first = paged.name WHERE full_ok.ord % 24 = 0 AND lang = 'ja' AND pub IS NOT NULL GROUP BY first, slug",

@@ -9,6 +9,7 @@ from ..functions import ruleset as R
 from ..functions import schedule
 from ..functions.search import compatible, normal
 from ..operators import pages
+from ..sources import sinks
 
 #: The headlines, which Spark and DuckDB both read: one case of a rule a remainder of the key.
 MADE = """made AS (SELECT p_partkey AS ord, CASE p_partkey % 24
@@ -136,4 +137,11 @@ def calendar_of_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return entries.join(found, "subject").select("subject", "date", "verb", F.col("sources").cast("long").alias("sources"), "slug")
 
 
-JOBS = [rules_changed, work_list, calendar_of_pages, item_verdict, text_fold, work_keys, deals_found, current_deals, deal_feeds, run_report, run_totals, display_names, work_pages, item_slugs]
+def published_feeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every feed's document: its entries, at most 50, and the categories they name."""
+    docs = sinks.rss_documents(pages.in_feeds(accepted(spark, sf_dir)), "feed")
+    count = lambda tag: F.regexp_count("xml", F.lit(tag)).cast("long")
+    return docs.select("feed", count("<item>").alias("entries"), count("<category>").alias("categories"))
+
+
+JOBS = [published_feeds, rules_changed, work_list, calendar_of_pages, item_verdict, text_fold, work_keys, deals_found, current_deals, deal_feeds, run_report, run_totals, display_names, work_pages, item_slugs]

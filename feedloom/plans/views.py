@@ -142,7 +142,7 @@ def upsert(d):
     return f"raw AS (SELECT user_id AS k, event_id AS ord, event_id % 3 AS batch, event_type AS title, CASE WHEN event_id % 7 = 0 THEN NULL ELSE {d.secs('ts')} END AS pub FROM events), ranked AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY batch DESC, ord DESC) AS newest, row_number() OVER (PARTITION BY k ORDER BY CASE WHEN pub IS NULL THEN 1 ELSE 0 END, batch, ord) AS oldest, min(batch) OVER (PARTITION BY k) AS first_batch FROM raw)"
 
 
-# The next four are the DuckDB SQL of jobs that Spark plans otherwise (jobs.py).
+# archive_upsert, exact_title_groups, interval_similarity_pairs and facet_counts are the DuckDB SQL of jobs that Spark plans otherwise (jobs.py).
 
 
 def archive_upsert(d):
