@@ -171,9 +171,9 @@ def blind_trie(strings: list[bytes], depth: int) -> tuple[list[int], list[int]]:
     return order, lcp
 
 
-def multikey_quicksort(keys: np.ndarray, order: np.ndarray, begin: np.ndarray, stop: np.ndarray, depth: int = 0) -> np.ndarray:
+def multikey_quicksort(keys: np.ndarray, order: np.ndarray, begin: np.ndarray, stop: np.ndarray) -> np.ndarray:
     """Sorts order[begin:stop] of every part by the rows of `keys`, in place: each open part is split in three by the character of its pivot at its depth; the middle goes on one character deeper. The parts of a round are split together."""
-    depth = np.full(len(begin), depth)
+    depth = np.zeros(len(begin), np.int64)
     while True:
         open_ = (stop - begin > 1) & (depth < keys.shape[1])
         begin, stop, depth = begin[open_], stop[open_], depth[open_]
@@ -197,8 +197,8 @@ def multikey_quicksort(keys: np.ndarray, order: np.ndarray, begin: np.ndarray, s
         depth = (depth[:, None] + np.array([0, 1, 0])).ravel()
 
 
-def sort_suffixes(strings: list[bytes], group: np.ndarray, same: int = 0) -> tuple[np.ndarray, np.ndarray]:
-    """Order by (group, string), and common prefixes with the one before (-1 at a group's start). The strings of a group share `same` bytes."""
+def sort_suffixes(strings: list[bytes], group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Order by (group, string), and common prefixes with the one before (-1 at a group's start)."""
     n = len(strings)
     lengths = np.minimum(np.fromiter(map(len, strings), np.int64, n), SHALLOW)
     head = np.frombuffer(b"".join(s[:SHALLOW].ljust(SHALLOW, b"\0") for s in strings), np.uint8).reshape(n, SHALLOW)
@@ -207,7 +207,7 @@ def sort_suffixes(strings: list[bytes], group: np.ndarray, same: int = 0) -> tup
     order = np.argsort(group, kind="stable")
     g = group[order]
     edge = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]])) if n else np.zeros(0, np.int64)
-    order = multikey_quicksort(keys, order, edge, np.append(edge[1:], n), same // 8)
+    order = multikey_quicksort(keys, order, edge, np.append(edge[1:], n))
     hw, ln = head[order], lengths[order]
     lcp = np.full(n, -1, np.int64)
     if n > 1:
@@ -228,7 +228,7 @@ def sort_suffixes(strings: list[bytes], group: np.ndarray, same: int = 0) -> tup
 def repeated(strings: list[bytes], at: np.ndarray, n: np.ndarray, group: np.ndarray) -> np.ndarray:
     """Boolean rows by bundle, columns by the anchor's offset: the windows that equal one of another bundle of their group."""
     N = len(strings)
-    right, r_lcp = sort_suffixes([s[a:] for s, a in zip(strings, at, strict=True)], group, GRAM)
+    right, r_lcp = sort_suffixes([s[a:] for s, a in zip(strings, at, strict=True)], group)
     left, l_lcp = sort_suffixes([s[:a][::-1] for s, a in zip(strings, at, strict=True)], group)
     cover = np.zeros((N, WIDTH), bool)
     rc, lc = np.empty(N, np.int64), np.empty(N, np.int64)
