@@ -38,11 +38,11 @@ from .near_dedup import U, mix, powers
 LENGTH, GRAM, SHALLOW, HOT = 400, 32, 64, 512
 WIDTH = LENGTH - GRAM + 1
 #: Windows of a text that are looked at together; about 120 bytes of memory each.
-SEGMENT = 1 << 18
+SEGMENT = 1 << 17
 #: Offsets to a range, as a large group is split again and again.
 STEPS = (46, 6, 1)
 #: Bytes of bundles that a task sorts at once; an anchor's group is never cut.
-TOGETHER = 8 << 20
+TOGETHER = 3 << 20
 PLACE = 28  # bits of a place in a segment
 
 
