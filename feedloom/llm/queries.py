@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, licenses, mixing, near_dedup, pii, quality, secret_scan, substring_dedup, token_count, toxicity
+from . import decontam, licenses, mixing, near_dedup, pii, quality, secret_scan, simhash, substring_dedup, token_count, toxicity
 from .common import table
 
 
@@ -51,7 +51,11 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_pii, op2_secrets, op3_quality, op4_decontam, op5_substring_dedup, op6_toxicity, op7_token_count, op8_near_dedup, op9_mixing, op10_licenses)}
+def op11_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.scan(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_pii, op2_secrets, op3_quality, op4_decontam, op5_substring_dedup, op6_toxicity, op7_token_count, op8_near_dedup, op9_mixing, op10_licenses, op11_simhash)}
 
 #: DuckDB SQL of the queries that SQL can express: the digests of decontamination are an exact function of the tables.
 ORACLES = {
