@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, licenses, mixing, near_dedup, pii, quality, secret_scan, simhash, substring_dedup, token_count, toxicity
+from . import decontam, filter_audit, licenses, mixing, near_dedup, pii, quality, secret_scan, simhash, substring_dedup, token_count, toxicity
 from .common import table
 
 
@@ -55,9 +55,13 @@ def op11_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.scan(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_pii, op2_secrets, op3_quality, op4_decontam, op5_substring_dedup, op6_toxicity, op7_token_count, op8_near_dedup, op9_mixing, op10_licenses, op11_simhash)}
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.scan(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
-#: DuckDB SQL of the queries that SQL can express: the digests of decontamination are an exact function of the tables.
+
+QUERIES = {f.__name__: f for f in (op1_pii, op2_secrets, op3_quality, op4_decontam, op5_substring_dedup, op6_toxicity, op7_token_count, op8_near_dedup, op9_mixing, op10_licenses, op11_simhash, op12_filter_audit)}
+
+#: DuckDB SQL of the queries that SQL can express.
 ORACLES = {
     "op4_decontam": r"""
 WITH iw AS (SELECT coalesce(CAST(item_id AS VARCHAR), 'null') AS item_id,
@@ -73,5 +77,20 @@ ni AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, sha256(string_agg(item
 SELECT dw.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
     coalesce(items_sha256, sha256('')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM dw LEFT JOIN nh USING (doc_id) LEFT JOIN ni USING (doc_id)
+""",
+    "op12_filter_audit": r"""
+WITH w AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+m AS (SELECT doc_id, part, CAST(len(ws) < 200 AS INT) AS a, CAST(100 * len(list_distinct(ws)) < 50 * len(ws) AS INT) AS b, CAST(100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 3 * length(t) AS INT) AS c,
+    CAST(regexp_matches(t, '[#$%&*|]') AS INT) AS d, CAST(coalesce(doc_id > min(doc_id) OVER (PARTITION BY t), false) AS INT) AS e FROM w),
+l AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+g AS (SELECT part, a, b, c, d, e, count(*) AS n, count(*) FILTER (WHERE good) AS n_good, count(*) FILTER (WHERE toxic) AS n_toxic FROM m LEFT JOIN l USING (doc_id) GROUP BY ALL),
+f AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+o AS (SELECT f1.x || f2.x || f3.x || f4.x || f5.x AS filter_order FROM f f1 JOIN f f2 ON f2.x <> f1.x JOIN f f3 ON f3.x NOT IN (f1.x, f2.x) JOIN f f4 ON f4.x NOT IN (f1.x, f2.x, f3.x) JOIN f f5 ON f5.x NOT IN (f1.x, f2.x, f3.x, f4.x)),
+s AS (SELECT g.*, substring('A', 1, a) || substring('B', 1, b) || substring('C', 1, c) || substring('D', 1, d) || substring('E', 1, e) AS fails, filter_order, CAST(step AS INT) AS step, filter_order[step] AS x, filter_order[1 : step - 1] AS earlier FROM g, o, unnest([1, 2, 3, 4, 5]) AS u(step)),
+r AS (SELECT *, contains(fails, x) AS hit, len(list_filter(regexp_split_to_array(earlier, ''), lambda y: y <> '' AND contains(fails, y))) > 0 AS gone FROM s),
+t AS (SELECT part, filter_order, step, x, sum(n) FILTER (WHERE NOT gone AND NOT hit) AS kept, sum(n) FILTER (WHERE NOT gone AND hit) AS removed, sum(n) FILTER (WHERE gone AND hit) AS redundant, sum(n) FILTER (WHERE fails = x) AS unique_fails,
+    sum(n_good) FILTER (WHERE NOT gone AND hit) AS good_lost, sum(n_toxic) FILTER (WHERE NOT gone AND hit) AS toxic_lost FROM r GROUP BY ALL)
+SELECT part, filter_order, step, CAST(coalesce(kept, 0) AS BIGINT) AS kept, CAST(coalesce(removed, 0) AS BIGINT) AS removed, CAST(coalesce(redundant, 0) AS BIGINT) AS redundant, CAST(coalesce(unique_fails, 0) AS BIGINT) AS unique_fails,
+    CAST(coalesce(good_lost, 0) AS BIGINT) AS good_lost, CAST(coalesce(toxic_lost, 0) AS BIGINT) AS toxic_lost, CAST(coalesce(sum(removed) OVER (PARTITION BY part, x), 0) AS BIGINT) AS shapley FROM t
 """,
 }
