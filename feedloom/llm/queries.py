@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, filter_audit, licenses, mixing, near_dedup, pii, quality, secret_scan, simhash, substring_dedup, token_count, toxicity
+from . import alignment, decontam, filter_audit, licenses, mixing, near_dedup, pii, quality, secret_scan, simhash, substring_dedup, token_count, toxicity
 from .common import table
 
 
@@ -59,7 +59,11 @@ def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.scan(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_pii, op2_secrets, op3_quality, op4_decontam, op5_substring_dedup, op6_toxicity, op7_token_count, op8_near_dedup, op9_mixing, op10_licenses, op11_simhash, op12_filter_audit)}
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.scan(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_pii, op2_secrets, op3_quality, op4_decontam, op5_substring_dedup, op6_toxicity, op7_token_count, op8_near_dedup, op9_mixing, op10_licenses, op11_simhash, op12_filter_audit, op13_alignment)}
 
 #: DuckDB SQL of the queries that SQL can express.
 ORACLES = {
