@@ -43,7 +43,7 @@ PAIR = 1 << 31
 #: Segments kept by a worker, and their length at most; segments given to the tokenizers at once, and their bytes.
 KEPT, LONG, AT_ONCE, BYTES = 400_000, 256, 4096, 1 << 20
 #: A single space between two characters of which neither is white space, in any tokenizer's sense, nor without width.
-BETWEEN = r"[^\s\x00-\x1f\x7f-\xa0 ᠎ -‏ -  -⁯▁　﻿]"
+BETWEEN = r"[^\s\x00-\x1f\x7f-\xa0\u1680\u180e\u2000-\u200f\u2028-\u202f\u205f-\u206f\u2581\u3000\ufeff]"
 CUT = re.compile(f"(?<={BETWEEN}) (?={BETWEEN})")
 #: Labels of a byte, and a span up to a common end.
 A_END, B_END, BOTH = 1, 2, 3
