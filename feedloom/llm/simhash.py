@@ -38,6 +38,8 @@ SHINGLE, SEED, RADIUS = 4, 42, 4
 TILE, TILE_LEAST, TILES = 1 << 16, 1 << 10, 64
 #: Rows of the small tiles inside a tile pair, and links gathered there before classes are merged.
 SMALL, LINKS = 256, 1 << 20
+#: Comparisons of a task, about.
+TASK = 1 << 30
 #: Bytes of a text after which the next blank ends a window, and hashes whose bits are counted together.
 WINDOW, HASHES = 1 << 20, 1 << 16
 BLANK = re.compile(rb"[\x20\x09-\x0D]")
@@ -196,7 +198,9 @@ def linked(distinct: DataFrame, rows: int, made: list[str], radius: int = RADIUS
     every = stored(tiles(distinct, rows, size), made)
     pairs = stored(tile_pairs(every, radius), made)
     one, two = (every.select(F.col("tile").alias(k), F.col("fps").alias(f"fps_{k}"), F.col("copies").alias(f"copies_{k}")) for k in "ab")
-    both = pairs.repartition(max(1, min(20_000, pairs.count()))).join(one, "a").join(two, "b")
+    # tile pairs cost the same, so they are dealt evenly, so many to a task as make TASK comparisons
+    longest = every.agg(F.max(F.length("fps") / 8)).first()[0] or 1
+    both = pairs.join(one, "a").join(two, "b").repartition(max(1, min(20_000, int(pairs.count() * longest**2 / TASK))))
 
     def run(batches):
         for batch in batches:
