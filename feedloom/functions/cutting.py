@@ -26,3 +26,22 @@ def cut(df: DataFrame) -> DataFrame:
 
 def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, made: list[str]) -> DataFrame:
+    """The rows of df as a Parquet table in the shared folder, whose path is added to `made`.
+
+    Loops use it instead of cut(): a checkpoint keeps the estimated size of its plan, and the estimates of joins multiply from round to round.
+    """
+    path = fresh_path(df.sparkSession, "table")
+    df.write.parquet(path)
+    made.append(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def dropped(spark: SparkSession, made: list[str]) -> None:
+    """Deletes tables of written() that nothing reads any more."""
+    for path in made:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    made.clear()

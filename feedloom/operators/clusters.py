@@ -4,8 +4,8 @@ Input of cluster(): ord (unique), lang, pub (seconds or null), norm (compared ti
 truncated. Four passes decide: equal titles of 10 or more characters at any time; a truncated title of 12 or more with the first
 longer title that starts with it, 72 hours apart at most or undated; a syndicated item with any at bigram Jaccard 0.7 within 72
 hours; and, in order of time, two items within 12 hours that meet the pair rule, if each is also near the other group's leader.
-The first three take every link, so they are connected components, found by Spark. Only the last depends on order: it is replayed
-for each part of its candidate graph, over the candidate links alone. Copies never reach the replay: equal titles of one time and
+The first three take every link, so they are connected components, found by Spark. Only the last depends on order: its candidate links
+are decided in rounds over blocks of bounded size (ordered_links.py). Copies never reach it: equal titles of one time and
 entity list are one node. A leader is the earliest dated item of its group, ties by lowest ord. Nulls: a null lang equals
 only null, a null norm counts as empty, null works as none, null flags as false. An empty table gives no rows.
 """
@@ -19,12 +19,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.cutting import cut
+from .ordered_links import LINKS, contracted, in_order
+from .prefixes import first_longer
 
 # Time limits, similarities and least lengths.
 HOUR = 3600
 FAR, NEAR = 72 * HOUR, 12 * HOUR
 ALIKE_FAR, ALIKE, ALIKE_SHARED, ALIKE_LEADER = 0.7, 0.55, 0.4, 0.45
 MIN_EXACT, MIN_PREFIX = 10, 12
+#: Classes of bigrams whose counts bound what two texts share; items of a name and slot from which it is dealt to several tasks.
+CLASSES, HOT = 16, 1000
 
 
 def grams(s: str) -> set[str]:
@@ -71,12 +75,8 @@ def _exact(n: DataFrame) -> DataFrame:
 
 
 def _prefix(n: DataFrame) -> DataFrame:
-    head = F.substring("norm", 1, MIN_PREFIX).alias("head")
-    cut_off = n.where(F.col("truncated") & (F.length("norm") >= MIN_PREFIX)).select(F.col("node").alias("b"), "lang", head, F.col("norm").alias("part"), F.col("pub").alias("pub_b"))
-    whole = n.where(F.length("norm") > MIN_PREFIX).groupBy("lang", head, "norm", "pub").agg(F.min("node").alias("a"))
-    close = F.col("pub").isNull() | F.col("pub_b").isNull() | (F.abs(F.col("pub") - F.col("pub_b")) <= FAR)
-    hits = cut_off.join(whole, ["lang", "head"]).where(F.expr("length(norm) > length(part) AND startswith(norm, part)") & close)
-    return hits.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
+    cut_off = n.where("truncated").select(F.col("node").alias("b"), "lang", F.col("norm").alias("text"), "pub")
+    return first_longer(cut_off, n.select(F.col("node").alias("a"), "lang", F.col("norm").alias("text"), "pub"), FAR, MIN_PREFIX).select("a", "b")
 
 
 def _side(x: DataFrame, s: str) -> DataFrame:
@@ -130,31 +130,51 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def _replay(pdf: pd.DataFrame) -> pd.DataFrame:
-    """The candidate links of one part in order of time: union if the groups differ and each item is near the other group's leader."""
-    pdf = pdf.sort_values(["pub_a", "node_a", "pub_b", "node_b"])
-    parent, leader = {}, {}
+def near_leaders(texts: pd.DataFrame):
+    """The rule of the last pass: each of two linked items is the other group's leader or like it. texts: node, norm, works."""
+    known = {int(n): (t, list(w)) for n, t, w in zip(texts["node"], texts["norm"], texts["works"], strict=True)}
+    sets: dict[int, set] = {}
 
-    def root(c):
-        while parent[c] != c:
-            parent[c] = parent[parent[c]]
-            c = parent[c]
-        return c
+    def near(lead: int, own: int, other: int) -> bool:
+        if lead == own:
+            return True
+        for k in (lead, other):
+            if k not in sets:
+                sets[k] = grams(known[k][0])
+        return jaccard(sets[lead], sets[other]) >= ALIKE_LEADER or pair_rule(*known[lead], *known[other])
 
-    def near(lead, i, j):
-        return lead[1] == i[0] or jaccard(grams(lead[2]), grams(j[1])) >= ALIKE_LEADER or pair_rule(lead[2], lead[3], j[1], j[2])
+    return lambda lead_a, lead_b, a, b: near(lead_a, a, b) and near(lead_b, b, a)
 
-    for r in pdf.itertuples():
-        for c, at, lead, norm, works in ((r.c_a, r.lpub_a, r.lead_a, r.lnorm_a, r.lworks_a), (r.c_b, r.lpub_b, r.lead_b, r.lnorm_b, r.lworks_b)):
-            if c not in parent:
-                parent[c], leader[c] = c, ((at, lead), lead, norm, list(works))
-        x, y = root(r.c_a), root(r.c_b)
-        i, j = (r.node_a, r.norm_a, list(r.works_a)), (r.node_b, r.norm_b, list(r.works_b))
-        if x != y and near(leader[x], i, j) and near(leader[y], j, i):
-            lead = min(leader[x], leader[y], key=lambda v: v[0])
-            parent[max(x, y)] = min(x, y)
-            leader[min(x, y)] = lead
-    return pd.DataFrame({"c": list(parent), "cid": [root(c) for c in parent]}, dtype="int64")
+
+def named_pairs(dated: DataFrame) -> DataFrame:
+    """node_a, node_b: items at most NEAR apart, the earlier first, that have a name in common and are alike without their common names.
+
+    They meet by language, name and time slot in numbers alone. Each item's bigrams without the name are counted by CLASSES classes; of two items with no other
+    name in common no more can be shared than the sum of the lesser counts, which excludes most pairs before any text is fetched. Names
+    are 64 bits; an item with two names on one bit is not excluded. A name with more than HOT items in a slot is dealt to several tasks.
+    """
+    each = dated.where(F.size("works") > 0).select("node", "lang", "pub", "norm", "works", F.explode("works").alias("w"))
+    each = each.withColumn("s", F.expr("replace(norm, w, '')")).withColumn("h", F.transform(gram_column("s"), lambda x: F.pmod(F.xxhash64(x), F.lit(CLASSES)).cast("int")))
+    bit = "shiftleft(1L, cast(pmod(xxhash64({}), 63) AS int))"
+    each = each.select(
+        "node", "lang", "pub", "w", F.floor(F.col("pub") / NEAR).alias("slot"), F.size("h").alias("n"), F.expr(f"transform(sequence(0, {CLASSES - 1}), k -> size(filter(h, x -> x = k)))").alias("classes"),
+        F.expr(f"aggregate(works, 0L, (s, x) -> s | {bit.format('x')})").alias("bits"), F.expr(bit.format("w")).alias("own"), F.expr(f"size(filter(works, x -> {bit.format('x')} = {bit.format('w')})) > 1").alias("clash"),
+    )
+    each = cut(each.where("n > 0"))
+    hot = each.groupBy("lang", "slot", "w").agg(F.ceil(F.count(F.lit(1)) / HOT).cast("int").alias("deals")).where("deals > 1")
+    sides = []
+    for k, slots, salt in (("a", F.explode(F.array(F.col("slot"), F.col("slot") + 1)), F.expr("pmod(xxhash64(node), deals)").cast("int")), ("b", F.col("slot"), F.explode(F.expr("sequence(0, deals - 1)")))):
+        x = each.withColumn("slot", slots).join(hot, ["lang", "slot", "w"], "left").withColumn("deals", F.coalesce("deals", F.lit(1))).withColumn("salt", salt)
+        sides.append(x.select("lang", "slot", "w", "salt", *(F.col(c).alias(f"{c}_{k}") for c in ("node", "pub", "n", "classes", "bits", "clash")), *(["own"] if k == "a" else [])))
+    least = sum((F.least(F.col("classes_a")[k], F.col("classes_b")[k]) for k in range(CLASSES)), F.lit(0))
+    alone = F.expr("bits_a & bits_b & ~own = 0 AND NOT (clash_a AND clash_b)")
+    fits = (1 + ALIKE_SHARED) * least >= ALIKE_SHARED * (F.col("n_a") + F.col("n_b")) - 1e-6
+    order = F.expr(f"pub_b - pub_a BETWEEN 0 AND {NEAR} AND (pub_a < pub_b OR node_a < node_b)")
+    pairs = cut(sides[0].join(sides[1], ["lang", "slot", "w", "salt"]).where(order & (~alone | fits)).select("node_a", "node_b").distinct())
+    text = lambda k: dated.select(*(F.col(c).alias(f"{c}_{k}") for c in ("node", "norm", "works")))
+    strip = "aggregate(array_intersect(works_a, works_b), norm_%s, (s, w) -> replace(s, w, ''))"
+    both = pairs.join(text("a"), "node_a").join(text("b"), "node_b").withColumn("s_a", F.expr(strip % "a")).withColumn("s_b", F.expr(strip % "b"))
+    return both.withColumn("sg_a", gram_column("s_a")).withColumn("sg_b", gram_column("s_b")).where(column_jaccard("sg_a", "sg_b") >= ALIKE_SHARED).select("node_a", "node_b")
 
 
 def _first_passes(items: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
@@ -178,26 +198,19 @@ def linked(items: DataFrame) -> DataFrame:
     return ids.join(c.select("node", F.col("c").alias("cid")), "node").select("ord", "cid")
 
 
-def cluster(items: DataFrame) -> DataFrame:
-    """(ord, cid): every item with its cluster, named by the lowest ord in it."""
-    ids, n, dated, c = _first_passes(items)
-    shape = ["node_a", "node_b", "pub_a", "pub_b", "norm_a", "norm_b", "works_a", "works_b"]
-    unlike = _similar(dated, NEAR, ALIKE, ~F.arrays_overlap("works_a", "works_b")).select(shape)
-    strip = "aggregate(array_intersect(works_a, works_b), norm_%s, (s, w) -> replace(s, w, ''))"
-    shared = _close(dated, F.col("works"), NEAR).withColumn("s_a", F.expr(strip % "a")).withColumn("s_b", F.expr(strip % "b")).withColumn("sg_a", gram_column("s_a")).withColumn("sg_b", gram_column("s_b"))
-    shared = shared.where(column_jaccard("sg_a", "sg_b") >= ALIKE_SHARED).select(shape)
-    lead = c.groupBy("c").agg(F.min_by(F.struct("pub", "node", "norm", "works"), F.struct(F.coalesce("pub", F.lit(2**62)), "node")).alias("l"))
-    group = c.select("node", "c").join(lead, "c")
-
-    def with_group(links: DataFrame, s: str) -> DataFrame:
-        g = group.select(F.col("node").alias(f"node_{s}"), F.col("c").alias(f"c_{s}"), F.coalesce("l.pub", F.lit(2**62)).alias(f"lpub_{s}"), F.col("l.node").alias(f"lead_{s}"), F.col("l.norm").alias(f"lnorm_{s}"), F.col("l.works").alias(f"lworks_{s}"))
-        return links.join(g, f"node_{s}")
-
-    links = unlike.union(shared).dropDuplicates(["node_a", "node_b"])
-    links = cut(with_group(with_group(links, "a"), "b").where("c_a <> c_b"))
-    parts = components(links.select(F.col("c_a").alias("a"), F.col("c_b").alias("b")))
-    merged = links.join(parts.withColumnRenamed("node", "c_a"), "c_a").groupBy("part").applyInPandas(_replay, "c long, cid long")
-    final = c.join(merged, "c", "left").select("node", F.coalesce("cid", "c").alias("g"))
+def cluster(items: DataFrame, size: int = LINKS) -> DataFrame:
+    """(ord, cid): every item with its cluster, named by the lowest ord in it. size: links that a task of the last pass goes through, about."""
+    ids, _, dated, c = _first_passes(items)
+    unlike = _similar(dated, NEAR, ALIKE, ~F.arrays_overlap("works_a", "works_b")).select("node_a", "node_b")
+    pairs = unlike.union(named_pairs(dated)).distinct()
+    lead = c.groupBy("c").agg(F.min(F.struct(F.coalesce("pub", F.lit(2**62)).alias("at"), F.col("node").alias("lead"))).alias("l"))
+    ends = c.select("node", "c", "pub")
+    links = pairs
+    for k in ("a", "b"):
+        links = links.join(ends.select(F.col("node").alias(f"node_{k}"), F.col("c").alias(f"g_{k}"), F.col("pub").alias(f"pub_{k}")), f"node_{k}")
+    links = in_order(links.where("g_a <> g_b"), "pub_a", "node_a", "pub_b", "node_b")
+    merged = contracted(links, lead.select(F.col("c").alias("g"), "l.lead", "l.at"), c.select("node", "norm", "works"), near_leaders, size)
+    final = cut(c.select("node", "c").join(merged, "c", "left").select("node", F.coalesce("cid", "c").alias("g")))
     low = final.groupBy("g").agg(F.min("node").alias("cid"))
     return ids.join(final, "node").join(low, "g").select("ord", "cid")
 
