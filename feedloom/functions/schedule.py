@@ -1,11 +1,11 @@
 """Dated announcements in short texts: (date, verb) pairs, with the year inferred from the time of publication.
 
-A date is "[2030年]12月10日", a month alone, "12/10", or a word for today. The verb is looked for in the characters behind it, and
-the nearest counts (ties: order of the rules). No announcement: "until" behind the date, with or without a short bracket between; a
-verb that goes on in the past, cancelled or put off; an excluded word or a sentence's end in between; a text that a skip pattern
-matches. A date without a year is in the year of publication, local time, or in the next if it would lie more than 150 days back. Days
-up to 31 pass for every month, so dates stay strings. Texts are folded first. Null or empty texts give none, nor do texts without
-a time of publication.
+Each form of a date has a pattern of its own: a month and day, a month alone, numbers with a slash, a word for today. A year may stand before a
+month. What follows a date, up to a limit, is read by the words of a configuration's block `schedule`: the verb nearest to the date
+counts (ties: order of the verbs), unless the date is a deadline, the verb is void by what follows it, or a parting word or the end of a sentence
+stands between. A date without a year is in the year of publication, local time, or in the next if it would lie more than
+`backDays` back. Days up to 31 pass for every month, so dates stay strings. Texts are folded first. Null or empty texts give none, nor do
+texts without a time of publication.
 """
 
 from __future__ import annotations
@@ -20,63 +20,94 @@ from pyspark.sql import functions as F
 
 from .ruleset import folded
 
+#: The block of a configuration, with words of our own.
+DEFAULT = {
+    "verbs": [
+        {"id": "release", "keywords": ["発売", "リリース", "released", "launch", "out now"]},
+        {"id": "start", "keywords": ["開始", "配信", "begins", "starts"]},
+        {"id": "event", "keywords": ["開催", "is held"]},
+        {"id": "end", "keywords": ["終了", "ends"]},
+    ],
+    "deadline": ["まで", "〆", "at the latest"],
+    "void": ["見送り", "取りやめ", "中止", "延期", "した", "された", "ed earlier", " cancelled", " postponed"],
+    "excludeBetween": ["抽選", "予約", "PV", "lottery", "preorder"],
+    "today": ["本日", "today"],
+    "skipIfMatches": [],
+    "window": 16,
+    "todayWindow": 6,
+    "backDays": 150,
+    "offsetHours": 9,
+}
+#: Where two forms begin at one place, the first of them is read. In folded texts a year stands in the six characters before its month.
+FORMS = {"day": "{month}月 ?{day}日", "month": "{month}月", "slash": "(?<![0-9/]){month}/{day}(?![0-9/])"}
+YEAR_BEFORE, YEAR_LENGTH, TERM = re.compile("([0-9]{4})年 ?$"), 6, "期"
+IN_BRACKETS, SENTENCE_END = re.compile(r"\s*[（(][^）)]{1,3}[）)]"), re.compile("[。!?]")
+
 
 @dataclass(frozen=True)
 class ScheduleRules:
-    verbs: dict = field(default_factory=lambda: {"release": ("発売", "リリース", "released", "launch", "out now"), "start": ("開始", "配信", "begins", "starts"), "event": ("開催", "is held"), "end": ("終了", "ends")})
-    until: tuple = ("まで", "〆", "at the latest")
-    not_again: tuple = ("され", "された", "した", "していた", "済", "中止", "延期", "見送", "ed earlier", " cancelled", " postponed")
-    between: tuple = ("抽選", "予約", "PV", "lottery", "preorder")
-    today: tuple = ("本日", "today")
-    skip: tuple = ()
-    window: int = 16
-    today_window: int = 6
-    back_days: int = 150
-    offset_hours: int = 9
+    """A configuration's block `schedule`; what it does not say is as in DEFAULT."""
+
+    config: dict = field(default_factory=dict)
+
+    def __getitem__(self, key: str):
+        return self.config.get(key, DEFAULT[key])
+
+    def words(self, key: str) -> list[str]:
+        return [folded(w).lower() if key != "void" else w.lower() for w in self[key]]
+
+    def forms(self) -> re.Pattern:
+        """All forms in one pattern, so that a text is read once; a form's numbers are named after it."""
+        number = lambda form: {k: f"(?P<{form}_{k}>[0-9]{{1,2}})" for k in ("month", "day")}
+        today = "|".join(rf"(?<![A-Za-z0-9]){re.escape(w)}" for w in self["today"]) or "(?!)"
+        return re.compile("|".join([*(f"(?P<{form}>{p.format(**number(form))})" for form, p in FORMS.items()), f"(?P<today>{today})"]), re.IGNORECASE)
 
 
 RULES = ScheduleRules()
-DATES = r"(?:(?P<y>\d{4})年\s*)?(?P<m>\d{1,2})月(?:\s*(?P<d>\d{1,2})日)?(?P<term>期)?|(?<![\d/])(?P<m2>\d{1,2})/(?P<d2>\d{1,2})(?![\d/])|(?P<now>%s)"
 
 
 def dates(text: str, pub: int, rules: ScheduleRules):
-    """(end, reach, year, month, day) of the dates in a folded text; a day of None is a month alone."""
-    seen = (datetime.datetime(1970, 1, 1) + datetime.timedelta(seconds=pub, hours=rules.offset_hours)).date()
-    for m in re.finditer(DATES % "|".join(rf"(?<![A-Za-z0-9]){re.escape(w)}" for w in rules.today), text, re.IGNORECASE | re.ASCII):
-        if m["now"]:
-            yield m.end(), rules.today_window, seen.year, seen.month, seen.day
-            continue
-        month = int(m["m"] or m["m2"])
-        day = m["d2"] or (None if m["term"] else m["d"])
-        if not 1 <= month <= 12 or day is not None and not 1 <= int(day) <= 31:
+    """(end, reach, year, month, day) of the dates in a folded text, from left to right; a day of None is a month alone."""
+    here = datetime.datetime(1970, 1, 1) + datetime.timedelta(seconds=pub, hours=rules["offsetHours"])
+    today = here.date()
+    for m in rules.forms().finditer(text):
+        end, form, named = m.end(), next(f for f in (*FORMS, "today") if m[f] is not None), m.groupdict()
+        if form == "today":
+            yield end, rules["todayWindow"], today.year, today.month, today.day
             continue
-        day = None if day is None else int(day)
-        # a day that the month lacks is as far from its first as the number says
-        then = datetime.date(seen.year, month, 1) + datetime.timedelta(days=(day or 1) - 1)
-        year = int(m["y"]) if m["y"] else seen.year + (then < seen - datetime.timedelta(days=rules.back_days))
-        yield m.end(), rules.window, year, month, day
+        month, day = (None if n is None else int(n) for n in (named[f"{form}_month"], named.get(f"{form}_day")))
+        year = YEAR_BEFORE.search(text[max(0, m.start() - YEAR_LENGTH) : m.start()]) if form != "slash" else None
+        if form != "slash" and text.startswith(TERM, end):
+            end, day = end + len(TERM), None
+        if 1 <= month <= 12 and (day is None or 1 <= day <= 31):
+            # a day that the month lacks is as far from its first as the number says
+            then = datetime.date(today.year, month, 1) + datetime.timedelta(days=(day or 1) - 1)
+            past = (today - then).days > rules["backDays"]
+            yield end, rules["window"], int(year[1]) if year else today.year + past, month, day
 
 
 def announced(behind: str, rules: ScheduleRules) -> str | None:
     """The verb that the characters behind a date announce."""
-    if re.match(r"\s*(?:[（(][^）)]{1,3}[）)]\s*)?(?:%s)" % "|".join(map(re.escape, rules.until)), behind):
-        return None
     low = behind.lower()
-    hits = [(at, k, verb, w) for k, (verb, words) in enumerate(rules.verbs.items()) for w in words if (at := low.find(folded(w).lower())) >= 0]
-    if not hits:
+    bracket = IN_BRACKETS.match(low)
+    starts = {low.lstrip(), low[bracket.end() :].lstrip()} if bracket else {low.lstrip()}
+    if any(s.startswith(w) for s in starts for w in rules.words("deadline")):
         return None
-    at, _, verb, word = min(hits, key=lambda h: h[:2])
-    before, rest = behind[:at], low[at + len(folded(word)) :]
-    if rest.startswith(rules.not_again) or any(folded(w) in before for w in rules.between) or re.search("[。!?]", before):
+    found = [(low.find(word), k, verb["id"], word) for k, verb in enumerate(rules["verbs"]) for word in (folded(w).lower() for w in verb["keywords"])]
+    found = [f for f in found if f[0] >= 0]
+    if not found:
         return None
-    return verb
+    at, _, verb, word = min(found, key=lambda f: f[:2])
+    between, rest = low[:at], low[at + len(word) :]
+    parted = SENTENCE_END.search(between) or any(w in between for w in rules.words("excludeBetween"))
+    return None if parted or any(rest.startswith(w) for w in rules.words("void")) else verb
 
 
 def announcements(text: str | None, pub: int | None, rules: ScheduleRules = RULES) -> list[tuple[str, str]]:
     if not text or pub is None:
         return []
     text, out = folded(text), {}
-    if any(re.search(p, text, re.IGNORECASE) for p in rules.skip):
+    if any(re.search(p, text, re.IGNORECASE) for p in rules["skipIfMatches"]):
         return []
     for end, reach, year, month, day in dates(text, int(pub), rules):
         if verb := announced(text[end : end + reach], rules):

@@ -1,220 +1,33 @@
-"""Line breaks in Japanese text: where given phrases may be parted, as positions in the whole text.
-
-A text is held with the sorted places at which it may break (neither its begin nor its end). Each rule takes places away or adds some;
-composed() applies them in order. The phrases come from outside, such as a phrase model; none is needed here. Lengths are in code points.
-Null phrases count as none; an empty list gives an empty list.
-"""
+"""Words that stay on one line, names for a phrase model, and white space between wide characters. Nulls stay null; lengths are in code points."""
 
 from __future__ import annotations
 
 import re
-from dataclasses import dataclass
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Characters that may not begin a line, brackets, particles, and the words that rules know.
-NO_START = "ぁぃぅぇぉっゃゅょゎゕゖァィゥェォッャュョヮヵヶーヽヾゝゞ々〻、。，．：；）」』］】〕〉》〙〗〟！？‼⁇⁈⁉・‥…" + "".join(map(chr, range(0x31F0, 0x3200)))
-OPEN, CLOSE = "（「『［【〔〈《〘〖〝", "）」』］】〕〉》〙〗〟"
-PARTICLES = "のをにがはでともへや"
-ENDINGS = ("です", "でし", "でせ", "やす")
-BEFORE_NOUNS = ("この", "その", "あの", "どの", "こんな", "そんな", "あんな", "どんな", "同じ", "大きな", "小さな", "いわゆる")
-COMPOUNDS = ("よっ", "よる", "より", "よれ", "つい", "つき", "とっ", "対し", "対す", "関し", "関す", "おい", "おけ", "わた", "基づ", "向け")
-QUOTED = ("いう", "いっ", "いえ", "して", "した")
-KEPT_WORDS = ("手がかり", "足がかり", "気がかり", "大がかり", "通りがかり")
-UNITS = ("%", "％", "件", "回", "人", "位", "枚", "点", "分", "秒", "年", "月", "日", "時", "個", "円", "倍", "代", "歳", "本", "冊", "km", "kg", "px")
-KANJI, KANA, HIRA = "一-鿿々〆〇", "ァ-ヺ", "ぁ-ゖ"
-WIDE = "　-鿿＀-￯"
-
-
-@dataclass(frozen=True)
-class BreakRules:
-    names: tuple = ()
-    units: tuple = UNITS
-    max_bracket: int = 9
-    long_phrase: int = 7
-    widow_min: int = 5
-    widow_join: int = 12
-    bound_join: int = 9
-
-    def kept(self) -> tuple:
-        """Names and words without a break inside, longest first."""
-        return tuple(sorted({n for n in (*self.names, *KEPT_WORDS) if len(n) >= 2}, key=lambda n: (-len(n), n)))
-
-
-def is_(c: str, kind: str) -> bool:
-    return re.match(f"[{kind}]", c) is not None
-
-
-def parts(text: str, cuts: list[int]) -> list[str]:
-    ends = [0, *cuts, len(text)]
-    return [text[a:b] for a, b in zip(ends, ends[1:]) if b > a]
-
-
-def spans(text: str, cuts: list[int]):
-    ends = [0, *cuts, len(text)]
-    return list(zip(ends, ends[1:]))
-
-
-def no_bad_starts(text: str, cuts: list[int]) -> list[int]:
-    return [p for p in cuts if text[p] not in NO_START]
-
-
-def in_long_phrases(text: str, cuts: list[int], rules: BreakRules) -> list[int]:
-    """Long phrases also break before katakana behind kanji, behind a middle dot between words, and behind a particle; two characters stay on each side."""
-
-    def words_meet(a: int, p: int, b: int) -> bool:
-        word = f"[{KANA}ー一-鿿々A-Za-z0-9]"
-        return re.search(f"{word}{{2}}$", text[a : p - 1]) is not None and re.match(f"{word}{{2}}", text[p:b]) is not None
-
-    def breaks(a: int, p: int, b: int) -> bool:
-        left, right = text[p - 1], text[p]
-        if is_(left, KANJI) and is_(right, KANA) or left == "・" and words_meet(a, p, b):
-            return True
-        bound = left + right in ENDINGS or left in "のをにがはでともへや" and right in "はもの"
-        return b - a > rules.long_phrase and left in PARTICLES and right not in NO_START and not bound
-
-    out = []
-    for a, b in spans(text, cuts):
-        if a:
-            out.append(a)
-        last = a
-        for p in range(a + 2, b - 1) if b - a >= rules.long_phrase else ():
-            if p - last >= 2 and breaks(a, p, b):
-                out.append(p)
-                last = p
-    return out
-
-
-def not_between_bound(text: str, cuts: list[int], rules: BreakRules) -> list[int]:
-    """No break between phrases that belong together, while both are short."""
-    out: list[int] = []
-    for a, b in spans(text, cuts):
-        if a:
-            before, phrase = text[(out or [0])[-1] : a], text[a:b]
-            both = len(before) + len(phrase)
-            kana_no = re.search(f"[{HIRA}{KANA}一-鿿々]の$", before) and len(phrase) <= 3
-            te = re.search(f"[{HIRA}一-鿿々]て$", before)
-            joined = phrase[0] not in "、。，．！？" and (
-                before in BEFORE_NOUNS
-                or both <= rules.bound_join + 3 and (before.endswith("に") and phrase.startswith(COMPOUNDS) or before.endswith("と") and phrase.startswith(QUOTED))
-                or both <= rules.bound_join and bool(kana_no or te)
-            )
-            if not joined:
-                out.append(a)
-    return out
-
-
-def ends_of_sentences(text: str) -> list[int]:
-    """Behind 。 and behind ！ or ？, unless closing marks follow; or, behind the latter, kana that goes on with the sentence."""
-    closing = "。！？」』）"
-    return [p for p in range(1, len(text)) if text[p] not in closing and (text[p - 1] == "。" or text[p - 1] in "！？" and not is_(text[p], HIRA))]
-
-
-def around_brackets(text: str, cuts: list[int], rules: BreakRules) -> list[int]:
-    """Breaks before an opening bracket, and none inside a short pair."""
-    more = {p for a, b in spans(text, cuts) for p in range(a + 2, b) if text[p] in OPEN}
-    out: list[int] = []
-    depth = begin = 0
-    for a, b in spans(text, sorted({*cuts, *more})):
-        if a:
-            if depth == 0 or b - begin > rules.max_bracket:
-                out.append(a)
-                depth = 0
-        for p in range(a, b):
-            if text[p] in OPEN:
-                begin, depth = (p if depth == 0 else begin), depth + 1
-            elif text[p] in CLOSE:
-                depth = max(0, depth - 1)
-    return out
-
-
-def outside_names(text: str, cuts: list[int], rules: BreakRules) -> list[int]:
-    inside: set[int] = set()
-    for name in rules.kept():
-        at = text.find(name)
-        while at >= 0:
-            inside.update(range(at + 1, at + len(name)))
-            at = text.find(name, at + 1)
-    return [p for p in cuts if p not in inside]
-
-
-def composed(phrases: list[str], rules: BreakRules) -> list[str]:
-    text, cuts, at = "".join(phrases), [], 0
-    for p in phrases[:-1]:
-        at += len(p)
-        if 0 < at < len(text) and (not cuts or cuts[-1] < at):
-            cuts.append(at)
-    if not text:
-        return []
-    cuts = in_long_phrases(text, no_bad_starts(text, cuts), rules)
-    cuts = sorted({*not_between_bound(text, cuts, rules), *ends_of_sentences(text)})
-    return parts(text, outside_names(text, around_brackets(text, cuts, rules), rules))
-
-
-def no_widow(phrases: list[str], rules: BreakRules) -> tuple[list[str], str]:
-    """(phrases, the end that stays on one line): whole phrases while they fit; else the end of the last phrase, from a place where a word may begin."""
-    head, tail = list(phrases[:-1]), phrases[-1] if phrases else ""
-    while head and len(tail) < rules.widow_min and len(tail) + len(head[-1]) <= rules.widow_join:
-        tail = head.pop() + tail
-    if head and len(tail) < rules.widow_min:
-        last = head.pop()
-
-        def splits_word(p: int) -> bool:
-            return last[p] in NO_START or any(is_(last[p - 1], k) and is_(last[p], k) for k in (KANA + "ー", "一-鿿々", "A-Za-z0-9０-９.,%"))
-
-        p = len(last) - min(len(last) - 1, rules.widow_min - len(tail))
-        while p > 1 and splits_word(p):
-            p -= 1
-        if p < len(last):
-            tail = last[p:] + tail
-            last = last[:p]
-        head.append(last)
-    return head, tail
-
-
-def protected(rules: BreakRules) -> str:
-    """The pattern of words that stay on one line: names, a closing bracket with the kana behind it, katakana words, numbers with their unit, Latin words, short kanji words."""
-    units = "|".join(map(re.escape, sorted(rules.units, key=lambda u: (-len(u), u))))
-    kata, kanji = f"[{KANA}ー]", "[一-鿿々]"
-    kinds = [
-        *map(re.escape, rules.kept()), f"[{CLOSE}][{HIRA}]", f"(?<![{KANA}ー・]){kata}・{kata}{{2,8}}(?!{kata})", f"(?<!{kata}){kata}{{2,10}}(?!{kata})",
-        rf"[A-Za-z0-9０-９][A-Za-z0-9０-９.,+%/²'’-]*(?:{units or '(?!)'})?", f"(?<!{kanji}){kanji}{{2,4}}(?!{kanji})",
-    ]
-    return "|".join(kinds)
-
-
-def protected_words(text: Column, rules: BreakRules) -> Column:
-    return F.regexp_extract_all(text, F.lit(protected(rules)), F.lit(0))
-
-
-def segmented(phrases: Column, rules: BreakRules) -> Column:
-    """array<string>: the phrases after all rules, of a column of given phrases."""
-
-    @F.pandas_udf("array<string>")
-    def run(s: pd.Series) -> pd.Series:
-        return s.map(lambda p: None if p is None else composed([x for x in p if x], rules))
-
-    return run(phrases)
-
-
-def tail_of(phrases: Column, rules: BreakRules) -> Column:
-    """struct<head array<string>, tail string>."""
+WIDE = "\\u3000-\\u9FFF\\uFF00-\\uFFEF"
+BLANKS = " \t\r\n"
 
-    @F.pandas_udf("head array<string>, tail string")
-    def run(s: pd.Series) -> pd.DataFrame:
-        both = [([], None) if p is None else no_widow(list(p), rules) for p in s]
-        return pd.DataFrame({"head": [h for h, _ in both], "tail": [t for _, t in both]})
 
-    return run(phrases)
+def protected_words(text: Column, names=(), units=()) -> Column:
+    """array<string>: names, runs of Latin letters and digits with a unit, of katakana, and of ideographs, in order; longer names first."""
+    first = lambda words: "|".join(re.escape(w) for w in sorted(words, key=lambda w: (-len(w), w)))
+    latin = r"[\p{IsLatin}\p{Nd}][\p{IsLatin}\p{Nd}.,/+-]*" + (f"(?:{first(units)})?" if units else "")
+    kinds = [*([first(names)] if names else []), latin, r"[\p{IsKatakana}\u30FC\u30FB]{2,}", r"\p{IsHan}{2,}"]
+    return F.regexp_extract_all(text, F.lit("|".join(kinds)), F.lit(0))
 
 
 def joined_wide(nodes: Column) -> Column:
-    """Texts of neighbouring nodes without the white space between two wide characters, also across nodes. Up to 50 blanks or ends of nodes are looked back over."""
-    sep, blank = "\x01", r"[ \t\r\n]"
-    text = F.array_join(nodes, sep, "")
-    return F.split(F.regexp_replace(text, rf"(?<=[{WIDE}][{sep} \t\r\n]{{0,50}}){blank}+(?=[{sep} \t\r\n]*[{WIDE}])", ""), sep)
+    """Texts of neighbouring nodes without the white space between two wide characters, also across nodes, however long.
+
+    Runs of blanks and ends of nodes between wide characters are put between marks first; then the blanks between marks go.
+    """
+    sep, begin, end = "\x01", "\x02", "\x03"
+    text = F.regexp_replace(F.array_join(nodes, sep, ""), f"([{WIDE}])([{sep}{BLANKS}]+)(?=[{WIDE}])", f"$1{begin}$2{end}")
+    runs = F.transform(F.split(text, begin), lambda p: F.concat(F.when(F.contains(p, F.lit(end)), F.regexp_replace(F.substring_index(p, end, 1), f"[{BLANKS}]", "")).otherwise(""), F.when(F.contains(p, F.lit(end)), F.substring_index(p, end, -1)).otherwise(p)))
+    return F.split(F.array_join(runs, ""), sep)
 
 
 def names_of(items: DataFrame) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Line breaks in headlines, whose phrases are taken to be six characters each."""
+"""White space and words of headlines as line breaking needs them."""
 
 from __future__ import annotations
 
@@ -9,22 +9,6 @@ from ..functions import segments as S
 from . import verdict_sql as V
 from . import verdicts
 
-RULES = S.BreakRules(names=("続編未定", "グッズ通販"))
-
-
-def _phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    text = F.concat("title", F.lit("。しかし「次の回」？では続くようです！終わり"))
-    return verdicts.made(spark, sf_dir).select("ord", text.alias("text"), F.regexp_extract_all(text, F.lit("(?s).{1,6}"), F.lit(0)).alias("phrases"))
-
-
-def segment_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _phrases(spark, sf_dir).select("ord", F.array_join(S.segmented(F.col("phrases"), RULES), "|").alias("phrases"))
-
-
-def segment_tails(spark: SparkSession, sf_dir: str) -> DataFrame:
-    x = _phrases(spark, sf_dir).select("ord", S.tail_of(S.segmented(F.col("phrases"), RULES), RULES).alias("t"))
-    return x.select("ord", F.size("t.head").cast("long").alias("n_head"), "t.tail")
-
 
 def wide_spaces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Headlines with blanks between and around wide characters, in three nodes."""
@@ -37,16 +21,17 @@ def protected_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.names_of(verdicts.accepted(spark, sf_dir))
 
 
-def segment_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Of a run: texts, texts that it changes, phrases before and after. A second run changes nothing more."""
-    x = _phrases(spark, sf_dir).withColumn("new", S.segmented(F.col("phrases"), RULES)).withColumn("again", S.segmented(F.col("new"), RULES))
-    return x.agg(F.count(F.lit(1)).alias("texts"), F.count_if(F.col("new") != F.col("phrases")).alias("changed"), F.sum(F.size("phrases")).alias("before"), F.sum(F.size("new")).alias("after"))
+def protected_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What stays whole in a headline: a name, words and numbers with a unit, runs of katakana and of ideographs."""
+    x = verdicts.made(spark, sf_dir)
+    return x.select("ord", F.array_join(S.protected_words(F.col("title"), ("続編未定", "グッズ通販"), ("％", "%", "円")), "|").alias("words"))
 
 
-JOBS = [segment_phrases, segment_tails, wide_spaces, protected_names, segment_totals]
+JOBS = [wide_spaces, protected_names, protected_parts]
 W = "[\\x{3000}-\\x{9FFF}\\x{FF00}-\\x{FFEF}]"
 ONE = lambda e: f"regexp_replace({e}, '({W}\\x01?)[ \\t\\r\\n]+(\\x01?{W})', '\\1\\2', 'g')"
 ORACLES = {
+    "protected_parts": f"WITH {verdicts.MADE} SELECT ord, array_to_string(regexp_extract_all(title, '続編未定|グッズ通販|[\\p{{Latin}}\\p{{Nd}}][\\p{{Latin}}\\p{{Nd}}.,/+-]*[％%円]?|[\\p{{Katakana}}ー・][\\p{{Katakana}}ー・]+|\\p{{Han}}\\p{{Han}}+'), '|') AS words FROM made",
     # the white space between two nodes is put before the end of the first, so that one pattern serves; twice, as matches share characters
     "wide_spaces": f"WITH {verdicts.MADE}, x AS (SELECT ord, concat('前 ', chr(10), title, ' ', chr(1), chr(9), ' 後 ろ a', chr(1), ' 末') AS t FROM made), y AS (SELECT ord, {ONE(ONE('t'))} AS t FROM x), z AS (SELECT ord, regexp_replace(t, '({W})[ \\t\\r\\n]*\\x01[ \\t\\r\\n]*({W})', '\\1' || chr(1) || '\\2', 'g') AS t FROM y) SELECT ord, replace(t, chr(1), '|') AS text FROM z",
     "protected_names": f"{V.BASE} SELECT DISTINCT w AS name FROM (SELECT unnest(works) AS w FROM full_ok) u WHERE length(w) BETWEEN 2 AND 24",

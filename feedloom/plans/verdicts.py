@@ -131,7 +131,7 @@ def calendar_of_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Calendar entries of names that have a page, with its address."""
     x = pages.with_display_names(accepted(spark, sf_dir), RULES).withColumn("work", F.try_element_at("works", F.lit(1)))
     now = x.agg(F.max("pub")).first()[0] or 0
-    rules = schedule.ScheduleRules(verbs={"open": ("決定",)})
+    rules = schedule.ScheduleRules({"verbs": [{"id": "open", "keywords": ["決定"]}]})
     entries = schedule.calendar(x.select("ord", "title", "summary", "pub", "lang", "work", F.coalesce("work", "title").alias("subject"), F.lit(1).alias("sources")), now, rules)
     found = pages.work_pages(x).select(F.col("name").alias("subject"), "slug")
     return entries.join(found, "subject").select("subject", "date", "verb", F.col("sources").cast("long").alias("sources"), "slug")
