@@ -9,7 +9,8 @@ each document's links are then held against the counts.
 No token of either vocabulary goes on behind a single space between two other characters (B's pieces hold no mark behind another character, which
 is checked; A's pieces are words with the space before). A text thus falls into segments that begin at such spaces, at each of
 which both tokenizers begin anew, so the labels of a text are those of its segments laid end to end. Segments repeat: each different one
-is labelled once and what came of it is kept, up to KEPT segments of LONG bytes at most. A text without such spaces is one segment.
+is labelled once and what came of it is kept: up to KEPT segments of LONG characters at most, and as many again that were met before these, so that
+frequent ones stay. A text without such spaces is one segment.
 
 A text whose joined bytes of A or B are not its own (characters that a tokenizer rewrites) has no tokens. Segments with such bytes are tried
 again as one text, so that the text alone decides.
@@ -41,7 +42,7 @@ VOCABULARY_A, VOCABULARY_B = "/opt/tokenizers/byte_bpe_50k.json", "/opt/tokenize
 #: A pair of ids is one long: A's id times PAIR plus B's.
 PAIR = 1 << 31
 #: Segments kept by a worker, and their length at most; segments given to the tokenizers at once, and their bytes.
-KEPT, LONG, AT_ONCE, BYTES = 400_000, 256, 4096, 1 << 20
+KEPT, LONG, AT_ONCE, BYTES = 250_000, 256, 4096, 1 << 20
 #: A single space between two characters of which neither is white space, in any tokenizer's sense, nor without width.
 BETWEEN = r"[^\s\x00-\x1f\x7f-\xa0\u1680\u180e\u2000-\u200f\u2028-\u202f\u205f-\u206f\u2581\u3000\ufeff]"
 CUT = re.compile(f"(?<={BETWEEN}) (?={BETWEEN})")
@@ -89,63 +90,71 @@ def labels(ends_a: np.ndarray, ends_b: np.ndarray, size: int) -> bytes:
     return out.tobytes()
 
 
-def groups_of(label: bytes) -> list[tuple[int, int]]:
-    """(tokens of A, tokens of B) of each span up to a common end."""
-    return [(1 + s.count(A_END), 1 + s.count(B_END)) for s in SPAN.findall(label)]
+def groups_of(label: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """How many tokens of A, and of B, each span up to a common end holds."""
+    spans = SPAN.findall(label)
+    return tuple(1 + np.fromiter(map(bytes.count, spans, itertools.repeat(end)), np.int64, len(spans)) for end in (A_END, B_END))
 
 
-class Aligned:
-    """What came of a text: its numbers of tokens, groups as written, and linked pairs in order. None if a tokenizer changes its bytes."""
-
-    __slots__ = ("n_a", "n_b", "n_groups", "written", "pairs")
-
-    def __init__(self, a: list[int], b: list[int], groups: list[tuple[int, int]]):
-        self.n_a, self.n_b, self.n_groups = len(a), len(b), len(groups)
-        out, pairs, i, j = [], [], 0, 0
-        for x, y in groups:
-            out.append(f"{','.join(map(str, a[i : i + x]))}|{','.join(map(str, b[j : j + y]))}")
-            i, j = i + x, j + y
-            pairs.append(a[i - 1] * PAIR + b[j - 1])
-        self.written, self.pairs = ";".join(out), pairs
+#: What came of a segment: its tokens of A and of B, its groups as written, and its linked pairs in order, as the bytes of longs.
+Aligned = tuple[int, int, str, bytes]
 
 
 class Aligner:
-    """Segment -> Aligned, or None; filled for many segments at once."""
+    """Segment -> Aligned, or None if a tokenizer changes its bytes; filled for many segments at once."""
 
     def __init__(self, file_a: bytes, file_b: bytes):
-        self.tokenizers, self.known = Tokenizers(file_a, file_b), {}
+        self.tokenizers, self.known, self.older = Tokenizers(file_a, file_b), {}, {}
+        #: Decimal ids with what follows them: inside a group, and at the end of a group's tokens of A, of B, and of the last group.
+        self.inside, self.end_a, self.end_b, self.last = (np.array([f"{i}{c}" for i in range(1 + max(*self.tokenizers.bytes_a, *self.tokenizers.bytes_b))], object) for c in (",", "|", ";", "\n"))
+
+    def written(self, a: np.ndarray, b: np.ndarray, in_a: np.ndarray, in_b: np.ndarray, last: np.ndarray) -> list[str]:
+        """The groups of each segment as text. in_a, in_b: tokens by group; last: each segment's last group."""
+        ends_a, ends_b = np.cumsum(in_a), np.cumsum(in_b)
+        out = np.empty(len(a) + len(b), object)
+        at_a = np.arange(len(a)) + np.repeat(ends_b - in_b, in_a)
+        at_b = np.arange(len(b)) + np.repeat(ends_a, in_b)
+        out[at_a], out[at_b] = self.inside[a], self.inside[b]
+        out[at_a[ends_a - 1]], out[at_b[ends_b - 1]] = self.end_a[a[ends_a - 1]], self.end_b[b[ends_b - 1]]
+        out[at_b[ends_b[last] - 1]] = self.last[b[ends_b[last] - 1]]
+        return "".join(out.tolist()).split("\n")[:-1]
 
     def align(self, texts: list[str]) -> list[Aligned | None]:
         """Texts by the labels of their bytes, all in one string: every text ends with a common end."""
-        ta, tb = self.tokenizers.bytes_a, self.tokenizers.bytes_b
-        encoded, good = self.tokenizers.encode(texts), []
-        sizes_a, sizes_b, total = [], [], 0
+        ta, tb = self.tokenizers.bytes_a.__getitem__, self.tokenizers.bytes_b.__getitem__
+        encoded = self.tokenizers.encode(texts)
+        good, kept, one, two = [], [], [], []
         for t, (a, b) in zip(texts, encoded, strict=True):
-            one, two, own = [ta[i] for i in a], [tb[i] for i in b], b" " + t.encode("utf-8", "surrogatepass")
-            good.append(b"".join(one) == own == b"".join(two))
+            raw_a, raw_b, own = list(map(ta, a)), list(map(tb, b)), b" " + t.encode("utf-8", "surrogatepass")
+            good.append(b"".join(raw_a) == own == b"".join(raw_b))
             if good[-1]:
-                sizes_a += map(len, one)
-                sizes_b += map(len, two)
-                total += len(own)
-        groups = iter(groups_of(labels(np.cumsum(sizes_a, dtype=np.int64), np.cumsum(sizes_b, dtype=np.int64), total)))
-        out = []
-        for ok, (a, b) in zip(good, encoded, strict=True):
-            if not ok:
-                out.append(None)
-                continue
-            own, left = [], len(a)
-            while left:
-                own.append(next(groups))
-                left -= own[-1][0]
-            out.append(Aligned(a, b, own))
-        return out
+                kept.append((a, b))
+                one += raw_a
+                two += raw_b
+        if not kept:
+            return [None] * len(texts)
+        ends_a, ends_b = (np.cumsum(np.fromiter(map(len, raw), np.int64, len(raw))) for raw in (one, two))
+        in_a, in_b = groups_of(labels(ends_a, ends_b, int(ends_a[-1])))
+        a, b = (np.fromiter(itertools.chain.from_iterable(x), np.int64) for x in zip(*kept, strict=True))
+        n_a, n_b = ([len(x) for x in side] for side in zip(*kept, strict=True))
+        last = np.searchsorted(np.cumsum(in_a), np.cumsum(n_a))
+        pairs = (a[np.cumsum(in_a) - 1] * PAIR + b[np.cumsum(in_b) - 1]).tobytes()
+        cuts = [0, *(8 * (last + 1)).tolist()]
+        done = zip(n_a, n_b, self.written(a, b, in_a, in_b, last), [pairs[x:y] for x, y in zip(cuts, cuts[1:], strict=False)], strict=True)
+        return [next(done) if ok else None for ok in good]
 
     def learn(self, segments: list[str]) -> None:
         """Segments that are not known yet, in parts of bounded size."""
-        new = [s for s in dict.fromkeys(segments) if s not in self.known]
-        if len(self.known) + len(new) > KEPT:
-            self.known.clear()
-            new = list(dict.fromkeys(segments))
+        wanted = dict.fromkeys(segments)
+        if len(self.known) + len(wanted) > KEPT:
+            self.known, self.older = {}, self.known
+        new = []
+        for s in wanted:
+            if s not in self.known:
+                if s in self.older:
+                    self.known[s] = self.older[s]
+                else:
+                    new.append(s)
         begin = size = 0
         for i, s in enumerate([*new, None]):
             if s is None or i - begin >= AT_ONCE or size > BYTES:
@@ -154,19 +163,18 @@ class Aligner:
                 begin, size = i, 0
             size += len(s or "")
 
-    def texts(self, texts: list[str]) -> list[list[Aligned | None] | None]:
+    def texts(self, texts: list[str]) -> list[list[Aligned] | None]:
         """The segments of each text, aligned; None for texts without tokens."""
         cut = [CUT.split(t) if t else [] for t in texts]
         self.learn(list(itertools.chain.from_iterable(cut)))
         out = []
         for t, segments in zip(texts, cut, strict=True):
-            found = [self.known[s] for s in segments]
+            found = list(map(self.known.__getitem__, segments))
             if None in found and len(found) > 1:
                 found = self.align([t])
             out.append(None if None in found or not found else found)
-        for s in set(itertools.chain.from_iterable(cut)):
-            if len(s) > LONG:
-                del self.known[s]
+        for s in {s for segments in cut for s in segments if len(s) > LONG}:
+            del self.known[s]
         return out
 
 
@@ -189,9 +197,9 @@ def aligned(docs: DataFrame, path_a: str = VOCABULARY_A, path_b: str = VOCABULAR
                 if found is None:
                     row = (0, 0, 0, 0, "", np.zeros(0, np.int64), np.zeros(0, np.int64))
                 else:
-                    pairs = np.fromiter(itertools.chain.from_iterable([x.pairs for x in found]), np.int64)
-                    digest = hashlib.sha256(";".join([x.written for x in found]).encode()).hexdigest()
-                    row = (sum([x.n_a for x in found]), sum([x.n_b for x in found]), sum([x.n_groups for x in found]), len(pairs), digest, *np.unique(pairs, return_counts=True))
+                    n_a, n_b, written, linked = zip(*found, strict=True)
+                    pairs = np.frombuffer(b"".join(linked), np.int64)  # one for each group: no token is empty
+                    row = (sum(n_a), sum(n_b), len(pairs), len(pairs), hashlib.sha256(";".join(written).encode()).hexdigest(), *np.unique(pairs, return_counts=True))
                 for c, v in zip(cols.values(), row, strict=True):
                     c.append(v)
             ends = pa.array(np.cumsum([0, *map(len, cols["pairs"])]), pa.int32())
