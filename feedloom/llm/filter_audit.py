@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import map_pieces
+from .common import map_pieces, stored
 
 FILTERS = "ABCDE"
 MIN_WORDS, DISTINCT_SHARE, CAPITAL_SHARE, SYMBOLS = 200, 50, 3, b"#$%&*|"
@@ -211,5 +211,5 @@ def audit(documents: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def scan(docs: DataFrame, labels: DataFrame, **names) -> DataFrame:
-    """The audit of all documents, by part."""
-    return audit(masks(docs, **names), labels)
+    """The audit of all documents, by part. The scan is written once, as rows with and without a doc_id are counted apart."""
+    return audit(stored(masks(docs, **names), []), labels)
