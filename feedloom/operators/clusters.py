@@ -229,7 +229,7 @@ def merge(items: DataFrame, clusters: DataFrame) -> DataFrame:
     one a link (without its query). Of one name only as many links are gathered as the cluster has names: no more can be blocked.
     """
     rank = F.coalesce(*[F.when(F.col("kind") == k, v) for k, v in KIND_RANK.items()], F.lit(9)) + F.when(F.col("syndicated"), 100).otherwise(0) + F.when(F.col("truncated"), 1000).otherwise(0)
-    x = items.join(clusters, "ord").withColumn("rank", rank)
+    x = cut(items.join(clusters, "ord").withColumn("rank", rank))
     best = F.struct("rank", -F.length(F.coalesce("summary", F.lit(""))), "ord")
     more = [c for c in ("deal",) if c in items.columns]
     heads = x.groupBy("cid").agg(

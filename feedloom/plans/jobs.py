@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.cutting import fresh_path
 from ..functions.feed_query import FeedQuery
 from ..operators import clusters
+from ..operators.prefixes import first_longer
 from ..operators.facets import facet_counts as facets_of
 from ..sources import feeds, sinks
 from ..streaming import archive
@@ -29,6 +30,14 @@ def _items(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def prefix_link_first(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A cut-off title with the first longer one that it begins, at most three days apart."""
+    d = Spark()
+    read = lambda what: _sql(spark, sf_dir, f"WITH {views.items(d)}, {views.cut_titles(d)} SELECT {what}")
+    parts, wholes = read("ord AS b, lang, part AS text, pub FROM cut"), read(f"ord AS a, lang, {views.norm(d, 'title')} AS text, pub FROM items")
+    return first_longer(parts, wholes, 72 * 60, 12).select(F.col("b").alias("ord"), F.col("a").alias("full_ord"))
+
+
 def cluster_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clusters.cluster(_items(spark, sf_dir))
 
@@ -41,7 +50,7 @@ def cluster_linked(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 LINKED_SQL = """WITH RECURSIVE i AS (SELECT doc_id AS ord, split_part(text, chr(10), 1) AS title, lang, doc_id * 420 AS pub, CAST(replace(source, 'src', '') AS INT) % 5 = 0 AS synd FROM documents),
-m AS (SELECT *, regexp_replace(lower(regexp_replace(title, '^[\\[(][^\\])]{0,40}[\\])]', '')), '[ \t\n!-/:-@\\[-`{-~]+', '', 'g') AS whole FROM i),
+m AS (SELECT *, regexp_replace(lower(regexp_replace(title, '^[【\\[][^】\\]]*[】\\]]', '')), '[\\s「」『』【】\\[\\]（）()、。！？!?・:：—―~〜"''“”‘’…-]+', '', 'g') AS whole FROM i),
 n AS (SELECT *, ord % 6 = 0 AND length(whole) > 20 AS cut, CASE WHEN ord % 6 = 0 AND length(whole) > 20 THEN whole[1:16] ELSE whole END AS norm FROM m),
 g AS (SELECT *, CASE WHEN length(norm) < 2 THEN list_filter([norm], lambda x: x <> '') ELSE list_distinct(list_transform(range(1, length(norm)), lambda k: norm[k:k + 1])) END AS grams FROM n),
 p AS (SELECT a.ord AS a, min(b.ord) AS b FROM n a JOIN n b ON a.cut AND length(a.norm) >= 12 AND a.lang = b.lang AND length(b.norm) > length(a.norm) AND starts_with(b.norm, a.norm) AND abs(a.pub - b.pub) <= 259200 GROUP BY a.ord),
@@ -55,7 +64,7 @@ def cluster_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Survivors of the clusters of equal titles and kinds of links; arrays as JSON."""
     items = _items(spark, sf_dir)
     out = clusters.merge(items, clusters.cluster(items))
-    return out.select("cid", "ord", "pub", "first_seen", "score", "spoiler", "syndicated", "n", F.array_join("cats", ",").alias("cats"), F.array_join("works", ",").alias("works"), F.to_json("sources").alias("sources"))
+    return out.select("cid", "ord", "pub", "first_seen", F.col("score").cast("long").alias("score"), "spoiler", "syndicated", "n", F.array_join("cats", ",").alias("cats"), F.array_join("works", ",").alias("works"), F.to_json("sources").alias("sources"))
 
 
 def cluster_merge_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,6 +75,43 @@ def cluster_merge_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("cid", "ord", "pub", "first_seen", F.col("score").cast("long").alias("score"), "spoiler", "syndicated", "n", F.array_join(F.array_sort("cats"), ",").alias("cats"))
 
 
+#: The clusters told otherwise: components by paths, candidate links by all pairs, and the last pass as a fold over them, one link a step.
+#: Items of these tables have all a time that rises with ord, so a group's leader is its lowest item.
+ALIKE = "len(list_intersect({0}, {1})) / greatest(1, len({0}) + len({1}) - len(list_intersect({0}, {1})))"
+PAIRED = "list_distinct(CASE WHEN length({0}) < 2 THEN list_filter([{0}], lambda q: q <> '') ELSE list_transform(list_zip(string_split({0}, '')[:-2], string_split({0}, '')[2:]), lambda q: concat(q[1], q[2])) END)"
+STRIPPED = "list_reduce(list_filter({0}.works, lambda q: list_contains({1}.works, q)), lambda q, w: replace(q, w, ''), {2}.norm)"
+
+
+def _rule(a: str, b: str) -> str:
+    left, right = (PAIRED.format(STRIPPED.format(a, b, k)) for k in (a, b))
+    return f"CASE WHEN list_has_any({a}.works, {b}.works) THEN {ALIKE.format(left, right)} >= 0.4 ELSE {ALIKE.format(f'{a}.grams', f'{b}.grams')} >= 0.55 END"
+
+
+def clustered_sql() -> str:
+    """CTEs up to cl (ord, cid)."""
+    head, tail = LINKED_SQL.split("n AS (", 1)[0], LINKED_SQL[LINKED_SQL.index("g AS (") : LINKED_SQL.index("SELECT a AS ord, min(b)")]
+    opened = " OR ".join(f"len(string_split(title, '{a}')) > len(string_split(title, '{b}'))" for a, b in views.BRACKETS)
+    n = f"n AS (SELECT *, whole AS norm, {opened} AS cut, list_distinct(list_transform(regexp_extract_all(title, '[A-Z][a-z]{{2,}}'), lambda w: lower(w))) AS works FROM m),"
+    near = lambda lead, own, other: f"({lead}.idx = {own}.idx OR {ALIKE.format(f'{lead}.grams', f'{other}.grams')} >= 0.45 OR {_rule(lead, other)})"
+    return f"""{head}{n} {tail.rstrip().rstrip(',')}, t AS (SELECT a AS ord, min(b) AS c FROM r GROUP BY a),
+x AS (SELECT g.ord, g.lang, g.pub, g.norm, g.works, g.grams, row_number() OVER (ORDER BY g.ord) AS idx, t.c FROM g JOIN t ON g.ord = t.ord), y AS MATERIALIZED (SELECT x.*, f.idx AS root FROM x JOIN x f ON f.ord = x.c),
+k AS MATERIALIZED (SELECT row_number() OVER (ORDER BY i.idx, j.idx) AS o, i.idx AS a, j.idx AS b FROM y i JOIN y j ON i.lang IS NOT DISTINCT FROM j.lang AND i.idx < j.idx AND j.pub - i.pub <= 43200 AND i.root <> j.root WHERE {_rule('i', 'j')}),
+f(o, grp) AS (SELECT CAST(0 AS BIGINT), list(root ORDER BY idx) FROM y UNION ALL SELECT k.o, CASE WHEN grp[k.a] <> grp[k.b] AND {near('la', 'i', 'j')} AND {near('lb', 'j', 'i')} THEN list_transform(grp, lambda q: CASE WHEN q = greatest(grp[k.a], grp[k.b]) THEN least(grp[k.a], grp[k.b]) ELSE q END) ELSE grp END
+  FROM f JOIN k ON k.o = f.o + 1 JOIN y i ON i.idx = k.a JOIN y j ON j.idx = k.b JOIN y la ON la.idx = grp[k.a] JOIN y lb ON lb.idx = grp[k.b]),
+last AS (SELECT arg_max(grp, o) AS grp FROM f), cl AS (SELECT y.ord, z.ord AS cid FROM y, last, y z WHERE z.idx = grp[y.idx])"""
+
+
+def merged_sql(d) -> str:
+    """The survivors of the clusters, told by windows and ordered lists."""
+    return f"""{clustered_sql()}, {views.rich(d)}, u AS (SELECT *, {views.R.verdict(d, views.RULES, 'whole')} AS spoils, feed_no % 5 = 0 AS repost, CASE kind WHEN 'specialist' THEN 0 WHEN 'general' THEN 1 WHEN 'press' THEN 2 ELSE 3 END + CASE WHEN feed_no % 5 = 0 THEN 100 ELSE 0 END + CASE WHEN {views.unbalanced(d, 'title')} THEN 1000 ELSE 0 END AS rnk FROM rich),
+v AS (SELECT u.*, cl.cid, row_number() OVER (PARTITION BY cl.cid ORDER BY rnk, length(summary) DESC, u.ord) AS place FROM u JOIN cl ON u.ord = cl.ord),
+tc AS (SELECT cid, string_agg(tag, ',' ORDER BY met) AS cats FROM (SELECT cid, tag, min([ord, pos]) AS met FROM (SELECT cid, ord, unnest(cats) AS tag, generate_subscripts(cats, 1) AS pos FROM v) q GROUP BY cid, tag) q GROUP BY cid),
+tw AS (SELECT cid, string_agg(tag, ',' ORDER BY met) AS works FROM (SELECT cid, lower(tag) AS tag, min([CASE WHEN place = 1 THEN -1 ELSE ord END, pos]) AS met FROM (SELECT cid, ord, place, unnest(works) AS tag, generate_subscripts(works, 1) AS pos FROM v) q GROUP BY cid, lower(tag)) q GROUP BY cid),
+ts AS (SELECT cid, concat('[', string_agg(concat('{{"name":"', coalesce(source, ''), '","link":"https://example.org/', ord, '"}}'), ',' ORDER BY other, rnk, ord), ']') AS sources FROM (SELECT *, CASE WHEN place = 1 THEN 0 ELSE 1 END AS other, row_number() OVER (PARTITION BY cid, coalesce(source, '') ORDER BY CASE WHEN place = 1 THEN 0 ELSE 1 END, rnk, ord) AS first FROM v) q WHERE first = 1 GROUP BY cid)
+SELECT v.cid, max(ord) FILTER (place = 1) AS ord, min(pub) * 60 AS pub, min(pub) * 60 + 600 AS first_seen, CAST(max(score) AS BIGINT) AS score, bool_or(spoils) AS spoiler, bool_and(repost) AS syndicated, count(*) AS n, coalesce(max(tc.cats), '') AS cats, coalesce(max(tw.works), '') AS works, max(ts.sources) AS sources
+FROM v LEFT JOIN tc ON v.cid = tc.cid LEFT JOIN tw ON v.cid = tw.cid JOIN ts ON v.cid = ts.cid GROUP BY v.cid"""
+
+
 def stream_archive_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = archive.events(spark, sf_dir).select(F.col("user_id").alias("k"), F.col("event_id").alias("ord"), F.col("event_type").alias("title"), F.when(F.col("event_id") % 7 != 0, F.col("secs")).alias("pub"), (F.col("event_id") % 3).alias("batch"))
     return archive.run_upsert(s, fresh_path(spark, "archive")).select("k", "ord", "title", "pub", "first_batch")
@@ -176,9 +222,9 @@ SELECT z.cid, max(CASE WHEN k = 1 THEN ord END) AS ord, min(pub) * 60 AS pub, mi
 FROM z LEFT JOIN c ON z.cid = c.cid GROUP BY z.cid"""
 
 
-JOBS = [cluster_linked, cluster_replay, cluster_merge, cluster_merge_exact, archive_upsert, archive_first_seen, exact_title_groups, interval_similarity_pairs, facet_counts, stream_sliding_counts, stream_interval_pairs, stream_archive_upsert, stream_daily_counts, feed_documents_reread, feed_query_page]
+JOBS = [cluster_linked, prefix_link_first, cluster_replay, cluster_merge, cluster_merge_exact, archive_upsert, archive_first_seen, exact_title_groups, interval_similarity_pairs, facet_counts, stream_sliding_counts, stream_interval_pairs, stream_archive_upsert, stream_daily_counts, feed_documents_reread, feed_query_page]
 
 
 def oracles(d) -> dict[str, str]:
-    """DuckDB SQL of those that SQL can express; the ordered replay and what is merged after it have none."""
-    return {"cluster_linked": LINKED_SQL, "archive_upsert": views.archive_upsert(d), "archive_first_seen": FIRST_SEEN_SQL, "exact_title_groups": views.exact_title_groups(d), "interval_similarity_pairs": views.interval_similarity_pairs(d), "facet_counts": views.facet_counts(d), "stream_sliding_counts": SLIDING_SQL, "stream_interval_pairs": PAIRS_SQL, "cluster_merge_exact": merge_exact_sql(d), "stream_archive_upsert": views.archive_upsert(d), "stream_daily_counts": DAILY_SQL, "feed_documents_reread": REREAD_SQL, "feed_query_page": feed_query_sql(d)}
+    """DuckDB SQL of those that SQL can express."""
+    return {"cluster_linked": LINKED_SQL, "cluster_replay": f"{clustered_sql()} SELECT ord, cid FROM cl", "cluster_merge": merged_sql(d), "prefix_link_first": views.prefix_link_first(d), "archive_upsert": views.archive_upsert(d), "archive_first_seen": FIRST_SEEN_SQL, "exact_title_groups": views.exact_title_groups(d), "interval_similarity_pairs": views.interval_similarity_pairs(d), "facet_counts": views.facet_counts(d), "stream_sliding_counts": SLIDING_SQL, "stream_interval_pairs": PAIRS_SQL, "cluster_merge_exact": merge_exact_sql(d), "stream_archive_upsert": views.archive_upsert(d), "stream_daily_counts": DAILY_SQL, "feed_documents_reread": REREAD_SQL, "feed_query_page": feed_query_sql(d)}

@@ -60,11 +60,14 @@ def discount_max(d):
     return f"WITH x AS (SELECT l_orderkey, l_linenumber, l_partkey, concat('Sale ', CAST(CAST(round(l_discount * 100) AS INT) AS VARCHAR(9)), '% off, ', CAST(CAST(round(l_tax * 100) AS INT) AS VARCHAR(9)), '% back') AS t FROM lineitem) SELECT l_orderkey, l_linenumber, l_partkey, {d.maxint(found)} AS off FROM x"
 
 
-PUNCT = r"[ \t\n!-/:-@\[-`{-~]+"
+# The marks and blanks that compared titles leave out, and the brackets that a whole title closes.
+MARKS = "[ \t\n\r\u00a0\u3000「」『』【】\\[\\]（）()、。！？!?・:：\\-—―~〜\"'“”‘’…]+"
+BRACKETS = ("『』", "「」", "【】", "（）", "《》", "〈〉")
 
 
 def norm(d, e: str) -> str:
-    return d.sub(f"lower({d.sub(e, r'^[\[(][^\])]{0,40}[\])]', '')})", PUNCT, "")
+    """A compared title: without a bracket at the start, marks and blanks, in lower case."""
+    return d.sub(f"lower({d.sub(e, r'^[【\[][^】\]]*[】\]]', '')})", MARKS, "")
 
 
 def compare_norm(d):
@@ -78,11 +81,11 @@ def publisher_split(d):
 
 def unbalanced(d, e: str) -> str:
     """The test for a title that was cut off: more brackets opened than closed."""
-    return " OR ".join(f"{d.count(e, a)} > {d.count(e, b)}" for a, b in ("()", "[]", "{}"))
+    return " OR ".join(f"{d.count(e, a)} > {d.count(e, b)}" for a, b in BRACKETS)
 
 
 def truncated_brackets(d):
-    t = "concat(title, CASE WHEN ord % 3 = 0 THEN ' (' WHEN ord % 3 = 1 THEN ' [x]' ELSE '' END)"
+    t = "concat(title, CASE WHEN ord % 3 = 0 THEN ' 『' WHEN ord % 3 = 1 THEN ' 【x】' ELSE ' (' END)"
     bad = unbalanced(d, "t")
     return f"WITH {items(d)}, x AS (SELECT ord, {t} AS t FROM items) SELECT ord, ({bad}) AS truncated, CASE WHEN {bad} THEN concat(t, '...') ELSE t END AS shown FROM x"
 
@@ -163,13 +166,17 @@ def exact_title_groups(d):
     return f"WITH {items(d)}, x AS (SELECT ord, lang, {norm(d, 'title')} AS norm FROM items), y AS (SELECT ord, min(ord) OVER (PARTITION BY lang, norm) AS first_ord FROM x WHERE length(norm) >= 10) SELECT ord, first_ord FROM y WHERE ord > first_ord"
 
 
+#: Titles that are cut off; the tables hold few, so a copy of every other one is tried that breaks off at brackets.
+def cut_titles(d) -> str:
+    copies = f"SELECT ord, lang, pub, concat(substr(title, 1, least(40, length(title) - 1)), ' 「『【') AS title FROM items WHERE length(title) > 1 AND NOT ({unbalanced(d, 'title')})"
+    return f"tried AS (SELECT ord, lang, pub, title FROM items UNION ALL {copies}), cut AS (SELECT ord, lang, pub, {norm(d, 'title')} AS part FROM tried WHERE {unbalanced(d, 'title')})"
+
+
 def prefix_link_first(d):
-    """A cut-off title with the first longer one that it begins. The tables hold few that are cut off, so every other one is tried as a copy that breaks off at brackets. An equi join on language, first letters and time slot, the cut side in its slot and both beside it."""
+    """The DuckDB SQL of jobs.prefix_link_first: a cut-off title with the first longer one that it begins, by an equi join on language, first letters and time slot."""
     hours = 72 * 60
-    copies = f"SELECT ord, lang, pub, concat(substr(title, 1, least(40, length(title) - 1)), ' ([{{') AS title FROM items WHERE length(title) > 1 AND NOT ({unbalanced(d, 'title')})"
-    return f"""WITH {items(d)}, x AS (SELECT ord, lang, pub, {norm(d, 'title')} AS norm, CAST(floor(pub / {hours}) AS BIGINT) AS slot FROM items), tried AS (SELECT ord, lang, pub, title FROM items UNION ALL {copies}),
-cut AS (SELECT ord, lang, pub, {norm(d, 'title')} AS part, CAST(floor(pub / {hours}) AS BIGINT) AS b FROM tried WHERE {unbalanced(d, 'title')}),
-near AS (SELECT ord, lang, pub, part, slot FROM cut {d.each(d.arr('b - 1', 'b', 'b + 1'), 'slot')} WHERE length(part) >= 12),
+    return f"""WITH {items(d)}, x AS (SELECT ord, lang, pub, {norm(d, 'title')} AS norm, CAST(floor(pub / {hours}) AS BIGINT) AS slot FROM items), {cut_titles(d)},
+near AS (SELECT ord, lang, pub, part, slot FROM (SELECT *, CAST(floor(pub / {hours}) AS BIGINT) AS b FROM cut) c {d.each(d.arr('b - 1', 'b', 'b + 1'), 'slot')} WHERE length(part) >= 12),
 y AS (SELECT near.ord, min(x.ord) AS full_ord FROM near JOIN x ON near.lang = x.lang AND near.slot = x.slot AND substr(x.norm, 1, 12) = substr(near.part, 1, 12) WHERE length(x.norm) > length(near.part) AND substr(x.norm, 1, length(near.part)) = near.part AND abs(near.pub - x.pub) <= {hours} GROUP BY near.ord) SELECT ord, full_ord FROM y"""
 
 
@@ -319,4 +326,4 @@ def feed_probe(d):
     return f"WITH {items(d)}, x AS (SELECT source, title, row_number() OVER (PARTITION BY source ORDER BY pub DESC, ord) AS k, count(*) OVER (PARTITION BY source) AS n FROM items) SELECT source, n, title AS latest FROM x WHERE k = 1"
 
 
-PLANS = [calendar_groups, calendar_months, feed_probe, score_threshold_topk, keyword_flags, hard_exclude, off_topic_filter, multilabel_tags_exploded, tag_exclusion_terms, decision_list_flag, discount_max, compare_norm, publisher_split, truncated_brackets, summary_clean_truncate, html_to_text, first_image_link, link_key, url_host, slugify, run_stats_left, per_feed_limit, known_entity_semijoin, read_antijoin, fresh_rows, display_name_vote, prefix_link_first, text_query, disposition_counts, new_since_visit, hot_order_topk, trending_sum, trending_count, count_with_zero_dims, entity_pages_min2, entity_top3_tags, day_runs, page_whole_day, suggest_rank, interval_overlap_range, visit_days_level, bookmark_unread, read_set_latest, daily_tumbling, session_visits, wire_projection, rss_rows, sitemap_rows]
+PLANS = [calendar_groups, calendar_months, feed_probe, score_threshold_topk, keyword_flags, hard_exclude, off_topic_filter, multilabel_tags_exploded, tag_exclusion_terms, decision_list_flag, discount_max, compare_norm, publisher_split, truncated_brackets, summary_clean_truncate, html_to_text, first_image_link, link_key, url_host, slugify, run_stats_left, per_feed_limit, known_entity_semijoin, read_antijoin, fresh_rows, display_name_vote, text_query, disposition_counts, new_since_visit, hot_order_topk, trending_sum, trending_count, count_with_zero_dims, entity_pages_min2, entity_top3_tags, day_runs, page_whole_day, suggest_rank, interval_overlap_range, visit_days_level, bookmark_unread, read_set_latest, daily_tumbling, session_visits, wire_projection, rss_rows, sitemap_rows]
