@@ -35,8 +35,8 @@ def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 9: the words that the mix takes of each document."""
-    return mixing.taken(docs).select("doc_id", "size", "source_size", "target", "taken")
+    """Operator 9: the words that the mix takes of each document, and where in the shards they stand."""
+    return mixing.taken(docs).select("doc_id", "size", "source_size", "target", "taken", "n_shards", "runs")
 
 
 STAGES = [("toxicity", drop_toxic), ("near_dedup", drop_near_copies), ("decontam", drop_leaks), ("pii", redact_personal_data), ("mixing", mix_sources)]

@@ -4,7 +4,7 @@ Documents are cut into blocks of at most BLOCK words. The blocks of a source are
 document and place); a source's target is met by whole passes over that order and the first blocks of one more, the last of
 them cut, so that targets are met to the word. That gives every source an exact quota of blocks.
 
-The quotas are dealt among the output shards, all of one size, by a binary tree: at each node the left half's share of every
+The quotas are dealt among the output shards (SHARDS at least, more for a large mix), all of one size, by a binary tree: at each node the left half's share of every
 source is one multivariate-hypergeometric draw (a chain of hypergeometric ones), so together the shards are a uniform shuffle
 of all blocks drawn, and parts always add up. Each shard walks its own way down the tree; draws are keyed by the node, so
 all agree without talking. A shard takes disjoint runs of each source's order, and is shuffled locally by a further hash.
@@ -38,6 +38,8 @@ SHARE, CAP = 1.5, 2.0
 BLOCK = 256
 #: Blocks of a cell and of a shard, about.
 CELL_BLOCKS, SHARD_BLOCKS = 512, 1 << 15
+#: Shards at least, however small the mix is.
+SHARDS = 64
 #: Runs of a source's order are looked up by stretches of so many blocks.
 STRETCH = 256
 
@@ -137,7 +139,7 @@ def dealt(sources: DataFrame, b: DataFrame, shards: int | None = None, seed: int
     """Every block of the mix: shard, place (the local shuffle's order), row, copy, begin, end."""
     spark = b.sparkSession
     quotas = [int(r["q"]) for r in sources.orderBy("sid").select((F.col("copies") * F.col("blocks") + F.col("extra")).alias("q")).collect()]
-    shards = shards or max(1, sum(quotas) // SHARD_BLOCKS)
+    shards = shards or max(SHARDS, sum(quotas) // SHARD_BLOCKS)
 
     def walk(batches):
         for p in batches:
@@ -163,9 +165,15 @@ def mixed(docs: DataFrame, shards: int | None = None, **names) -> DataFrame:
 
 
 def taken(docs: DataFrame, shards: int | None = None, **names) -> DataFrame:
-    """doc_id, source, size, source_size, target and taken (words of the mix, repeats counted) of every document."""
+    """doc_id, source, size, source_size, target, taken (words of the mix, repeats counted), n_shards and runs of every document.
+
+    n_shards is the number of shards that hold blocks of it; runs is a digest of where these stand: the exclusive-or of the hashes of their shard,
+    place, copy, begin and end, in hexadecimal (0 if none was taken).
+    """
     rows, sources, b = ordered(docs, **names)
-    got = dealt(sources, b, shards).groupBy("row").agg(F.sum(F.col("end") - F.col("begin")).alias("taken"))
+    run = F.xxhash64("shard", "place", "copy", "begin", "end")
+    each = dealt(sources, b, shards).groupBy("row", "shard").agg(F.sum(F.col("end") - F.col("begin")).alias("taken"), F.bit_xor(run).alias("runs"))
+    got = each.groupBy("row").agg(F.sum("taken").alias("taken"), F.count(F.lit(1)).alias("n_shards"), F.bit_xor("runs").alias("runs"))
     s = sources.select(F.col("source").alias("s"), "source_size", "target")
     out = rows.join(s, F.col("source").eqNullSafe(F.col("s"))).join(got, "row", "left")
-    return out.select("doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0).cast("long")).alias("taken"))
+    return out.select("doc_id", "source", "size", "source_size", "target", *(F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("taken", "n_shards")), F.lower(F.lpad(F.hex(F.coalesce("runs", F.lit(0).cast("long"))), 16, "0")).alias("runs"))

@@ -97,3 +97,31 @@ def test_large_draws_are_exact():
         assert abs(got - want).max() < 1e-4
     assert abs(mixing.inverted(10**12, 3 * 10**12, 10**12, 0.5) - 250 * 10**9) <= 1
     assert mixing.draw(10**11, 10**11, 2 * 10**11, "a") == 10**11
+
+
+def test_every_block_stands_where_the_plain_tree_puts_it(spark):
+    """All 64 shards of a table walked in plain Python: each block's shard, and each document's shards and digest."""
+    docs = table(spark, SF, "documents")
+    rows, sources, b = mixing.ordered(docs)
+    sources, blocks = sources.orderBy("sid").collect(), b.collect()
+    quotas = [r["copies"] * r["blocks"] + r["extra"] for r in sources]
+    shard_of = {}
+    for k in range(mixing.SHARDS):
+        for sid, begin, end in mixing.shard_quotas(quotas, mixing.SHARDS, k, "11"):
+            for j in range(begin, end):
+                assert shard_of.setdefault((sid, j), k) == k
+    want = collections.Counter()
+    for x in blocks:
+        s = sources[x["sid"]]
+        for copy in range(s["copies"] + 1):
+            n = x["end"] - x["begin"] if copy < s["copies"] else x["more"]
+            if n > 0:
+                want[x["row"], copy, x["begin"], x["begin"] + n, shard_of[x["sid"], copy * s["blocks"] + x["idx"]]] += 1
+    dealt = mixing.dealt(spark.createDataFrame(sources), spark.createDataFrame(blocks))
+    assert collections.Counter((r["row"], r["copy"], r["begin"], r["end"], r["shard"]) for r in dealt.collect()) == want
+    assert len({w[4] for w in want}) > 60
+    mixed = mixing.mixed(docs)
+    run = F.xxhash64("shard", "place", "copy", "begin", "end")
+    by_doc = mixed.groupBy("doc_id").agg(F.countDistinct("shard").alias("n_shards"), F.lower(F.lpad(F.hex(F.bit_xor(run)), 16, "0")).alias("runs"))
+    got = mixing.taken(docs).where("taken > 0").select("doc_id", "n_shards", "runs")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, by_doc.collect())) and got.agg(F.max("n_shards")).first()[0] > 1

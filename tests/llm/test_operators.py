@@ -286,7 +286,7 @@ def test_pipeline(spark, tmp_path):
         for part in re.split(r"\[(?:EMAIL|IP|CARD|PHONE)\]", t):
             at = r["text"].index(part, at) + len(part)
     got = P.run(spark, sf).toPandas()
-    assert got.columns.tolist() == ["doc_id", "size", "source_size", "target", "taken"]
+    assert got.columns.tolist() == ["doc_id", "size", "source_size", "target", "taken", "n_shards", "runs"]
     assert sorted(got.doc_id) == sorted(r["doc_id"] for r in kept)
     size = {i: len(re.findall(r"[^\x20\x09-\x0D]+", r["text"])) for i, r in redacted.items()}
     assert dict(zip(got.doc_id, got["size"], strict=True)) == size
