@@ -29,6 +29,9 @@ Empty tables give empty results.
 
 from __future__ import annotations
 
+import hashlib
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -50,6 +53,8 @@ GROUPS = 64
 LONGS, DIFFER = (M + 63) // 64, 61
 #: Bytes whose words are hashed together; words may go on in the next piece.
 CHUNK = 1 << 20
+#: Words of more bytes are hashed one by one.
+LONG = 64
 
 U = np.uint64
 LOWER = np.arange(256, dtype=np.uint8)
@@ -79,7 +84,7 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 def words_of(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Where each word begins, and its hash, of UTF-8 texts laid end to end. Memory follows the words, and CHUNK."""
-    all_begins, all_hashes, goes_on, length = [np.zeros(0, np.int64)], [np.zeros(0, U)], False, 0
+    all_begins, all_hashes, all_lengths, goes_on, length = [np.zeros(0, np.int64)], [np.zeros(0, U)], [np.zeros(0, np.int64)], False, 0
     for at in range(0, len(raw), CHUNK):
         part = LOWER[raw[at : at + CHUNK]]
         n = len(part)
@@ -95,16 +100,21 @@ def words_of(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
         h = (total[ends] - total[begins]) * down[begins]
         if goes_on and len(begins) and begins[0] == 0 and not edge[0]:  # the last word of the piece before goes on
             all_hashes[-1][-1:] += h[:1] * U(pow(BASE, length, 1 << 64))
+            all_lengths[-1][-1:] += ends[0]
             length += int(ends[0])
-            begins, h = begins[1:], h[1:]
             goes_on = length if ends[0] == n else 0
+            begins, ends, h = begins[1:], ends[1:], h[1:]
         else:
             goes_on = 0
         if len(begins):
             all_begins.append(begins + at)
             all_hashes.append(h)
+            all_lengths.append(ends - begins)
             length = goes_on = int(n - begins[-1]) if ends[-1] == n else 0
-    return np.concatenate(all_begins), mix(np.concatenate(all_hashes))
+    b, h, n = np.concatenate(all_begins), mix(np.concatenate(all_hashes)), np.concatenate(all_lengths)
+    for i in np.flatnonzero(n > LONG).tolist():  # sums modulo a power of two have known collisions of long words
+        h[i] = int.from_bytes(hashlib.blake2b(LOWER[raw[b[i] : b[i] + n[i]]].tobytes(), digest_size=8).digest(), "big")
+    return b, h
 
 
 def shingles(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -196,7 +206,7 @@ def sketched(docs: DataFrame) -> DataFrame:
 
 
 def verified(pairs: DataFrame, docs: DataFrame, made: list[str], similarity: float = SIMILARITY) -> DataFrame:
-    """The pairs (a, b) of rows whose exact weighted Jaccard similarity is high enough. It reads a table of their texts, whose path is added to `made`."""
+    """The pairs (a, b) of rows whose exact weighted Jaccard similarity is high enough, with it. It reads a table of their texts, whose path is added to `made`."""
     ids = stored(pairs.select(F.col("a").alias("row")).union(pairs.select("b")).distinct(), made)
     t = stored(docs.join(few_rows(ids, "row"), "row", "left_semi").select("row", "text"), made)
     left = t.select(F.col("row").alias("a"), "text")
@@ -215,11 +225,12 @@ def verified(pairs: DataFrame, docs: DataFrame, made: list[str], similarity: flo
             least = np.bincount(d[same], np.minimum(w[same], w[same + 1]), n)
             total = np.bincount(d, w, n)
             ok = (total > 0) & (least >= similarity * (total - least) - 1e-9)
-            return batch.select(["a", "b"]).filter(pa.array(ok))
+            alike = pa.array(least / np.maximum(1, total - least))
+            return pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), alike], ["a", "b", "similarity"]).filter(pa.array(ok))
 
         return one
 
-    return map_pieces(both, make, "a long, b long", 1 << 20)
+    return map_pieces(both, make, "a long, b long, similarity double", 1 << 20)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -320,17 +331,29 @@ def still_open(rest: DataFrame, made: list[str]) -> DataFrame:
     return stored(rest.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.max("strong").alias("strong")).where("lo <> hi AND strong").select("key"), made)
 
 
-def compare(pairs: DataFrame, docs: DataFrame, labels: DataFrame | None) -> DataFrame | None:
-    """Labels with the links among new pairs (a, b)."""
+class Links:
+    """The verified links of all rounds, in tables that are deleted once they were counted."""
+
+    def __init__(self) -> None:
+        self.made: list[str] = []
+        self.tables: list[DataFrame] = []
+
+    def all(self) -> DataFrame | None:
+        return reduce(DataFrame.union, self.tables) if self.tables else None
+
+
+def compare(pairs: DataFrame, docs: DataFrame, labels: DataFrame | None, kept: Links) -> DataFrame | None:
+    """Labels with the links among new pairs (a, b), which are kept."""
     if pairs.isEmpty():
         return labels
-    good = stored(verified(pairs, docs, old := []), old)
+    good = stored(verified(pairs, docs, old := []), kept.made)
+    kept.tables.append(good)
     out = joined(labels, good) if labels is not None or not good.isEmpty() else None
     discard(docs.sparkSession, old)
     return out
 
 
-def first_round(reps: DataFrame, docs: DataFrame, old: list[str]) -> tuple[DataFrame, DataFrame | None]:
+def first_round(reps: DataFrame, docs: DataFrame, old: list[str], kept: Links) -> tuple[DataFrame, DataFrame | None]:
     """(members of shared buckets but their leaders: key, row, order; labels). One leader a bucket; rows carry numbers only."""
     spark = docs.sparkSession
     rows = reps.select("row", F.explode("keys").alias("key"))
@@ -346,15 +369,15 @@ def first_round(reps: DataFrame, docs: DataFrame, old: list[str]) -> tuple[DataF
     one, two = info.select(F.col("row").alias("a"), "bits", "size"), info.select(F.col("row").alias("b"), F.col("bits").alias("bits2"), F.col("size").alias("size2"))
     pairs = rest.select(F.greatest("row", "lead").alias("a"), F.least("row", "lead").alias("b")).distinct().join(one, "a").join(two, "b")
     pairs = stored(pairs.where(alike(F.col, lambda c: F.col(c + "2"))).select("a", "b"), first)
-    labels = compare(pairs, docs, None)
+    labels = compare(pairs, docs, None, kept)
     discard(spark, first)
     return rest.select("key", "row", "order"), labels
 
 
-def links(reps: DataFrame, docs: DataFrame) -> DataFrame | None:
+def links(reps: DataFrame, docs: DataFrame, kept: Links) -> DataFrame | None:
     """node, label of the representatives (row, keys, bits, size) that are linked to others; None if there are none."""
     spark, old = docs.sparkSession, []
-    rest, labels = first_round(reps, docs, old)
+    rest, labels = first_round(reps, docs, old, kept)
     strong = F.col("shared") >= STRONG * F.col("size") - 1e-6
 
     def classed(rows: DataFrame) -> DataFrame:
@@ -382,7 +405,7 @@ def links(reps: DataFrame, docs: DataFrame) -> DataFrame | None:
         # members of one class need no comparison
         pairs = left.join(led, (F.col("key") == F.col("lead_key")) & (F.col("c") != F.col("lead_c")) & bound & alike(F.col, lambda c: F.col("lead_" + c)))
         pairs = stored(pairs.select(F.greatest("row", "lead_row").alias("a"), F.least("row", "lead_row").alias("b")).distinct(), old)
-        labels = compare(pairs, docs, labels)
+        labels = compare(pairs, docs, labels, kept)
         # a leader has met everybody in its bucket; what is left matters where it holds two classes
         rest = left.join(led.select(F.col("lead_key").alias("key"), F.col("lead_row").alias("row")), ["key", "row"], "left_anti")
         rest = stored(classed(rest).select("key", *MEMBER), old)
@@ -397,27 +420,37 @@ def links(reps: DataFrame, docs: DataFrame) -> DataFrame | None:
 
 
 def found(docs: DataFrame, made: list[str]) -> DataFrame:
-    """row, doc_id, node: the class of every row, named by the row that stands for it. docs: row, doc_id, text. A table, whose path is added to `made`."""
+    """row, doc_id, node, n_links: the class of every row, named by the row that stands for it, and how many other texts its own was verified to be like. docs: row, doc_id, text. A table, whose path is added to `made`."""
     sketches = stored(sketched(docs), old := [])
     known = sketches.where(F.col("w1").isNotNull())
     reps = stored(known.groupBy("w1", "w2").agg(F.min("row").alias("row"), *(F.first(c).alias(c) for c in ("keys", "bits", "size"))), old)
-    labels = links(reps.drop("w1", "w2"), docs.select("row", "text"))
+    labels = links(reps.drop("w1", "w2"), docs.select("row", "text"), kept := Links())
     ends = reps.select("w1", "w2", F.col("row").alias("rep"))
     ends = ends.withColumn("label", F.col("rep")) if labels is None else ends.join(labels.withColumnRenamed("node", "rep"), "rep", "left")
-    ends = ends.select("w1", "w2", F.coalesce("label", "rep").alias("node"))
-    out = stored(sketches.select("row", "doc_id", "w1", "w2").join(ends, ["w1", "w2"], "left").select("row", "doc_id", F.coalesce("node", "row").alias("node")), made)
-    discard(docs.sparkSession, old)
+    if (good := kept.all()) is not None:
+        degree = good.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count(F.lit(1)).alias("n_links"))
+        ends = ends.join(degree, "rep", "left")
+    else:
+        ends = ends.withColumn("n_links", F.lit(0).cast("long"))
+    ends = ends.select("w1", "w2", F.coalesce("label", "rep").alias("node"), "n_links")
+    out = sketches.select("row", "doc_id", "w1", "w2").join(ends, ["w1", "w2"], "left")
+    out = stored(out.select("row", "doc_id", F.coalesce("node", "row").alias("node"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")), made)
+    discard(docs.sparkSession, old + kept.made)
     return out
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and class_id, one row for each input row."""
+    """doc_id, class_id, class_size (rows) and n_links, one row for each input row.
+
+    n_links counts the other texts that the row's own was verified to be like on the way: with the leaders of its buckets, so that a text in a class of
+    several has one at least, but not with every member.
+    """
     row = fresh(docs, "row")
     every = numbered(docs, row, made := [], [id_col, text_col])
     f = found(every.select(F.col(row).alias("row"), F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")), [])
     discard(docs.sparkSession, made)
-    lowest = f.groupBy("node").agg(F.min("doc_id").alias("class_id"))
-    return f.join(lowest, "node").select("doc_id", "class_id")
+    lowest = f.groupBy("node").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("class_size"))
+    return f.join(lowest, "node").select("doc_id", "class_id", "class_size", "n_links")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:

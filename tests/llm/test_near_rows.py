@@ -52,8 +52,15 @@ def test_classes(spark, rows, kind):
     given = rows if kind == "long" else [(None if i is None else f"d{i:05d}", t) for i, t in rows]
     df = spark.createDataFrame(given, f"doc_id {kind}, text string").repartition(4)
     got = N.classes(df.withColumn("row", F.lit(1)).withColumn("class_id", F.lit("x")))
-    assert got.columns == ["doc_id", "class_id"]
-    assert sorted(map(tuple, got.collect()), key=repr) == sorted(plain(given)[1], key=repr)
+    assert got.columns == ["doc_id", "class_id", "class_size", "n_links"]
+    label, want = plain(given)
+    got = got.collect()
+    assert sorted(((r["doc_id"], r["class_id"]) for r in got), key=repr) == sorted(want, key=repr)
+    sizes = Counter(label)
+    assert sorted(((r["doc_id"], r["class_size"]) for r in got), key=repr) == sorted(((i, sizes[x]) for (i, _), x in zip(given, label, strict=True)), key=repr)
+    texts = {x: {tuple(sorted(shingles(t).items())) for (_, t), y in zip(given, label, strict=True) if y == x} for x in sizes}
+    several = {i for (i, _), x in zip(given, label, strict=True) if len(texts[x]) > 1}
+    assert {r["doc_id"] for r in got if r["n_links"]} - {None} == several - {None}
 
 
 def test_one_of_each_class_stays(spark, rows, tmp_path):
@@ -78,3 +85,36 @@ def test_words_across_pieces(monkeypatch):
     for chunk in (7, 64, 1000):
         monkeypatch.setattr(N, "CHUNK", chunk)
         assert all(np.array_equal(a, b) for a, b in zip(N.shingles(column), want, strict=True))
+
+
+def test_long_words_with_one_sum_are_told_apart():
+    """Words that differ as a sequence and its complement do have one polynomial sum modulo 2 to the 64."""
+    t = "".join("ab"[bin(i).count("1") % 2] for i in range(2048))
+    u = t.translate(str.maketrans("ab", "ba"))
+    d, s, _, _ = N.shingles(pa.array([t, u]))
+    assert len(d) == 2 and s[0] != s[1]
+
+
+def test_recall_against_all_pairs_of_a_whole_table(spark):
+    """Every pair at the similarity shares a class, over all 1,000 documents; and no class joins texts that no chain of such pairs does."""
+    rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()]
+    owners, sets = {}, [shingles(t) for _, t in rows]
+    label, pairs = list(range(len(rows))), 0
+
+    def top(x):
+        while label[x] != x:
+            x = label[x]
+        return x
+
+    for i, c in enumerate(sets):
+        met = {j for x in c for j in owners.get(x, ())}
+        for j in met:
+            if sum((c & sets[j]).values()) >= 0.8 * sum((c | sets[j]).values()):
+                pairs += 1
+                label[max(top(i), top(j))] = min(top(i), top(j))
+        for x in c:
+            owners.setdefault(x, []).append(i)
+    got = {r["doc_id"]: r["class_id"] for r in N.classes(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).collect()}
+    want = {d: rows[top(i)][0] for i, (d, _) in enumerate(rows)}
+    assert pairs > 50 and len(set(got.values())) == len(set(want.values()))
+    assert {d: min(e for e in want if want[e] == want[d]) for d in want} == got
