@@ -11,7 +11,7 @@ from ..operators import clusters
 from ..operators.prefixes import first_longer
 from ..operators.facets import facet_counts as facets_of
 from ..sources import feeds, sinks
-from ..streaming import archive
+from ..streaming import archive, keyed
 from . import views
 from .dialect import Spark
 
@@ -117,6 +117,23 @@ def stream_archive_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive.run_upsert(s, fresh_path(spark, "archive")).select("k", "ord", "title", "pub", "first_batch")
 
 
+def stream_archive_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same upsert as state by key, with a timer for each key that has a time."""
+    s = archive.events(spark, sf_dir).select(F.col("user_id").alias("k"), F.col("event_id").alias("ord"), F.col("event_type").alias("title"), F.when(F.col("event_id") % 7 != 0, F.col("secs")).alias("pub"), (F.col("event_id") % 3).alias("batch"))
+    return keyed.run_keyed(s, fresh_path(spark, "keyed")).select("k", "ord", "title", "pub", "first_batch")
+
+
+def stream_session_visits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Visits that were over a day before the newest event."""
+    return keyed.run_sessions(archive.events(spark, sf_dir), fresh_path(spark, "sessions"))
+
+
+SESSIONS_SQL = """WITH e AS (SELECT user_id, CAST(floor(epoch(ts)) AS BIGINT) AS t FROM events), l AS (SELECT user_id, list(t ORDER BY t) AS ts FROM e GROUP BY user_id),
+b AS (SELECT user_id, ts, list_filter(range(1, len(ts) + 1), lambda i: i = 1 OR ts[i] - ts[i - 1] >= 7200) AS firsts FROM l),
+s AS (SELECT user_id, ts, unnest(firsts) AS i, unnest(list_concat(firsts[2:], [len(ts) + 1])) AS j FROM b)
+SELECT user_id, ts[i] AS begin_t, ts[j - 1] AS last_t, CAST(j - i AS BIGINT) AS n FROM s WHERE ts[j - 1] + 7200 <= (SELECT max(t) FROM e) - 86400"""
+
+
 def stream_daily_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive.run_daily_counts(archive.events(spark, sf_dir), fresh_path(spark, "daily"))
 
@@ -222,9 +239,9 @@ SELECT z.cid, max(CASE WHEN k = 1 THEN ord END) AS ord, min(pub) * 60 AS pub, mi
 FROM z LEFT JOIN c ON z.cid = c.cid GROUP BY z.cid"""
 
 
-JOBS = [cluster_linked, prefix_link_first, cluster_replay, cluster_merge, cluster_merge_exact, archive_upsert, archive_first_seen, exact_title_groups, interval_similarity_pairs, facet_counts, stream_sliding_counts, stream_interval_pairs, stream_archive_upsert, stream_daily_counts, feed_documents_reread, feed_query_page]
+JOBS = [cluster_linked, prefix_link_first, cluster_replay, cluster_merge, cluster_merge_exact, archive_upsert, archive_first_seen, exact_title_groups, interval_similarity_pairs, facet_counts, stream_sliding_counts, stream_interval_pairs, stream_archive_upsert, stream_archive_state, stream_session_visits, stream_daily_counts, feed_documents_reread, feed_query_page]
 
 
 def oracles(d) -> dict[str, str]:
     """DuckDB SQL of those that SQL can express."""
-    return {"cluster_linked": LINKED_SQL, "cluster_replay": f"{clustered_sql()} SELECT ord, cid FROM cl", "cluster_merge": merged_sql(d), "prefix_link_first": views.prefix_link_first(d), "archive_upsert": views.archive_upsert(d), "archive_first_seen": FIRST_SEEN_SQL, "exact_title_groups": views.exact_title_groups(d), "interval_similarity_pairs": views.interval_similarity_pairs(d), "facet_counts": views.facet_counts(d), "stream_sliding_counts": SLIDING_SQL, "stream_interval_pairs": PAIRS_SQL, "cluster_merge_exact": merge_exact_sql(d), "stream_archive_upsert": views.archive_upsert(d), "stream_daily_counts": DAILY_SQL, "feed_documents_reread": REREAD_SQL, "feed_query_page": feed_query_sql(d)}
+    return {"cluster_linked": LINKED_SQL, "cluster_replay": f"{clustered_sql()} SELECT ord, cid FROM cl", "cluster_merge": merged_sql(d), "prefix_link_first": views.prefix_link_first(d), "archive_upsert": views.archive_upsert(d), "archive_first_seen": FIRST_SEEN_SQL, "exact_title_groups": views.exact_title_groups(d), "interval_similarity_pairs": views.interval_similarity_pairs(d), "facet_counts": views.facet_counts(d), "stream_sliding_counts": SLIDING_SQL, "stream_interval_pairs": PAIRS_SQL, "cluster_merge_exact": merge_exact_sql(d), "stream_archive_upsert": views.archive_upsert(d), "stream_archive_state": views.archive_upsert(d), "stream_session_visits": SESSIONS_SQL, "stream_daily_counts": DAILY_SQL, "feed_documents_reread": REREAD_SQL, "feed_query_page": feed_query_sql(d)}
