@@ -37,7 +37,7 @@ DEFAULT = {
         {"id": "sale", "label": "Sales", "keywords": []},
     ],
     "spoiler": {"never": ["spoiler[- ]free", "ネタバレなし"], "explicit": ["spoilers? ahead", "ネタバレ注意"], "safe": ["trailer", "予告"], "strong": ["ending explained", "結末"], "episode": [r"episode \d+", r"第\d+話"], "reaction": ["reactions?", "感想"]},
-    "works": {"stripPrefixes": ["新作", "劇場版", "映画"], "stripSuffixPatterns": [r"\s*\(film\)$"], "cornerQuoteContextPattern": r"(?:映画|作品|film)\s*$", "ignore": ["未定"], "aliases": {"スターサーガ": "SS", "Star Saga": "SS"}, "numeralPrefixes": ["SS", "part"], "lenientCornerQuotes": False},
+    "works": {"stripPrefixes": ["新作", "劇場版", "映画"], "stripSuffixPatterns": [r"\s*\(film\)$"], "cornerQuoteContextPattern": r"(?:映画|作品|film)\s*$", "ignore": ["未定"], "aliases": {"スターサーガ": "SS", "Star Saga": "SS"}, "numeralPrefixes": ["SS", "part"], "lenientCornerQuotes": True},
     "syndication": {"windowHours": 72, "similarity": 0.7, "portals": ["Portal News", "まとめ"], "hosts": ["example.org", "portal.example.com"]},
     "deals": {"signals": [r"\d+\s*%\s*(?:off|オフ)", "セール", "無料配布"], "exclude": ["還元", "console"], "stores": [{"id": "alpha", "label": "Alpha", "pattern": "alpha ?store"}, {"id": "beta", "label": "Beta", "pattern": "beta|ベータ"}], "units": ["オフ", "off", "割引"], "free": ["無料配布", "free to keep", r"(?<![0-9,])0円で"]},
     "offTopic": {"signals": ["舞台", "Stage play"], "gameOriginWorks": ["Star Saga", "スターサーガ"]},
@@ -48,6 +48,14 @@ BLANK = "[\\s" + "".join(map(chr, (0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028,
 FULL, HALF = "".join(map(chr, range(0xFF01, 0xFF5F))), "".join(map(chr, range(0x21, 0x7F)))
 ASCII_WORD = re.compile(r"[A-Za-z][A-Za-z0-9 .+-]*")
 ROMAN = ("i", "ii", "iii", "iv", "v", "vi", "vii", "viii", "ix", "x", "xi", "xii", "xiii", "xiv", "xv", "xvi")
+# The marks and blanks that compared titles and keys of names leave out, the brackets that a whole title closes, the
+# quotes around names with the lengths of names, and the characters that speak against a name.
+MARKS = "[ \\t\\n\\r\\x{a0}\\x{3000}「」『』【】\\[\\]（）()、。！？!?・:：\\-—―~〜\"'“”‘’…]+"
+KEY_MARKS = "・･:：~〜～™®"
+BRACKETS = ("『』", "「」", "【】", "（）", "《》", "〈〉")
+LEADING_BRACKET = r"^[【\[][^】\]]*[】\]]"
+IN_DOUBLE_QUOTES, AT_START = "『([^』]{1,60})』", "^'([^']{2,60})'"
+IN_CORNER_QUOTES, SHORT_IN_CORNER_QUOTES, NO_NAME = "「[^」]{1,40}」", "「[^」%s]{1,25}」", "。、！？!?…"
 DISCOUNT = r"(?i)([0-9]{1,3})\s*%%\s*(?:%s)"
 
 
@@ -107,6 +115,17 @@ def unsourced(title: Column) -> Column:
     return trimmed(F.regexp_replace(title, rf"[（(][^（）()]{{1,30}}[）)]{BLANK}*\z", ""))
 
 
+def compared(title: Column) -> Column:
+    """What equal news have in common: the folded title without publisher, source, a bracket at the start, marks and blanks, in lower case."""
+    return F.lower(F.regexp_replace(F.regexp_replace(fold(unsourced(publisher_of(F.coalesce(title, F.lit("")))[0])), LEADING_BRACKET, ""), MARKS, ""))
+
+
+def truncated(title: Column) -> Column:
+    """The title was cut off: it opens more brackets of a kind than it closes."""
+    n = lambda mark: F.regexp_count(F.coalesce(title, F.lit("")), F.lit(mark))
+    return either([n(a) > n(b) for a, b in BRACKETS])
+
+
 @dataclass(frozen=True)
 class RuleSet:
     config: dict
@@ -180,17 +199,19 @@ class RuleSet:
         prefixes = "|".join(re.escape(folded(p).lower()) for p in c.get("numeralPrefixes", ()))
         for n in sorted(range(1, len(ROMAN) + 1), key=lambda n: -len(ROMAN[n - 1])) if prefixes else ():
             k = F.regexp_replace(k, rf"({prefixes}) ?{ROMAN[n - 1]}(?![a-z])", rf"$1{n}")
-        return F.regexp_replace(k, rf"(?:{BLANK}|[・･:：~〜～™®])+", "")
+        return F.regexp_replace(k, rf"(?:{BLANK}|[{KEY_MARKS}])+", "")
 
-    def works(self, title: Column) -> Column:
-        """Names in a title: in 『』; in 「」 behind a context word; in quotes at the start. In order, no name twice."""
+    def works(self, title: Column, lenient: Column | bool = False) -> Column:
+        """Names in a title: in double quotes; in corner quotes behind a context word, or where `lenient` holds and the configuration does not forbid it, short ones without marks of speech; in quotes at the start. In order, no name twice."""
         c, text = self.config["works"], F.coalesce(title, F.lit(""))
         context = re.sub(r"(?<!\\)\$\Z", "", c["cornerQuoteContextPattern"])
-        found = F.concat(
-            F.regexp_extract_all(text, F.lit("『([^』]{1,60})』"), F.lit(1)),
-            F.regexp_extract_all(text, F.lit(f"(?:{context})「([^」]{{1,40}})」"), F.lit(1)),
-            F.regexp_extract_all(text, F.lit("^'([^']{2,60})'"), F.lit(1)),
-        )
+        strict = f"(?:{context}){IN_CORNER_QUOTES}"
+        corner = lambda p: F.transform(F.regexp_extract_all(text, F.lit(p), F.lit(0)), lambda x: F.regexp_extract(x, "「([^」]*)」", 1))
+        quoted = corner(strict)
+        if lenient is not False and c.get("lenientCornerQuotes", True):
+            loose = corner(f"{strict}|{SHORT_IN_CORNER_QUOTES % NO_NAME}")
+            quoted = loose if lenient is True else F.when(lenient, loose).otherwise(quoted)
+        found = F.concat(F.regexp_extract_all(text, F.lit(IN_DOUBLE_QUOTES), F.lit(1)), quoted, F.regexp_extract_all(text, F.lit(AT_START), F.lit(1)))
         ignore = [F.lit(w) for w in c["ignore"]]
         return F.array_distinct(F.filter(F.transform(found, self.canonical), lambda w: (F.length(w) >= 2) & (~w.isin(ignore) if ignore else F.lit(True))))
 
@@ -211,7 +232,7 @@ def settled(df: DataFrame, **columns: Column) -> DataFrame:
 
 def known_works(items: DataFrame, rules: RuleSet, lang: str = "ja") -> DataFrame:
     """key: the names in titles of one language's specialist sources, whether these were accepted or not."""
-    names = items.where((F.col("kind") == "specialist") & (F.col("lang") == lang)).select(F.explode(rules.works(F.col("title"))).alias("w"))
+    names = items.where((F.col("kind") == "specialist") & (F.col("lang") == lang)).select(F.explode(rules.works(F.col("title"), True)).alias("w"))
     return names.select(rules.work_key(F.col("w")).alias("key")).distinct()
 
 
@@ -226,9 +247,9 @@ def judged(items: DataFrame, rules: RuleSet, known: DataFrame | None = None) ->
     x = x.where(~rules.hard_excluded(t, s)).withColumn("match_title", unsourced(publisher_of(title)[0])).drop("t_")
     x = settled(x, t_=fold(F.col("match_title")))
     plain, hits = rules.score(t, s)
-    x = settled(x, score=plain).where(~rules.off_topic(t, F.col("score"))).withColumn("hits", hits).withColumn("works", rules.works(F.col("match_title")))
+    x = settled(x, score=plain).where(~rules.off_topic(t, F.col("score"))).withColumn("hits", hits).withColumn("works", rules.works(F.col("match_title"), kind == "specialist"))
     if known is not None:
-        met = x.select("ord", F.explode("works").alias("w")).select("ord", rules.work_key(F.col("w")).alias("key")).join(known, "key", "left_semi").select("ord").distinct()
+        met = x.select("ord", F.explode(rules.works(F.col("match_title"), True)).alias("w")).select("ord", rules.work_key(F.col("w")).alias("key")).join(known, "key", "left_semi").select("ord").distinct()
         x = x.join(met.withColumn("met", F.lit(True)), "ord", "left")
         x = x.withColumn("score", F.col("score") + F.when(F.col("met"), rules.config["relevance"]["knownWorkBonus"]).otherwise(0))
         x = x.withColumn("hits", F.when(F.col("met"), F.concat("hits", F.array(F.lit("#known-work")))).otherwise(F.col("hits"))).drop("met")

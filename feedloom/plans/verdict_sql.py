@@ -5,7 +5,7 @@ Only the headlines (MADE) are shared with the jobs. Nothing here is made from th
 
 from __future__ import annotations
 
-from .verdicts import MADE
+from .verdicts import DECORATED, MADE
 
 
 def fold(e: str) -> str:
@@ -32,12 +32,19 @@ def canonical(e: str) -> str:
     return f"trim(regexp_replace({e}, '(?i)\\s*\\(film\\)$', ''))"
 
 
-def names(e: str) -> str:
-    found = f"list_concat(list_concat(regexp_extract_all({e}, '『([^』]{{1,60}})』', 1), regexp_extract_all({e}, '(?:映画|作品|film)\\s*「([^」]{{1,40}})」', 1)), regexp_extract_all({e}, '^''([^'']{{2,60}})''', 1))"
+def names(e: str, lenient: str = "FALSE") -> str:
+    behind = f"list_transform(regexp_extract_all({e}, '(?:映画|作品|film)\\s*「[^」]{{1,40}}」'), lambda x: regexp_extract(x, '「([^」]*)」', 1))"
+    any_short = f"list_transform(regexp_extract_all({e}, '(?:映画|作品|film)\\s*「[^」]{{1,40}}」|「[^」。、！？!?…]{{1,25}}」'), lambda x: regexp_extract(x, '「([^」]*)」', 1))"
+    found = f"list_concat(list_concat(regexp_extract_all({e}, '『([^』]{{1,60}})』', 1), CASE WHEN {lenient} THEN {any_short} ELSE {behind} END), regexp_extract_all({e}, '^''([^'']{{2,60}})''', 1))"
     each = f"list_transform({found}, lambda w: {canonical(fold('w'))})"
     return f"list_filter({first_of_each(each)}, lambda w: length(w) > 1 AND w <> '未定')"
 
 
+def compared(folded: str) -> str:
+    """A folded title without source: its characters one by one."""
+    return f"array_to_string(list_filter(string_split(lower(CASE WHEN starts_with({folded}, '【') OR starts_with({folded}, '[') THEN regexp_replace({folded}, '^.[^】\\]]*[】\\]]', '') ELSE {folded} END), ''), lambda c: NOT contains(concat(' 「」『』【】[]（）()、。！？!?・:：-—―~〜\"“”‘’…', chr(39)), c)), '')"
+
+
 DEAL = """d AS (SELECT ord, t, list_filter([CASE WHEN regexp_matches(concat(t, ' ', s), 'alpha ?store', 'i') THEN 'alpha' END, CASE WHEN regexp_matches(concat(t, ' ', s), 'beta|ベータ', 'i') THEN 'beta' END], lambda x: x IS NOT NULL) AS stores,
   list_max(list_filter(list_transform(regexp_extract_all(t, '(?i)([0-9]{1,3})\\s*%\\s*(?:オフ|off|割引)', 1), lambda x: CAST(x AS BIGINT)), lambda x: x BETWEEN 1 AND 100)) AS off,
   regexp_matches(t, '無料配布|free to keep|(^|[^0-9,])0円で', 'i') AS free FROM dealt WHERE regexp_matches(t, '[0-9]+\\s*%\\s*(off|オフ)|セール|無料配布', 'i') AND NOT regexp_matches(t, '還元|console', 'i'))"""
@@ -50,9 +57,9 @@ m AS (SELECT *, {fold('mt')} AS t FROM c),
 words(no, word, weight, ascii) AS (VALUES (1, 'film', 3, true), (2, 'cinema', 2, true), (3, '映画', 3, false), (4, 'premiere', 2, true), (5, '監督', 1, false), (6, 'stock price', -4, true), (7, '株価', -4, false), (8, 'recipe', -3, true), (9, 'review', 0, true)),
 met AS (SELECT ord, no, word, weight, CASE WHEN ascii THEN regexp_matches(t, concat('(^|[^A-Za-z0-9])', word, '($|[^A-Za-z0-9])'), 'i') ELSE contains(lower(t), word) END AS in_t, CASE WHEN ascii THEN regexp_matches(s, concat('(^|[^A-Za-z0-9])', word, '($|[^A-Za-z0-9])'), 'i') ELSE contains(lower(s), word) END AS in_s FROM m, words),
 scored AS (SELECT ord, sum(CASE WHEN in_t THEN CASE WHEN weight > 0 THEN 2 * weight ELSE weight END WHEN in_s THEN weight ELSE 0 END) AS plain, string_agg(CASE WHEN in_t OR in_s THEN word END, '|' ORDER BY no) AS hits FROM met GROUP BY ord),
-n AS (SELECT m.*, plain, coalesce(hits, '') AS hits, {names('mt')} AS works FROM m JOIN scored ON m.ord = scored.ord WHERE NOT (regexp_matches(t, '舞台|Stage play') AND NOT (regexp_matches(t, '(^|[^A-Za-z0-9])Star Saga($|[^A-Za-z0-9])', 'i') OR contains(t, 'スターサーガ')) AND plain <= 0)),
-known AS (SELECT DISTINCT {key('w')} AS k FROM (SELECT unnest({names('title')}) AS w FROM made WHERE kind = 'specialist' AND lang = 'ja') u),
-bonus AS (SELECT DISTINCT ord FROM (SELECT ord, {key('w')} AS k FROM (SELECT ord, unnest(works) AS w FROM n) u) v WHERE k IN (SELECT k FROM known)),
+n AS (SELECT m.*, plain, coalesce(hits, '') AS hits, {names('mt', "kind = 'specialist'")} AS works, {names('mt', 'TRUE')} AS sought FROM m JOIN scored ON m.ord = scored.ord WHERE NOT (regexp_matches(t, '舞台|Stage play') AND NOT (regexp_matches(t, '(^|[^A-Za-z0-9])Star Saga($|[^A-Za-z0-9])', 'i') OR contains(t, 'スターサーガ')) AND plain <= 0)),
+known AS (SELECT DISTINCT {key('w')} AS k FROM (SELECT unnest({names('title', 'TRUE')}) AS w FROM made WHERE kind = 'specialist' AND lang = 'ja') u),
+bonus AS (SELECT DISTINCT ord FROM (SELECT ord, {key('w')} AS k FROM (SELECT ord, unnest(sought) AS w FROM n) u) v WHERE k IN (SELECT k FROM known)),
 judged AS (SELECT n.*, plain + CASE WHEN bonus.ord IS NULL THEN 0 ELSE 4 END AS score, CASE WHEN bonus.ord IS NULL THEN hits WHEN hits = '' THEN '#known-work' ELSE concat(hits, '|#known-work') END AS all_hits FROM n LEFT JOIN bonus ON n.ord = bonus.ord),
 ok AS (SELECT * FROM judged WHERE kind = 'specialist' OR score >= coalesce(min_score, CASE kind WHEN 'aggregator' THEN 4 WHEN 'press' THEN 6 ELSE 3 END)),
 dealt AS (SELECT ord, t, s FROM ok), {DEAL},
@@ -83,13 +90,15 @@ paged AS (SELECT name, n, place, CASE WHEN row_number() OVER (PARTITION BY base
 
 ORACLES = {
     "item_verdict": f"{BASE} SELECT ord, CAST(score AS BIGINT) AS score, all_hits AS hits, cats, {PLATS} AS plats, array_to_string(works, '|') AS works, {SPOILER} AS spoiler, synd AS syndicated, {SHOWN} AS shown_source FROM full_ok",
+    "compared_titles": f"WITH {MADE}, {DECORATED}, h AS (SELECT ord, CASE WHEN regexp_matches(t, '^.*\\S\\s+-\\s+[^-]{{1,40}}$') THEN regexp_extract(t, '^(.*\\S)\\s+-\\s+([^-]{{1,40}})$', 1) ELSE t END AS t FROM decorated), f AS (SELECT ord, {fold("trim(regexp_replace(t, '[（(][^（）()]{1,30}[）)]\\s*$', ''))")} AS t FROM h), k AS (SELECT ord, {compared('t')} AS norm FROM f) SELECT ord, norm, length(norm) AS n FROM k",
+    "truncated_titles": f"WITH {MADE}, {DECORATED}, c AS (SELECT ord, string_split(substr(t, 1, CAST(3 + ord % 40 AS INT)), '') AS c FROM decorated), n AS (SELECT ord, list_transform(['『』', '「」', '【】', '（）', '《》', '〈〉'], lambda b: len(list_filter(c, lambda x: x = b[1])) - len(list_filter(c, lambda x: x = b[2]))) AS open FROM c) SELECT ord, list_max(open) > 0 AS truncated FROM n",
     "text_fold": f"WITH {MADE}, x AS (SELECT ord, concat(chr(12288), ' ', title, ' ！', chr(9), '～') AS t FROM made) SELECT ord, {fold('t')} AS folded FROM x",
     "work_keys": f"WITH {MADE}, x AS (SELECT ord, generate_subscripts(w, 1) - 1 AS place, unnest(w) AS work FROM (SELECT ord, {names('title')} AS w FROM made) u) SELECT ord, CAST(place AS BIGINT) AS place, work, {key('work')} AS key FROM x",
     "deals_found": f"WITH {MADE}, dealt AS (SELECT ord, {fold('title')} AS t, {fold('coalesce(summary, chr(32))')} AS s FROM made), {DEAL} SELECT ord, array_to_string(stores, '|') AS stores, off, free, CASE WHEN free THEN 'Free' WHEN off IS NOT NULL THEN concat('-', off, '%') ELSE 'Sale' END AS label FROM d",
     "current_deals": f"{BASE} SELECT ord, pub, cats FROM full_ok WHERE is_deal AND lang = 'ja' AND (pub IS NULL OR pub >= (SELECT max(pub) FROM full_ok) - 604800) AND NOT list_contains(ids, 'trouble')",
     "deal_feeds": f"{BASE} SELECT feed, count(*) AS n FROM (SELECT unnest(list_concat(['all'], stores)) AS feed FROM full_ok WHERE is_deal) u GROUP BY feed",
     "run_report": f"{BASE}, registry AS (SELECT concat('f', (k * 4) % 10) AS feed, CAST(k AS BIGINT) AS place FROM range(10) r(k) WHERE k <> 3) SELECT feed, place, (SELECT count(*) FROM made WHERE made.feed = registry.feed) AS archived, (SELECT count(*) FROM full_ok WHERE full_ok.feed = registry.feed) AS accepted FROM registry",
-    "run_totals": f"{BASE}, g AS (SELECT lang, lower(t) AS k, count(*) AS n, sum(CASE WHEN synd THEN 1 ELSE 0 END) AS s FROM full_ok GROUP BY lang, lower(t)) SELECT CAST(sum(n) AS BIGINT) AS accepted, count(*) AS shown, CAST(sum(n) - count(*) AS BIGINT) AS merged, CAST(sum(s) AS BIGINT) AS reposts, CAST(sum(CASE WHEN n = s THEN 1 ELSE 0 END) AS BIGINT) AS reposts_left FROM g",
+    "run_totals": f"{BASE}, g AS (SELECT lang, {compared('t')} AS k, count(*) AS n, sum(CASE WHEN synd THEN 1 ELSE 0 END) AS s FROM full_ok GROUP BY ALL) SELECT CAST(sum(n) AS BIGINT) AS accepted, count(*) AS shown, CAST(sum(n) - count(*) AS BIGINT) AS merged, CAST(sum(s) AS BIGINT) AS reposts, CAST(sum(CASE WHEN n = s THEN 1 ELSE 0 END) AS BIGINT) AS reposts_left FROM g",
     "display_names": f"{BASE}, {VOTED} SELECT full_ok.ord, coalesce(string_agg(shown, '|' ORDER BY pos), '') AS works FROM full_ok LEFT JOIN named ON full_ok.ord = named.ord GROUP BY full_ok.ord",
     "work_pages": f"{BASE}, {PAGES} SELECT name, n, place, slug FROM paged",
     "published_feeds": f"""{BASE}, p AS (SELECT *, string_split({PLATS}, '|') AS ps, coalesce(ids, []) AS tags FROM full_ok), f AS (SELECT 'all' AS feed, ord, pub, works, tags FROM p UNION ALL SELECT concat('category/', unnest(tags)), ord, pub, works, tags FROM p UNION ALL SELECT concat('platform/', x), ord, pub, works, tags FROM (SELECT *, unnest(ps) AS x FROM p) u WHERE x <> ''

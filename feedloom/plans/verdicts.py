@@ -14,7 +14,7 @@ from ..sources import sinks
 #: The headlines, which Spark and DuckDB both read: one case of a rule a remainder of the key.
 MADE = """made AS (SELECT p_partkey AS ord, CASE p_partkey % 24
   WHEN 0 THEN concat('映画『', p_name, '』公開日が12月10日に決定') WHEN 1 THEN concat('［ＡＤ］ ', p_name, ' film')
-  WHEN 2 THEN concat('Film review: ', p_name, ' wins at the festival') WHEN 3 THEN concat('Filming of ', p_name, ' ends')
+  WHEN 2 THEN concat('Film review: ', p_name, ' wins at the festival') WHEN 3 THEN concat('Filming of 「', substr(p_name, 1, 9), '」 ends 「at last。」')
   WHEN 4 THEN concat('劇場版『', p_name, '』続編未定のまま') WHEN 5 THEN concat('『', p_name, '』グッズ通販 - Portal News')
   WHEN 6 THEN concat('ＣＩＮＥＭＡ　ｎｅｗｓ　', p_name) WHEN 7 THEN concat('Stage play of ', p_name)
   WHEN 8 THEN concat('Stage play of Star Saga ', p_name) WHEN 9 THEN concat('『', p_name, '』が70％オフのセール中 (Alpha News)')
@@ -88,7 +88,26 @@ def run_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def run_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The run as one row: accepted items, groups of one title, reposts before and after, items merged away."""
-    return pages.run_totals(accepted(spark, sf_dir).withColumn("norm", F.lower(R.fold(F.col("match_title")))))
+    return pages.run_totals(accepted(spark, sf_dir).withColumn("norm", R.compared(F.col("title"))))
+
+
+#: Headlines with what compared titles leave out, and cut off at any place.
+DECORATED = """decorated AS (SELECT ord, concat(CASE ord % 4 WHEN 0 THEN '【ＰＲ】' WHEN 1 THEN '[new] ' WHEN 2 THEN '“' ELSE '' END, title, CASE ord % 5 WHEN 0 THEN '（Alpha）' WHEN 1 THEN ' - Daily Film' WHEN 2 THEN '…―〜！' WHEN 3 THEN ' 《A》〈b' ELSE '・“x”' END) AS t FROM made)"""
+
+
+def _decorated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.sql(f"WITH part AS (SELECT * FROM parquet.`{sf_dir}/part.parquet`), {MADE}, {DECORATED} SELECT * FROM decorated")
+
+
+def compared_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    norm = R.compared(F.col("t"))
+    return _decorated(spark, sf_dir).select("ord", norm.alias("norm"), F.length(norm).cast("long").alias("n"))
+
+
+def truncated_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Headlines cut after any number of characters: whether a bracket is left open."""
+    x = _decorated(spark, sf_dir).withColumn("t", F.expr("substr(t, 1, 3 + cast(ord % 40 AS int))"))
+    return x.select("ord", R.truncated(F.col("t")).alias("truncated"))
 
 
 def display_names(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -144,4 +163,4 @@ def published_feeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("feed", count("<item>").alias("entries"), count("<category>").alias("categories"))
 
 
-JOBS = [published_feeds, rules_changed, work_list, calendar_of_pages, item_verdict, text_fold, work_keys, deals_found, current_deals, deal_feeds, run_report, run_totals, display_names, work_pages, item_slugs]
+JOBS = [published_feeds, rules_changed, work_list, calendar_of_pages, item_verdict, compared_titles, truncated_titles, text_fold, work_keys, deals_found, current_deals, deal_feeds, run_report, run_totals, display_names, work_pages, item_slugs]

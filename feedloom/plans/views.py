@@ -6,6 +6,7 @@ Each plan is written once over a dialect. `now` is always a value of the data, n
 from __future__ import annotations
 
 from ..functions import rules as R
+from ..functions.ruleset import BRACKETS, LEADING_BRACKET, MARKS
 
 RULES = R.RULES
 KIND = "CASE feed_no % 4 WHEN 0 THEN 'specialist' WHEN 1 THEN 'general' WHEN 2 THEN 'aggregator' ELSE 'press' END"
@@ -60,14 +61,9 @@ def discount_max(d):
     return f"WITH x AS (SELECT l_orderkey, l_linenumber, l_partkey, concat('Sale ', CAST(CAST(round(l_discount * 100) AS INT) AS VARCHAR(9)), '% off, ', CAST(CAST(round(l_tax * 100) AS INT) AS VARCHAR(9)), '% back') AS t FROM lineitem) SELECT l_orderkey, l_linenumber, l_partkey, {d.maxint(found)} AS off FROM x"
 
 
-# The marks and blanks that compared titles leave out, and the brackets that a whole title closes.
-MARKS = "[ \t\n\r\u00a0\u3000「」『』【】\\[\\]（）()、。！？!?・:：\\-—―~〜\"'“”‘’…]+"
-BRACKETS = ("『』", "「」", "【】", "（）", "《》", "〈〉")
-
-
 def norm(d, e: str) -> str:
     """A compared title: without a bracket at the start, marks and blanks, in lower case."""
-    return d.sub(f"lower({d.sub(e, r'^[【\[][^】\]]*[】\]]', '')})", MARKS, "")
+    return d.sub(f"lower({d.sub(e, LEADING_BRACKET, '')})", MARKS, "")
 
 
 def compare_norm(d):
