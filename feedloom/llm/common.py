@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 #: Text bytes handled at once inside a Python worker; one longer document is handled alone.
 PIECE_BYTES = 4 << 20
+#: Bytes of an Arrow batch on its way to a Python worker, about; the session's own bound counts where it is lower.
+BATCH_BYTES = 8 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -96,7 +98,10 @@ def pieces(batch: pa.RecordBatch, column: str = "text", most: int = PIECE_BYTES)
 
 
 def map_pieces(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch | None]], schema: str, most: int = PIECE_BYTES) -> DataFrame:
-    """mapInArrow over bounded slices. make() runs once a task and returns the function for a slice."""
+    """mapInArrow over bounded slices. make() runs once a task and returns the function for a slice. Batches of the session are bounded by BATCH_BYTES from then on."""
+    key, spark = "spark.sql.execution.arrow.maxBytesPerBatch", df.sparkSession
+    if not 0 < int(spark.conf.get(key).rstrip("b")) <= BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
 
     def run(batches):
         fn = make()
