@@ -95,7 +95,8 @@ class FeedQuery:
         if self.new:
             t["new"] = (F.col("seen") > visit) & F.lit(visit > 0)
         for i, w in enumerate(normal(self.q).split()):
-            t[f"text{i}"] = ~F.contains("hay", F.lit(w[1:])) if w.startswith("-") and len(w) > 1 else F.contains("hay", F.lit(w))
+            hay = F.coalesce("hay", F.lit(""))
+            t[f"text{i}"] = ~F.contains(hay, F.lit(w[1:])) if w.startswith("-") and len(w) > 1 else F.contains(hay, F.lit(w))
         return t
 
     def disposition(self, now: int, visit: int = 0) -> Column:

@@ -7,7 +7,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import search
+from ..functions.cutting import fresh_path
 from ..functions.feed_query import FeedQuery, interactive
+from ..operators import bitmap_index
 from . import verdict_sql as V
 from . import verdicts
 
@@ -39,6 +41,25 @@ def query_facets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return q.counted(x, x.agg(F.max("pub")).first()[0] or 0)
 
 
+def _indexed(spark: SparkSession, sf_dir: str):
+    x = interactive(verdicts.accepted(spark, sf_dir)).withColumn("is_read", F.lit(False))
+    return bitmap_index.build(x, fresh_path(spark, "index"))
+
+
+def query_facets_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The facets of query_facets from bitmaps."""
+    index = _indexed(spark, sf_dir)
+    q = FeedQuery.from_url("?store=beta&cat=sale,event&lang=all&period=7d", hidden_topics=frozenset({"trouble"}), mute=("ＲＥＣＩＰＥ",))
+    return index.counted(q, index.read("items").agg(F.max("pub")).first()[0] or 0)
+
+
+def search_kana_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The headlines of search_kana by trigrams."""
+    index = _indexed(spark, sf_dir)
+    q = FeedQuery.from_url("?q=せーる+ＡＬＰＨＡ+-festival&lang=all")
+    return index.shown(q, index.read("items").agg(F.max("pub")).first()[0] or 0)
+
+
 def suggested(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Suggestions for a query's last word, from names and tags of one language and platforms of all."""
     x = verdicts.accepted(spark, sf_dir)
@@ -179,7 +200,7 @@ def user_state(spark: SparkSession, sf_dir: str) -> DataFrame:
 STATE_SQL = """WITH e AS (SELECT user_id, event_id, event_type, CAST(floor(epoch(ts)) AS BIGINT) AS t FROM events), d AS (SELECT user_id, list_reverse_sort(list_distinct(list(t // 86400)))[:3000] AS days FROM e GROUP BY user_id), r AS (SELECT user_id, list(event_id ORDER BY t DESC, event_id DESC)[:4000] AS links FROM e WHERE event_type = 'click' GROUP BY user_id)
 SELECT e.user_id, max(t) AS last_visit, any_value(len(days)) AS days, any_value(days[len(days)]) AS first_day, coalesce(any_value(len(links)), 0) AS n_read, any_value(links[1]) AS last_read FROM e JOIN d ON e.user_id = d.user_id LEFT JOIN r ON e.user_id = r.user_id GROUP BY e.user_id"""
 
-JOBS = [search_texts, search_kana, query_facets, suggested, recent_count, pages_of_days, day_labels, address_join, item_list_json, next_four, bookmark_saved, read_to_marker, session_news, user_state]
+JOBS = [query_facets_indexed, search_kana_indexed, search_texts, search_kana, query_facets, suggested, recent_count, pages_of_days, day_labels, address_join, item_list_json, next_four, bookmark_saved, read_to_marker, session_news, user_state]
 
 #: The headlines hold no other characters that the compatibility form changes.
 NORM = "lower(array_to_string(list_transform(string_split(%s, ''), lambda c: CASE WHEN unicode(c) BETWEEN 65281 AND 65374 THEN chr(unicode(c) - 65248) WHEN c = chr(12288) THEN ' ' WHEN unicode(c) BETWEEN 12353 AND 12438 THEN chr(unicode(c) + 96) ELSE c END), ''))"
@@ -204,3 +225,4 @@ num AS (SELECT ki, kind, name, count(*) AS n, {NORM % ("regexp_replace(name, '[\
     "session_news": SESSION_SQL,
     "user_state": STATE_SQL,
 }
+ORACLES |= {f"{k}_indexed": ORACLES[k] for k in ("query_facets", "search_kana")}
