@@ -4,7 +4,7 @@ import hashlib
 
 import pytest
 
-from feedloom.llm import decontam, licenses, mixing, near_dedup, pii, quality, secret_scan, substring_dedup, token_count, toxicity
+from feedloom.llm import alignment, decontam, filter_audit, licenses, mixing, near_dedup, pii, quality, secret_scan, simhash, substring_dedup, token_count, toxicity
 
 NOTHING = hashlib.sha256(b"").hexdigest()
 TEXT = "mail a.b@c.de or 1.2.3.4 and password=hunter22 under the MIT License " * 3
@@ -21,6 +21,8 @@ RUNS = {
     "near": (lambda d, s: near_dedup.classes(d), {}),
     "mixing": (lambda d, s: mixing.taken(d), {"size": 0, "taken": 0}),
     "licenses": (lambda d, s: licenses.scan(d), {"n_words": 0, "n_base": 0, "first_word": None, "last_word": None, "base_labels": "", "labels": "", "score": 0.0}),
+    "simhash": (lambda d, s: simhash.scan(d), {"fingerprint": "0" * 16, "component_id": 1, "n_links": 2}),
+    "alignment": (lambda d, s: alignment.scan(d), {}),
 }
 
 
@@ -73,6 +75,8 @@ def test_contract_columns(spark):
         "op5_substring_dedup": "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string",
         "op6_toxicity": "doc_id bigint, held_out boolean, score double, predicted int",
         "op9_mixing": "doc_id bigint, size bigint, source_size bigint, target double, taken bigint",
+        "op11_simhash": "doc_id bigint, fingerprint string, component_id bigint",
+        "op13_alignment": "doc_id bigint, n_a bigint, n_b bigint, n_groups bigint, n_links bigint, n_best bigint, count_sum bigint, groups_sha256 string",
         "op10_licenses": "doc_id bigint, n_words bigint, n_base bigint, first_word bigint, last_word bigint, base_labels string, labels string, score double",
     }
     n = spark.read.parquet(f"{sf}/documents.parquet").count()
@@ -80,3 +84,15 @@ def test_contract_columns(spark):
         out = Q.QUERIES[name](spark, sf)
         assert ", ".join(f"{c} {t}" for c, t in out.dtypes).startswith(columns), name
         assert out.count() == n
+    out = Q.QUERIES["op12_filter_audit"](spark, sf)
+    assert ", ".join(f"{c} {t}" for c, t in out.dtypes) == "part string, filter_order string, step int, kept bigint, removed bigint, redundant bigint, unique_fails bigint, good_lost bigint, toxic_lost bigint, shapley bigint"
+    assert out.count() == 600 * spark.read.parquet(f"{sf}/documents.parquet").selectExpr("coalesce(lang, '') AS part").distinct().count()
+
+
+def test_audit_of_odd_rows(spark):
+    """Long and null texts and ids, in two parts and one without a name."""
+    df = spark.createDataFrame(ROWS, "doc_id long, text string, lang string, source string")
+    out = filter_audit.scan(df, spark.createDataFrame([(5, 1, None), (None, 1, 1)], "doc_id long, quality int, toxic int"))
+    last = {r["part"]: r for r in out.where("filter_order = 'EABCD' AND step = 1").collect()}
+    assert {p: r["kept"] + r["removed"] for p, r in last.items()} == {"": 1, "en": 5, "fr": 2}
+    assert (last["en"]["removed"], last[""]["removed"], last["en"]["good_lost"]) == (0, 1, 0)
