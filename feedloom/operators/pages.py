@@ -59,30 +59,43 @@ def base_slug(name: Column) -> Column:
     return F.when(s == "", "work").otherwise(s)
 
 
+def in_ranges(rows: DataFrame, *by: Column | str) -> DataFrame:
+    """rows with idx, their place (from 0) in the order of `by`: sorted by ranges, each counted on from those before it, so that no task sorts all. One row a range goes through one task."""
+    x = cut(rows.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("id", F.monotonically_increasing_id()))
+    part, place = F.shiftright("id", 33), F.col("id").bitwiseAND(F.lit((1 << 33) - 1))
+    sizes = x.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("many"))
+    before = F.coalesce(F.sum("many").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return x.withColumn("part", part).join(F.broadcast(sizes.select("part", before.alias("before"))), "part").withColumn("idx", F.col("before") + place).drop("id", "part", "before")
+
+
 def _number(pdf: pd.DataFrame) -> pd.DataFrame:
     used: set[str] = set()
-    out = []
-    for base in pdf.sort_values("place")["base"]:
-        slug, n = base, 2
+    free: dict[str, int] = {}  # the lowest number of a base that may still be free
+    pdf, out = pdf.sort_values("place"), []
+    for base in pdf["base"]:
+        slug, n = base, free.get(base, 2)
         while slug in used:
             slug, n = f"{base}-{n}", n + 1
+        free[base] = n
         used.add(slug)
         out.append(slug)
-    return pdf.sort_values("place").assign(slug=out)[["name", "n", "place", "slug"]]
+    return pdf.assign(slug=out)[["name", "n", "place", "slug"]]
 
 
 def work_pages(items: DataFrame) -> DataFrame:
     """name, n, place, slug of every name with LEAST_ITEMS items or more: by items, then by Japanese collation.
 
-    An address that is taken gets the next free number. Only addresses that are equal but for numbers at their end can be in each
-    other's way, so these are numbered together, in a group of their own.
+    An address that is taken gets the next free number. Names of one base are numbered by their place among them, without a task for each base. Only
+    addresses that are equal but for numbers at their end can be in each other's way; where such a family has several bases, it is
+    numbered in a group of its own.
     """
     names = items.select(F.explode("works").alias("name")).groupBy("name").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= LEAST_ITEMS)
-    # places are counted from the sizes of groups of equal n, so that no sort spans all names
-    inside = F.row_number().over(Window.partitionBy("n").orderBy(F.collate("name", "ja"), "name"))
-    sizes = names.groupBy(F.col("n").alias("m")).agg(F.count(F.lit(1)).alias("many"))
-    before = F.coalesce(F.sum("many").over(Window.orderBy(F.desc("m")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # one row a count
-    ranked = names.withColumn("k", inside).join(sizes.select("m", before.alias("before")), F.col("n") == F.col("m"))
-    ranked = ranked.select("name", "n", (F.col("before") + F.col("k")).alias("place"), base_slug(F.col("name")).alias("base"))
-    family = F.regexp_replace("base", r"(?:-[0-9]+)+\z", "")
-    return ranked.withColumn("family", family).groupBy("family").applyInPandas(_number, "name string, n long, place long, slug string")
+    ranked = in_ranges(names, F.desc("n"), F.collate("name", "ja"), F.col("name")).select("name", "n", (F.col("idx") + 1).alias("place"), base_slug(F.col("name")).alias("base"))
+    ranked = cut(ranked.withColumn("family", F.regexp_replace("base", r"(?:-[0-9]+)+\z", "")))
+    several = ranked.groupBy("family").agg((F.min("base") < F.max("base")).alias("several"))
+    ranked = ranked.join(several, "family")
+    alone = in_ranges(ranked.where("NOT several").select("name", "n", "place", "base"), "base", "place")
+    firsts = alone.groupBy("base").agg(F.min("idx").alias("first"))
+    k = F.col("idx") - F.col("first") + 1
+    alone = alone.join(firsts, "base").select("name", "n", "place", F.when(k == 1, F.col("base")).otherwise(F.concat("base", F.lit("-"), k.cast("string"))).alias("slug"))
+    return alone.unionByName(ranked.where("several").groupBy("family").applyInPandas(_number, "name string, n long, place long, slug string"))
