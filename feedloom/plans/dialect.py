@@ -54,8 +54,8 @@ class Spark:
         return "chr(39)"
 
     def references(self, e: str) -> str:
-        """Decimal character references as their characters."""
-        codes = f"array_distinct(regexp_extract_all({e}, r'&#([0-9]{{1,6}});', 1))"
+        """Decimal character references as their characters, however many zeros they begin with; what is no character stays."""
+        codes = f"filter(array_distinct(regexp_extract_all({e}, r'&#(0*[0-9]{{1,7}});', 1)), n -> CAST(n AS BIGINT) BETWEEN 1 AND 55295 OR CAST(n AS BIGINT) BETWEEN 57344 AND 1114111)"
         return f"aggregate({codes}, {e}, (s, n) -> replace(s, concat('&#', n, ';'), decode(unhex(lpad(hex(CAST(n AS BIGINT)), 8, '0')), 'UTF-32')))"
 
 
@@ -96,5 +96,5 @@ class Duck(Spark):
         return f"list_max(list_filter(list_transform({a}, lambda x: CAST(x AS BIGINT)), lambda x: x > 0 AND x <= 100))"
 
     def references(self, e: str) -> str:
-        codes = f"list_distinct(regexp_extract_all({e}, '&#([0-9]{{1,6}});', 1))"
+        codes = f"list_filter(list_distinct(regexp_extract_all({e}, '&#(0*[0-9]{{1,7}});', 1)), lambda n: CAST(n AS BIGINT) BETWEEN 1 AND 55295 OR CAST(n AS BIGINT) BETWEEN 57344 AND 1114111)"
         return f"list_reduce(list_concat([{e}], {codes}), lambda s, n: replace(s, concat('&#', n, ';'), chr(CAST(n AS INTEGER))))"

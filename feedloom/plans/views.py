@@ -93,7 +93,7 @@ def summary_clean_truncate(d):
 
 def html_to_text(d):
     """Tags as blanks, then the named entities in this order, then decimal references, then white space; &amp;lt; so becomes a bracket. The pages hold few references, so some are put behind them."""
-    e = d.sub("concat(html, '&#', CAST(page_id % 900 + 97 AS VARCHAR(9)), ';&#039;&amp;lt;&amp;#65;  x')", "<[^>]*>", " ")
+    e = d.sub("concat(html, '&#', CAST(page_id % 900 + 97 AS VARCHAR(9)), ';&#039;&amp;lt;&amp;#65;&#00000128512;&#1114111;&#1114112;&#55296;&#0;  x')", "<[^>]*>", " ")
     for a, b in (("&nbsp;", " "), ("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "\\x27"), ("&#039;", "\\x27")):
         e = f"replace({e}, '{a}', {d.quote() if b == chr(92) + 'x27' else chr(39) + b + chr(39)})"
     return f"WITH x AS (SELECT page_id, {e} AS t FROM pages), y AS (SELECT page_id, {d.references('t')} AS t FROM x) SELECT page_id, {d.sub(d.sub('t', '[ \t\r\n]+', ' '), '^ | $', '')} AS body FROM y"
