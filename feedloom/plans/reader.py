@@ -28,7 +28,7 @@ def search_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def search_kana(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Accepted headlines with two words, one written in the other kana and in full width, and without a third."""
-    x = interactive(verdicts.accepted(spark, sf_dir))
+    x = interactive(verdicts.accepted_once(spark, sf_dir))
     q = FeedQuery.from_url("?q=せーる+ＡＬＰＨＡ+-festival&lang=all")
     now = x.agg(F.max("pub")).first()[0] or 0
     return q.apply(x.withColumn("is_read", F.lit(False)), now).select("ord")
@@ -36,7 +36,7 @@ def search_kana(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def query_facets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Facets of a query with a store, a tag and a period, a topic hidden and a word muted."""
-    x = interactive(verdicts.accepted(spark, sf_dir)).withColumn("is_read", F.lit(False))
+    x = interactive(verdicts.accepted_once(spark, sf_dir)).withColumn("is_read", F.lit(False))
     q = FeedQuery.from_url("?store=beta&cat=sale,event&lang=all&period=7d", hidden_topics=frozenset({"trouble"}), mute=("ＲＥＣＩＰＥ",))
     return q.counted(x, x.agg(F.max("pub")).first()[0] or 0)
 
@@ -62,7 +62,7 @@ def search_kana_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def suggested(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Suggestions for a query's last word, from names and tags of one language and platforms of all."""
-    x = verdicts.accepted(spark, sf_dir)
+    x = verdicts.accepted_once(spark, sf_dir)
     ja = x.where("lang = 'ja'")
     count = lambda df, c: df.select(F.explode(c).alias("name")).groupBy("name").agg(F.count(F.lit(1)).alias("n"))
     return search.suggestions([("work", count(ja, "works")), ("cat", count(ja, "cats")), ("plat", count(x, "plats"))], "film Ｒ・E")

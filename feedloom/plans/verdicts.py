@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import ruleset as R
 from ..functions import schedule
+from ..functions.cutting import cut
 from ..functions.search import compatible, normal
 from ..operators import pages
 from ..sources import sinks
@@ -42,6 +43,11 @@ def accepted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.judged(items, RULES, R.known_works(items, RULES))
 
 
+def accepted_once(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same for jobs that read it several times: written once to the shared folder."""
+    return cut(accepted(spark, sf_dir))
+
+
 def listed(name: str):
     return F.array_join(name, "|").alias(name)
 
@@ -68,7 +74,7 @@ def deals_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def current_deals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Deals among accepted headlines of one language, of the last seven days before the newest, on no sensitive matter."""
-    x = accepted(spark, sf_dir)
+    x = accepted_once(spark, sf_dir)
     now = x.agg(F.max("pub")).first()[0] or 0
     return R.current_deals(x.where("lang = 'ja'"), RULES, now).select("ord", "pub", listed("cats"))
 
@@ -112,18 +118,18 @@ def truncated_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def display_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Names of each accepted headline, each by its most frequent spelling."""
-    x = pages.with_display_names(accepted(spark, sf_dir), RULES)
+    x = pages.with_display_names(accepted_once(spark, sf_dir), RULES)
     return x.select("ord", listed("works"))
 
 
 def work_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages of names with two items or more, most items first, names in Japanese collation, with their addresses."""
-    return pages.work_pages(pages.with_display_names(accepted(spark, sf_dir), RULES)).select("name", "n", "place", "slug")
+    return pages.work_pages(pages.with_display_names(accepted_once(spark, sf_dir), RULES)).select("name", "n", "place", "slug")
 
 
 def item_slugs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The address of the page of each item's first name, where there is a page."""
-    x = pages.with_display_names(accepted(spark, sf_dir), RULES)
+    x = pages.with_display_names(accepted_once(spark, sf_dir), RULES)
     found = pages.work_pages(x).select(F.col("name").alias("first"), "slug")
     return x.select("ord", F.try_element_at("works", F.lit(1)).alias("first")).join(found, "first", "left").select("ord", "slug")
 
@@ -140,7 +146,7 @@ def rules_changed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def work_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Names with a page that hold what is typed, however written, with the length of their bar."""
-    p = pages.work_pages(pages.with_display_names(accepted(spark, sf_dir), RULES))
+    p = pages.work_pages(pages.with_display_names(accepted_once(spark, sf_dir), RULES))
     longest = p.agg(F.greatest(F.lit(1), F.max("n")).alias("longest"))
     found = p.where(F.contains(F.lower(compatible(F.col("name"))), F.lit(normal("ＲＥＤ"))))
     return found.join(F.broadcast(longest)).select("name", "n", (F.col("n") / F.col("longest")).alias("bar"))
@@ -148,7 +154,7 @@ def work_list(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def calendar_of_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Calendar entries of names that have a page, with its address."""
-    x = pages.with_display_names(accepted(spark, sf_dir), RULES).withColumn("work", F.try_element_at("works", F.lit(1)))
+    x = pages.with_display_names(accepted_once(spark, sf_dir), RULES).withColumn("work", F.try_element_at("works", F.lit(1)))
     now = x.agg(F.max("pub")).first()[0] or 0
     rules = schedule.ScheduleRules({"verbs": [{"id": "open", "keywords": ["決定"]}]})
     entries = schedule.calendar(x.select("ord", "title", "summary", "pub", "lang", "work", F.coalesce("work", "title").alias("subject"), F.lit(1).alias("sources")), now, rules)
