@@ -103,6 +103,7 @@ def labels(pairs: list[tuple[str, Column]]) -> Column:
     return F.array_compact(F.array(*(F.when(ok, F.lit(k)) for k, ok in pairs))) if pairs else F.array().cast("array<string>")
 
 
+# Fixed values in the next two patterns: a publisher of up to 40 characters behind a dash, a source of up to 30 in a bracket at the end.
 def publisher_of(title: Column) -> tuple[Column, Column]:
     """("title - publisher": the title, the publisher or null)."""
     p = rf"(?s)^(.*[^{BLANK[1:]}){BLANK}+-{BLANK}+([^-]{{1,40}})\z"
