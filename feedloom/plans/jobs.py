@@ -11,7 +11,7 @@ from ..operators import clusters
 from ..operators.prefixes import first_longer
 from ..operators.facets import facet_counts as facets_of
 from ..sources import feeds, sinks
-from ..streaming import archive, keyed
+from ..streaming import archive, keyed, polls
 from . import views
 from .dialect import Spark
 
@@ -205,15 +205,29 @@ DAILY_SQL = "WITH x AS (SELECT CAST(floor(epoch(ts) / 86400) AS BIGINT) AS day,
 
 def feed_documents_reread(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One RSS document a source is written and read again: the newest 50 items of each source, in order."""
-    path = fresh_path(spark, "rss")
-    sinks.write_documents(sinks.rss_documents(_items(spark, sf_dir), "source"), path)
-    x = feeds.stored_feeds(spark, path, "*.txt")
+    x = feeds.stored_feeds(spark, sinks.write_documents(sinks.rss_documents(_items(spark, sf_dir), "source"), fresh_path(spark, "rss")), "*.txt")
     return x.select(F.regexp_extract("feed", "feed=([^/]+)", 1).alias("source"), F.col("place").cast("long").alias("place"), F.regexp_extract("link", "([0-9]+)$", 1).cast("long").alias("ord"), "pub")
 
 
 REREAD_SQL = "WITH x AS (SELECT source, doc_id AS ord, doc_id * 420 AS pub, row_number() OVER (PARTITION BY source ORDER BY doc_id DESC) - 1 AS place FROM documents WHERE source IS NOT NULL AND trim(split_part(text, chr(10), 1)) <> '') SELECT source, place, ord, pub FROM x WHERE place < 50"
 
 
+def stream_feed_polls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Feeds (a source's items by blocks of 20,000) that grow between three polls: their documents are published, polled and passed on, each entry with its first poll and its place there."""
+    folder, site = fresh_path(spark, "polls"), fresh_path(spark, "site")
+    x = _sql(spark, sf_dir, f"WITH {views.items(Spark())} SELECT ord, title, summary, pub * 60 AS pub, concat('https://example.org/', ord) AS link, concat(source, '-', ord DIV 20000) AS feed FROM items")
+    for p in range(3):
+        shown = sinks.write_documents(sinks.rss_documents(x.where(F.col("ord") % 3 <= p), "feed"), site)
+        rows = feeds.stored_feeds(spark, shown, "*.txt")
+        out = polls.hourly(spark, rows.withColumn("feed", F.regexp_extract("feed", "feed=([^/]+)", 1)), folder, 3600 * (p + 1))
+    return out.select("feed", F.regexp_extract("link", "([0-9]+)$", 1).cast("long").alias("ord"), F.col("poll").cast("long").alias("poll"), F.col("place").cast("long").alias("place"))
+
+
+POLLS_SQL = """WITH i AS (SELECT doc_id AS ord, concat(source, '-', doc_id // 20000) AS feed FROM documents WHERE source IS NOT NULL AND trim(split_part(text, chr(10), 1)) <> ''),
+p AS (SELECT feed, ord, poll, row_number() OVER (PARTITION BY feed, poll ORDER BY ord DESC) - 1 AS place FROM i, (SELECT unnest(range(3)) AS poll) q WHERE ord % 3 <= poll)
+SELECT feed, ord, min(poll) AS poll, arg_min(place, poll) AS place FROM p WHERE place < 50 GROUP BY feed, ord"""
+
+
 def feed_query_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An interactive query: two tags, one of two languages, a period, words wanted and not, a hidden topic and a muted word."""
     x = _items(spark, sf_dir).withColumn("hay", F.lower(F.concat_ws(" ", "title", "summary", "source"))).withColumn("lang", F.upper("lang"))
@@ -239,9 +253,9 @@ SELECT z.cid, max(CASE WHEN k = 1 THEN ord END) AS ord, min(pub) * 60 AS pub, mi
 FROM z LEFT JOIN c ON z.cid = c.cid GROUP BY z.cid"""
 
 
-JOBS = [cluster_linked, prefix_link_first, cluster_replay, cluster_merge, cluster_merge_exact, archive_upsert, archive_first_seen, exact_title_groups, interval_similarity_pairs, facet_counts, stream_sliding_counts, stream_interval_pairs, stream_archive_upsert, stream_archive_state, stream_session_visits, stream_daily_counts, feed_documents_reread, feed_query_page]
+JOBS = [cluster_linked, prefix_link_first, cluster_replay, cluster_merge, cluster_merge_exact, archive_upsert, archive_first_seen, exact_title_groups, interval_similarity_pairs, facet_counts, stream_sliding_counts, stream_interval_pairs, stream_archive_upsert, stream_archive_state, stream_session_visits, stream_daily_counts, stream_feed_polls, feed_documents_reread, feed_query_page]
 
 
 def oracles(d) -> dict[str, str]:
     """DuckDB SQL of those that SQL can express."""
-    return {"cluster_linked": LINKED_SQL, "cluster_replay": f"{clustered_sql()} SELECT ord, cid FROM cl", "cluster_merge": merged_sql(d), "prefix_link_first": views.prefix_link_first(d), "archive_upsert": views.archive_upsert(d), "archive_first_seen": FIRST_SEEN_SQL, "exact_title_groups": views.exact_title_groups(d), "interval_similarity_pairs": views.interval_similarity_pairs(d), "facet_counts": views.facet_counts(d), "stream_sliding_counts": SLIDING_SQL, "stream_interval_pairs": PAIRS_SQL, "cluster_merge_exact": merge_exact_sql(d), "stream_archive_upsert": views.archive_upsert(d), "stream_archive_state": views.archive_upsert(d), "stream_session_visits": SESSIONS_SQL, "stream_daily_counts": DAILY_SQL, "feed_documents_reread": REREAD_SQL, "feed_query_page": feed_query_sql(d)}
+    return {"cluster_linked": LINKED_SQL, "cluster_replay": f"{clustered_sql()} SELECT ord, cid FROM cl", "cluster_merge": merged_sql(d), "prefix_link_first": views.prefix_link_first(d), "archive_upsert": views.archive_upsert(d), "archive_first_seen": FIRST_SEEN_SQL, "exact_title_groups": views.exact_title_groups(d), "interval_similarity_pairs": views.interval_similarity_pairs(d), "facet_counts": views.facet_counts(d), "stream_sliding_counts": SLIDING_SQL, "stream_interval_pairs": PAIRS_SQL, "cluster_merge_exact": merge_exact_sql(d), "stream_archive_upsert": views.archive_upsert(d), "stream_archive_state": views.archive_upsert(d), "stream_session_visits": SESSIONS_SQL, "stream_daily_counts": DAILY_SQL, "stream_feed_polls": POLLS_SQL, "feed_documents_reread": REREAD_SQL, "feed_query_page": feed_query_sql(d)}

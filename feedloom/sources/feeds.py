@@ -171,13 +171,18 @@ def stored_feeds(spark: SparkSession, path: str, glob: str = "*.xml") -> DataFra
     return files.select("path", "content").mapInPandas(run, SCHEMA)
 
 
-def versions(spark: SparkSession, path: str) -> list[str]:
-    """Complete versions of an archive, newest first."""
+def all_versions(spark: SparkSession, path: str) -> dict[int, str]:
+    """Number -> folder of every version at `path`, whole or not."""
     top = spark._jvm.org.apache.hadoop.fs.Path(path)
     fs = top.getFileSystem(spark._jsc.hadoopConfiguration())
     found = [s.getPath() for s in fs.listStatus(top)] if fs.exists(top) else []
-    whole = [p.toString() for p in found if p.getName().startswith("version=") and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
-    return sorted(whole, key=lambda p: int(p.rsplit("=", 1)[-1]), reverse=True)
+    return {int(p.getName().removeprefix("version=")): p.toString() for p in found if p.getName().startswith("version=")}
+
+
+def versions(spark: SparkSession, path: str) -> list[str]:
+    """Complete versions of an archive, newest first."""
+    P = spark._jvm.org.apache.hadoop.fs.Path
+    return [p for _, p in sorted(all_versions(spark, path).items(), reverse=True) if P(p).getFileSystem(spark._jsc.hadoopConfiguration()).exists(P(p, "_SUCCESS"))]
 
 
 def stored_or_empty(spark: SparkSession, path: str, schema: str) -> DataFrame:

@@ -1,13 +1,13 @@
-"""Whole-document sinks: one RSS document a feed, a site map, and an archive that is replaced as a whole."""
+"""Whole-document sinks: one RSS document a feed, a site map, and an archive; documents and archive are replaced as a whole."""
 
 from __future__ import annotations
 
 import json
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .feeds import versions
+from .feeds import all_versions, versions
 
 FEED_LIMIT = 50
 
@@ -42,20 +42,40 @@ def site_map(pages: DataFrame) -> DataFrame:
     return pages.select(F.concat(F.lit("<url><loc>"), escaped(F.col("loc")), F.lit("</loc>"), F.coalesce(F.concat(F.lit("<lastmod>"), F.date_format(F.timestamp_seconds("lastmod"), "yyyy-MM-dd'T'HH:mm:ssXXX"), F.lit("</lastmod>")), F.lit("")), F.lit("</url>")).alias("xml"))
 
 
-def write_documents(docs: DataFrame, path: str) -> None:
-    """One file a document, in a folder named by its feed."""
-    docs.repartition("feed").select("feed", F.col("xml").alias("value")).write.mode("overwrite").partitionBy("feed").option("lineSep", "\n").text(path)
+def replaced(write, spark: SparkSession, path: str, keep: int) -> str:
+    """A new version at `path`, which write(folder) fills; it counts once it is whole, and a write that fails leaves what was there. `keep` whole versions stay."""
+    old = versions(spark, path)
+    n = 1 + max(all_versions(spark, path), default=0)
+    write(new := f"{path.rstrip('/')}/version={n:09d}")
+    P = spark._jvm.org.apache.hadoop.fs.Path
+    for p in old[keep - 1 :]:
+        P(p).getFileSystem(spark._jsc.hadoopConfiguration()).delete(P(p), True)
+    return new
 
 
 def replace_archive(df: DataFrame, path: str) -> None:
     """A new version of the archive at `path`, which df may read from. It counts once it is whole; only then older ones go, so a crash at any point leaves a table to read."""
-    spark = df.sparkSession
-    old = versions(spark, path)
-    n = 1 + (int(old[0].rsplit("=", 1)[-1]) if old else 0)
-    df.write.mode("overwrite").parquet(f"{path.rstrip('/')}/version={n:09d}")
-    P = spark._jvm.org.apache.hadoop.fs.Path
-    for p in old:
-        P(p).getFileSystem(spark._jsc.hadoopConfiguration()).delete(P(p), True)
+    replaced(lambda new: df.write.parquet(new), df.sparkSession, path, 1)
+
+
+def write_documents(docs: DataFrame, path: str) -> str:
+    """All documents (feed, xml) as a new version, one file a document in a folder named by its feed; returns the version's folder.
+
+    A set of documents is whole or not there: until Spark has committed the last file, and if a task fails for good, readers get the set
+    before. That one stays beside the new one for readers that have begun on it. Rows of a null feed are one feed; of several rows of a
+    feed, all lines stay, in one file.
+    """
+    lines = docs.repartition("feed").select("feed", F.col("xml").alias("value"))
+    return replaced(lambda new: lines.write.partitionBy("feed").option("lineSep", "\n").text(new), docs.sparkSession, path, 2)
+
+
+def documents(spark: SparkSession, path: str) -> DataFrame:
+    """(feed, xml) of the newest whole set; no rows if there is none."""
+    whole = versions(spark, path)
+    if not whole:
+        return spark.createDataFrame([], "feed string, xml string")
+    read = spark.read.schema("value string, feed string").text(whole[0], wholetext=True)
+    return read.select("feed", F.regexp_replace("value", r"\n\z", "").alias("xml"))
 
 
 def envelope(items: DataFrame, generated: str, **parts: DataFrame) -> DataFrame:
