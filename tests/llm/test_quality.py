@@ -43,8 +43,12 @@ def test_shares_are_handed_on():
     n = math.ceil(math.log(2 / Q.DELTA) / -math.log1p(-Q.ALPHA))
     few = [0] * Q.DEPTH + [n]
     assert Q.choose({"x": few, "y": few}) == {"x": Q.DEPTH, "y": Q.DEPTH}
-    three = {"x": few, "y": [0] * Q.DEPTH + [10], "z": [0] * Q.DEPTH + [10]}
-    assert Q.choose(three)["x"] == 0  # a third of the error is too little for it
+    bad = [n] + [0] * Q.DEPTH
+    assert Q.choose({"x": few, "y": bad, "z": bad}) == {"x": 0, "y": 0, "z": 0}  # a third of the error is too little for x
+    assert Q.choose({"x": few, "y": bad, "z": clean}) == {"x": Q.DEPTH, "y": 0, "z": Q.DEPTH}  # half of it is enough
+    small = {"y": [0] * Q.DEPTH + [10], "z": [0] * Q.DEPTH + [10], "none": [0] * (Q.DEPTH + 1)}
+    assert Q.choose({"x": few, **small}) == {"x": Q.DEPTH, "y": 0, "z": 0, "none": 0}  # strata that can't pass take little
+    assert Q.choose({}) == {} and Q.choose({"none": [0] * (Q.DEPTH + 1)}) == {"none": 0}
     assert Q.choose({"x": few, "y": [0] * Q.DEPTH + [10], "z": clean})["x"] == Q.DEPTH
 
 
