@@ -77,7 +77,8 @@ def archive_of(changes: DataFrame, keep: int = KEEP_SECONDS) -> DataFrame:
 
 def run_sessions(stream: DataFrame, path: str, gap: str = "2 hours", late: str = "1 day") -> DataFrame:
     """(user_id, begin_t, last_t, n): visits that end where the next event of the user is `gap` or more away, once the watermark has passed their end. Rows later than the watermark are dropped."""
-    w = stream.withWatermark("ts", late).groupBy("user_id", F.session_window("ts", gap).alias("w")).agg(F.min("ts").alias("a"), F.max("ts").alias("b"), F.count("*").alias("n"))
+    # Spark joins events that are just the gap apart, so that its gap is the least time shorter
+    w = stream.withWatermark("ts", late).groupBy("user_id", F.session_window("ts", f"{gap} -1 microseconds").alias("w")).agg(F.min("ts").alias("a"), F.max("ts").alias("b"), F.count("*").alias("n"))
     return run_append(w.select("user_id", F.unix_seconds("a").alias("begin_t"), F.unix_seconds("b").alias("last_t"), "n"), path, "user_id long, begin_t long, last_t long, n long")
 
 

@@ -1,5 +1,6 @@
 """The keyed archive against the upsert over a whole table, over any split and after a restart; session windows with late rows."""
 
+import datetime
 import random
 
 import pytest
@@ -67,3 +68,13 @@ def test_sessions(spark, tmp_path):
     stream = keyed.stored_stream(spark, source, schema).withColumn("ts", F.timestamp_seconds("t"))
     rows = sorted(map(tuple, keyed.run_sessions(stream, str(tmp_path / "out")).collect()))
     assert [(u, a - T, b - T, n) for u, a, b, n in rows] == [(1, 0, 21598, 5), (2, 5, 5, 1), (2, 10 * DAY, 10 * DAY + 1, 2)]
+
+
+def test_visits_end_at_the_gap_itself(spark, tmp_path):
+    gap = 7200
+    times = {1: [0, gap - 1], 2: [0, gap], 3: [0, gap + 1], 4: [0, gap - 1, 2 * gap - 1, 2 * gap], 9: [10 * 86400]}
+    rows = [(u, datetime.datetime.fromtimestamp(t, datetime.UTC)) for u, ts in times.items() for t in ts]
+    spark.createDataFrame(rows, "user_id long, ts timestamp").coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = keyed.stored_stream(spark, str(tmp_path / "in"), "user_id long, ts timestamp")
+    got = {tuple(r) for r in keyed.run_sessions(stream, str(tmp_path / "out")).collect()}
+    assert got == {(1, 0, gap - 1, 2), (2, 0, 0, 1), (2, gap, gap, 1), (3, 0, 0, 1), (3, gap + 1, gap + 1, 1), (4, 0, gap - 1, 2), (4, 2 * gap - 1, 2 * gap, 2)}
