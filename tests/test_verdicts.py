@@ -1,5 +1,6 @@
 """The item verdict case by case, with headlines of our own: keywords, exclusion, thresholds, names and keys, deals, off-topic, spoilers, tags, sources."""
 
+import re
 import json
 
 import pytest
@@ -134,3 +135,25 @@ def test_search_forms(spark):
     assert search.normal("ＡｂＣ ひらがなゔ ｶﾞ ㍿") == "abc ヒラガナヴ ガ 株式会社"
     assert ask(spark, search.searchable(F.col("t")), t="ＡｂＣ ひらがなゔ ｶﾞ ㍿") == "abc ヒラガナヴ ガ 株式会社"
     assert search.last_word("a  ぜる・だ ") == "ゼルダ" and search.last_word("a -b") is None and search.last_word(" ") is None
+
+
+def test_names_grow_with_the_prefixes_in_proportion(spark):
+    from pyspark.sql import functions as F
+
+    from feedloom.functions import ruleset as R
+
+    prefixes = ["新作", "劇場版", "映画", "a", "b+", "c"]
+    rules = R.RuleSet(R.DEFAULT | {"works": R.DEFAULT["works"] | {"stripPrefixes": prefixes}})
+    assert str(rules.canonical(F.col("w"))).count("translate") <= 2
+    names = ["新作　 x y", "新作x", "新作  x", "映画劇場版 新作Q2", "a b+ c dd", "ab", "ａ﻿bc", "", " 　 ", "a\t    b  c ", "c\U0001f600\U0001f600"]
+    got = {r["w"]: r["c"] for r in spark.createDataFrame([(n,) for n in names], "w string").select("w", rules.canonical(F.col("w")).alias("c")).collect()}
+    blank = lambda s: re.sub("[\\s  　﻿]+", " ", s.translate(str.maketrans(R.FULL, R.HALF))).strip(" ")
+
+    def plain(w):
+        w = blank(w)
+        for p in prefixes:
+            if w.startswith(p) and len(w) > len(p) + 1:
+                w = w[len(p) :].strip()
+        return re.sub(r"\s*\(film\)$", "", w)
+
+    assert got == {n: plain(n) for n in names}
