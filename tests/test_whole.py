@@ -64,3 +64,13 @@ def test_limits_are_those_of_the_reference(spark, tmp_path):
     assert len(ask(spark, str(tmp_path), "score_threshold_topk")) == 6_000
     assert (ask(spark, str(tmp_path), "per_feed_limit").groupby("source")["k"].max()["src4"]) == 100
     assert sorted(ask(spark, str(tmp_path), "read_set_latest")["event_id"]) == list(range(1, 4_001))
+
+
+def test_visits_do_not_meet_the_items_they_count(spark, tmp_path):
+    """New items of a visit are a difference of two counts: no row for each pair of a visit and an item of its days."""
+    at = pd.to_datetime(["2024-01-01 00:00:00", "2024-01-01 00:00:01", "2024-01-01 00:00:01", "2024-01-01 01:00:00", "2024-01-01 05:00:00", "2024-01-03 00:00:00", "2024-01-03 00:00:00"]).astype("datetime64[us]")
+    kinds = ["view", "signup", "signup", "view", "view", "signup", "view"]
+    pd.DataFrame({"event_id": range(7), "user_id": [1, 2, 2, 2, 1, 2, 1], "event_type": kinds, "ts": at, "value": 0.0}).to_parquet(tmp_path / "events.parquet")
+    x = C.QUERIES["session_news"](spark, str(tmp_path))
+    assert {(r["user_id"], r["visit"]): r["n_new"] for r in x.collect()} == {(1, 1): 0, (1, 2): 2, (1, 3): 1, (2, 1): 0, (2, 2): 1}
+    assert "Generate" not in x._jdf.queryExecution().optimizedPlan().toString()
