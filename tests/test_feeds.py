@@ -185,3 +185,23 @@ def test_projection_or_what_was_there(spark, tmp_path):
     assert got("new.json") == [(1, "new")] and got("none.json") == [(0, "old")]
     (tmp_path / "bad.json").write_text("<html>")
     assert got("bad.json") == [(0, "old")]
+
+
+def test_rules_of_dates_are_made_once_and_copies_read_once(spark, monkeypatch):
+    import pandas as pd
+
+    from feedloom.functions import schedule as S
+
+    made = []
+    monkeypatch.setattr(S.ScheduleRules, "forms", lambda self, f=S.ScheduleRules.forms: made.append(1) or f(self))
+    run = S.schedules("text", "pub")
+    assert run is not None
+    reader = S.Reader.of(S.RULES)
+    assert len(made) == 1
+    found = reader.read("3月4日発売 本日終了 2/3 launch")
+    assert len(made) == 1
+    for pub in (0, 200 * 86400, 400 * 86400 + 54_000):
+        assert S.placed(found, pub, S.RULES) == announcements("3月4日発売 本日終了 2/3 launch", pub)
+    rows = pd.DataFrame({"text": ["3月4日発売", "3月4日発売", None, ""], "pub": [0, 300 * 86400, 0, 0]})
+    got = [[tuple(e) for e in r[0]] for r in spark.createDataFrame(rows).select(S.schedules("text", "pub")).collect()]
+    assert got == [[("1970-03-04", "release")], [("1971-03-04", "release")], [], []]
