@@ -33,8 +33,8 @@ def bucket(c: str | Column) -> Column:
 
 
 def bits_of(ids: DataFrame, *keys: str) -> DataFrame:
-    """keys, bucket, bits: the bitmap of the column id."""
-    return ids.groupBy(*keys, bucket("id")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("id")).alias("bits"))
+    """keys, bucket, bits: the bitmap of the column id. Rows that have their bucket and are dealt by it are not shuffled again."""
+    return ids.groupBy(*keys, "bucket" if "bucket" in ids.columns else bucket("id")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("id")).alias("bits"))
 
 
 def all_of(terms: list[DataFrame]) -> DataFrame:
@@ -60,16 +60,19 @@ def build(items: DataFrame, path: str) -> Index:
         raise ValueError(f"items lack {missing}")
     items.withColumn("id", F.monotonically_increasing_id() + 1).select(*NARROW, "hay").write.parquet(f"{path}/items")
     x = spark.read.parquet(f"{path}/items")
-    x.select("id", "hay", bucket("id")).repartition("bucket").write.partitionBy("bucket").parquet(f"{path}/texts")
+    # a bucket's rows go through one task, and a task has few buckets, so that what it sorts does not grow with the table
+    many = x.select(bucket("id")).distinct().count()
+    x = x.withColumn("bucket", bucket("id")).repartition(2 * many + 1, "bucket")
+    x.select("id", "hay", "bucket").write.partitionBy("bucket").parquet(f"{path}/texts")
     none, deal = F.array().cast("array<string>"), F.coalesce("deal", F.lit(False))
     values = {"cat": F.coalesce("cats", none), "plat": F.coalesce("plats", none), "lang": F.array("lang"), "deal": F.when(deal, F.array(F.lit("deal"))).otherwise(none), "store": F.when(deal, F.coalesce("stores", none)).otherwise(none), "all": F.array(F.lit(""))}
     named = lambda facet: lambda e: F.struct(F.lit(facet).alias("facet"), e.alias("value"))
     each = [F.transform(v, named(f)) for f, v in values.items()]
-    rows = x.select("id", F.explode(F.concat(*each)).alias("x")).select("id", "x.facet", "x.value").where("value IS NOT NULL")
+    rows = x.select("id", "bucket", F.explode(F.concat(*each)).alias("x")).select("id", "bucket", "x.facet", "x.value").where("value IS NOT NULL")
     bits_of(rows, "facet", "value").write.parquet(f"{path}/bitmaps")
     chars = F.split("hay", "")
     grams = F.when(F.length("hay") >= GRAM, F.array_distinct(F.arrays_zip(*(F.slice(chars, F.lit(k + 1), F.length("hay") - GRAM + 1).alias(f"c{k}") for k in range(GRAM)))))
-    rows = x.select("id", F.explode(grams).alias("g")).select("id", F.concat(*(F.col(f"g.c{k}") for k in range(GRAM))).alias("value"))
+    rows = x.select("id", "bucket", F.explode(grams).alias("g")).select("id", "bucket", F.concat(*(F.col(f"g.c{k}") for k in range(GRAM))).alias("value"))
     bits_of(rows, "value").write.parquet(f"{path}/grams")
     return Index(spark, path)
 

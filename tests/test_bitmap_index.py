@@ -50,3 +50,12 @@ def test_only_candidates_are_compared(items, index):
 def test_empty(spark, items, tmp_path):
     index = B.build(items.limit(0), str(tmp_path / "i"))
     assert index.counted(FeedQuery.from_url("?q=film"), NOW).collect() == [] and index.shown(FeedQuery(), NOW).collect() == []
+
+
+def test_rows_dealt_by_bucket_are_not_shuffled_again(spark):
+    from feedloom.operators import bitmap_index as B
+
+    x = spark.range(100_000).withColumn("bucket", B.bucket("id")).repartition(9, "bucket").selectExpr("id", "bucket", "cast(id % 7 AS string) AS value")
+    bits = B.bits_of(x, "value")
+    assert bits._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+    assert bits.selectExpr("sum(bitmap_count(bits))").first()[0] == 100_000 and bits.rdd.getNumPartitions() == 9
