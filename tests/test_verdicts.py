@@ -157,3 +157,14 @@ def test_names_grow_with_the_prefixes_in_proportion(spark):
         return re.sub(r"\s*\(film\)$", "", w)
 
     assert got == {n: plain(n) for n in names}
+
+
+def test_pages_announce_one_year_however_many_headlines(spark, tmp_path):
+    import pandas as pd
+
+    from feedloom import catalogue
+
+    keys = [24 * k for k in (0, 1, 2, 3, 900, 901, 5000, 5001, 9000)]
+    pd.DataFrame({"p_partkey": keys, "p_name": "red gear", "p_brand": "Brand#1", "p_type": "t", "p_size": pd.array([1] * len(keys), "int32"), "p_retailprice": 1.0}).to_parquet(tmp_path / "part.parquet")
+    got = catalogue.QUERIES["calendar_of_pages"](spark, str(tmp_path)).collect()
+    assert [(r["subject"], r["date"], r["verb"]) for r in got] == [("red gear", "1970-12-10", "open")]
