@@ -29,8 +29,8 @@ RULES = Rules()
 def keyword(d, e: str, word: str) -> str:
     """ASCII words need a boundary that is no letter or digit, others are substrings; case never matters."""
     if re.fullmatch(r"[A-Za-z][A-Za-z0-9 .+-]*", word):
-        return d.rx(f"lower({e})", f"(^|[^a-z0-9]){re.escape(word.lower()).replace(chr(92) + ' ', ' ')}($|[^a-z0-9])")
-    return f"(instr(lower({e}), '{word.lower()}') > 0)"
+        return d.word(d.low(e), re.escape(word.lower()).replace(chr(92) + " ", " "), [word.lower()])
+    return f"(instr({d.low(e)}, '{word.lower()}') > 0)"
 
 
 def any_of(d, e: str, words) -> str:
@@ -40,7 +40,8 @@ def any_of(d, e: str, words) -> str:
     plain = [w for w in words if re.fullmatch(r"[A-Za-z][A-Za-z0-9]*", w)]
     parts = [keyword(d, e, w) for w in words if w not in plain]
     if plain:
-        parts.append(d.rx(f"lower({e})", f"(^|[^a-z0-9])({'|'.join(w.lower() for w in plain)})($|[^a-z0-9])"))
+        low = [w.lower() for w in plain]
+        parts.append(d.word(d.low(e), f"({'|'.join(low)})", low))
     return "(" + " OR ".join(parts) + ")"
 
 
@@ -66,5 +67,5 @@ def platforms(d, rules: Rules, e: str) -> str:
         x = e
         for w in without:
             x = f"replace({x}, '{w}', '')"
-        pairs.append((k, any_of(d, x, words)))
+        pairs.append((k, d.each_in(x, lambda t, words=words: any_of(d, t, words))))
     return d.tags(pairs)

@@ -3,7 +3,7 @@
 Whole texts are cut to the lengths that texts with the same first characters have, so that both sides meet on equal keys. Within a key and a slot of
 time as wide as the limit, three running minima give the answer: over the slot before from the earliest moment on, over the own slot, and over the
 next up to the latest moment. Rows grow with the whole texts and the number of different lengths that begin alike, never with pairs.
-A key that very many texts share is spread over its slots.
+A key that very many texts share is spread over its slots. Parts and keys of whole texts are kept once; texts are read once a side.
 """
 
 from __future__ import annotations
@@ -11,16 +11,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.cutting import cut
 
 def first_longer(parts: DataFrame, wholes: DataFrame, width: int, least: int) -> DataFrame:
     """(b, a): of each part (b, lang, text, pub) the lowest a of wholes (a, lang, text, pub) that are longer, begin with it, and lie at most `width` apart; an unknown time is near to all. Parts of fewer than `least` characters have none."""
-    head, n = F.substring("text", 1, least).alias("head"), F.length("text")
-    parts = parts.where(n >= least).select("b", "lang", head, n.alias("n"), F.sha2("text", 256).alias("key"), "pub")
+    head, n, key = F.substring("text", 1, least).alias("head"), F.length("text").alias("n"), lambda e: F.unhex(F.sha2(e, 256)).alias("key")
+    parts = cut(parts.select("b", "lang", "text", "pub", n).where(F.col("n") >= least).select("b", "lang", head, "n", key(F.col("text")), "pub"))
     lengths = parts.groupBy("lang", "head").agg(F.collect_set("n").alias("lengths"))
-    w = wholes.where(n > least).withColumn("head", head).join(lengths, ["lang", "head"])
-    w = w.select("a", "lang", "text", "pub", F.explode(F.filter("lengths", lambda k: k < n)).alias("n"))
-    w = w.select("a", "lang", F.sha2(F.expr("substring(text, 1, n)"), 256).alias("key"), "pub")
-    w = w.groupBy("lang", "key", "pub").agg(F.min("a").alias("a"))
+    w = wholes.select("a", "lang", "text", "pub", n, head).where(F.col("n") > least).join(lengths, ["lang", "head"])
+    w = w.select("a", "lang", "text", "pub", F.explode(F.expr("filter(lengths, k -> k < n)")).alias("k"))
+    w = w.select("a", "lang", key(F.expr("substring(text, 1, k)")), "pub")
+    w = cut(w.groupBy("lang", "key", "pub").agg(F.min("a").alias("a")))
     # whatever has no time is looked up by key alone
     every = w.groupBy("lang", "key").agg(F.min("a").alias("any"), F.min(F.when(F.col("pub").isNull(), F.col("a"))).alias("undated"))
     by_key = parts.join(every, ["lang", "key"]).select("b", F.when(F.col("pub").isNull(), F.col("any")).otherwise(F.col("undated")).alias("a"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 
 class Spark:
     name = "spark"
@@ -50,6 +52,25 @@ class Spark:
         return f"(length({e}) - length(replace({e}, '{needle}', '')))"
 
 
+    def first_line(self, e: str) -> str:
+        return f"substring_index({e}, chr(10), 1)"
+
+    def low(self, e: str) -> str:
+        """A text in lower case. Those of the items are columns of theirs, made once: every word is sought in them."""
+        return f"low_{e}" if e in ("title", "summary", "whole") else e if e == "bound" else f"lower({e})"
+
+    def each_in(self, e: str, test) -> str:
+        """A test that seeks several words in one text, which is worked out and put in lower case once."""
+        return f"element_at(transform(array(lower({e})), bound -> {test('bound')}), 1)"
+
+    def lowered(self) -> str:
+        return ", lower(title) AS low_title, lower(summary) AS low_summary, lower(concat(title, ' ', summary)) AS low_whole"
+
+    def word(self, e: str, pattern: str, words: list[str]) -> str:
+        """Whether one of the words, of which the pattern is made, stands in a lower-cased text between characters that are no letters or digits. Many texts hold none, which a plain search tells sooner; each is sought by its letters first, and what stands before them is looked at after."""
+        found = lambda w, p: f"contains({e}, '{w}') AND {self.rx(e, f'{p}(?<![a-z0-9]{p})(?![a-z0-9])')}"
+        return "(" + " OR ".join(found(w, re.escape(w).replace(chr(92) + " ", " ")) for w in words) + ")"
+
     def quote(self) -> str:
         return "chr(39)"
 
@@ -71,6 +92,21 @@ class Duck(Spark):
     def sub(self, e: str, pattern: str, to: str) -> str:
         return f"regexp_replace({e}, {self.lit(pattern)}, '{to}', 'g')"
 
+    def first_line(self, e: str) -> str:
+        return f"split_part({e}, chr(10), 1)"
+
+    def low(self, e: str) -> str:
+        return f"lower({e})"
+
+    def each_in(self, e: str, test) -> str:
+        return test(e)
+
+    def lowered(self) -> str:
+        return ""
+
+    def word(self, e: str, pattern: str, words: list[str]) -> str:
+        return self.rx(e, f"(^|[^a-z0-9]){pattern}($|[^a-z0-9])")
+
     def secs(self, e: str) -> str:
         return f"CAST(floor(epoch({e})) AS BIGINT)"
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.cutting import fresh_path
+from ..functions.cutting import dropped, fresh_path
 from ..functions.feed_query import FeedQuery
 from ..operators import clusters
 from ..operators.prefixes import first_longer
@@ -31,11 +31,17 @@ def _items(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def prefix_link_first(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A cut-off title with the first longer one that it begins, at most three days apart."""
-    d = Spark()
-    read = lambda what: _sql(spark, sf_dir, f"WITH {views.items(d)}, {views.cut_titles(d)} SELECT {what}")
-    parts, wholes = read("ord AS b, lang, part AS text, pub FROM cut"), read(f"ord AS a, lang, {views.norm(d, 'title')} AS text, pub FROM items")
-    return first_longer(parts, wholes, 72 * 60, 12).select(F.col("b").alias("ord"), F.col("a").alias("full_ord"))
+    """A cut-off title with the first longer one that it begins, at most three days apart.
+
+    Titles and their compared forms are written first: a filter would else work them out anew for each time that it names them.
+    """
+    d, path = Spark(), fresh_path(spark, "titles")
+    _sql(spark, sf_dir, f"WITH {views.items(d)} SELECT ord, lang, pub, title, {views.norm(d, 'title')} AS norm FROM items").write.parquet(path)
+    read = lambda what: spark.sql(f"WITH items AS (SELECT * FROM parquet.`{path}`), {views.cut_titles(d)} SELECT {what}")
+    parts, wholes = read("ord AS b, lang, part AS text, pub FROM cut"), read("ord AS a, lang, norm AS text, pub FROM items")
+    found = first_longer(parts, wholes, 72 * 60, 12).select(F.col("b").alias("ord"), F.col("a").alias("full_ord"))
+    dropped(spark, [path])  # first_longer keeps what it needs
+    return found
 
 
 def cluster_replay(spark: SparkSession, sf_dir: str) -> DataFrame:

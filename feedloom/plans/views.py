@@ -14,9 +14,9 @@ KIND = "CASE feed_no % 4 WHEN 0 THEN 'specialist' WHEN 1 THEN 'general' WHEN 2 T
 
 def items(d) -> str:
     """The title is the whole first line, the summary all that follows; only summary_clean_truncate, which is for display, cuts."""
-    return f"""base AS (SELECT doc_id AS ord, split_part(text, chr(10), 1) AS title, replace(substr(text, length(split_part(text, chr(10), 1)) + 2), chr(10), ' ') AS summary,
+    return f"""base AS (SELECT doc_id AS ord, {d.first_line('text')} AS title, replace(substr(text, length({d.first_line('text')}) + 2), chr(10), ' ') AS summary,
   lang, source, CAST(substr(source, 4) AS INT) AS feed_no, doc_id * 7 AS pub FROM documents),
-items AS (SELECT *, concat(title, ' ', summary) AS whole, {KIND} AS kind FROM base)"""
+items AS (SELECT *, concat(title, ' ', summary) AS whole, {KIND} AS kind{d.lowered()} FROM base)"""
 
 
 def rich(d) -> str:

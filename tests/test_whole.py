@@ -1,10 +1,14 @@
 """Queries do the whole job: held against plain Python over the tables, not against SQL made from the same plan."""
 
+import duckdb
 import pandas as pd
 import pytest
 
 from feedloom import catalogue as C
+from feedloom.functions import rules as R
+from feedloom.functions.rules import RULES
 from feedloom.plans import jobs
+from feedloom.plans.dialect import Duck, Spark
 
 SF = "/root/testdata/sf0.001"
 
@@ -74,3 +78,22 @@ def test_visits_do_not_meet_the_items_they_count(spark, tmp_path):
     x = C.QUERIES["session_news"](spark, str(tmp_path))
     assert {(r["user_id"], r["visit"]): r["n_new"] for r in x.collect()} == {(1, 1): 0, (1, 2): 2, (1, 3): 1, (2, 1): 0, (2, 2): 1}
     assert "Generate" not in x._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_prefix_link_first_reads_texts_once(spark):
+    """Titles and their compared forms are kept, so that the links rest on no scan of the documents."""
+    x = C.QUERIES["prefix_link_first"](spark, SF)
+    assert not [f for f in x.inputFiles() if "documents" in f]
+    assert x.count() > 0
+
+
+def test_words_are_sought_in_texts_lowered_once(spark):
+    """A list of words lowers no text of the items anew, and finds words as the SQL's pattern does."""
+    s, d = Spark(), Duck()
+    assert "lower(" not in R.any_of(s, "whole", ("in", "from")) + R.score(s, RULES, "title", "summary")
+    texts = ["within", "With", "x WITH-", "9with", "with9", "éwith", "with\n", "as with", "withwith with", "a from_in", "infrom", "", "c+ +", "the the the", "in"]
+    one = lambda dialect: [R.keyword(dialect, "t", "with"), R.keyword(dialect, "t", "c+"), R.keyword(dialect, "t", "the the"), R.any_of(dialect, "t", ("in", "from", "with")), dialect.each_in("replace(t, 'the the', '')", lambda e: R.any_of(dialect, e, ("the", "in")))]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").selectExpr("t", *(f"{e} AS c{i}" for i, e in enumerate(one(s)))).toPandas()
+    frame = pd.DataFrame({"t": texts})  # noqa: F841
+    want = duckdb.sql(f"SELECT t, {', '.join(f'{e} AS c{i}' for i, e in enumerate(one(d)))} FROM frame").df()
+    assert got.sort_values("t").values.tolist() == want.sort_values("t").values.tolist()
