@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.cutting import dropped, fresh_path
+from ..functions.cutting import cut, dropped, fresh_path
 from ..functions.feed_query import FeedQuery
 from ..operators import clusters
 from ..operators.prefixes import first_longer
@@ -76,8 +76,9 @@ def cluster_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
 def cluster_merge_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The merge over groups of equal language and title, which SQL can state too."""
     items = _items(spark, sf_dir)
-    first = items.groupBy("lang", "norm").agg(F.min("ord").alias("cid"))
-    out = clusters.merge(items, items.join(first, ["lang", "norm"]).select("ord", "cid"))
+    titles = cut(items.select("ord", "lang", "norm"))
+    first = titles.groupBy("lang", "norm").agg(F.min("ord").alias("cid"))
+    out = clusters.merge(items, titles.join(first, ["lang", "norm"]).select("ord", "cid"))
     return out.select("cid", "ord", "pub", "first_seen", F.col("score").cast("long").alias("score"), "spoiler", "syndicated", "n", F.array_join(F.array_sort("cats"), ",").alias("cats"))
 
 
